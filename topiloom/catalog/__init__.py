@@ -1,0 +1,6 @@
+"""Registered queries and their SQL twins."""
+
+from . import texts  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

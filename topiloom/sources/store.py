@@ -28,9 +28,11 @@ def corpus_hash(docs: DataFrame, bucket: int = HASH_BUCKET) -> DataFrame:
     level = docs.select(F.col("doc_id").alias("i"), F.sha1(F.coalesce("text", F.lit(""))).alias("h"),
                         F.lit(1).alias("n"))
     top = docs.agg(F.max(F.abs("doc_id"))).first()[0] or 0
-    while top >= bucket:
+    while True:
         top //= bucket
         level = digest(level, F.floor(F.col("i") / bucket)).select(F.col("b").alias("i"), "h", "n")
+        if top < bucket:
+            break
     return digest(level, F.lit(0)).select(F.col("n").alias("n_docs"), F.col("h").alias("digest"))
 
 
