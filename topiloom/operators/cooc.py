@@ -225,31 +225,26 @@ def phrase_scores(lists: DataFrame, min_count: int = 5, threshold: float = 10.0,
 def join_phrases(lists: DataFrame, phrases: DataFrame) -> DataFrame:
     """Token lists with each detected pair joined by ``_``, left to right.
 
-    A pair is marked by an equi-join on the two words, then a run of marked pairs is
-    resolved greedily: inside a run every second pair starts a phrase.
+    A pair is marked by an equi-join on the two words. In a run of adjacent marked
+    pairs the greedy reading joins every second one, counted from the run's start.
     """
     marked = (
         lists.select("doc_id", F.posexplode("tokens").alias("pos", "w1"),
                      F.col("tokens").alias("t"))
         .withColumn("w2", F.get(F.col("t"), F.col("pos") + 1))
         .drop("t")
-        .join(phrases.select("w1", "w2", F.lit(1).alias("hit")), ["w1", "w2"], "left")
-        .withColumn("hit", F.coalesce("hit", F.lit(0)))
+        .join(phrases.select("w1", "w2", F.lit(True).alias("hit")), ["w1", "w2"], "left")
+        .withColumn("hit", F.coalesce("hit", F.lit(False)))
+    )
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    before = F.coalesce(F.max(F.when(~F.col("hit"), F.col("pos"))).over(order), F.lit(-1))
+    started = marked.withColumn("starts", F.col("hit") & ((F.col("pos") - before) % 2 == 1))
+    kept = started.withColumn("eaten", F.coalesce(F.lag("starts").over(order), F.lit(False))).where("NOT eaten")
+    term = F.when(F.col("starts"), F.concat_ws("_", "w1", "w2")).otherwise(F.col("w1"))
+    return (
+        kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", term.alias("w")))).alias("s"))
+        .select("doc_id", F.col("s.w").alias("tokens"))
     )
-    seq = marked.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "w1", "hit"))).alias("s"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(acc, x):
-        closing = acc["open"]
-        last = F.size(acc["out"])
-        glued = F.concat(
-            F.slice(acc["out"], 1, last - 1),
-            F.array(F.concat(F.element_at(acc["out"], -1), F.lit("_"), x["w1"])))
-        out = F.when(closing, glued).otherwise(F.concat(acc["out"], F.array(x["w1"])))
-        return F.struct(out.alias("out"), (~closing & (x["hit"] == 1)).alias("open"))
-
-    return seq.select("doc_id", F.aggregate("s", start, step, lambda a: a["out"]).alias("tokens"))
 
 
 def window_counts(lists: DataFrame, terms: Sequence[str], width: int) -> tuple[np.ndarray, int]:

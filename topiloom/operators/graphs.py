@@ -60,7 +60,8 @@ def knn_graph(vectors: DataFrame, top_k: int = 15, block: int = 4096) -> DataFra
         F.pmod(F.xxhash64("term_id"), F.lit(parts)).cast("int").alias("b"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = blocked.select("term_id", "vec", F.col("b").alias("bi"), spread.alias("bj"))
-    right = blocked.select("term_id", "vec", spread.alias("bi"), F.col("b").alias("bj"))
+    right = blocked.select(F.col("term_id").alias("term_id"), F.col("vec").alias("vec"),
+                           spread.alias("bi"), F.col("b").alias("bj"))
 
     def score(_key, rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or cols.empty:
