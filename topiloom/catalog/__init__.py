@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import graphs, models, texts  # noqa: F401
+from . import graphs, models, scores, texts  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

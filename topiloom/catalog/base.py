@@ -11,9 +11,9 @@ from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..functions.wordlists import STOP_WORDS
-from ..operators import corpus, deps, graphs, reports, vectors
+from ..operators import corpus, deps, graphs, reports, temporal, vectors
 from ..operators import vocab as V
-from ..session import hold, spread
+from ..session import settle, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,15 +79,15 @@ class Data:
 
     @cached_property
     def lists(self) -> DataFrame:
-        return hold(corpus.word_lists(self.documents, T.kept_words("text", ENG)))
+        return settle(corpus.word_lists(self.documents, T.kept_words("text", ENG)))
 
     @cached_property
     def counts(self) -> DataFrame:
-        return hold(V.token_counts(self.lists))
+        return settle(V.token_counts(self.lists))
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return hold(V.build_vocab(self.counts, MIN_DF, MAX_FEATURES))
+        return settle(V.build_vocab(self.counts, MIN_DF, MAX_FEATURES))
 
     @cached_property
     def bow(self) -> DataFrame:
@@ -95,7 +95,7 @@ class Data:
 
     @cached_property
     def rvocab(self) -> DataFrame:
-        return hold(V.build_vocab(self.counts, MIN_DF, REPORT_TERMS))
+        return settle(V.build_vocab(self.counts, MIN_DF, REPORT_TERMS))
 
     @cached_property
     def n_rterms(self) -> int:
@@ -103,16 +103,16 @@ class Data:
 
     @cached_property
     def rbow(self) -> DataFrame:
-        return hold(V.bow(self.counts, self.rvocab, REPORT_TERMS))
+        return settle(V.bow(self.counts, self.rvocab, REPORT_TERMS))
 
     @cached_property
     def rrows(self) -> DataFrame:
-        return hold(V.doc_rows(self.rbow))
+        return settle(V.doc_rows(self.rbow))
 
     @cached_property
     def tokens(self) -> DataFrame:
         """Token rows of a surface parse: the head of a word is the word before it."""
-        return hold(surface_parse(self.documents))
+        return settle(surface_parse(self.documents))
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -120,7 +120,7 @@ class Data:
 
     @cached_property
     def triples(self) -> DataFrame:
-        return hold(deps.triples(self.resolved))
+        return settle(deps.triples(self.resolved))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -128,11 +128,11 @@ class Data:
 
     @cached_property
     def vpairs(self) -> DataFrame:
-        return hold(deps.map_vocab(self.pairs, self.rvocab, REPORT_TERMS))
+        return settle(deps.map_vocab(self.pairs, self.rvocab, REPORT_TERMS))
 
     @cached_property
     def syntax(self) -> DataFrame:
-        return hold(graphs.syntax_graph(self.vpairs, 15))
+        return settle(graphs.syntax_graph(self.vpairs, 15))
 
     @cached_property
     def theta_rows(self) -> DataFrame:
@@ -144,34 +144,34 @@ class Data:
 
     @cached_property
     def theta(self) -> DataFrame:
-        return hold(self.theta_rows.select("doc_id", F.posexplode("w").alias("topic", "weight")))
+        return settle(self.theta_rows.select("doc_id", F.posexplode("w").alias("topic", "weight")))
 
     @cached_property
     def dominant(self) -> DataFrame:
-        return hold(V.dominant_topic(self.theta))
+        return settle(V.dominant_topic(self.theta))
 
     @cached_property
     def beta(self) -> DataFrame:
-        return hold(V.pseudo_beta(self.rbow, self.theta))
+        return settle(V.pseudo_beta(self.rbow, self.theta))
 
     @cached_property
     def phi(self) -> DataFrame:
-        return hold(V.row_normalise(self.beta).withColumn("weight", F.round("weight", 12)))
+        return settle(V.row_normalise(self.beta).withColumn("weight", F.round("weight", 12)))
 
     @cached_property
     def words(self) -> DataFrame:
-        return hold(reports.top_words(self.phi, 10))
+        return settle(reports.top_words(self.phi, 10))
 
     @cached_property
     def mwes(self) -> DataFrame:
-        return hold(reports.mwes(self.words, self.triples, 10 * TOPICS, 15))
+        return settle(reports.mwes(self.words, self.triples, 10 * TOPICS, 15))
 
     @cached_property
     def word_vectors(self) -> DataFrame:
         """The stored vectors, one per vocabulary word by id."""
         emb = self.table("embeddings").select(
             F.col("vec_id").cast("int").alias("term_id"), F.col("embedding").cast("array<double>").alias("vec"))
-        return hold(self.rvocab.select("term_id", "term").join(emb, "term_id"))
+        return settle(self.rvocab.select("term_id", "term").join(emb, "term_id"))
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -180,7 +180,7 @@ class Data:
 
     @cached_property
     def topic_vectors(self) -> DataFrame:
-        return hold(vectors.topic_vectors(self.phi, self.word_vectors, DIM, REPORT_TERMS, True))
+        return settle(vectors.topic_vectors(self.phi, self.word_vectors, DIM, REPORT_TERMS, True))
 
     @cached_property
     def topic_list(self) -> list[tuple[int, list[float]]]:
@@ -189,7 +189,7 @@ class Data:
     @cached_property
     def times(self) -> DataFrame:
         return self.table("events").select(
-            F.col("event_id").alias("doc_id"), (F.unix_micros("ts") / 1e6).alias("ts")).join(
+            F.col("event_id").alias("doc_id"), temporal.seconds("ts").alias("ts")).join(
             self.documents.select("doc_id"), "doc_id")
 
     @cached_property

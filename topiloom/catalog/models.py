@@ -12,7 +12,7 @@ from ..operators import classify, context, cooc, corpus, covariates, nmf, report
 from ..operators import vocab as V
 from ..plans import fit as fits
 from ..plans import grid
-from ..session import stage_path
+from ..session import settle, stage_path
 from .base import (DIM, ENG, MAX_FEATURES, MIN_DF, REPORT_TERMS, STOPS, TOPICS, query, sql, u01, wordlist)
 from .graphs import CTFIDF, joined_lists
 from .texts import BIGRAMS, CTX
@@ -67,14 +67,12 @@ def _wide(df, key, col, name="value"):
     return df.select(key, F.posexplode(col).alias("k", name))
 
 
-@query("nmf_init", sql("rbow", "SELECT term_id, sum(cnt * cnt) AS sq FROM rbow GROUP BY 1 HAVING sum(cnt) < 0"))
+@query("nmf_init")
 def nmf_init(d):
-    """Factors must be positive and finite; the rows returned are the ones that are not."""
     start, ht = nmf.init_factors(d.rrows.withColumn("dw", F.lit(1.0)), K, d.n_rterms)
     if not (np.isfinite(ht).all() and (ht >= 0).all()):
-        raise RuntimeError("initial topics are not positive")
-    bad = start.where(F.exists("w", lambda x: (x < 0) | F.isnan(x)))
-    return bad.select(F.size("ids").alias("term_id"), vec.total("cnts").alias("sq"))
+        raise RuntimeError("initial topics must be finite and non-negative")
+    return start.select("doc_id", F.posexplode("w").alias("topic", "weight"))
 
 
 @query("nmf_kl", sql("rbow rvocab", "SELECT doc_id AS id, 'w' AS factor, CAST(k AS INTEGER) AS k, w AS value FROM w1 UNION ALL SELECT term_id, 'h', CAST(k AS INTEGER), h FROM h1",
@@ -143,7 +141,7 @@ def nmf_ablation(d):
     for name, lam in (("graph", 0.1), ("plain", 0.0)):
         res = _fit(d, graphs=[(syntax_arrays(d), lam)])
         phi = res.phi_long(d.rvocab)
-        row = fits.summary(reports.top_words(phi, 10).persist(), _parsed(d), phi).first()
+        row = fits.summary(settle(reports.top_words(phi, 10)), _parsed(d), phi).first()
         rows.append((name, *[row[m] for m in grid.METRICS]))
     return d.spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in grid.METRICS))
 
@@ -161,7 +159,7 @@ def nmf_fold_in(d):
 
 @query("nmf_perplexity")
 def nmf_perplexity(d):
-    rows, h = _bench_rows(d).persist(), fitted(d).matrix()
+    rows, h = settle(_bench_rows(d)), fitted(d).matrix()
     value = nmf.perplexity(rows, nmf.fold_in(rows, h), h)
     return d.spark.createDataFrame([(value,)], "perplexity double")
 
@@ -187,7 +185,7 @@ def nmf_search_k(d):
 
     def score(k):
         phi = _fit(d, k, max_iter=5).phi_long(d.rvocab)
-        row = fits.summary(reports.top_words(phi, 10).persist(), parsed, phi).first()
+        row = fits.summary(settle(reports.top_words(phi, 10)), parsed, phi).first()
         return row["npmi"], row["diversity"]
 
     best, out = grid.search_k(score, (2, 4), finetune=True)
@@ -433,7 +431,7 @@ gc AS (SELECT doc_id, term, count(*) AS cnt FROM jt WHERE NOT eaten GROUP BY 1,
 gv AS (SELECT term FROM gc GROUP BY 1 HAVING count(*) >= 5),
 gcls AS (SELECT topic, term, CAST(sum(cnt) AS BIGINT) AS n FROM gc JOIN gv USING (term) JOIN dom USING (doc_id) GROUP BY 1, 2)"""))
 def rep_generic_mwe(d):
-    counts = V.token_counts(joined_lists(d)).persist()
+    counts = settle(V.token_counts(joined_lists(d)))
     vocab = V.build_vocab(counts, MIN_DF, MAX_FEATURES)
     bow = V.bow(counts, vocab, MAX_FEATURES)
     scores = V.ctfidf(bow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
 from ..functions import text as T
-from ..session import bounded, collect_bounded
+from ..session import bounded, collect_bounded, settle
 from . import cooc
 from .reports import ranked
 
@@ -44,7 +44,7 @@ def scored_pairs(topic_words: DataFrame, docs: DataFrame, vocab: DataFrame, top_
     Documents are first reduced to the scored words, so a long document adds only the
     pairs among them.
     """
-    rows = known_words(topic_words, vocab, top_k, bound).persist()
+    rows = settle(known_words(topic_words, vocab, top_k, bound))
     wanted = sorted({r["term_id"] for r in collect_bounded(rows.select("term_id").distinct())})
     few = docs.select(F.filter("ids", lambda i: i.isin(wanted)).alias("ids"))
     co = cooc.pair_counts(few).select(F.col("src").alias("lo"), F.col("dst").alias("hi"),
@@ -142,18 +142,17 @@ def c_v(rows: DataFrame, marginals: DataFrame, cooc_rows: DataFrame, total: floa
     """
     left = bounded(marginals.select(F.col("term_id").alias("src"), F.col("c").alias("ci")), bound)
     right = bounded(marginals.select(F.col("term_id").alias("dst"), F.col("c").alias("cj")), bound)
-    cells = cooc_rows.join(left, "src").join(right, "dst").select(
+    cells = settle(cooc_rows.join(left, "src").join(right, "dst").select(
         "src", "dst", cooc.npmi_expr(F.col("cnt").cast("double"), F.col("ci"), F.col("cj"),
-                                     F.lit(float(total))).alias("v")).persist()
+                                     F.lit(float(total))).alias("v")))
     best = Window.partitionBy("src").orderBy(F.desc("v"), "dst")
     strong = cells.withColumn("r", F.row_number().over(best)).where(
         (F.col("r") <= n_context) & (F.col("v") > 0)).select("src", "dst")
     words = rows.select("topic", F.col("term_id").alias("src"))
     context = words.join(strong, "src").select("topic", "dst").distinct()
-    block = (
+    block = settle(
         words.join(context, "topic").join(cells, ["src", "dst"], "left")
-        .select("topic", "src", "dst", F.coalesce("v", F.lit(0.0)).alias("v"))
-    )
+        .select("topic", "src", "dst", F.coalesce("v", F.lit(0.0)).alias("v")))
     summed = block.groupBy("topic", "dst").agg(F.sum("v").alias("s"))
     tn = summed.groupBy("topic").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("tn"))
     per_word = block.join(summed, ["topic", "dst"]).groupBy("topic", "src").agg(
@@ -166,7 +165,7 @@ def c_v(rows: DataFrame, marginals: DataFrame, cooc_rows: DataFrame, total: floa
 def c_v_documents(topic_words: DataFrame, docs: DataFrame, vocab: DataFrame, top_k: int = 10,
                   n_context: int = 10, bound: int | None = None) -> DataFrame:
     """C_V with whole-document co-occurrence."""
-    rows = known_words(topic_words, vocab, top_k, bound).persist()
+    rows = settle(known_words(topic_words, vocab, top_k, bound))
     wanted = sorted({r["term_id"] for r in collect_bounded(rows.select("term_id").distinct())})
     marg = cooc.marginals(docs)
     total = float(marg.agg(F.sum("c")).first()[0] or 0)
@@ -177,8 +176,8 @@ def c_v_documents(topic_words: DataFrame, docs: DataFrame, vocab: DataFrame, top
 def c_v_window(topic_words: DataFrame, seqs: DataFrame, vocab: DataFrame, top_k: int = 10,
                width: int = 10, n_context: int = 10, bound: int | None = None) -> DataFrame:
     """C_V with sliding-window co-occurrence over ``seqs(doc_id, seq)``."""
-    rows = known_words(topic_words, vocab, top_k, bound).persist()
-    co = cooc.window(seqs, width).persist()
+    rows = settle(known_words(topic_words, vocab, top_k, bound))
+    co = settle(cooc.window(seqs, width))
     marg = co.groupBy(F.col("src").alias("term_id")).agg(F.sum("cnt").cast("double").alias("c"))
     total = float(marg.agg(F.sum("c")).first()[0] or 0)
     wanted = rows.select(F.col("term_id").alias("src")).distinct()

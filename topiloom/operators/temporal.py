@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..session import settle
 from . import nmf, stats
 
 
 def seconds(c) -> Column:
     """Timestamp as epoch seconds with fraction."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(c) / 1e6
+    return F.unix_micros(c.cast("timestamp")) / 1e6
 
 
 def slices(times: DataFrame, n_slices: int) -> DataFrame:
@@ -46,7 +47,7 @@ def drift(docs: DataFrame, sliced: DataFrame, n_terms: int, num_topics: int, gra
     """
     if chunked:
         raise ValueError("drift needs one row per document; switch chunking off")
-    labelled = docs.join(sliced.select("doc_id", "slice"), "doc_id").persist()
+    labelled = settle(docs.join(sliced.select("doc_id", "slice"), "doc_id"))
     sizes = {r["slice"]: r["n"] for r in labelled.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, out = None, []
     for s in sorted(sizes):
@@ -60,6 +61,5 @@ def drift(docs: DataFrame, sliced: DataFrame, n_terms: int, num_topics: int, gra
         else:
             stability = float(nmf.match_topics(first, res.phi, num_topics)[1].mean())
         out.append((int(s), int(sizes[s]), res.n_iter, float(res.objective), stability, 1.0 - stability))
-    labelled.unpersist()
     return docs.sparkSession.createDataFrame(
         out, "slice int, n bigint, n_iter int, objective double, stability_vs_first double, drift double")

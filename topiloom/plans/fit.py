@@ -13,7 +13,7 @@ from ..config import TopicConfig
 from ..functions.wordlists import STOP_WORDS
 from ..operators import cooc, corpus, deps, graphs, metrics, nmf, reports, vectors
 from ..operators import vocab as V
-from ..session import hold
+from ..session import hold, settle
 
 
 @dataclass
@@ -62,10 +62,8 @@ class Fitted:
                                   self.config.num_topics)
 
     def evaluate(self, top_k: int = 10, hide: Iterable[str] | None = None) -> dict[str, float | None]:
-        words = hold(self.top_words(top_k, hide))
-        out = summary(words, self.parsed, self.phi, top_k).first().asDict()
-        words.unpersist()
-        return out
+        words = settle(self.top_words(top_k, hide))
+        return summary(words, self.parsed, self.phi, top_k).first().asDict()
 
     def evaluate_no_syntax(self, top_k: int = 10) -> dict[str, float | None]:
         """The same model without graph penalties, scored the same way."""
@@ -128,15 +126,15 @@ def parse(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
     if lists is None:
         lists = corpus.lemma_lists(tokens)
     counts = V.token_counts(lists)
-    vocab = hold(V.build_vocab(counts, cfg.min_df, cfg.max_features))
+    vocab = settle(V.build_vocab(counts, cfg.min_df, cfg.max_features))
     n_terms = vocab.count()
     if n_terms == 0:
         raise ValueError("no term reaches min_df; the vocabulary is empty")
     bow = V.bow(counts, vocab, cfg.max_features)
-    docs = hold(V.doc_rows(bow))
+    docs = settle(V.doc_rows(bow))
     spark = doc_ids.sparkSession
     if tokens is not None:
-        triples = hold(deps.triples(deps.resolve_heads(tokens), cfg.relations))
+        triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
         pairs = deps.map_vocab(triples.groupBy("head", "dependent").agg(F.sum("cnt").alias("cnt")),
                                vocab, cfg.max_features)
     else:
@@ -150,7 +148,7 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
         return None
     if cfg.vector_backend == "ppmi_svd":
         seqs = cooc.id_lists(parsed.lists, parsed.vocab, cfg.max_features)
-        cells = vectors.ppmi_cells(hold(cooc.window(seqs, cfg.vector_window)), parsed.n_terms)
+        cells = vectors.ppmi_cells(settle(cooc.window(seqs, cfg.vector_window)), parsed.n_terms)
         found = vectors.svd_vectors(cells, parsed.n_terms, cfg.vector_dim)
     else:
         known = parsed.lists.select("doc_id", F.posexplode("tokens").alias("pos", "term")).join(
@@ -160,8 +158,8 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
         found = vectors.skipgram_vectors(
             known, parsed.triples, parsed.vocab, cfg.vector_dim, cfg.vector_window, cfg.vector_epochs,
             cfg.seed)
-        return hold(found)
-    return hold(vectors.fill_missing(parsed.vocab, found, cfg.vector_dim))
+        return settle(found)
+    return settle(vectors.fill_missing(parsed.vocab, found, cfg.vector_dim))
 
 
 def factorise(parsed: Parsed, cfg: TopicConfig, syntax: DataFrame, semantic: DataFrame | None,
@@ -179,12 +177,12 @@ def fit(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
     """Parse, vectors, graphs, factorise. ``control`` swaps in an empty-content syntax graph."""
     parsed = parse(doc_ids, tokens, cfg, lists)
     vecs = word_vectors(parsed, cfg) if cfg.lambda_embed > 0 else None
-    syntax = hold(graphs.syntax_graph(parsed.pairs, cfg.graph_top_k))
+    syntax = settle(graphs.syntax_graph(parsed.pairs, cfg.graph_top_k))
     if control == "swap":
-        syntax = hold(graphs.rewire(syntax, cfg.seed))
+        syntax = settle(graphs.rewire(syntax, cfg.seed))
     elif control == "permute":
-        syntax = hold(graphs.permuted_graph(syntax, parsed.vocab, cfg.seed, parsed.n_terms))
+        syntax = settle(graphs.permuted_graph(syntax, parsed.vocab, cfg.seed, parsed.n_terms))
     elif control != "none":
         raise ValueError(f"control must be none, swap or permute, got {control!r}")
-    semantic = None if vecs is None else hold(graphs.knn_graph(vecs, cfg.graph_top_k))
+    semantic = None if vecs is None else settle(graphs.knn_graph(vecs, cfg.graph_top_k))
     return Fitted(cfg, parsed, vecs, syntax, semantic, factorise(parsed, cfg, syntax, semantic, init))

@@ -70,6 +70,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate that later steps read many times, and read it back.
+
+    The result is a plain scan: short plans, real statistics, nothing to recompute
+    when an executor is lost, and no memory kept.
+    """
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a reused intermediate; lost blocks are recomputed from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
