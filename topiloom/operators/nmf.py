@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
-from ..session import DRIVER_CELLS, bounded, cut_lineage, hold
+from ..session import DRIVER_CELLS, bounded, cut_lineage, hold, spread
 from .sparse import DOUBLES, INTS, dense, lists, row_sums, same, sparse, truncated_svd
 
 EPS = 1e-10
 REPLAY = 5
+DIRECT_CELLS = 5_000_000
 _STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw double"
 
 
@@ -98,7 +99,7 @@ def _advance(state: DataFrame, updates: list[np.ndarray], k: int, divergence: st
     return state.mapInArrow(run, _STATE)
 
 
-def _sums(state: DataFrame, ht: np.ndarray, updates: list[np.ndarray], divergence: str):
+def _sums(state: DataFrame, ht: np.ndarray, updates: list[np.ndarray], divergence: str, tasks: int):
     """R^T W or X^T W, W^T W, sum W and the loss at H and the replayed W."""
     v, k = ht.shape
     bc = state.sparkSession.sparkContext.broadcast((ht, updates))
@@ -130,13 +131,20 @@ def _sums(state: DataFrame, ht: np.ndarray, updates: list[np.ndarray], divergenc
             [pa.array(key.astype(np.int64)), lists(np.vstack([num[used], extra]))],
             names=["key", "s"])
 
-    cells = (
-        state.mapInArrow(run, "key bigint, s array<double>").groupBy("key")
-        .agg(*[F.sum(F.col("s")[t]).alias(f"s{t}") for t in range(k)]).toPandas()
-    )
-    bc.unpersist()
+    partial = state.mapInArrow(run, "key bigint, s array<double>")
     out = np.zeros((v + k + 2, k))
-    out[cells["key"].to_numpy()] = cells[[f"s{t}" for t in range(k)]].to_numpy()
+    if tasks * v * k <= DIRECT_CELLS:
+        # Few tasks and a small H: the partial sums are added here, without a shuffle.
+        table = partial.toArrow()
+        keys = table.column("key").to_numpy()
+        sums = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, k)
+        for t in range(k):
+            out[:, t] = np.bincount(keys, sums[:, t], len(out))
+    else:
+        cells = partial.groupBy("key").agg(
+            *[F.sum(F.col("s")[t]).alias(f"s{t}") for t in range(k)]).toPandas()
+        out[cells["key"].to_numpy()] = cells[[f"s{t}" for t in range(k)]].to_numpy()
+    bc.unpersist()
     return out[:v], out[v:v + k], out[v + k], float(out[v + k + 1, 0])
 
 
@@ -212,7 +220,7 @@ def fit(docs: DataFrame, n_terms: int, num_topics: int, *, divergence: str = "kl
     base = docs.where(F.size("ids") > 0).select(
         "doc_id", F.col("ids").cast("array<int>").alias("ids"),
         F.col("cnts").cast("array<double>").alias("cnts"), dw.alias("dw")).where("dw > 0")
-    base = hold(base)
+    base = hold(spread(base))
     totals = base.select(
         F.sum(F.col("dw") * vec.total("cnts")).alias("m"),
         F.sum(F.col("dw") * vec.dot("cnts", "cnts")).alias("q")).first()
@@ -237,8 +245,9 @@ def fit(docs: DataFrame, n_terms: int, num_topics: int, *, divergence: str = "kl
     def smooth(h, src, dst, val):
         return np.stack([np.bincount(dst, val * h[src, t], v) for t in range(k)], axis=1)
 
+    tasks = state.rdd.getNumPartitions()
     updates: list[np.ndarray] = []
-    num, wtw, wsum, _ = _sums(state, ht, updates, divergence)
+    num, wtw, wsum, _ = _sums(state, ht, updates, divergence, tasks)
     history: list[float] = []
     n_iter = 0
     for n_iter in range(1, max_iter + 1):
@@ -249,7 +258,7 @@ def fit(docs: DataFrame, n_terms: int, num_topics: int, *, divergence: str = "kl
             bottom = bottom + lam * ht * deg[:, None]
         ht = ht * top / (bottom + EPS)
         updates.append(ht)
-        num, wtw, wsum, loss = _sums(state, ht, updates, divergence)
+        num, wtw, wsum, loss = _sums(state, ht, updates, divergence, tasks)
         if divergence == "kl":
             objective = loss + float(wsum @ ht.sum(axis=0))
         else:
