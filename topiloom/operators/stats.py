@@ -37,7 +37,7 @@ def bootstrap_draws(rows: DataFrame, value: str, group: Sequence[str], n_resampl
         raise ValueError("group too large for numpy draws; use bootstrap_poisson")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clean.select(*group).schema)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["_v"].to_numpy())
         low = high = float("nan")
         if len(x) > 1:
