@@ -69,7 +69,7 @@ def test_window_coherence_uses_real_positions(spark):
 
     n, windows = cooc.window_counts(lists, ["a", "b"], 2)
     assert windows == 6 and n.tolist() == [[2.0, 1.0], [1.0, 3.0]]
-    assert metrics.window_coherence(words(spark, ["a_b"]), lists, 2, "c_npmi") == pytest.approx(
+    assert metrics.window_coherence(words(spark, ["a_b"]), lists, 2)["c_npmi"] == pytest.approx(
         math.log((1 / 6 + 1e-12) / (2 / 6 * 3 / 6)) / -math.log(1 / 6 + 1e-12))
 
 

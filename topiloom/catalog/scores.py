@@ -10,7 +10,7 @@ from ..functions import vec
 from ..operators import classify, context, cooc, corpus, metrics, reports, stats, vectors
 from ..operators import vocab as V
 from ..plans import fit as fits
-from ..session import settle
+from ..session import settle, spread
 from .base import DIM, LANGS, MAX_FEATURES, REPORT_TERMS, TOPICS, query, sql, u01
 from .graphs import DCOOC, PPMI_D, SEQ, TFIDF, _window_sql, sequences
 from .models import BETA, STATIC, _parsed
@@ -74,13 +74,14 @@ CVW = """(SELECT avg(v) FROM (SELECT topic, avg(c) AS v FROM (SELECT topic, a, s
   JOIN (SELECT topic, b, sum(m) AS t FROM wpr GROUP BY 1, 2) USING (topic, b) GROUP BY 1, 2) GROUP BY 1))"""
 
 
-def _window(d, measure):
-    return metrics.window_coherence(d.words, d.lists, 10, measure)
+def _window(d):
+    return metrics.window_coherence(d.words, spread(d.lists), 10)
 
 
 @query("m_cnpmi_window", sql("tok words", f"SELECT {CNPMI} AS c_npmi, {CVW} AS c_v", "c_npmi c_v", extra=WIN))
 def m_cnpmi_window(d):
-    return d.spark.createDataFrame([(_window(d, "c_npmi"), _window(d, "c_v"))], "c_npmi double, c_v double")
+    w = _window(d)
+    return d.spark.createDataFrame([(w["c_npmi"], w["c_v"])], "c_npmi double, c_v double")
 
 
 UMASS = "um AS (SELECT topic, avg(ln((co + 1.0) / (d1 + 1.0))) AS umass FROM prs GROUP BY 1)"
@@ -147,7 +148,7 @@ def m_evaluator(d):
 
 @query("m_quality", sql("tok words", f"SELECT {CNPMI} * {DIV} AS quality", "quality", extra=WIN))
 def m_quality(d):
-    return metrics.diversity(d.words).select((F.col("diversity") * _window(d, "c_npmi")).alias("quality"))
+    return metrics.diversity(d.words).select((F.col("diversity") * _window(d)["c_npmi"]).alias("quality"))
 
 
 CD = """(SELECT avg(sqrt(u * u + e * e)) FROM (SELECT (umass - min(umass) OVER ()) / (max(umass) OVER () - min(umass) OVER ()) AS u,
@@ -364,7 +365,7 @@ _ALL = {"perplexity": PPL, "npmi": NPMI_EPS, "c_v": CVW, "c_npmi": CNPMI, "we_co
 def m_evaluate_all(d):
     """The wide record; columns without an input (model scorers, resources) stay NULL."""
     val = metrics.valence(d.mwes, d.words, lexicon(d)).first()
-    c_npmi, div = _window(d, "c_npmi"), metrics.diversity(d.words).first()[0]
+    win, div = _window(d), metrics.diversity(d.words).first()[0]
     got = {
         "perplexity": _perplexity(d), "npmi": metrics.npmi_smoothed(_pairs(d), d.n_docs), "we_coherence": metrics.we_coherence(d.words, d.word_vectors, DIM),
         "exclusivity": metrics.exclusivity(d.phi, d.words, 10 * TOPICS), "cd_score": _cd(d), "js_divergence": metrics.js_divergence(d.phi, TOPICS),
@@ -374,7 +375,8 @@ def m_evaluate_all(d):
         "stance_concentration": _stance(d), "nmi": metrics.nmi(_label_pairs(d)),
     }
     row = {k: df.first()[0] for k, df in got.items()}
-    row |= {"c_v": _window(d, "c_v"), "c_npmi": c_npmi, "diversity": div, "quality": None if c_npmi is None else c_npmi * div, **val.asDict()}
+    c_npmi = win["c_npmi"]
+    row |= {**win, "diversity": div, "quality": None if c_npmi is None else c_npmi * div, **val.asDict()}
     return d.spark.createDataFrame([tuple(row.get(c) for c in COLUMNS)], ", ".join(f"{c} double" for c in COLUMNS))
 
 
@@ -450,7 +452,7 @@ CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011843
 JOIN (SELECT l_returnflag, count(*) AS n, avg(l_discount) AS estimate FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1, 2, 3""", "estimate ci_low ci_high", extra=f"""
 bs AS (SELECT l_returnflag, l_discount, b, len(list_filter({CDF}, lambda z: u >= z)) AS w FROM (SELECT *, {u01(0, 'l_orderkey * 10 + l_linenumber', 'b')} AS u FROM lineitem, (SELECT unnest(range(20)) AS b)))"""))
 def st_bootstrap(d):
-    rows = d.table("lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = spread(d.table("lineitem")).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return stats.bootstrap_poisson(rows, "l_discount", "id", ["l_returnflag"], 20)
 
 

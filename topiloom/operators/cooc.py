@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import CONNECTOR_WORDS
-from ..session import bounded
+from ..session import bounded, settle
 
 _CELLS = 2_000_000     # pair cells built at once for one document
 _HELD = 4_000_000      # counted pairs held by a task before they are sent on
@@ -184,7 +184,8 @@ def unigrams(lists: DataFrame) -> DataFrame:
 
 def pmi_bigrams(lists: DataFrame, n: int = 200, min_count: int = 10) -> DataFrame:
     """``(w1, w2, cnt, pmi)``: the ``n`` best bigrams by PMI among those seen often."""
-    bi, uni = bigrams(lists), unigrams(lists)
+    # Both count tables are read several times; the texts are tokenised once each.
+    bi, uni = settle(bigrams(lists)), settle(unigrams(lists))
     n_bi = bi.agg(F.sum("cnt")).first()[0] or 0
     n_uni = uni.agg(F.sum("cnt")).first()[0] or 0
     frequent = bi.where(F.col("cnt") >= min_count)
@@ -208,7 +209,7 @@ def phrase_scores(lists: DataFrame, min_count: int = 5, threshold: float = 10.0,
     words; a phrase neither starts nor ends with a connector word.
     """
     stop = sorted(connectors)
-    uni = unigrams(lists)
+    uni = settle(unigrams(lists))
     v = uni.count()
     pairs = bigrams(lists).where(
         (F.col("cnt") >= min_count) & ~F.col("w1").isin(stop) & ~F.col("w2").isin(stop))

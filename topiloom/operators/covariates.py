@@ -53,8 +53,8 @@ def effect_bootstrap(theta: DataFrame, covariates: DataFrame, names: Sequence[st
     x = [F.lit(1.0)] + [F.col(n).cast("double") for n in names]
     rows = theta.join(covariates, "doc_id").withColumn(
         "_b", F.explode(F.sequence(F.lit(-1), F.lit(n_bootstrap - 1))))
-    w = F.when(F.col("_b") < 0, 1).otherwise(seeded.poisson1(seeded.uniform(seed, "doc_id", "_b")))
-    sums = rows.withColumn("_w", w).where("_w > 0").groupBy("_b").agg(
+    w = F.when(F.col("_b") < 0, 1).otherwise(seeded.poisson1(F.col("_u")))
+    sums = rows.withColumn("_u", seeded.uniform(seed, "doc_id", "_b")).withColumn("_w", w).where("_w > 0").groupBy("_b").agg(
         *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)],
         *[F.sum(F.col("_w") * x[i] * F.col("w")[t]).alias(f"y{i}_{t}") for i in range(p) for t in range(k)],
     ).collect()

@@ -184,11 +184,11 @@ def c_v_window(topic_words: DataFrame, seqs: DataFrame, vocab: DataFrame, top_k:
     return c_v(rows, marg, co.join(wanted, "src", "left_semi"), total, n_context, bound)
 
 
-def window_coherence(topic_words: DataFrame, lists: DataFrame, width: int, measure: str) -> float | None:
-    """Window coherence over tokenised text: ``c_npmi`` (pair mean) or ``c_v`` (cosine).
+def window_coherence(topic_words: DataFrame, lists: DataFrame, width: int) -> dict[str, float | None]:
+    """Window coherence over tokenised text: ``c_npmi`` (pair mean) and ``c_v`` (cosine).
 
     Bigrams are split, unknown words dropped and topics of fewer than two words left
-    out. The counted matrix covers the listed words only.
+    out. One pass counts a matrix that covers the listed words only.
     """
     listed: dict[int, list[str]] = {}
     for r in collect_bounded(topic_words.select("topic", "rank", "term").orderBy("topic", "rank")):
@@ -196,7 +196,7 @@ def window_coherence(topic_words: DataFrame, lists: DataFrame, width: int, measu
     terms = sorted({t for ts in listed.values() for t in ts})
     n, windows = cooc.window_counts(lists, terms, width)
     pos = {t: i for i, t in enumerate(terms)}
-    scores = []
+    scores: dict[str, list[float]] = {"c_npmi": [], "c_v": []}
     for ts in listed.values():
         idx = [pos[t] for t in ts if n[pos[t], pos[t]] > 0]
         if len(idx) < 2:
@@ -205,12 +205,11 @@ def window_coherence(topic_words: DataFrame, lists: DataFrame, width: int, measu
         single = np.diag(p)
         with np.errstate(divide="ignore", invalid="ignore"):
             m = np.log((p + 1e-12) / np.outer(single, single)) / -np.log(p + 1e-12)
-        if measure == "c_npmi":
-            scores.append(float(m[np.triu_indices(len(idx), 1)].mean()))
-        else:
-            total = m.sum(axis=0)
-            scores.append(float(np.mean(m @ total / (np.linalg.norm(m, axis=1) * np.linalg.norm(total)))))
-    return float(np.mean(scores)) if scores else None
+        scores["c_npmi"].append(float(m[np.triu_indices(len(idx), 1)].mean()))
+        total = m.sum(axis=0)
+        scores["c_v"].append(float(np.mean(
+            m @ total / (np.linalg.norm(m, axis=1) * np.linalg.norm(total)))))
+    return {k: float(np.mean(v)) if v else None for k, v in scores.items()}
 
 
 def cd_score(per_topic: DataFrame) -> DataFrame:

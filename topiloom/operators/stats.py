@@ -61,18 +61,20 @@ def bootstrap_poisson(rows: DataFrame, value: str, key: str, group: Sequence[str
     the map side and only ``n_resamples`` numbers per group are shuffled.
     """
     group = list(group)
+    if not group:
+        raise ValueError("name at least one grouping column")
     clean = rows.where(finite(value)).select(*group, F.col(key).alias("_k"), F.col(value).alias("_v"))
     reps = clean.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    w = seeded.poisson1(seeded.uniform(seed, "_k", "_b"))
+    drawn = reps.withColumn("_u", seeded.uniform(seed, "_k", "_b"))
     means = (
-        reps.withColumn("_w", w).groupBy(*group, "_b")
+        drawn.withColumn("_w", seeded.poisson1(F.col("_u"))).groupBy(*group, "_b")
         .agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
     )
     a = (1.0 - level) / 2.0
     ends = means.groupBy(*group).agg(F.percentile("m", F.lit(a)).alias("ci_low"),
                                      F.percentile("m", F.lit(1.0 - a)).alias("ci_high"))
     point = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("estimate"))
-    return point.join(ends, group) if group else point.join(ends)
+    return point.join(ends, group)
 
 
 def excludes_zero(low="ci_low", high="ci_high") -> Column:
