@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiloom.session import checkpoint_dir, settle
+from topiloom.session import settle  # noqa: F401 (also used from here)
+
+from .flat import column
 
 #: A table may be sent to every executor only below this many bytes, measured first.
 SEND_BYTES = 32 << 20
@@ -35,6 +41,50 @@ def keep_rest(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c not in taken]
 
 
+def release(*staged: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once nothing reads them any more."""
+    for df in staged:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in a sorted stream of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [column(batch, k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            key = tuple(c[lo] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] | None = None) -> DataFrame:
+    """Apply ``work`` to each group of bounded size, one after another in a task."""
+    def run(batches):
+        for group in groups(batches, keys):
+            out = work(group)
+            if out is not None:
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: (node, component), component the smallest node.
 
@@ -49,23 +99,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
         while True:
-            nxt = up.alias("x").join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
-            nxt = settle(nxt, "roots")
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            nxt = settle(up.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+            release(up)
             moved = not nxt.where("moved").isEmpty()
             up = nxt.drop("moved")
             if not moved:
                 break
+        at = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        to = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        nxt = settle(left.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
+        release(left)
+        left = nxt
         if found is None:
             found = up
         else:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            found = settle(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
-        at = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        to = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = settle(left.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
+            both = settle(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
+            release(found, up)
+            found = both
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return found.select("node", F.col("root").alias("component"))
-
-
-__all__ = ["SEND_BYTES", "checkpoint_dir", "components", "crc_bucket", "digest", "keep_rest", "settle", "small", "table"]
