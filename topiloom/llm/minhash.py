@@ -10,12 +10,15 @@ chunk is indexed under its four variants that leave one symbol out, and every pa
 the threshold meets under a common key.
 
 Equal sets are one class and go through the join once. A key may be shared by very many
-classes, so its pairs are not listed. First every class is compared only with the leaders
-(smallest class) of the keys it shares most with; the confirmed links give preliminary
-components. Then the keys that hold classes of different components are joined with
-themselves, keeping pairs of different components within the threshold. Thus each pair that
-meets under a key is either compared, or already in one component, and components are the
-same as with all pairs. Every link is confirmed on the full sets, recomputed from the texts.
+classes, so its pairs are not listed at first. Each class is compared with the leaders of
+the keys it shares most with, in ``ROUNDS`` rounds: the leader of a key is its smallest
+class, and later the first or last class of another component found so far. Confirmed links
+give components. Then the keys that still hold classes of different components are joined
+with themselves in blocks of ``BLOCK`` classes, and each pair of different components within
+the threshold is taken once, at the first key it shares. Thus every pair that meets under a
+key is either compared, or already in one component, and the components are the same as
+with all pairs. Every link is confirmed on the full sets, recomputed from the texts; pairs
+to confirm are grouped so that a text is sent once for up to 64 partners.
 
 Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than five
 words is one shingle. Texts without words (or null) have an empty set and are linked with
@@ -28,20 +31,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, words
-from .tables import components, settle
+from .tables import by_group, components, release, settle, small
 
 SHINGLE, SIMILAR = 5, 75
 SYMBOLS, CHUNK, THRESHOLD = 64, 4, 31
-LEADERS = 2
+LEADERS, ROUNDS, ENOUGH = 2, 4, 0.02
+BLOCK = 512
 _FUNCTIONS = np.random.default_rng(20240601).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _BLOCK = 4096
 
@@ -114,57 +117,91 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = parts.sum(2, keepdims=True, dtype=np.uint64)
         keys = mix(total - parts + np.arange(CHUNK, dtype=np.uint64) + np.uint64(7) * np.arange(SYMBOLS // CHUNK, dtype=np.uint64)[:, None])
         ids = np.repeat(column(batch, "node").to_numpy(zero_copy_only=False), keys[0].size)
-        yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64), "node": ids})
+        variant = np.tile(np.arange(keys[0].size, dtype=np.int32), len(sig))
+        yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64), "variant": variant, "node": ids})
 
 
-def distance(a: str, b: str) -> Column:
-    """Number of 16-bit symbols in which two arrays of longs differ."""
-    def differing(i: int) -> Column:
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for k in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+def _near(group: pa.Table, similar: int) -> pa.RecordBatch | None:
+    """Pairs of a key's block, or of two of its blocks, that may be links.
 
-    return reduce(lambda x, y: x + y, [differing(i) for i in range(SYMBOLS // 4)])
-
-
-def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (SYMBOLS // 4), pa.int32()), pa.array(sig))
-        yield pa.RecordBatch.from_pydict({"node": column(batch, "node"), "sig": lists})
+    A pair within the threshold agrees in three or four symbols of some chunk. It is taken
+    only at the first such chunk, and there at the variant that leaves out the symbol in
+    which it differs (the first variant if it differs in none), so once in all.
+    """
+    side = group.column("side").to_numpy()
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1)
+    b = b if len(b) else a
+    node, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(node), SYMBOLS // CHUNK, CHUNK)
+    variant = int(group.column("variant")[0].as_py())
+    chunk, left_out = divmod(variant, CHUNK)
+    found = []
+    for at in np.array_split(a, -(-len(a) // 64)):
+        may = (comp[at][:, None] != comp[b]) & (node[at][:, None] != node[b])
+        if a is b or side[b[0]] == 0:
+            may &= node[at][:, None] < node[b]
+        small, large = np.minimum(n[at][:, None], n[b]), np.maximum(n[at][:, None], n[b])
+        i, j = np.nonzero(may & (100 * small >= similar * large))
+        differ = sig[at[i]] != sig[b[j]]
+        per_chunk = differ.sum(2)
+        first = (per_chunk <= 1).argmax(1)
+        here = (per_chunk.sum(1) <= THRESHOLD) & (first == chunk) & (differ[:, chunk].argmax(1) == left_out) & (per_chunk[:, chunk] <= 1)
+        if here.any():
+            x, y = node[at[i[here]]], node[b[j[here]]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+    if not found:
+        return None
+    x, y = (np.concatenate(z) for z in zip(*found))
+    return pa.RecordBatch.from_pydict({"a": x, "b": y})
+
+
+def _confirm(group: pa.Table, similar: int) -> pa.RecordBatch | None:
+    """The pairs of a group whose full sets, cut anew from the texts, are similar enough."""
+    unpack = zstandard.ZstdDecompressor()
+    sets: dict[int, np.ndarray] = {}
+    a, b, packed = group.column("a").to_pylist(), group.column("b").to_pylist(), group.column("packed")
+    good = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if y is None:
+            raw = np.frombuffer(unpack.decompress(packed[i].as_py()), np.uint8)
+            sets[x] = shingle_sets(raw, np.array([0, len(raw)]))[0]
+        else:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= similar * (len(sets[x]) + len(sets[y]) - both):
+                good.append((x, y))
+    return pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())}) if good else None
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough; texts are unpacked and cut anew."""
-    unpack = zstandard.ZstdDecompressor()
-    last: dict[int, np.ndarray] = {}
+def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity.
 
-    def full(node: int, packed: bytes) -> np.ndarray:
-        if node not in last:
-            if len(last) >= 64:
-                last.pop(next(iter(last)))
-            raw = np.frombuffer(unpack.decompress(packed), np.uint8)
-            last[node] = shingle_sets(raw, np.array([0, len(raw)]))[0]
-        return last[node]
+    ``pairs`` has the group ``g`` of each pair, of up to 64 times 64. A group gets the texts
+    of its classes first and then its pairs.
+    """
+    member = pairs.select("g", F.col("a").alias("node")).unionByName(pairs.select("g", F.col("b").alias("node"))).distinct()
+    needed = settle(member.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "needed")
+    texts = rows.select("doc_id", "node", "packed").join(small(needed, 64), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "packed")
+    texts = member.join(texts, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    both = texts.unionByName(pairs.select("g", "a", "b", F.lit(None).cast("binary").alias("packed")))
+    return by_group(both, ["g"], lambda group: _confirm(group, similar), "a long, b long", ["b"])
 
-    for batch in batches:
-        a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-        ta, tb = column(batch, "ta"), column(batch, "tb")
-        good = []
-        for i, (x, y) in enumerate(zip(a, b)):
-            sx, sy = full(x, ta[i].as_py()), full(y, tb[i].as_py())
-            both = len(np.intersect1d(sx, sy, assume_unique=True))
-            good.append(100 * both >= similar * (len(sx) + len(sy) - both))
-        keep = np.array(good, bool)
-        yield pa.RecordBatch.from_pydict({"a": column(batch, "a").filter(pa.array(keep)), "b": column(batch, "b").filter(pa.array(keep))})
 
+def grouped(pairs: DataFrame, family: DataFrame | None = None) -> DataFrame:
+    """Groups for ``confirmed``: classes of a family, 64 at a time, on either side.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the similarity."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("tb")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _confirm(it, similar), "a long, b long")
+    Without families every ``a`` is one of its own, and its partners are cut into 64s.
+    """
+    if family is None:
+        size = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64))
+        return pairs.join(size, "a").select("a", "b", F.xxhash64("a", part).alias("g"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = ends.join(family, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
+    size = ends.groupBy("family").agg(F.count("*").alias("n"))
+    block = settle(ends.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 64))).alias("block")), "blocks")
+    pairs = pairs.join(block.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    return pairs.select("a", "b", F.xxhash64("x", "y").alias("g"))
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -177,43 +214,48 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         raise ValueError("the signature threshold holds from 75 on")
     rows = settle(signatures(docs), "signatures")
     named = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    first_id = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = named.join(first_id, ["node", "doc_id"]).dropDuplicates(["node"])
-    nodes = settle(one.select("node", "n_shingles", "sig", "packed"), "nodes")
-    texts = nodes.select("node", "packed")
+    nodes = settle(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "nodes")
+    # an id with several texts is one document
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    links = settle(named.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct(), "links")
 
-    # leaders: the smallest class under each key; every class is tried with those it meets most
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, variant int, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
     shared = settle(keys.join(leaders, "key"), "shared")
-    votes = shared.where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-    tried = settle(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b"), "tried")
-    links = settle(confirmed(tried, texts, similar), "links")
-    # an id with several texts is one document
-    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-    same = named.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b")
-    early = components(links.unionByName(same))
+    tried = comp = family = None
+    for turn in range(ROUNDS):
+        met = shared.select("key", "node", "a")
+        if turn:
+            at = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            ends = at.groupBy("key").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).where("lo.component <> hi.component")
+            met = at.join(ends, "key").select("key", "node", F.when(F.col("component") == F.col("lo.component"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("a"))
+        votes = met.where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
+        if tried is not None:
+            votes = votes.join(tried, ["a", "b"], "left_anti")
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+        chosen = settle(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b", "k"), "tried")
+        family = chosen.where("k = 1").select(F.col("b").alias("node"), F.col("a").alias("family")) if family is None else family
+        new = settle(confirmed(grouped(chosen.select("a", "b")), rows, nodes, similar), "links")
+        links = settle(links.unionByName(new), "links")
+        tried = chosen.select("a", "b") if tried is None else settle(tried.unionByName(chosen.select("a", "b")), "tried")
+        comp = components(links)
+        if new.count() < ENOUGH * chosen.count():
+            break
 
     # what else meets under a key in different components
-    at = shared.select("key", "node").join(early, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = settle(at.join(mixed, "key"), "open")
-    numbers = nodes.join(open_.select("node").distinct(), "node", "left_semi")
-    longs = numbers.select("node", "sig").mapInArrow(_longs, "node long, sig array<long>").join(nodes.select("node", "n_shingles"), "node")
-    side = open_.join(longs, "node")
-    a, b = (side.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n_shingles", "sig"))) for k in ("a", "b"))
-    near = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-                                  & (100 * F.least("n_shingles_a", "n_shingles_b") >= similar * F.greatest("n_shingles_a", "n_shingles_b"))
-                                  & (distance("sig_a", "sig_b") <= THRESHOLD))
-    pairs = near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    at = shared.select("key", "variant", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    part = at.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("of")), "key").join(nodes.select("node", "n_shingles", "sig"), "node")
+    part = part.withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    part = part.select("key", "variant", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "component", "n_shingles", "sig")
+    near = by_group(part, ["key", "x", "y"], lambda group: _near(group, similar), "a long, b long")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = settle(confirmed(pairs.join(done, ["a", "b"], "left_anti"), texts, similar), "links")
-    final = early
-    if not late.isEmpty():
-        final = components(links.unionByName(same).unionByName(late))
+    near = settle(near.distinct().join(done, ["a", "b"], "left_anti"), "near")
+    late = settle(confirmed(grouped(near, family), rows, nodes, similar), "links")
+    final = comp if late.isEmpty() else components(links.unionByName(late))
+    release(shared, near)
 
-    group = settle(first_id.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "groups")
+    group = settle(nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "groups")
     smallest = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = group.join(smallest, "component").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
@@ -235,7 +277,8 @@ def op6_minhash(spark, sf_dir):
 # The links are those of exact Jaccard similarity, so SQL can say them outright.
 SQL = r"""
 WITH RECURSIVE toks AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
