@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, words
-from .tables import by_group, components, release, settle, small
+from .tables import by_group, components, release, settle, small, staged
 
 SHINGLE, SIMILAR = 5, 75
 SYMBOLS, CHUNK, THRESHOLD = 64, 4, 31
-LEADERS, ROUNDS, ENOUGH = 2, 4, 0.02
+LEADERS, ROUNDS, ENOUGH = 2, 3, 0.02
 BLOCK = 512
 _FUNCTIONS = np.random.default_rng(20240601).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _BLOCK = 4096
@@ -130,8 +130,10 @@ def _near(group: pa.Table, similar: int) -> pa.RecordBatch | None:
     """
     side = group.column("side").to_numpy()
     a = np.flatnonzero(side == 0)
-    b = np.flatnonzero(side == 1)
-    b = b if len(b) else a
+    alone = group.column("x")[0] == group.column("y")[0]
+    b = a if alone else np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return None
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(node), SYMBOLS // CHUNK, CHUNK)
     variant = int(group.column("variant")[0].as_py())
@@ -139,7 +141,7 @@ def _near(group: pa.Table, similar: int) -> pa.RecordBatch | None:
     found = []
     for at in np.array_split(a, -(-len(a) // 64)):
         may = (comp[at][:, None] != comp[b]) & (node[at][:, None] != node[b])
-        if a is b or side[b[0]] == 0:
+        if alone:
             may &= node[at][:, None] < node[b]
         small, large = np.minimum(n[at][:, None], n[b]), np.maximum(n[at][:, None], n[b])
         i, j = np.nonzero(may & (100 * small >= similar * large))
@@ -180,7 +182,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similar: int)
     of its classes first and then its pairs.
     """
     member = pairs.select("g", F.col("a").alias("node")).unionByName(pairs.select("g", F.col("b").alias("node"))).distinct()
-    needed = settle(member.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "needed")
+    needed = staged(member.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), 2 * pairs.count(), "needed")
     texts = rows.select("doc_id", "node", "packed").join(small(needed, 64), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "packed")
     texts = member.join(texts, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
     both = texts.unionByName(pairs.select("g", "a", "b", F.lit(None).cast("binary").alias("packed")))
@@ -199,7 +201,7 @@ def grouped(pairs: DataFrame, family: DataFrame | None = None) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ends = ends.join(family, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
     size = ends.groupBy("family").agg(F.count("*").alias("n"))
-    block = settle(ends.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 64))).alias("block")), "blocks")
+    block = staged(ends.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 64))).alias("block")), 2 * pairs.count(), "blocks")
     pairs = pairs.join(block.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     return pairs.select("a", "b", F.xxhash64("x", "y").alias("g"))
 
@@ -218,6 +220,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     # an id with several texts is one document
     several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     links = settle(named.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct(), "links")
+    n = nodes.count()
 
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, variant int, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
@@ -233,11 +236,11 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         if tried is not None:
             votes = votes.join(tried, ["a", "b"], "left_anti")
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-        chosen = settle(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b", "k"), "tried")
+        chosen = staged(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b", "k"), LEADERS * n, "tried")
         family = chosen.where("k = 1").select(F.col("b").alias("node"), F.col("a").alias("family")) if family is None else family
-        new = settle(confirmed(grouped(chosen.select("a", "b")), rows, nodes, similar), "links")
-        links = settle(links.unionByName(new), "links")
-        tried = chosen.select("a", "b") if tried is None else settle(tried.unionByName(chosen.select("a", "b")), "tried")
+        new = staged(confirmed(grouped(chosen.select("a", "b")), rows, nodes, similar), LEADERS * n, "links")
+        links = links.unionByName(new)
+        tried = chosen.select("a", "b") if tried is None else tried.unionByName(chosen.select("a", "b"))
         comp = components(links)
         if new.count() < ENOUGH * chosen.count():
             break
@@ -251,11 +254,11 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     near = by_group(part, ["key", "x", "y"], lambda group: _near(group, similar), "a long, b long")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = settle(near.distinct().join(done, ["a", "b"], "left_anti"), "near")
-    late = settle(confirmed(grouped(near, family), rows, nodes, similar), "links")
+    late = staged(confirmed(grouped(near, family), rows, nodes, similar), near.count(), "links")
     final = comp if late.isEmpty() else components(links.unionByName(late))
     release(shared, near)
 
-    group = settle(nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "groups")
+    group = staged(nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), n, "groups")
     smallest = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = group.join(smallest, "component").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")

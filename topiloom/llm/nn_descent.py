@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import column
-from .tables import by_group, components, settle
+from .tables import by_group, components, settle, staged
 
 LINK, FLOOR = 0.9, 0.6
 TABLES, MOST_BATCHES, WINDOW = 10, 6, 96
@@ -149,6 +149,7 @@ def saturated(lists: DataFrame) -> DataFrame:
 
 def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Join neighbours of neighbours until few lists change."""
+    size_of = lists.select("u").distinct().count()
     for _ in range(ROUNDS):
         full = saturated(lists).withColumn("full", F.lit(True))
         member = lists.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(lists.select(F.col("v").alias("hub"), F.col("u").alias("node"))).distinct()
@@ -156,7 +157,7 @@ def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
         rows = member.join(size, "hub").join(full, "node", "left").join(nodes.select("node", "dim", "vec"), "node")
         rows = rows.select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), "node", F.isnull("full").alias("open"), "dim", "vec")
         found = by_group(rows, ["hub", "chunk"], _join_members, "u long, v long, s double")
-        better = settle(best_lists(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).unionByName(lists)), "lists")
+        better = staged(best_lists(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).unionByName(lists)), size_of * K, "lists")
         moved = better.join(lists.select("u", "v"), ["u", "v"], "left_anti").count()
         total = lists.count()
         lists = better
@@ -171,10 +172,12 @@ def _count_links(group: pa.Table) -> pa.RecordBatch | None:
     nodes, weight = group.column("node").to_numpy(), group.column("weight").to_numpy()
     x = unit(group.column("vec").to_pylist())
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(b):  # a block with itself
+    if group.column("a")[0] == group.column("b")[0]:
         hit = cosines(x, x) >= LINK
         np.fill_diagonal(hit, False)
         return pa.RecordBatch.from_pydict({"node": nodes, "n": hit @ weight})
+    if not len(a) or not len(b):
+        return None
     hit = cosines(x[a], x[b]) >= LINK
     return pa.RecordBatch.from_pydict({"node": np.r_[nodes[a], nodes[b]], "n": np.r_[hit @ weight[b], hit.T @ weight[a]]})
 
@@ -193,14 +196,14 @@ def enlarged(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def link_counts(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, n) and (node, component) of the graph's links."""
     edges = lists.where(F.col("s") >= LINK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    edges = settle(edges, "links")
-    comp = settle(components(edges), "components")
+    edges = staged(edges, lists.count(), "links")
+    comp = components(edges)
     full = saturated(lists).join(comp, "node").select("component").distinct()
     members = comp.join(full, "component", "left_semi")
-    crowded = settle(members, "crowded")
+    crowded = staged(members, edges.count(), "crowded")
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     plain = ends.join(crowded, "node", "left_anti").join(nodes.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.sum("weight").alias("n"))
-    return settle(plain.unionByName(enlarged(crowded, nodes)), "counts"), comp
+    return staged(plain.unionByName(enlarged(crowded, nodes)), 2 * edges.count(), "counts"), comp
 
 
 def audit(counts: DataFrame, nodes: DataFrame) -> float:

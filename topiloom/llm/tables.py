@@ -15,6 +15,7 @@ from .flat import column
 
 #: A table may be sent to every executor only below this many bytes, measured first.
 SEND_BYTES = 32 << 20
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +42,18 @@ def keep_rest(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c not in taken]
 
 
-def release(*staged: DataFrame) -> None:
+def staged(df: DataFrame, rows: int, name: str = "table") -> DataFrame:
+    """``settle`` for a table of at most ``rows`` short rows: a file for each ``FILE_ROWS``.
+
+    Small tables of an iteration would otherwise be spread over as many files as there are
+    shuffle partitions, and the next step would start a task for each.
+    """
+    return settle(df.coalesce(max(1, -(-rows // FILE_ROWS))), name)
+
+
+def release(*tables: DataFrame) -> None:
     """Delete tables that ``settle`` wrote, once nothing reads them any more."""
-    for df in staged:
+    for df in tables:
         files = df.inputFiles()
         if files:
             jvm = df.sparkSession._jvm
@@ -93,14 +103,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     partial sums or an equi-join whose hot keys Spark can split, and every round is written
     to the shared folder. Nodes without edges do not appear.
     """
-    left = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    size = edges.count()
+    left = staged(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), size, "edges")
     found = None
-    while not left.isEmpty():
+    while size := left.count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+        up = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), size, "roots")
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            nxt = settle(up.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+            nxt = staged(up.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), size, "roots")
             release(up)
             moved = not nxt.where("moved").isEmpty()
             up = nxt.drop("moved")
@@ -108,14 +119,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 break
         at = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        nxt = settle(left.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
+        nxt = staged(left.join(at, "a").join(to, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), size, "edges")
         release(left)
         left = nxt
         if found is None:
             found = up
         else:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            both = settle(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
+            both = staged(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), found.count(), "found")
             release(found, up)
             found = both
     if found is None:
