@@ -1,19 +1,18 @@
 """Texts of an Arrow batch as one flat byte array, and vectorised words and hashes over it.
 
 Spark hands a task its rows in Arrow batches. The helpers here look at the bytes of a
-string column in place, a few megabytes at a time, so a task needs memory for one slice
+string column in place, half a megabyte at a time, so a task needs memory for one slice
 and its longest text, whatever the size of the partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -36,20 +35,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 2**64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_held: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of them."""
-    return _powers(1 << max(22, int(n).bit_length()))
+    if not _held or len(_held[0]) < n:
+        size = 1 << max(20, int(n).bit_length())
+        _held.clear()
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _held.append(np.multiply.accumulate(p, out=p))
+    return _held[0], _held[1]
 
 
 class Slice:

@@ -57,11 +57,13 @@ _MARKED = np.zeros(256, bool)
 _MARKED[1] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in IMITATES]] = True
-#: Byte classes of the language model: 0 for no letter, a-z, and each byte beyond ASCII.
-CLASSES = 155
-_CLASS = np.zeros(256, np.int64)
+#: Byte classes of the language model: 0 for no letter, a-z, the 64 bytes that continue a
+#: character beyond ASCII, and eight groups of the bytes that begin one.
+CLASSES = 99
+_CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = np.arange(1, 27)
-_CLASS[128:256] = np.arange(27, 155)
+_CLASS[128:192] = np.arange(27, 91)
+_CLASS[192:256] = 91 + np.arange(64) % 8
 
 
 # ---- language model -------------------------------------------------------------------
