@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .flat import _CODES, column
-from .tables import keep_rest
+from .tables import keep_rest, modest_batches
 
 #: On average a cut every 1,024 bytes.
 CUT_MASK = np.uint32((1 << 10) - 1 << 22)
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, json_file: str | None = None, ranks_file: str | None
     vocabulary as ranks, or None; both must be at the same place on every executor.
     """
     files = (json_file, ranks_file) if json_file else default_files()
-    docs = docs.select(keep_rest(docs, "n_tokens", "ids_sha256", "decoded_sha256", "input_ids"))
+    docs = modest_batches(docs).select(keep_rest(docs, "n_tokens", "ids_sha256", "decoded_sha256", "input_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     schema += (", " if schema else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * with_ids
     return docs.mapInArrow(lambda it: _encode(it, files, with_ids), schema)
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, json_file: str | None = None, ranks_file: str | None
 def decode(encoded: DataFrame, json_file: str | None = None, ranks_file: str | None = None, ids: str = "input_ids") -> DataFrame:
     """Texts from arrays of ids, as ``text``; a null array is an empty text."""
     files = (json_file, ranks_file) if json_file else default_files()
-    encoded = encoded.select(keep_rest(encoded, "text"))
+    encoded = modest_batches(encoded).select(keep_rest(encoded, "text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != ids)
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_BLANK, Hasher, Slice, column, mix, per_row, slices, words
-from .tables import keep_rest, settle
+from .tables import keep_rest, modest_batches, settle
 
 SEGMENT, BLOCK, SHINGLE = 64, 8, 5
 SHARE, QUESTION, ANSWER = 0.5, 0.6, 0.5
@@ -219,7 +219,7 @@ def shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``items`` (ids of the items it gives away) and ``overlap``."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(keep_rest(docs, "items", "overlap"))
+    docs = modest_batches(docs).select(keep_rest(docs, "items", "overlap"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", items array<bigint>, overlap double"
     n_docs, out, n = docs.count(), docs, 0
     for run in shards(benchmark):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import column
-from .tables import keep_rest, settle
+from .tables import keep_rest, modest_batches, settle
 
 #: A node is judged when it stands in so many different pages of its host; importance below
 #: LOW makes it noise, as does a content that so large a share of the host's pages repeats.
@@ -277,7 +277,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``text`` and ``n_chars`` of every page, beside its columns other than ``html``."""
-    pages = pages.select(keep_rest(pages, "text", "n_chars", "_noise", "_host"))
+    pages = modest_batches(pages).select(keep_rest(pages, "text", "n_chars", "_noise", "_host"))
     noise = settle(style_tree(pages), "noise").select(F.col("host").alias("_host"), F.col("noise").alias("_noise"))
     rest = [f for f in pages.schema if f.name != "html"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + (", " if rest else "") + "text string, n_chars long"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import ALNUM, LOWER, SLICE_BYTES, Hasher, Slice, column, mix, per_row, slices, words
-from .tables import crc_bucket, keep_rest, settle
+from .tables import crc_bucket, keep_rest, modest_batches, settle
 
 FIT_DOCS, MOST_LANGS, FIT_WORDS = 1_500, 64, 400_000
 TABLE_BITS, STEPS, RATE, DECAY = 18, 40, 0.15, 1e-4
@@ -194,7 +194,7 @@ def _transitions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
 
 def fit(docs: DataFrame) -> Model:
     """A model from (doc_id, text, lang) rows; rows without a language teach nothing."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    known = modest_batches(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(totals)
     if not langs:
@@ -251,7 +251,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``lang_pred`` and ``score`` for every row, beside its columns other than ``text``."""
-    docs = docs.select(keep_rest(docs, "lang_pred", "score"))
+    docs = modest_batches(docs).select(keep_rest(docs, "lang_pred", "score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(lambda it: _predict(it, sent.value), schema + (", " if schema else "") + "lang_pred string, score double")

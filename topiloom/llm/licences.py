@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import ALNUM, LOWER, Hasher, Slice, column, hash_one, per_row, slices, words
-from .tables import keep_rest
+from .tables import keep_rest, modest_batches
 
 # Base phrases and their labels.
 BASE = {
@@ -146,7 +146,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> It
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents of the whole corpus have each word of a fixed vocabulary."""
-    parts = docs.select("text").mapInArrow(lambda it: _frequencies(it, vocabulary), "word string, docs long")
+    parts = modest_batches(docs).select("text").mapInArrow(lambda it: _frequencies(it, vocabulary), "word string, docs long")
     return {r["word"]: r["docs"] for r in parts.groupBy("word").agg(F.sum("docs").alias("docs")).collect()}
 
 

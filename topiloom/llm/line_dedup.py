@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import column
-from .tables import SEND_BYTES, digest, keep_rest, settle
+from .tables import SEND_BYTES, digest, keep_rest, modest_batches, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 18
@@ -38,7 +38,7 @@ SEGMENT_BITS = 1 << 18
 BITS_A_DOCUMENT = 256
 MOST_BITS = 1 << 28
 _NO_ID = 2**63 - 1
-_FLUSH = 100_000
+_FLUSH = 30_000
 
 
 def keyed_lines(text: bytes, min_chars: int = 1) -> tuple[list[bytes], list[bytes | None]]:
@@ -139,7 +139,7 @@ def repeat_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
     The array has at most ``MOST_BITS`` bits, so bringing it to the driver is bounded.
     """
     bits = filter_bits(docs.count())
-    marks = docs.select("text").mapInArrow(lambda it: _mark(it, min_chars, bits), "segment int, once binary, twice binary")
+    marks = modest_batches(docs).select("text").mapInArrow(lambda it: _mark(it, min_chars, bits), "segment int, once binary, twice binary")
     merged = marks.repartition("segment").mapInArrow(_merge, "segment int, twice binary")
     out, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
     for row in merged.collect():

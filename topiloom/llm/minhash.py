@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, words
-from .tables import by_group, components, release, settle, small, staged
+from .tables import by_group, components, modest_batches, release, settle, small, staged
 
 SHINGLE, SIMILAR = 5, 75
 SYMBOLS, CHUNK, THRESHOLD = 64, 4, 31
@@ -102,7 +102,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, sig, packed text) of every row; node names the class."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _signatures, "doc_id long, n_shingles long, node long, sig binary, packed binary")
 
 

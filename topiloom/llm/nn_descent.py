@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import column
-from .tables import by_group, components, settle, staged
+from .tables import by_group, components, modest_batches, settle, staged
 
 LINK, FLOOR = 0.9, 0.6
 TABLES, MOST_BATCHES, WINDOW = 10, 6, 96
@@ -242,7 +242,7 @@ def audit(counts: DataFrame, nodes: DataFrame) -> float:
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    rows = settle(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = settle(modest_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
                   .mapInArrow(_clean, "vec_id long, dim int, vec binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("vec"))), "vectors")
     nodes = settle(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("dim").alias("dim"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.min("vec_id").alias("vec_id")), "nodes")
     bare = nodes.drop("vec_id")

@@ -16,6 +16,7 @@ from .flat import column
 #: A table may be sent to every executor only below this many bytes, measured first.
 SEND_BYTES = 32 << 20
 FILE_ROWS = 100_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,16 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= SEND_BYTES else df
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, in a session whose Arrow batches hold at most ``BATCH_BYTES``.
+
+    Ten thousand long texts to a batch, the usual limit, would be hundreds of megabytes in
+    the executor and again in its Python worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import ALNUM, LOWER, Hasher, column, mix, slices, words
-from .tables import crc_bucket, keep_rest, settle
+from .tables import crc_bucket, keep_rest, modest_batches, settle
 
 PREFIXES = (4, 5, 6)
 FIT_TOXIC, FIT_CLEAN, CANDIDATES = 6_000, 14_000, 3_000
@@ -85,7 +85,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     The table has ``CLASSES`` cubed cells whatever the corpus. Trigram estimates fall back
     on bigrams and those on single classes.
     """
-    rows = docs.select("text").mapInArrow(_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = modest_batches(docs).select("text").mapInArrow(_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(CLASSES**3)
     n[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     n = n.reshape(CLASSES, CLASSES, CLASSES)
@@ -337,7 +337,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` with ``score``; other columns pass through."""
-    docs = docs.select(keep_rest(docs, "score"))
+    docs = modest_batches(docs).select(keep_rest(docs, "score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
     return docs.mapInArrow(lambda it: _score(it, sent.value), schema)
