@@ -18,7 +18,7 @@ from .graphs import CTFIDF, joined_lists
 from .texts import BIGRAMS, CTX
 from .graphs import JOINED, PHRASES
 
-ITER = 10
+ITER = 60
 K = TOPICS
 
 
@@ -184,13 +184,13 @@ def nmf_search_k(d):
     parsed = _parsed(d)
 
     def score(k):
-        phi = _fit(d, k, max_iter=5).phi_long(d.rvocab)
+        phi = _fit(d, k).phi_long(d.rvocab)
         row = fits.summary(settle(reports.top_words(phi, 10)), parsed, phi).first()
         return row["npmi"], row["diversity"]
 
     best, out = grid.search_k(score, (2, 4), finetune=True)
-    return d.spark.createDataFrame([(k, r["npmi"], r["div"], r["score"], k == best) for k, r in sorted(out.items())],
-                                   "k int, npmi double, diversity double, score double, best boolean")
+    return d.spark.createDataFrame([(k, r["npmi"], r["div"], r["score"], k == best, r["error"]) for k, r in sorted(out.items())],
+                                   "k int, npmi double, diversity double, score double, best boolean, error string")
 
 
 @query("lda_fit")
@@ -318,7 +318,7 @@ def time_prevalence(d):
 
 @query("time_drift")
 def time_drift(d):
-    return temporal.drift(d.rrows, temporal.slices(d.times, 3), d.n_rterms, K, max_iter=5)
+    return temporal.drift(d.rrows, temporal.slices(d.times, 3), d.n_rterms, K, max_iter=ITER)
 
 
 # -- grids -------------------------------------------------------------------------
@@ -330,7 +330,7 @@ def grid_expand(d):
 
 
 def _cfg(**kw):
-    return TopicConfig(num_topics=K, max_features=REPORT_TERMS, max_iter=5, lambda_embed=0.0, vector_backend="none", **kw)
+    return TopicConfig(num_topics=K, max_features=REPORT_TERMS, max_iter=ITER, lambda_embed=0.0, vector_backend="none", **kw)
 
 
 @query("grid_fit")

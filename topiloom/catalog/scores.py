@@ -333,8 +333,7 @@ def m_valence_probs(d):
 
 
 STANCE = f"""(SELECT avg(1 - h / ln(greatest(m, 2))) FROM (SELECT topic, -sum(c / t * ln(c / t + 1e-12)) AS h, count(*) AS m FROM (
-  SELECT topic, quality, count(*) AS c, sum(count(*)) OVER (PARTITION BY topic) AS t FROM (SELECT doc_id, topic, row_number() OVER (PARTITION BY topic ORDER BY {u01(0, 'doc_id')}, doc_id) AS r,
-    count(*) OVER (PARTITION BY topic) AS n FROM dom) JOIN labels USING (doc_id) WHERE r <= 40 AND n >= 5 GROUP BY 1, 2) GROUP BY 1))"""
+  SELECT topic, quality, count(*) AS c, sum(count(*)) OVER (PARTITION BY topic) AS t FROM (SELECT doc_id, topic, count(*) OVER (PARTITION BY topic) AS n FROM dom) JOIN labels USING (doc_id) WHERE n >= 5 GROUP BY 1, 2) GROUP BY 1))"""
 
 
 def _stance(d):
@@ -413,11 +412,11 @@ def _runs3(d):
 @query("m_ari", sql("dom", """SELECT avg((ij - a * b / t) / ((a + b) / 2 - a * b / t)) AS ari FROM (SELECT r, o, sum(n * (n - 1) / 2.0) AS ij, any_value(m * (m - 1) / 2.0) AS t FROM cells, (SELECT count(*)::DOUBLE AS m FROM smp) GROUP BY 1, 2)
 JOIN (SELECT r, o, sum(n * (n - 1) / 2.0) AS a FROM (SELECT r, o, x, sum(n) AS n FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (r, o)
 JOIN (SELECT r, o, sum(n * (n - 1) / 2.0) AS b FROM (SELECT r, o, y, sum(n) AS n FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (r, o)""", "ari", extra=f"""
-smp AS (SELECT doc_id FROM documents ORDER BY {u01(42, 'doc_id')}, doc_id LIMIT 500),
+smp AS (SELECT doc_id FROM documents),
 r3 AS (SELECT 0 AS run, doc_id, topic FROM dom UNION ALL SELECT 1, doc_id, list_position(['en', 'fr', 'de', 'es'], lang) FROM documents UNION ALL SELECT 2, doc_id, n_chars % 3 FROM documents),
 cells AS (SELECT a.run AS r, b.run AS o, a.topic AS x, b.topic AS y, count(*)::DOUBLE AS n FROM r3 a JOIN r3 b ON a.doc_id = b.doc_id AND a.run < b.run WHERE a.doc_id IN (SELECT doc_id FROM smp) GROUP BY 1, 2, 3, 4)"""))
 def m_ari(d):
-    return metrics.ari(_runs3(d), 500, 42)
+    return metrics.ari(_runs3(d))
 
 
 @query("m_f1_holdout")

@@ -6,9 +6,8 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import CountVectorizerModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,11 +149,10 @@ def downstream(feature_sets: dict[str, DataFrame], k: int = 5, seeds=(42,)) -> D
 def lda(docs: DataFrame, vocab: DataFrame, n_terms: int, k: int, seed: int = 42, max_iter: int = 5,
         top_k: int = 10) -> tuple[DataFrame, DataFrame]:
     """LDA baseline on ``docs(doc_id, ids, cnts)``: topic words and document mixtures."""
-    @F.udf(VectorUDT())
-    def to_vector(ids, cnts):
-        return SparseVector(n_terms, ids, cnts)
-
-    rows = hold(docs.where(F.size("ids") > 0).select("doc_id", to_vector("ids", "cnts").alias("features")))
+    repeated = F.flatten(F.zip_with("ids", "cnts", lambda i, n: F.array_repeat(i.cast("string"), n.cast("int"))))
+    words = docs.where(F.size("ids") > 0).select("doc_id", repeated.alias("words"))
+    numbers = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_terms)], "words", "features")
+    rows = hold(numbers.transform(words).select("doc_id", "features"))
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features").fit(rows)
     words = (
         model.describeTopics(top_k)

@@ -413,12 +413,17 @@ def probability_valence(probs: DataFrame) -> DataFrame:
 
 
 def stance_concentration(dominant: DataFrame, labels: DataFrame, min_docs: int = 5,
-                         sample: int = 40, seed: int = 0) -> DataFrame:
-    """Mean over topics of ``1 - H(labels) / ln(max(n_labels, 2))`` on sampled documents."""
+                         sample: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean over topics of ``1 - H(labels) / ln(max(n_labels, 2))`` on labelled documents.
+
+    All labelled documents count; ``sample`` takes that many of each topic.
+    """
     sizes = dominant.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    w = Window.partitionBy("topic").orderBy(seeded.uniform(seed, "doc_id"), "doc_id")
-    picked = dominant.select("doc_id", "topic").withColumn("r", F.row_number().over(w)).where(
-        F.col("r") <= sample).join(sizes.select("topic"), "topic")
+    picked = dominant.select("doc_id", "topic").join(sizes.select("topic"), "topic")
+    if sample is not None:
+        w = Window.partitionBy("topic").orderBy(seeded.uniform(seed, "doc_id"), "doc_id")
+        picked = picked.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+        picked = picked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r")
     counts = picked.join(labels.select("doc_id", "label"), "doc_id").groupBy("topic", "label").agg(
         F.count(F.lit(1)).alias("c"))
     n = counts.groupBy("topic").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("m"))
@@ -475,10 +480,11 @@ def nmi(pairs: DataFrame) -> DataFrame:
     return g.select(F.when(den < 1e-15, 1.0).otherwise(F.greatest(F.col("m"), F.lit(0.0)) / den).alias("nmi"))
 
 
-def ari(runs: DataFrame, sample: int | None = 500, seed: int = 42) -> DataFrame:
+def ari(runs: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Mean adjusted Rand index over all pairs of ``runs(run, doc_id, topic)``.
 
-    Documents are sampled by a seeded order of their ids, the same ones in each run.
+    All documents count. A ``sample`` takes that many in a seeded order of their ids, the
+    same ones in each run.
     """
     if sample is not None:
         ids = runs.select("doc_id").distinct().orderBy(seeded.uniform(seed, "doc_id"), "doc_id").limit(sample)

@@ -133,14 +133,18 @@ def parse(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
     bow = V.bow(counts, vocab, cfg.max_features)
     docs = settle(V.doc_rows(bow))
     spark = doc_ids.sparkSession
-    if tokens is not None:
-        triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
-        pairs = deps.map_vocab(triples.groupBy("head", "dependent").agg(F.sum("cnt").alias("cnt")),
-                               vocab, cfg.max_features)
-    else:
-        triples = spark.createDataFrame([], "head string, relation string, dependent string, cnt bigint")
-        pairs = spark.createDataFrame([], "src int, dst int, weight double")
-    return Parsed(doc_ids, vocab, n_terms, doc_ids.count(), bow, docs, lists, triples, pairs)
+    triples = spark.createDataFrame([], "head string, relation string, dependent string, cnt bigint")
+    pairs = spark.createDataFrame([], "src int, dst int, weight double")
+    parsed = Parsed(doc_ids, vocab, n_terms, doc_ids.count(), bow, docs, lists, triples, pairs)
+    return parsed if tokens is None else with_relations(parsed, tokens, cfg)
+
+
+def with_relations(parsed: Parsed, tokens: DataFrame, cfg: TopicConfig) -> Parsed:
+    """The same parse with the dependency tables of other relations."""
+    triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
+    pairs = deps.map_vocab(triples.groupBy("head", "dependent").agg(F.sum("cnt").alias("cnt")),
+                           parsed.vocab, cfg.max_features)
+    return replace(parsed, triples=triples, pairs=pairs)
 
 
 def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
@@ -173,9 +177,15 @@ def factorise(parsed: Parsed, cfg: TopicConfig, syntax: DataFrame, semantic: Dat
 
 
 def fit(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
-        lists: DataFrame | None = None, control: str = "none", init: str = "svd") -> Fitted:
-    """Parse, vectors, graphs, factorise. ``control`` swaps in an empty-content syntax graph."""
-    parsed = parse(doc_ids, tokens, cfg, lists)
+        lists: DataFrame | None = None, control: str = "none", init: str = "svd",
+        parsed: Parsed | None = None) -> Fitted:
+    """Parse, vectors, graphs, factorise. ``control`` swaps in an empty-content syntax graph.
+
+    ``parsed`` is an earlier parse of the same corpus under the same counting settings.
+    Segments are cut before parsing (see ``flagship.fit_documents``), so a config that asks
+    for them needs the parse of the segments.
+    """
+    parsed = parse(doc_ids, tokens, cfg, lists) if parsed is None else parsed
     vecs = word_vectors(parsed, cfg) if cfg.lambda_embed > 0 else None
     syntax = settle(graphs.syntax_graph(parsed.pairs, cfg.graph_top_k))
     if control == "swap":
