@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .flat import _CODES, column
+from .flat import _CODES, column, tidied
 from .tables import keep_rest, modest_batches
 
 #: On average a cut every 1,024 bytes.
 CUT_MASK = np.uint32((1 << 10) - 1 << 22)
-STORE_BYTES = 96 << 20
+STORE_BYTES = 24 << 20
 _GEAR = (_CODES >> np.uint64(31)).astype(np.uint32)
 _WHITE = re.compile(r"\s")
 _SAFE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, json_file: str | None = None, ranks_file: str | None
     docs = modest_batches(docs).select(keep_rest(docs, "n_tokens", "ids_sha256", "decoded_sha256", "input_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     schema += (", " if schema else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * with_ids
-    return docs.mapInArrow(lambda it: _encode(it, files, with_ids), schema)
+    return docs.mapInArrow(lambda it: tidied(_encode(it, files, with_ids)), schema)
 
 
 def decode(encoded: DataFrame, json_file: str | None = None, ranks_file: str | None = None, ids: str = "input_ids") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import LOWER, NOT_BLANK, Hasher, Slice, column, mix, per_row, slices, words
+from .flat import LOWER, NOT_BLANK, Hasher, Slice, column, mix, per_row, slices, tidied, words
 from .tables import keep_rest, modest_batches, settle
 
 SEGMENT, BLOCK, SHINGLE = 64, 8, 5
@@ -227,13 +227,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not items.ids:
             continue
         terms = sc.broadcast(items.terms)
-        parts = docs.select("text").mapInArrow(lambda it, t=terms: _frequencies(it, t.value), "term int, docs long")
+        parts = docs.select("text").mapInArrow(lambda it, t=terms: tidied(_frequencies(it, t.value)), "term int, docs long")
         df = np.zeros(len(items.terms))
         for r in parts.groupBy("term").agg(F.sum("docs").alias("docs")).collect():
             df[r["term"]] = r["docs"]
         index = sc.broadcast(Index(items, df, n_docs))
         out = settle(out, "matched") if n else out
-        out = out.mapInArrow(lambda it, x=index: _match(it, x.value), schema)
+        out = out.mapInArrow(lambda it, x=index: tidied(_match(it, x.value)), schema)
         n += 1
     if not n:
         out = docs.withColumn("items", F.array().cast("array<bigint>")).withColumn("overlap", F.lit(0.0))

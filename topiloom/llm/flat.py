@@ -7,6 +7,7 @@ and its longest text, whatever the size of the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,3 +134,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 def per_row(counts_at: np.ndarray, n: int) -> np.ndarray:
     """First index of each of ``n`` rows, and one past the last, in sorted row numbers."""
     return np.searchsorted(counts_at, np.arange(n + 1))
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the worker gives freed memory back.
+
+    Workers are reused by later stages, and what their allocators keep would add up.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

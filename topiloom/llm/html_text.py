@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import column
+from .flat import column, tidied
 from .tables import keep_rest, modest_batches, settle
 
 #: A node is judged when it stands in so many different pages of its host; importance below
@@ -257,7 +257,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     its different contents. A host's list is short: each entry stands in ``REPEATED`` or more
     of its pages, or is a path of the host's templates.
     """
-    nodes = pages.select(host(F.col("url")).alias("host"), "html").where("html IS NOT NULL").mapInArrow(_tree, "host string, page long, path string, content string")
+    nodes = pages.select(host(F.col("url")).alias("host"), "html").where("html IS NOT NULL").mapInArrow(lambda it: tidied(_tree(it)), "host string, page long, path string, content string")
     per_content = nodes.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("n"))
     per_content = settle(per_content, "contents")
     seen = settle(nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
@@ -282,7 +282,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rest = [f for f in pages.schema if f.name != "html"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + (", " if rest else "") + "text string, n_chars long"
     joined = pages.withColumn("_host", host(F.col("url"))).join(noise, "_host", "left").drop("_host")
-    return joined.mapInArrow(_extract, schema)
+    return joined.mapInArrow(lambda it: tidied(_extract(it)), schema)
 
 
 def op4_html_text(spark, sf_dir):

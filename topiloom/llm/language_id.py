@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .flat import ALNUM, LOWER, SLICE_BYTES, Hasher, Slice, column, mix, per_row, slices, words
+from .flat import ALNUM, LOWER, SLICE_BYTES, Hasher, Slice, column, mix, per_row, slices, tidied, words
 from .tables import crc_bucket, keep_rest, modest_batches, settle
 
 FIT_DOCS, MOST_LANGS, FIT_WORDS = 1_500, 64, 400_000
@@ -203,7 +203,7 @@ def fit(docs: DataFrame) -> Model:
     ids = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("_k", rank).where(F.col("_k") <= FIT_DOCS).drop("_k").distinct()
     # at most FIT_DOCS ids for each of MOST_LANGS languages
     sample = settle(known.join(F.broadcast(ids), ["doc_id", "lang"]), "sample")
-    top = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = sample.select("lang", "text").mapInArrow(lambda it: tidied(_count_words(it)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).toPandas()
     k, at = len(langs), {x: i for i, x in enumerate(langs)}
     model = Model(langs)
@@ -216,7 +216,7 @@ def fit(docs: DataFrame) -> Model:
     sc = docs.sparkSession.sparkContext
     for _ in range(2 if k > 1 else 0):
         sent = sc.broadcast(model)
-        rows = sample.select("text").mapInArrow(lambda it, m=sent: _transitions(it, m.value), "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+        rows = sample.select("text").mapInArrow(lambda it, m=sent: tidied(_transitions(it, m.value)), "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
         n = np.ones((k, k))
         for r in rows:
             n[r["i"], r["j"]] += r["n"]
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = modest_batches(docs).select(keep_rest(docs, "lang_pred", "score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(lambda it: _predict(it, sent.value), schema + (", " if schema else "") + "lang_pred string, score double")
+    return docs.mapInArrow(lambda it: tidied(_predict(it, sent.value)), schema + (", " if schema else "") + "lang_pred string, score double")
 
 
 def op9_language_id(spark, sf_dir):

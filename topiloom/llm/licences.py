@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import ALNUM, LOWER, Hasher, Slice, column, hash_one, per_row, slices, words
+from .flat import ALNUM, LOWER, Hasher, Slice, column, hash_one, per_row, slices, tidied, words
 from .tables import keep_rest, modest_batches
 
 # Base phrases and their labels.
@@ -146,7 +146,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> It
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents of the whole corpus have each word of a fixed vocabulary."""
-    parts = modest_batches(docs).select("text").mapInArrow(lambda it: _frequencies(it, vocabulary), "word string, docs long")
+    parts = modest_batches(docs).select("text").mapInArrow(lambda it: tidied(_frequencies(it, vocabulary)), "word string, docs long")
     return {r["word"]: r["docs"] for r in parts.groupBy("word").agg(F.sum("docs").alias("docs")).collect()}
 
 
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     docs = docs.select(keep_rest(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     schema += (", " if schema else "") + "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.mapInArrow(lambda it: _scan(it, index), schema)
+    return docs.mapInArrow(lambda it: tidied(_scan(it, index)), schema)
 
 
 def op7_licences(spark, sf_dir):

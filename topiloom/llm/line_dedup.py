@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import column
+from .flat import column, tidied
 from .tables import SEND_BYTES, digest, keep_rest, modest_batches, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -139,8 +139,8 @@ def repeat_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
     The array has at most ``MOST_BITS`` bits, so bringing it to the driver is bounded.
     """
     bits = filter_bits(docs.count())
-    marks = modest_batches(docs).select("text").mapInArrow(lambda it: _mark(it, min_chars, bits), "segment int, once binary, twice binary")
-    merged = marks.repartition("segment").mapInArrow(_merge, "segment int, twice binary")
+    marks = modest_batches(docs).select("text").mapInArrow(lambda it: tidied(_mark(it, min_chars, bits)), "segment int, once binary, twice binary")
+    merged = marks.repartition("segment").mapInArrow(lambda it: tidied(_merge(it)), "segment int, twice binary")
     out, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
     for row in merged.collect():
         out[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
@@ -196,7 +196,7 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, send_b
     sc = docs.sparkSession.sparkContext
     twice = sc.broadcast(repeat_filter(docs, min_chars))
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _count(it, min_chars, twice.value), "key binary, docs long, first_id long, first_line long")
+        lambda it: tidied(_count(it, min_chars, twice.value)), "key binary, docs long, first_id long, first_line long")
     common = seen.groupBy("key").agg(F.sum("docs").alias("docs"), F.min(F.struct("first_id", "first_line")).alias("first"))
     common = settle(common.where(F.col("docs") >= min_docs).select("key", "docs", "first.*"), "lines")
     size = common.agg(F.sum(F.length("key") + 64)).first()[0] or 0
@@ -243,7 +243,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
             doc = _NO_ID if doc is None else doc
             return [k is not None and k in known and known[k] != (doc, i) for i, k in enumerate(keys)]
 
-        return docs.mapInArrow(lambda it: _rewrite(it, drop, min_chars), schema)
+        return docs.mapInArrow(lambda it: tidied(_rewrite(it, drop, min_chars)), schema)
 
     docs = docs.withColumn("_row", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")))
     key = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.encode(F.translate(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"))
@@ -258,7 +258,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
         mark = set(mark or ())
         return [i in mark for i in range(len(keys))]
 
-    return marked.mapInArrow(lambda it: _rewrite(it, drop_marked, min_chars), schema)
+    return marked.mapInArrow(lambda it: tidied(_rewrite(it, drop_marked, min_chars)), schema)
 
 
 def op8_line_dedup(spark, sf_dir):

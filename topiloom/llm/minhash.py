@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, words
+from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, tidied, words
 from .tables import by_group, components, modest_batches, release, settle, small, staged
 
 SHINGLE, SIMILAR = 5, 75
@@ -103,7 +103,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, sig, packed text) of every row; node names the class."""
     return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signatures, "doc_id long, n_shingles long, node long, sig binary, packed binary")
+        lambda it: tidied(_signatures(it)), "doc_id long, n_shingles long, node long, sig binary, packed binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     links = settle(named.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct(), "links")
     n = nodes.count()
 
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, variant int, node long")
+    keys = nodes.select("node", "sig").mapInArrow(lambda it: tidied(_keys(it)), "key long, variant int, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
     shared = settle(keys.join(leaders, "key"), "shared")
     tried = comp = family = None

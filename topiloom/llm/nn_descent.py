@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .flat import column
+from .flat import column, tidied
 from .tables import by_group, components, modest_batches, settle, staged
 
 LINK, FLOOR = 0.9, 0.6
@@ -243,14 +243,14 @@ def audit(counts: DataFrame, nodes: DataFrame) -> float:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
     rows = settle(modest_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-                  .mapInArrow(_clean, "vec_id long, dim int, vec binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("vec"))), "vectors")
+                  .mapInArrow(lambda it: tidied(_clean(it)), "vec_id long, dim int, vec binary").withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("vec"))), "vectors")
     nodes = settle(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("dim").alias("dim"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.min("vec_id").alias("vec_id")), "nodes")
     bare = nodes.drop("vec_id")
     lists = None
     for batch in range(MOST_BATCHES):
-        codes = bare.mapInArrow(lambda it, t=batch * TABLES: _codes(it, t, TABLES), "part int, code long, node long, dim int, vec binary")
+        codes = bare.mapInArrow(lambda it, t=batch * TABLES: tidied(_codes(it, t, TABLES)), "part int, code long, node long, dim int, vec binary")
         order = ["part", "dim", "code", "node"]
-        near = codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours_in_order, "u long, v long, s double")
+        near = codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: tidied(_neighbours_in_order(it)), "u long, v long, s double")
         lists = settle(best_lists(near if lists is None else near.unionByName(lists)), "lists")
         lists = descend(lists, bare)
         counts, comp = link_counts(lists, bare)

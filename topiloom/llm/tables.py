@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from topiloom.session import settle  # noqa: F401 (also used from here)
 
-from .flat import column
+from .flat import column, tidied
 
 #: A table may be sent to every executor only below this many bytes, measured first.
 SEND_BYTES = 32 << 20
@@ -103,7 +103,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
             if out is not None:
                 yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(lambda it: tidied(run(it)), schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

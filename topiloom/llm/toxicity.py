@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import ALNUM, LOWER, Hasher, column, mix, slices, words
+from .flat import ALNUM, LOWER, Hasher, column, mix, slices, tidied, words
 from .tables import crc_bucket, keep_rest, modest_batches, settle
 
 PREFIXES = (4, 5, 6)
@@ -85,7 +85,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     The table has ``CLASSES`` cubed cells whatever the corpus. Trigram estimates fall back
     on bigrams and those on single classes.
     """
-    rows = modest_batches(docs).select("text").mapInArrow(_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = modest_batches(docs).select("text").mapInArrow(lambda it: tidied(_trigrams(it)), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(CLASSES**3)
     n[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     n = n.reshape(CLASSES, CLASSES, CLASSES)
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     some = lab.where("toxic = 1").orderBy(order).limit(FIT_TOXIC).unionByName(lab.where("toxic = 0").orderBy(order).limit(FIT_CLEAN))
     # at most FIT_TOXIC + FIT_CLEAN rows of two numbers
     sample = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").dropDuplicates(["text"]), "sample")
-    rows = settle(sample.mapInArrow(_feature_rows, "doc_id long, toxic long, feature long, around long"), "features")
+    rows = settle(sample.mapInArrow(lambda it: tidied(_feature_rows(it)), "doc_id long, toxic long, feature long, around long"), "features")
     counts = rows.groupBy("feature").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("around"))).alias("evidence"))
     counts = counts.where((F.col("evidence") >= LEAST_DOCS) & (F.col("n1") >= LEAST_PRECISION * F.col("n")))
     best = settle(counts.orderBy(F.desc("evidence"), "n", "feature").limit(CANDIDATES), "candidates")
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = modest_batches(docs).select(keep_rest(docs, "score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(lambda it: _score(it, sent.value), schema)
+    return docs.mapInArrow(lambda it: tidied(_score(it, sent.value)), schema)
 
 
 def op2_toxicity(spark, sf_dir):
