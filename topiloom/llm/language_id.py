@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .flat import ALNUM, LOWER, SLICE_BYTES, Hasher, Slice, column, mix, per_row, slices, tidied, words
 from .tables import crc_bucket, keep_rest, modest_batches, settle
 
-FIT_DOCS, MOST_LANGS, FIT_WORDS = 1_500, 64, 400_000
+FIT_DOCS, MOST_LANGS, FIT_WORDS = 1_500, 64, 100_000
 TABLE_BITS, STEPS, RATE, DECAY = 18, 40, 0.15, 1e-4
 STRIDE = 512
 _ASCII_LETTER = np.zeros(256, bool)
