@@ -46,6 +46,28 @@ def test_links_like_brute_force(spark, monkeypatch, block):
     assert max(r[1] for r in plain(rows)) > nd.K  # saturated lists were enlarged
 
 
+def tight_groups(seed, size, dims=32):
+    """Two groups of near-copies linked across, a third that only some pairs link to the second, and one that touches none."""
+    rng = np.random.default_rng(seed)
+    a, u, v, w = np.linalg.qr(rng.standard_normal((dims, 4)))[0].T
+    away = lambda x, y, deg: np.cos(np.radians(deg)) * x + np.sin(np.radians(deg)) * y
+    second = away(a, u, 21)
+    centres = [a, second, away(second, v, 27.5), w]
+    out = [c + 0.012 * rng.standard_normal(dims) for c in centres for _ in range(size)]
+    out += [rng.standard_normal(dims) for _ in range(100)]
+    return [(int(i), [float(c) for c in x]) for i, x in zip(rng.permutation(len(out) * 2), out)]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_links_between_saturated_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rows = tight_groups(5, 30)
+    want = plain(rows)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    assert rows_of(got) == want
+    assert sum(59 <= r[1] < 89 for r in want) >= 30 and sum(r[1] == 29 for r in want) >= 30
+
+
 def test_odd_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]),

@@ -10,7 +10,11 @@ link.
 
 A list that is full of links is saturated: its node may have more. The components that hold
 saturated nodes are therefore enlarged to all their pairs, in blocks of ``BLOCK`` nodes,
-each pair of blocks in its own group; a group returns link counts, not pairs. An audit
+each pair of blocks in its own group; a group returns link counts, not pairs. Before that
+they are compared with each other, as the full lists of two tight groups have no place for
+the links between them: each block is covered by balls around some of its nodes, the centres
+of all balls are compared in blocks, and where centres and radii leave room for a link
+between two components, so are the members. No pair of nodes is left out by this. An audit
 compares a sample of ``AUDIT`` nodes with all rows and measures the share of links found;
 while it is below ``RECALL``, more tables are added.
 
@@ -36,6 +40,8 @@ LINK, FLOOR = 0.9, 0.6
 TABLES, MOST_BATCHES, WINDOW = 10, 6, 96
 K, ROUNDS, CHANGED = 16, 6, 0.001
 CHUNK, BLOCK = 64, 512
+#: Nodes of this cosine or more to a centre are in its ball; any value gives the same links.
+COVER = 0.98
 AUDIT, RECALL = 1024, 0.97
 
 
@@ -193,14 +199,101 @@ def enlarged(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return counts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _cover(group: pa.Table) -> pa.RecordBatch:
+    """Balls that hold all nodes of a block, as (node, ball, cosine to the ball's centre)."""
+    nodes = group.column("node").to_numpy()
+    x = unit(group.column("vec").to_pylist())
+    s = cosines(x, x)
+    np.fill_diagonal(s, 1.0)
+    ball = np.full(len(nodes), -1)
+    for i in range(len(nodes)):
+        if ball[i] < 0:
+            ball[(ball < 0) & (s[i] >= COVER)] = i
+    return pa.RecordBatch.from_pydict({"component": group.column("component").to_numpy(), "node": nodes, "ball": nodes[ball], "near": s[ball, np.arange(len(nodes))]})
+
+
+def _one_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First place of every different pair of components."""
+    return np.unique(np.stack([a, b], 1), axis=0, return_index=True)[1]
+
+
+def _close_balls(group: pa.Table) -> pa.RecordBatch | None:
+    """Pairs of balls in a pair of blocks that can hold a link between two components.
+
+    ``sure`` are links of the centres, one for each pair of components; the other pairs of
+    balls of such components are not needed.
+    """
+    side = group.column("side").to_numpy()
+    ball, comp, near = (group.column(c).to_numpy() for c in ("ball", "component", "near"))
+    x = unit(group.column("vec").to_pylist())
+    same = group.column("a")[0] == group.column("b")[0]
+    a, b = (np.arange(len(ball)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    s = cosines(x[a], x[b])
+    radius = np.arccos(np.clip(near, -1, 1))
+    room = np.arccos(LINK) + radius[a][:, None] + radius[b][None, :] + 1e-6
+    i, j = np.nonzero((comp[a][:, None] != comp[b][None, :]) & ((s >= LINK) | (np.arccos(np.clip(s, -1, 1)) <= room)))
+    if same:
+        i, j = i[i < j], j[i < j]
+    if not len(i):
+        return None
+    sure, u, v = s[i, j] >= LINK, a[i], b[j]
+    lo, hi = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
+    known = np.flatnonzero(sure)[_one_each(lo[sure], hi[sure])]
+    joined = set(zip(lo[known].tolist(), hi[known].tolist()))
+    rest = [k for k in np.flatnonzero(~sure).tolist() if (lo[k], hi[k]) not in joined]
+    k = np.r_[known, np.array(rest, np.int64)].astype(np.int64)
+    return pa.RecordBatch.from_pydict({"x": ball[u[k]], "y": ball[v[k]], "cx": comp[u[k]], "cy": comp[v[k]], "sure": sure[k]})
+
+
+def _bridge(group: pa.Table) -> pa.RecordBatch | None:
+    """One link between the members of two balls, if there is any."""
+    side, nodes = group.column("side").to_numpy(), group.column("node").to_numpy()
+    x = unit(group.column("vec").to_pylist())
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    s = cosines(x[a], x[b])
+    i, j = np.unravel_index(int(s.argmax()), s.shape)
+    if s[i, j] < LINK:
+        return None
+    ends = sorted((int(nodes[a[i]]), int(nodes[b[j]])))
+    return pa.RecordBatch.from_pydict({"a": pa.array(ends[:1], pa.int64()), "b": pa.array(ends[1:], pa.int64())})
+
+
+def bridges(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the given components wherever any of their nodes are linked."""
+    size = members.groupBy("component").agg(F.count("*").alias("size"))
+    rows = members.join(size, "component").join(nodes.select("node", "vec"), "node")
+    rows = rows.select("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("i"), "node", "vec")
+    held = settle(by_group(rows, ["component", "i"], _cover, "component long, node long, ball long, near double"), "balls")
+    balls = held.groupBy("component", "ball").agg(F.min("near").alias("near")).join(nodes.select(F.col("node").alias("ball"), "dim", "vec"), "ball")
+    of = max(1, -(-held.select("ball").distinct().count() // BLOCK))
+    balls = balls.withColumn("i", F.pmod(F.xxhash64("ball"), F.lit(of)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(of - 1))))
+    balls = balls.select("dim", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("side"), "component", "ball", "near", "vec")
+    close = settle(by_group(balls, ["dim", "a", "b"], _close_balls, "x long, y long, cx long, cy long, sure boolean"), "close")
+    sure = close.where("sure").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    merged = components(close.where("sure").select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")))
+    at = lambda c, m: merged.select(F.col("node").alias(c), F.col("component").alias(m))
+    open_ = close.where("NOT sure").join(at("cx", "mx"), "cx", "left").join(at("cy", "my"), "cy", "left")
+    open_ = open_.where(F.coalesce("mx", "cx") != F.coalesce("my", "cy")).select("x", "y")
+    inside = held.select("ball", "node").join(nodes.select("node", "vec"), "node")
+    sides = [open_.withColumn("ball", F.col(c)).join(inside, "ball").select("x", "y", F.lit(k).alias("side"), "node", "vec") for k, c in enumerate("xy")]
+    return sure.unionByName(by_group(sides[0].unionByName(sides[1]), ["x", "y"], _bridge, "a long, b long"))
+
+
 def link_counts(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, n) and (node, component) of the graph's links."""
     edges = lists.where(F.col("s") >= LINK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     edges = staged(edges, lists.count(), "links")
     comp = components(edges)
-    full = saturated(lists).join(comp, "node").select("component").distinct()
-    members = comp.join(full, "component", "left_semi")
-    crowded = staged(members, edges.count(), "crowded")
+    full = saturated(lists)
+
+    def with_full(comp: DataFrame) -> DataFrame:
+        return staged(comp.join(full.join(comp, "node").select("component").distinct(), "component", "left_semi").select("node", "component"), edges.count(), "crowded")
+
+    crowded = with_full(comp)
+    between = staged(bridges(crowded, nodes), edges.count(), "bridges") if crowded.select("component").distinct().limit(2).count() > 1 else None
+    if between is not None and not between.isEmpty():
+        comp = components(edges.unionByName(between))
+        crowded = with_full(comp)
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     plain = ends.join(crowded, "node", "left_anti").join(nodes.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.sum("weight").alias("n"))
     return staged(plain.unionByName(enlarged(crowded, nodes)), 2 * edges.count(), "counts"), comp
