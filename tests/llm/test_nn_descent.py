@@ -68,6 +68,26 @@ def test_links_between_saturated_groups(spark, monkeypatch, block):
     assert sum(59 <= r[1] < 89 for r in want) >= 30 and sum(r[1] == 29 for r in want) >= 30
 
 
+def lone_pairs(seed, pairs, single, dims=32):
+    """Pairs of cosine just over the limit, among vectors without links."""
+    rng = np.random.default_rng(seed)
+    out = [rng.standard_normal(dims) for _ in range(single)]
+    for _ in range(pairs):
+        a, b = np.linalg.qr(rng.standard_normal((dims, 2)))[0].T
+        out += [a, np.cos(np.radians(25)) * a + np.sin(np.radians(25)) * b]
+    return [(int(i), [float(c) for c in v]) for i, v in zip(rng.permutation(len(out) * 2), out)]
+
+
+@pytest.mark.parametrize("pairs,single,most", [(700, 100, 1), (5, 3000, 6)])
+def test_lone_pairs_that_one_table_misses(spark, monkeypatch, pairs, single, most):
+    monkeypatch.setattr(nd, "TABLES", 1)
+    monkeypatch.setattr(nd, "MOST_BATCHES", most)
+    monkeypatch.setattr(nd, "AUDIT", 256)  # rare links: no node of the first sample has one
+    rows = lone_pairs(9, pairs, single)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    assert rows_of(got) == plain(rows)
+
+
 def test_odd_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]),

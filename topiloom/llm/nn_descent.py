@@ -5,8 +5,7 @@ hyperplanes: for each of several tables the nodes are put in the order of their
 by a range partitioning, so a crowded code is spread over tasks, and nodes that stand close
 in that order are compared. Then NN-descent: the neighbours of a node, in both directions,
 are joined with each other, and every node keeps its ``K`` best, until few lists change.
-Only neighbours of cosine ``FLOOR`` or more are worth a place, as nothing below leads to a
-link.
+In the first tables only neighbours of cosine ``FLOOR`` or more get a place.
 
 A list that is full of links is saturated: its node may have more. The components that hold
 saturated nodes are therefore enlarged to all their pairs, in blocks of ``BLOCK`` nodes,
@@ -14,9 +13,13 @@ each pair of blocks in its own group; a group returns link counts, not pairs. Be
 they are compared with each other, as the full lists of two tight groups have no place for
 the links between them: each block is covered by balls around some of its nodes, the centres
 of all balls are compared in blocks, and where centres and radii leave room for a link
-between two components, so are the members. No pair of nodes is left out by this. An audit
-compares a sample of ``AUDIT`` nodes with all rows and measures the share of links found;
-while it is below ``RECALL``, more tables are added.
+between two components, so are the members. No pair of nodes is left out by this.
+
+An audit compares sampled nodes with all rows and measures the share of links found. It goes
+on, ``AUDIT`` nodes and more at a time, until ``ENOUGH`` of them have links or every node was
+taken; while the share is below ``RECALL``, more tables are added, and lists then keep far
+neighbours too, as ways to near ones. If every node was taken and a link is missing, or the
+last tables leave the share too low, all pairs are counted in blocks.
 
 Cosines are in double precision. Vectors that are null, empty, zero, or hold a null or
 non-finite component link with nothing; so do vectors of different lengths. Rows without a
@@ -39,10 +42,10 @@ from .tables import by_group, components, modest_batches, settle, staged
 LINK, FLOOR = 0.9, 0.6
 TABLES, MOST_BATCHES, WINDOW = 10, 6, 96
 K, ROUNDS, CHANGED = 16, 6, 0.001
-CHUNK, BLOCK = 64, 512
+BLOCK = 512
 #: Nodes of this cosine or more to a centre are in its ball; any value gives the same links.
 COVER = 0.98
-AUDIT, RECALL = 1024, 0.97
+AUDIT, ENOUGH, RECALL = 1024, 100, 0.97
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -83,8 +86,11 @@ def _codes(batches: Iterator[pa.RecordBatch], first: int, tables: int) -> Iterat
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(x), t), pa.int32()), "code": code, "node": column(part, "node"), "dim": column(part, "dim"), "vec": column(part, "vec")})
 
 
-def best_pairs(nodes: np.ndarray, x: np.ndarray, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node its ``K`` best others of cosine ``FLOOR`` or more, as (u, v, cosine)."""
+def best_pairs(nodes: np.ndarray, x: np.ndarray, open_: np.ndarray | None = None, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node its ``K`` best others of cosine ``floor`` or more, as (u, v, cosine).
+
+    ``open_`` says which pairs (a matrix) or which nodes' pairs (a vector) are asked for.
+    """
     s = cosines(x, x)
     np.fill_diagonal(s, -2)
     s[nodes[:, None] == nodes[None, :]] = -2
@@ -93,7 +99,7 @@ def best_pairs(nodes: np.ndarray, x: np.ndarray, open_: np.ndarray | None = None
     k = min(K, len(nodes) - 1)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(nodes) - 1 else np.argsort(-s, axis=1)[:, :k]
     value = np.take_along_axis(s, top, 1)
-    r, c = np.nonzero(value >= FLOOR)
+    r, c = np.nonzero(value >= floor)
     return nodes[r], nodes[top[r, c]], value[r, c]
 
 
@@ -102,7 +108,7 @@ def _pairs_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.R
     return pa.RecordBatch.from_pydict({"u": u, "v": v, "s": s})
 
 
-def _neighbours_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours_in_order(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
     """Compare nodes that stand close in the order, in windows that overlap by half."""
     held: list[tuple[int, int, bytes]] = []
     place: tuple[int, int] | None = None
@@ -112,7 +118,7 @@ def _neighbours_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for lo in range(0, max(upto - WINDOW // 2, 1), WINDOW // 2):
             part = held[lo:lo + WINDOW]
             if len(part) > 1:
-                found.append(best_pairs(np.array([p[0] for p in part]), unit([p[2] for p in part])))
+                found.append(best_pairs(np.array([p[0] for p in part]), unit([p[2] for p in part]), floor=floor))
         if found:
             yield _pairs_batch(found)
 
@@ -128,7 +134,8 @@ def _neighbours_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield from joined(len(held))
 
 
-def _join_members(group: pa.Table) -> pa.RecordBatch | None:
+def _join_members(group: pa.Table, floor: float) -> pa.RecordBatch | None:
+    side, same = group.column("side").to_numpy(), group.column("a")[0] == group.column("b")[0]
     nodes = group.column("node").to_numpy()
     open_ = group.column("open").to_numpy(zero_copy_only=False).astype(bool)
     dims = group.column("dim").to_numpy()
@@ -137,7 +144,8 @@ def _join_members(group: pa.Table) -> pa.RecordBatch | None:
         at = np.flatnonzero(dims == d)
         if len(at) > 1 and open_[at].any():
             vecs = group.column("vec").take(pa.array(at)).to_pylist()
-            found.append(best_pairs(nodes[at], unit(vecs), open_[at]))
+            asked = open_[at][:, None] & (side[at][:, None] != side[at][None, :]) if not same else open_[at]
+            found.append(best_pairs(nodes[at], unit(vecs), asked, floor))
     return _pairs_batch(found) if found else None
 
 
@@ -153,16 +161,23 @@ def saturated(lists: DataFrame) -> DataFrame:
     return lists.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("least")).where((F.col("n") >= K) & (F.col("least") >= LINK)).select(F.col("u").alias("node"))
 
 
-def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Join neighbours of neighbours until few lists change."""
+def in_blocks(rows: DataFrame, size: str, block: int, *cols: str) -> DataFrame:
+    """``cols`` of every row once for each pair (a, b) of blocks that its own is one of."""
+    rows = rows.withColumn("of", F.ceil(F.col(size) / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("side"), *cols)
+
+
+def descend(lists: DataFrame, nodes: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """Join neighbours of neighbours until few lists change, all members of a hub with each other."""
     size_of = lists.select("u").distinct().count()
     for _ in range(ROUNDS):
         full = saturated(lists).withColumn("full", F.lit(True))
         member = lists.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(lists.select(F.col("v").alias("hub"), F.col("u").alias("node"))).distinct()
-        size = member.groupBy("hub").agg(F.count("*").alias("n"))
-        rows = member.join(size, "hub").join(full, "node", "left").join(nodes.select("node", "dim", "vec"), "node")
-        rows = rows.select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), "node", F.isnull("full").alias("open"), "dim", "vec")
-        found = by_group(rows, ["hub", "chunk"], _join_members, "u long, v long, s double")
+        member = member.join(full, "node", "left").select("hub", "node", F.isnull("full").alias("open"))
+        size = member.groupBy("hub").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").drop("any")
+        rows = in_blocks(member.join(size, "hub").join(nodes.select("node", "dim", "vec"), "node"), "n", BLOCK, "hub", "node", "open", "dim", "vec")
+        found = by_group(rows, ["hub", "a", "b"], lambda g: _join_members(g, floor), "u long, v long, s double")
         better = staged(best_lists(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).unionByName(lists)), size_of * K, "lists")
         moved = better.join(lists.select("u", "v"), ["u", "v"], "left_anti").count()
         total = lists.count()
@@ -188,17 +203,52 @@ def _count_links(group: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_pydict({"node": np.r_[nodes[a], nodes[b]], "n": np.r_[hit @ weight[b], hit.T @ weight[a]]})
 
 
-def enlarged(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n): links within the given components, over all their pairs in blocks."""
+def _forest(hit: np.ndarray) -> np.ndarray:
+    """For each node another that it is linked to, so that the links given join what ``hit`` joins; -1 for none."""
+    to, fresh = np.full(len(hit), -1), np.ones(len(hit), bool)
+    for i in range(len(hit)):
+        if fresh[i]:
+            fresh[i] = False
+            todo = [i]
+            while todo:
+                at = todo.pop()
+                new = np.flatnonzero(hit[at] & fresh)
+                fresh[new] = False
+                to[new] = at
+                todo += new.tolist()
+    return to
+
+
+def _span_links(group: pa.Table) -> pa.RecordBatch | None:
+    """Links (a, b) that join whatever the links in a pair of blocks join."""
+    nodes = group.column("node").to_numpy()
+    x = unit(group.column("vec").to_pylist())
+    hit = cosines(x, x) >= LINK
+    np.fill_diagonal(hit, False)
+    to = _forest(hit)
+    at = np.flatnonzero(to >= 0)
+    return pa.RecordBatch.from_pydict({"a": np.minimum(nodes[at], nodes[to[at]]), "b": np.maximum(nodes[at], nodes[to[at]])})
+
+
+def _pairs_of_blocks(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     size = members.groupBy("component").agg(F.count("*").alias("size"))
-    rows = members.join(size, "component").join(nodes, "node")
-    rows = rows.withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    rows = rows.select("component", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "weight", "vec")
-    counts = by_group(rows, ["component", "a", "b"], _count_links, "node long, n long")
+    return in_blocks(members.join(size, "component").join(nodes, "node"), "size", block, "component", "node", "weight", "vec")
+
+
+def enlarged(members: DataFrame, nodes: DataFrame, block: int | None = None) -> DataFrame:
+    """(node, n): links within the given components, over all their pairs in blocks."""
+    counts = by_group(_pairs_of_blocks(members, nodes, block or BLOCK), ["component", "a", "b"], _count_links, "node long, n long")
     return counts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def exact(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n) and (node, component) over all pairs of vectors of one length."""
+    members = nodes.select("node", F.col("dim").cast("long").alias("component"))
+    counts = settle(enlarged(members, nodes, 4 * BLOCK).where("n > 0"), "counts")
+    links = by_group(_pairs_of_blocks(members.join(counts.select("node"), "node", "left_semi"), nodes, 4 * BLOCK), ["component", "a", "b"], _span_links, "a long, b long")
+    return counts, components(settle(links.distinct(), "links"))
+
+
 def _cover(group: pa.Table) -> pa.RecordBatch:
     """Balls that hold all nodes of a block, as (node, ball, cosine to the ball's centre)."""
     nodes = group.column("node").to_numpy()
@@ -299,38 +349,40 @@ def link_counts(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return staged(plain.unionByName(enlarged(crowded, nodes)), 2 * edges.count(), "counts"), comp
 
 
-def audit(counts: DataFrame, nodes: DataFrame) -> float:
-    """Mean share of its links that was found, over sampled nodes that have links.
+def _true_links(batches: Iterator[pa.RecordBatch], sample: dict[int, tuple[list[int], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Weights of the rows that each sampled node is linked to, itself among them."""
+    total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in sample.items()}
+    for batch in batches:
+        dims = np.array(column(batch, "dim").to_pylist())
+        for d, (_, x) in sample.items():
+            part = batch.filter(pa.array(dims == d))
+            for lo in range(0, part.num_rows, AUDIT):
+                some = part.slice(lo, AUDIT)
+                total[d] += (cosines(x, unit(column(some, "vec").to_pylist())) >= LINK) @ column(some, "weight").to_numpy()
+    for d, (ids, _) in sample.items():
+        yield pa.RecordBatch.from_pydict({"node": ids, "truth": total[d]})
+
 
-    The sample is the first ``AUDIT`` nodes by a hash, so what goes to the tasks is bounded;
-    each of them is compared with all rows.
+def audit(counts: DataFrame, nodes: DataFrame) -> tuple[float, bool]:
+    """Mean share of its links that was found, over sampled nodes that have links, and whether all nodes were sampled.
+
+    The nodes are dealt into parts of about ``AUDIT`` by a hash; one, two, then four parts at
+    a time, so that what goes to the tasks is bounded, are compared with all rows.
     """
-    sample = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).collect()
-    if not sample:
-        return 1.0
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(r["dim"], []).append((r["node"], bytes(r["vec"])))
-
-    def true_links(batches):
-        total: dict[int, int] = {r["node"]: 0 for r in sample}
-        for batch in batches:
-            dims = np.array(column(batch, "dim").to_pylist())
-            for d, rows in by_dim.items():
-                part = batch.filter(pa.array(dims == d))
-                if not part.num_rows:
-                    continue
-                hit = cosines(unit([v for _, v in rows]), unit(column(part, "vec").to_pylist())) >= LINK
-                n = hit @ column(part, "weight").to_numpy()
-                for (node, _), k in zip(rows, n.tolist()):
-                    total[node] += int(k)
-        yield pa.RecordBatch.from_pydict({"node": list(total), "truth": list(total.values())})
-
-    truth = nodes.mapInArrow(true_links, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    # a node meets itself there, with its own weight
-    truth = truth.join(nodes.select("node", "weight"), "node").select("node", (F.col("truth") - F.col("weight")).alias("truth")).where("truth > 0")
-    share = truth.join(counts, "node", "left").agg(F.avg(F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("truth")))).first()[0]
-    return 1.0 if share is None else float(share)
+    parts = max(1, -(-nodes.count() // AUDIT))
+    done, share, linked, step = 0, 0.0, 0, 1
+    while done < parts and linked < ENOUGH:
+        by_dim: dict[int, tuple[list[int], list[bytes]]] = {}
+        for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)).between(done, done + step - 1)).select("node", "dim", "vec").collect():
+            ids, vecs = by_dim.setdefault(r["dim"], ([], []))
+            ids.append(r["node"])
+            vecs.append(bytes(r["vec"]))
+        sample = {d: (ids, unit(vecs)) for d, (ids, vecs) in by_dim.items()}
+        truth = nodes.mapInArrow(lambda it, sample=sample: _true_links(it, sample), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+        truth = truth.join(nodes.select("node", "weight"), "node").select("node", (F.col("truth") - F.col("weight")).alias("truth")).where("truth > 0")
+        row = truth.join(counts, "node", "left").agg(F.sum(F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("truth"))), F.count("*")).first()
+        share, linked, done, step = share + (row[0] or 0.0), linked + row[1], done + step, min(2 * step, 4)
+    return share / linked if linked else 1.0, done >= parts
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -341,13 +393,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     bare = nodes.drop("vec_id")
     lists = None
     for batch in range(MOST_BATCHES):
+        floor = FLOOR if batch == 0 else -1.0
         codes = bare.mapInArrow(lambda it, t=batch * TABLES: tidied(_codes(it, t, TABLES)), "part int, code long, node long, dim int, vec binary")
         order = ["part", "dim", "code", "node"]
-        near = codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: tidied(_neighbours_in_order(it)), "u long, v long, s double")
+        near = codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it, floor=floor: tidied(_neighbours_in_order(it, floor)), "u long, v long, s double")
         lists = settle(best_lists(near if lists is None else near.unionByName(lists)), "lists")
-        lists = descend(lists, bare)
+        lists = descend(lists, bare, floor)
         counts, comp = link_counts(lists, bare)
-        if audit(counts, bare) >= RECALL:
+        share, whole = audit(counts, bare)
+        if share >= (1.0 - 1e-12 if whole else RECALL):
+            break
+        if whole or batch == MOST_BATCHES - 1:
+            counts, comp = exact(bare)
             break
     named = nodes.select("node", "vec_id", "weight").join(comp, "node", "left").select("node", "vec_id", "weight", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
