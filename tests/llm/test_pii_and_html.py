@@ -111,6 +111,26 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert got == {"box copied"}  # copies of a page are one page
 
 
+def dropped(pages):
+    """Texts of pages of one host without the contents that all of them have."""
+    keys = [{c for _, _, c in ht.Page(p).nodes()} for p in pages]
+    noise = frozenset(set.intersection(*keys))
+    return [text(p, noise) for p in pages]
+
+
+def test_nodes_below_long_and_deep_paths():
+    long = "".join(f"<div class='wrapper-number-{'x' * 90}-{c}'>" for c in "abcdefgh")
+    paths = [p for _, p, _ in ht.Page(long + "<div class='box'>again</div><div class='story'>one</div>").nodes()]
+    assert len(set(paths)) == len(paths) == 10
+    assert dropped([f"{long}<div class='box'>read more</div><div class='story'><p>tale {i}</p></div>" for i in range(3)]) == [f"tale {i}" for i in range(3)]
+    deep = lambda i: f"<div class='out'>{'<div>' * 200}read <b>mo</b>re&nbsp; here{'</div>' * 200}</div><div class='story'>tale {i}</div>"
+    keys = [{c for e, _, c in ht.Page(deep(i)).nodes() if e == 1} for i in range(2)]
+    assert keys[0] and keys[0] == keys[1] and text(deep(0), frozenset(keys[0])) == "tale 0"
+    # the same words in other places of the mark-up, and other words in the same place
+    a, b, c = ([k for e, _, k in ht.Page(f"<div>{x}</div> tail").nodes() if e == 1] for x in ("one <b>t</b>wo", " one  two<br>", "one t wo"))
+    assert a == b != c
+
+
 def test_html_odd_cases(spark):
     rows = [(1, None, None), (2, "", ""), (3, "no url", "<p>x"), (3, "no url", "<p>x"), (None, "http://u:p@H.org:80/", "<main>y</main>"), (4, "http://h.org", "<p>" + "z " * 200_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS text", "'q' AS host", "'q' AS noise", "'q' AS key", "'q' AS path")

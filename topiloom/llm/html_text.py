@@ -159,26 +159,48 @@ class Page:
     def has_main(self) -> bool:
         return any(t and not t.isspace() and self.elements[e][3] and not self.elements[e][2] for e, t in self.pieces)
 
-    def nodes(self) -> list[tuple[str, str, bool]]:
-        """(path, content, in main) of the containers that the mark-up does not settle."""
-        paths, text = [""], {}
-        for parent, sig, _, _ in self.elements[1:]:
-            paths.append(f"{paths[parent]}>{sig}" if len(paths[parent]) < 400 else paths[parent])
-        judged = {i for i, (_, sig, noise, _) in enumerate(self.elements) if i and not noise and self._unsettled(i)}
+    def nodes(self) -> Iterator[tuple[int, str, str]]:
+        """(element, key of its path, key of path and content) of the containers that the mark-up does not settle.
+
+        A path is a running hash, so it has one size at any depth. The pieces below an element
+        stand side by side, so its content is a stretch of the page's text, which is made once.
+        """
+        judged = [i for i, e in enumerate(self.elements) if i and not e[2] and self._unsettled(i)]
         if not judged:
-            return []
+            return
+        paths = [""]
+        for parent, sig, _, _ in self.elements[1:]:
+            paths.append(key(paths[parent], sig))
+        first, last = [-1] * len(self.elements), [-1] * len(self.elements)
+        parts, size, blank = [], 0, True
         for e, t in self.pieces:
-            hops = 0
-            while e > 0 and hops < 64:
-                if e in judged:
-                    text.setdefault(e, []).append(" " if t is None else t)
-                e = self.elements[e][0]
-                hops += 1
-        out = []
-        for e, parts in sorted(text.items()):
-            if content := " ".join(html.unescape("".join(parts)).split()):
-                out.append((paths[e], content, self.elements[e][3]))
-        return out
+            t = " " if t is None else html.unescape(t)
+            text = " ".join(t.split())
+            if not blank and (t[:1].isspace() or not text and t):
+                text = f" {text}"
+            if text and t[-1:].isspace() and text != " ":
+                text += " "
+            if not text:
+                continue
+            blank = text[-1] == " "
+            parts.append(text)
+            if text != " ":
+                if first[e] < 0:
+                    first[e] = size
+                last[e] = size + len(text)
+            size += len(text)
+        for e in range(len(self.elements) - 1, 0, -1):  # children stand after their parents
+            up = self.elements[e][0]
+            if first[e] >= 0:
+                first[up] = first[e] if first[up] < 0 else min(first[up], first[e])
+                last[up] = max(last[up], last[e])
+        text, held = "".join(parts), {}
+        for e in judged:
+            if first[e] >= 0:
+                at = first[e], last[e]
+                if at not in held:
+                    held[at] = key(text[at[0]:at[1]].strip())
+                yield e, paths[e], key(paths[e], held[at])
 
     def _unsettled(self, i: int) -> bool:
         _, sig, _, main = self.elements[i]
@@ -192,16 +214,9 @@ class Page:
         only_main = self.has_main()
         drop = [False] * len(self.elements)
         if noise:
-            bad = {}
-            paths = [""]
-            for parent, sig, _, _ in self.elements[1:]:
-                paths.append(f"{paths[parent]}>{sig}" if len(paths[parent]) < 400 else paths[parent])
-            contents = {(p, c) for p, c, _ in self.nodes() if key(p, c) in noise}
-            for p, c in contents:
-                bad.setdefault(p, set()).add(c)
-            whole = self._contents() if bad else {}
+            bad = {e for e, path, content in self.nodes() if path in noise or content in noise}
             for i in range(1, len(self.elements)):
-                drop[i] = drop[self.elements[i][0]] or (self._unsettled(i) and (key(paths[i]) in noise or whole.get(i) in bad.get(paths[i], ())))
+                drop[i] = drop[self.elements[i][0]] or i in bad
         blocks, now = [], []
         for e, t in self.pieces:
             if t is None:
@@ -213,14 +228,6 @@ class Page:
         blocks.append("".join(now))
         return " ".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
 
-    def _contents(self) -> dict[int, str]:
-        text: dict[int, list[str]] = {}
-        for e, t in self.pieces:
-            while e > 0:
-                text.setdefault(e, []).append(" " if t is None else t)
-                e = self.elements[e][0]
-        return {e: " ".join(html.unescape("".join(p)).split()) for e, p in text.items()}
-
 
 def key(path: str, content: str | None = None) -> str:
     """What stands for a node, or for one content of it, in a host's noise."""
@@ -238,14 +245,14 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, pages, paths, contents = [], [], [], []
         for h, source in zip(column(batch, "host").to_pylist(), column(batch, "html").to_pylist()):
-            nodes = Page(source or "").nodes()
+            nodes = list(Page(source or "").nodes())
             if nodes:
                 page = int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for path, content, _ in nodes:
+                for _, path, content in nodes:
                     hosts.append(h)
                     pages.append(page)
-                    paths.append(key(path))
-                    contents.append(key(path, content))
+                    paths.append(path)
+                    contents.append(content)
         if hosts:
             yield pa.RecordBatch.from_pydict({"host": hosts, "page": pages, "path": paths, "content": contents})
 
