@@ -10,9 +10,12 @@ from topiloom.llm import (
     licences,
     line_dedup,
     minhash,
+    mixing,
     nn_descent,
     pii,
+    runs,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_nn_descent": nn_descent.op10_nn_descent,
+    "op11_runs": runs.op11_runs,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 SQL = {
     "op6_minhash": minhash.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_mixing": mixing.SQL,
 }

@@ -34,6 +34,21 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= SEND_BYTES else df
 
 
+def join_side(df: DataFrame, side: DataFrame, key: str, row_bytes: int, spread: Column, salts: int = 64) -> DataFrame:
+    """``df`` with the columns of a staged table that has one row for each key, null included.
+
+    The table is sent to every task when its counted rows prove it small. Otherwise it is
+    joined in ``salts`` copies, and ``spread`` deals the rows of a hot key over them.
+    """
+    side = side.withColumnRenamed(key, "_side")
+    known = small(side, row_bytes)
+    if known is not side:
+        return df.join(known, F.col(key).eqNullSafe(F.col("_side")), "left").drop("_side")
+    many = side.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    return dealt.join(many, F.col(key).eqNullSafe(F.col("_side")) & (F.col("_salt") == F.col("_of")), "left").drop("_side", "_salt", "_of")
+
+
 def modest_batches(df: DataFrame) -> DataFrame:
     """``df`` as it is, in a session whose Arrow batches hold at most ``BATCH_BYTES``.
 
