@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
 from ..session import DRIVER_CELLS, bounded, cut_lineage, hold, spread
-from .sparse import DOUBLES, INTS, dense, lists, row_sums, same, sparse, truncated_svd
+from .sparse import DOUBLES, INTS, dense, lists, noise, row_sums, same, sparse, truncated_svds
 
 EPS = 1e-10
 REPLAY = 5
 DIRECT_CELLS = 5_000_000
-_STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw double"
+BATCH_CELLS = 8_000_000
+SUM_TASKS = 4            # partial sums for each core
+_STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw array<double>"
 
 
 @dataclass
@@ -65,7 +67,43 @@ class NMFFit:
             [(i + 1, float(v)) for i, v in enumerate(self.history)], "iter int, objective double")
 
 
-# -- one pass over the documents ---------------------------------------------------
+# -- one pass over the documents, for all models of a batch -------------------------
+
+@dataclass(frozen=True, eq=False)
+class Job:
+    """One model of a batch.
+
+    ``weight`` repeats a document, as a bootstrap count or the flag of a time slice does;
+    documents of weight 0 are not part of the model. ``graphs`` are ``((src, dst, weight),
+    lambda)`` arrays of pruned symmetric graphs (see :func:`graphs.edge_arrays`). ``start``
+    gives the factors to begin with, ``(doc_id, w)`` and a K x V array; they are not scaled.
+    """
+
+    num_topics: int
+    divergence: str = "kl"
+    graphs: Sequence[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]] = ()
+    seed: int = 42
+    weight: Column | None = None
+    max_iter: int = 200
+    tol: float = 1e-4
+    init: str = "svd"
+    start: tuple[DataFrame, np.ndarray] | None = None
+
+    def __post_init__(self):
+        if self.num_topics < 1:
+            raise ValueError("num_topics must be >= 1")
+        if self.divergence not in ("kl", "frobenius"):
+            raise ValueError(f"unknown divergence {self.divergence!r}")
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Where a model's columns lie in the stacked W, and its loss."""
+
+    at: int
+    k: int
+    divergence: str
+
 
 def _update_w(w, ht, hsum, hht, ids, x, rows, divergence):
     n = w.shape[0]
@@ -77,75 +115,117 @@ def _update_w(w, ht, hsum, hht, ids, x, rows, divergence):
     return w * row_sums(h * x[:, None], rows, n) / (w @ hht + EPS)
 
 
-def _replayed(rb: pa.RecordBatch, k: int, updates, divergence: str):
-    ids, x, rows, _ = sparse(rb, 1, 2)
-    w = dense(rb.column(3), k)
+def _members(rb: pa.RecordBatch, n_models: int):
+    """For each model, its documents of the batch and their entries, renumbered."""
+    ids, x, rows, sizes = sparse(rb, 1, 2)
+    dw = dense(rb.column(4), n_models)
+    for b in range(n_models):
+        on = dw[:, b] > 0
+        if on.all():
+            yield np.arange(len(sizes)), ids, x, rows, dw[:, b]
+        else:
+            entry = on[rows]
+            yield np.flatnonzero(on), ids[entry], x[entry], (np.cumsum(on) - 1)[rows[entry]], dw[on, b]
+
+
+def _replayed(w, ids, x, rows, updates, divergence):
     for ht in updates:
         w = _update_w(w, ht, ht.sum(axis=0), ht.T @ ht, ids, x, rows, divergence)
-    return w, ids, x, rows
+    return w
 
 
-def _advance(state: DataFrame, updates: list[np.ndarray], k: int, divergence: str) -> DataFrame:
-    """The state with the given H matrices applied to W."""
+def _advance(state: DataFrame, updates: list[list[np.ndarray]], parts: list[_Part]) -> DataFrame:
+    """The state with each model's H matrices applied to its W."""
     bc = state.sparkSession.sparkContext.broadcast(updates)
+    width = parts[-1].at + parts[-1].k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            w = _replayed(rb, k, bc.value, divergence)[0]
+            w = dense(rb.column(3), width).copy()
+            for part, past, (on, ids, x, rows, _) in zip(parts, bc.value, _members(rb, len(parts))):
+                cols = slice(part.at, part.at + part.k)
+                w[on, cols] = _replayed(w[on, cols], ids, x, rows, past, part.divergence)
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(w),
-                 rb.column(4)], names=["doc_id", "ids", "cnts", "w", "dw"])
+                 same(rb.column(4), DOUBLES)], names=["doc_id", "ids", "cnts", "w", "dw"])
 
     return state.mapInArrow(run, _STATE)
 
 
-def _sums(state: DataFrame, ht: np.ndarray, updates: list[np.ndarray], divergence: str, tasks: int):
-    """R^T W or X^T W, W^T W, sum W and the loss at H and the replayed W."""
-    v, k = ht.shape
-    bc = state.sparkSession.sparkContext.broadcast((ht, updates))
+@dataclass
+class _Sums:
+    """R^T W or X^T W, W^T W, sum W and the loss of one model at H and its replayed W."""
+
+    num: np.ndarray
+    gram: np.ndarray
+    total: np.ndarray
+    loss: float
+
+
+def _sums(state: DataFrame, hs: dict[int, np.ndarray], updates: list[list[np.ndarray]], parts: list[_Part],
+          v: int) -> dict[int, _Sums]:
+    """The sums of the models that are still running, in one pass over the documents.
+
+    A task adds up all its batches, and splits are joined to a few for each core first, so
+    what is shuffled depends on the cluster and not on the number of documents.
+    """
+    bc = state.sparkSession.sparkContext.broadcast((hs, updates))
+    width, kmax = parts[-1].at + parts[-1].k, max(p.k for p in parts)
+    block = v + kmax + 2                 # a model's keys: terms, then W^T W, sum W and the loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, past = bc.value
-        num = np.zeros((v, k))
-        extra = np.zeros((k + 2, k))     # W^T W, then sum W, then the loss
+        held = {b: (np.zeros((v, parts[b].k)), np.zeros((kmax + 2, parts[b].k))) for b in now}
         for rb in batches:
-            w, ids, x, rows = _replayed(rb, k, past, divergence)
-            dw = rb.column(4).to_numpy()
-            ww = w[rows]
-            fitted = np.einsum("ij,ij->i", ww, now[ids])
-            if divergence == "kl":
-                fitted = np.maximum(fitted, EPS)
-                part = x / fitted * dw[rows]
-                loss = float(np.sum(dw[rows] * (x * (np.log(x) - np.log(fitted)) - x)))
-            else:
-                part = x * dw[rows]
-                loss = -2.0 * float(np.sum(part * fitted))
-            for t in range(k):
-                num[:, t] += np.bincount(ids, part * ww[:, t], v)
-            extra[:k] += w.T @ (w * dw[:, None])
-            extra[k] += dw @ w
-            extra[k + 1, 0] += loss
-        used = np.flatnonzero(num.any(axis=1))
-        key = np.concatenate([used, v + np.arange(k + 2)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.astype(np.int64)), lists(np.vstack([num[used], extra]))],
-            names=["key", "s"])
-
-    partial = state.mapInArrow(run, "key bigint, s array<double>")
-    out = np.zeros((v + k + 2, k))
-    if tasks * v * k <= DIRECT_CELLS:
+            all_w = dense(rb.column(3), width)
+            for b, (on, ids, x, rows, dw) in enumerate(_members(rb, len(parts))):
+                if b not in now or not len(on):
+                    continue
+                k, kind, h = parts[b].k, parts[b].divergence, now[b]
+                num, extra = held[b]
+                w = _replayed(all_w[on, parts[b].at:parts[b].at + k], ids, x, rows, past[b], kind)
+                ww = w[rows]
+                fitted = np.einsum("ij,ij->i", ww, h[ids])
+                if kind == "kl":
+                    fitted = np.maximum(fitted, EPS)
+                    part = x / fitted * dw[rows]
+                    loss = float(np.sum(dw[rows] * (x * (np.log(x) - np.log(fitted)) - x)))
+                else:
+                    part = x * dw[rows]
+                    loss = -2.0 * float(np.sum(part * fitted))
+                for t in range(k):
+                    num[:, t] += np.bincount(ids, part * ww[:, t], v)
+                extra[:k] += w.T @ (w * dw[:, None])
+                extra[kmax] += dw @ w
+                extra[kmax + 1, 0] += loss
+        for b, (num, extra) in held.items():
+            used = np.flatnonzero(num.any(axis=1))
+            out = np.zeros((len(used) + kmax + 2, kmax))
+            out[:len(used), :num.shape[1]] = num[used]
+            out[len(used):, :num.shape[1]] = extra
+            key = b * block + np.concatenate([used, v + np.arange(kmax + 2)])
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), lists(out)], names=["key", "s"])
+
+    few = min(state.rdd.getNumPartitions(), SUM_TASKS * state.sparkSession.sparkContext.defaultParallelism)
+    partial = state.coalesce(few).mapInArrow(run, "key bigint, s array<double>")
+    flat = np.zeros((len(parts) * block, kmax))
+    if few * len(hs) * v * kmax <= DIRECT_CELLS:
         # Few tasks and a small H: the partial sums are added here, without a shuffle.
         table = partial.toArrow()
         keys = table.column("key").to_numpy()
-        sums = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, k)
-        for t in range(k):
-            out[:, t] = np.bincount(keys, sums[:, t], len(out))
+        sums = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, kmax)
+        for t in range(kmax):
+            flat[:, t] = np.bincount(keys, sums[:, t], len(flat))
     else:
         cells = partial.groupBy("key").agg(
-            *[F.sum(F.col("s")[t]).alias(f"s{t}") for t in range(k)]).toPandas()
-        out[cells["key"].to_numpy()] = cells[[f"s{t}" for t in range(k)]].to_numpy()
+            *[F.sum(F.col("s")[t]).alias(f"s{t}") for t in range(kmax)]).toPandas()
+        flat[cells["key"].to_numpy()] = cells[[f"s{t}" for t in range(kmax)]].to_numpy()
     bc.unpersist()
-    return out[:v], out[v:v + k], out[v + k], float(out[v + k + 1, 0])
+    out = {}
+    for b in hs:
+        k, own = parts[b].k, flat[b * block:(b + 1) * block, :parts[b].k]
+        out[b] = _Sums(own[:v], own[v:v + k], own[v + kmax], float(own[v + kmax + 1, 0]))
+    return out
 
 
 # -- initial factors ---------------------------------------------------------------
@@ -156,43 +236,63 @@ def _noise(k: int, seed: int, scale: float) -> Column:
         lambda t: seeded.uniform(seed, F.lit("w"), F.col("doc_id"), t) * scale)
 
 
-def _h_noise(k: int, v: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).random((v, k))
+def _first_factors(base: DataFrame, jobs: Sequence[Job], parts: list[_Part], v: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """``(doc_id, ids, cnts, w, dw)`` with the stacked first W, and each model's first H^T.
 
-
-def init_factors(docs: DataFrame, k: int, v: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, ids, cnts, w, dw)`` and H^T from the truncated SVD plus small noise.
-
-    ``abs(U) * sqrt(S)`` and ``abs(V) * sqrt(S)``, zero-padded when the rank is lower
-    than ``k``. U is recomputed from V row by row, so no matrix of documents is
-    returned to Python. A corpus without usable rank starts from random factors.
+    ``abs(U) * sqrt(S)`` and ``abs(V) * sqrt(S)`` of the weighted counts, zero-padded when the
+    rank is lower than K, plus small noise. U is recomputed from V row by row, so no matrix of
+    documents is returned to Python. A model without usable rank starts from random factors.
     """
-    n = docs.count()
-    rank = min(k, min(n, v) - 1)
-    s = np.empty(0)
-    if rank >= 1:
-        s, right = truncated_svd(docs, v, rank, seed)
-    if s.size == 0:
-        return docs.withColumn("w", _noise(k, seed, 1.0)), _h_noise(k, v, seed)
-    ht = np.zeros((v, k))
-    ht[:, :s.size] = np.abs(right) * np.sqrt(s)
-    ht += _h_noise(k, v, seed) * 1e-4
-    basis = np.zeros((v, k))
-    basis[:, :s.size] = right / np.sqrt(np.maximum(s, 1e-300))   # |X v / s| * sqrt(s)
-    bc = docs.sparkSession.sparkContext.broadcast(basis)
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = bc.value
-        for rb in batches:
-            ids, x, rws, sizes = sparse(rb, 1, 2)
-            w = np.abs(row_sums(m[ids] * x[:, None], rws, len(sizes)))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(w),
-                 rb.column(3)], names=["doc_id", "ids", "cnts", "w", "dw"])
+    n_models = len(jobs)
+    sizes = base.agg(*[F.sum((F.col("dw")[b] > 0).cast("long")).alias(f"n{b}") for b in range(n_models)]).first()
+    ranks = {b: min(j.num_topics, min(sizes[b] or 0, v) - 1) for b, j in enumerate(jobs)
+             if j.start is None and j.init == "svd"}
+    found = truncated_svds(base, v, {b: (r, jobs[b].seed) for b, r in ranks.items() if r >= 1}, n_models)
+    width = parts[-1].at + parts[-1].k
+    hts, pieces, basis = [], [], np.zeros((v, width))
+    for b, (job, part) in enumerate(zip(jobs, parts)):
+        k = job.num_topics
+        if job.start is not None:
+            hts.append(np.ascontiguousarray(np.asarray(job.start[1], dtype=float).T))
+            pieces.append(F.col(f"_w{b}"))
+            continue
+        s, right = found.get(b, (np.empty(0), None))
+        if s.size == 0:
+            hts.append(noise(k, 0, v, job.seed))
+            pieces.append(_noise(k, job.seed, 1.0))
+            continue
+        ht = np.zeros((v, k))
+        ht[:, :s.size] = np.abs(right) * np.sqrt(s)
+        hts.append(ht + noise(k, 0, v, job.seed) * 1e-4)
+        basis[:, part.at:part.at + s.size] = right / np.sqrt(np.maximum(s, 1e-300))   # |X v / s| * sqrt(s)
+        pieces.append(F.zip_with(F.slice("u", part.at + 1, k), _noise(k, job.seed, 1e-4), lambda a, c: a + c))
+    rows = base
+    if basis.any():
+        bc = base.sparkSession.sparkContext.broadcast(basis)
+
+        def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = bc.value
+            for rb in batches:
+                ids, x, rws, counts = sparse(rb, 1, 2)
+                u = np.abs(row_sums(m[ids] * x[:, None], rws, len(counts)))
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(u),
+                     same(rb.column(3), DOUBLES)], names=["doc_id", "ids", "cnts", "u", "dw"])
+
+        rows = base.select("doc_id", "ids", "cnts", "dw").mapInArrow(
+            left, "doc_id bigint, ids array<int>, cnts array<double>, u array<double>, dw array<double>")
+    for b, job in enumerate(jobs):
+        if job.start is not None:
+            rows = rows.join(job.start[0].select("doc_id", F.col("w").alias(f"_w{b}")), "doc_id")
+    return rows.select("doc_id", "ids", "cnts", F.concat(*pieces).alias("w"), "dw"), hts
 
-    seen = docs.select("doc_id", "ids", "cnts", "dw").mapInArrow(
-        left, "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw double")
-    return seen.withColumn("w", F.zip_with("w", _noise(k, seed, 1e-4), lambda a, b: a + b)), ht
+
+def init_factors(docs: DataFrame, k: int, v: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """``(doc_id, ids, cnts, w, dw)`` and H^T to start one model from, by truncated SVD."""
+    base = docs.select("doc_id", F.col("ids").cast("array<int>").alias("ids"),
+                       F.col("cnts").cast("array<double>").alias("cnts"), F.array(F.col("dw").cast("double")).alias("dw"))
+    start, hts = _first_factors(base, [Job(k, seed=seed)], [_Part(0, k, "kl")], v)
+    return start.withColumn("dw", F.col("dw")[0]), hts[0]
 
 
 # -- the fit -----------------------------------------------------------------------
@@ -200,87 +300,110 @@ def init_factors(docs: DataFrame, k: int, v: int, seed: int = 42) -> tuple[DataF
 def fit(docs: DataFrame, n_terms: int, num_topics: int, *, divergence: str = "kl",
         graphs: Sequence[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]] = (),
         max_iter: int = 200, tol: float = 1e-4, seed: int = 42, init: str = "svd",
-        weight: Column | None = None) -> NMFFit:
-    """Factorise the counts of ``docs(doc_id, ids, cnts)``.
+        weight: Column | None = None, start: tuple[DataFrame, np.ndarray] | None = None) -> NMFFit:
+    """Factorise the counts of ``docs(doc_id, ids, cnts)``: a batch of one :class:`Job`."""
+    return fit_many(docs, n_terms, [Job(num_topics, divergence, graphs, seed, weight, max_iter, tol, init, start)])[0]
+
 
-    ``graphs`` are ``((src, dst, weight), lambda)`` arrays of pruned symmetric graphs
-    (see :func:`graphs.edge_arrays`). ``weight`` repeats a document, as a bootstrap
-    count does. H is updated first, then W at the new H, and the objective is read
-    at both new factors.
+def fit_many(docs: DataFrame, n_terms: int, jobs: Sequence[Job]) -> list[NMFFit]:
+    """Fit several models of ``docs(doc_id, ids, cnts)`` that share the documents' passes.
+
+    Each pass over the documents serves all models that have not converged, so 20 bootstrap
+    resamples cost one reading an iteration. Models are packed until their H matrices together
+    have ``BATCH_CELLS`` cells; further ones follow in the next batch.
     """
-    if num_topics < 1:
-        raise ValueError("num_topics must be >= 1")
-    if divergence not in ("kl", "frobenius"):
-        raise ValueError(f"unknown divergence {divergence!r}")
-    k, v = num_topics, n_terms
-    if k * v > DRIVER_CELLS:
-        raise ValueError("topics x terms is too large to broadcast; use fit_joined")
+    out: list[NMFFit] = []
+    batch: list[Job] = []
+    for job in jobs:
+        if job.num_topics * n_terms > DRIVER_CELLS:
+            raise ValueError("topics x terms is too large to broadcast; use blocked.fit")
+        if batch and (sum(j.num_topics for j in batch) + job.num_topics) * n_terms > BATCH_CELLS:
+            out += _fit_batch(docs, n_terms, batch)
+            batch = []
+        batch.append(job)
+    return out + (_fit_batch(docs, n_terms, batch) if batch else [])
+
+
+def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
+    """H is updated first, then W at the new H, and the objective is read at both."""
     spark = docs.sparkSession
-    dw = F.lit(1.0) if weight is None else weight.cast("double")
+    parts, width = [], 0
+    for j in jobs:
+        parts.append(_Part(width, j.num_topics, j.divergence))
+        width += j.num_topics
+    dw = F.array(*[F.lit(1.0) if j.weight is None else F.coalesce(j.weight.cast("double"), F.lit(0.0)) for j in jobs])
     base = docs.where(F.size("ids") > 0).select(
         "doc_id", F.col("ids").cast("array<int>").alias("ids"),
-        F.col("cnts").cast("array<double>").alias("cnts"), dw.alias("dw")).where("dw > 0")
+        F.col("cnts").cast("array<double>").alias("cnts"), dw.alias("dw")).where(F.exists("dw", lambda c: c > 0))
     base = hold(spread(base))
-    totals = base.select(
-        F.sum(F.col("dw") * vec.total("cnts")).alias("m"),
-        F.sum(F.col("dw") * vec.dot("cnts", "cnts")).alias("q")).first()
-    x_mass, x_sq = float(totals["m"] or 0.0), float(totals["q"] or 0.0)
-    if init == "svd":
-        start, ht = init_factors(base, k, v, seed)
-    else:
-        start, ht = base.withColumn("w", _noise(k, seed, 1.0)), _h_noise(k, v, seed)
-    state = hold(cut_lineage(start.select("doc_id", "ids", "cnts", "w", "dw")))
+    n_models = len(jobs)
+    totals = base.select(vec.total("cnts").alias("m"), vec.dot("cnts", "cnts").alias("q"), "dw").agg(
+        *[F.sum(F.col("dw")[b] * F.col(c)) for c in ("m", "q") for b in range(n_models)]).first()
+    x_mass, x_sq = ([float(t or 0.0) for t in totals[i * n_models:(i + 1) * n_models]] for i in range(2))
+    begin, hts = _first_factors(base, jobs, parts, v)
+    state = hold(cut_lineage(begin))
     base.unpersist()
-    mass_scale = 1.0
-    if divergence == "kl":
-        w_sum = state.agg(vec.sum_arrays("w", k, F.col("dw")).alias("s")).first()["s"]
-        mass = float(np.asarray(w_sum, dtype=float) @ ht.sum(axis=0))
-        if mass > 0:
-            mass_scale = x_mass / mass
-            state = state.withColumn("w", F.transform("w", lambda a: a * mass_scale))
-
-    lams = [(src, dst, val, lam, np.bincount(src, val, v)) for (src, dst, val), lam in graphs
-            if lam > 0 and len(src)]
+    scales = np.ones(width)
+    scaled = [b for b, j in enumerate(jobs) if j.divergence == "kl" and j.start is None]
+    if scaled:
+        w_sums = state.agg(F.array(*[F.sum(F.col("w")[parts[b].at + t] * F.col("dw")[b]) for b in scaled for t in range(parts[b].k)])).first()[0]
+        for b in scaled:
+            own, w_sums = w_sums[:parts[b].k], w_sums[parts[b].k:]
+            mass = float(np.array([x or 0.0 for x in own]) @ hts[b].sum(axis=0))
+            if mass > 0:
+                scales[parts[b].at:parts[b].at + parts[b].k] = x_mass[b] / mass
+        state = state.withColumn("w", F.zip_with("w", vec.lit_array(scales.tolist()), lambda a, c: a * c))
+
+    lams = [[(src, dst, val, lam, np.bincount(src, val, v)) for (src, dst, val), lam in j.graphs if lam > 0 and len(src)]
+            for j in jobs]
 
     def smooth(h, src, dst, val):
-        return np.stack([np.bincount(dst, val * h[src, t], v) for t in range(k)], axis=1)
-
-    tasks = state.rdd.getNumPartitions()
-    updates: list[np.ndarray] = []
-    num, wtw, wsum, _ = _sums(state, ht, updates, divergence, tasks)
-    history: list[float] = []
-    n_iter = 0
-    for n_iter in range(1, max_iter + 1):
-        top = num
-        bottom = np.broadcast_to(wsum[None, :], (v, k)) if divergence == "kl" else ht @ wtw
-        for src, dst, val, lam, deg in lams:
-            top = top + lam * smooth(ht, src, dst, val)
-            bottom = bottom + lam * ht * deg[:, None]
-        ht = ht * top / (bottom + EPS)
-        updates.append(ht)
-        num, wtw, wsum, loss = _sums(state, ht, updates, divergence, tasks)
-        if divergence == "kl":
-            objective = loss + float(wsum @ ht.sum(axis=0))
-        else:
-            objective = x_sq + loss + float(np.sum(wtw * (ht.T @ ht)))
-        for src, dst, val, lam, deg in lams:
-            objective += lam * float(np.sum(ht * ht * deg[:, None]) - np.sum(ht * smooth(ht, src, dst, val)))
-        history.append(objective)
-        if n_iter > 1 and history[-2] != 0 and abs(history[-2] - objective) / abs(history[-2]) < tol:
-            break
-        if len(updates) == REPLAY:
-            old, state = state, hold(cut_lineage(_advance(state, updates, k, divergence)))
+        return np.stack([np.bincount(dst, val * h[src, t], v) for t in range(h.shape[1])], axis=1)
+
+    live = set(range(n_models))
+    updates: list[list[np.ndarray]] = [[] for _ in jobs]
+    history: list[list[float]] = [[] for _ in jobs]
+    sums = _sums(state, {b: hts[b] for b in live}, updates, parts, v)
+    while live:
+        for b in live:
+            ht, now = hts[b], sums[b]
+            top = now.num
+            bottom = np.broadcast_to(now.total[None, :], ht.shape) if jobs[b].divergence == "kl" else ht @ now.gram
+            for src, dst, val, lam, deg in lams[b]:
+                top = top + lam * smooth(ht, src, dst, val)
+                bottom = bottom + lam * ht * deg[:, None]
+            hts[b] = ht * top / (bottom + EPS)
+            updates[b].append(hts[b])
+        sums = _sums(state, {b: hts[b] for b in live}, updates, parts, v)
+        for b in sorted(live):
+            ht, now, past = hts[b], sums[b], history[b]
+            if jobs[b].divergence == "kl":
+                objective = now.loss + float(now.total @ ht.sum(axis=0))
+            else:
+                objective = x_sq[b] + now.loss + float(np.sum(now.gram * (ht.T @ ht)))
+            for src, dst, val, lam, deg in lams[b]:
+                objective += lam * float(np.sum(ht * ht * deg[:, None]) - np.sum(ht * smooth(ht, src, dst, val)))
+            past.append(objective)
+            if len(past) > 1 and past[-2] != 0 and abs(past[-2] - objective) / abs(past[-2]) < jobs[b].tol:
+                live.discard(b)
+            elif len(past) >= jobs[b].max_iter:
+                live.discard(b)
+        if live and max(map(len, updates)) >= REPLAY:
+            old, state = state, hold(cut_lineage(_advance(state, updates, parts)))
             old.unpersist()
-            updates = []
-    scale = ht.sum(axis=0)
-    scale[scale == 0] = 1.0
-    theta = cut_lineage(
-        _advance(state, updates, k, divergence)
-        .select("doc_id", F.zip_with("w", vec.lit_array([float(s) for s in scale]),
-                                     lambda a, b: a * b).alias("w"))
-        .select("doc_id", normalised("w").alias("w")))
+            updates = [[] for _ in jobs]
+    final = cut_lineage(_advance(state, updates, parts).select("doc_id", "w", "dw"))
     state.unpersist()
-    return NMFFit(theta, phi_table(spark, ht / scale), k, v, n_iter, history[-1], divergence, history)
+    out = []
+    for b, (job, part) in enumerate(zip(jobs, parts)):
+        scale = hts[b].sum(axis=0)
+        scale[scale == 0] = 1.0
+        own = final.where(F.col("dw")[b] > 0).select("doc_id", F.zip_with(
+            F.slice("w", part.at + 1, part.k), vec.lit_array([float(s) for s in scale]), lambda a, c: a * c).alias("w"))
+        theta = own.select("doc_id", normalised("w").alias("w"))
+        out.append(NMFFit(theta, phi_table(spark, hts[b] / scale), part.k, v, len(history[b]), history[b][-1],
+                          job.divergence, history[b]))
+    return out
 
 
 def normalised(w: str) -> Column:
@@ -517,14 +640,14 @@ def bootstrap(docs: DataFrame, reference: NMFFit, n_resamples: int = 20, seed: i
     """``(topic, stability, stability_sd, prevalence_sd, topic_stability)``.
 
     A resample gives each document a Poisson(1) count drawn from its id; only the
-    factorisation is repeated.
+    factorisation is repeated, for all resamples in the same passes.
     """
     k = reference.num_topics
+    counts = [seeded.poisson1(seeded.uniform(f"{seed}:{b}", "doc_id")) for b in range(n_resamples)]
+    fits = fit_many(docs, reference.n_terms, [
+        Job(k, reference.divergence, graphs, seed + b + 1, counts[b], max_iter, tol, init) for b in range(n_resamples)])
     sims, prev = [], []
-    for b in range(n_resamples):
-        count = seeded.poisson1(seeded.uniform(f"{seed}:{b}", "doc_id"))
-        res = fit(docs, reference.n_terms, k, divergence=reference.divergence, graphs=graphs,
-                  max_iter=max_iter, tol=tol, seed=seed + b + 1, init=init, weight=count)
+    for res, count in zip(fits, counts):
         _, s = match_topics(reference.phi, res.phi, k)
         sims.append(s)
         means = res.theta.withColumn("c", count).agg(

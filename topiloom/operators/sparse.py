@@ -46,53 +46,77 @@ def row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """``X^T (X q)`` for sparse rows ``(ids, cnts)``; one small matrix per task."""
-    v, r = q.shape
-    bc = rows.sparkSession.sparkContext.broadcast(q)
+def noise(k: int, first: int, n: int, seed: int) -> np.ndarray:
+    """Rows ``first`` to ``first + n`` of a matrix of K draws a row, however many it has."""
+    bits = np.random.default_rng(seed).bit_generator
+    bits.advance(first * k)
+    return np.random.Generator(bits).random((n, k))
+
+
+def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dict[int, np.ndarray]:
+    """``X^T D (X q)`` of each model, D its weights, for rows ``(ids, cnts, dw)`` in one pass.
+
+    One small matrix for each model and task.
+    """
+    v, r = next(iter(qs.values())).shape[0], max(q.shape[1] for q in qs.values())
+    bc = rows.sparkSession.sparkContext.broadcast(qs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = bc.value
-        out = np.zeros((v, r))
+        out = {b: np.zeros((v, r)) for b in bc.value}
         for rb in batches:
             ids, x, rws, sizes = sparse(rb, 0, 1)
-            xq = row_sums(m[ids] * x[:, None], rws, len(sizes))
-            part = xq[rws] * x[:, None]
-            for t in range(r):
-                out[:, t] += np.bincount(ids, part[:, t], v)
-        used = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), lists(out[used])], names=["i", "y"])
+            dw = dense(rb.column(2), n_models)
+            for b, q in bc.value.items():
+                xq = row_sums(q[ids] * x[:, None], rws, len(sizes)) * dw[:, b:b + 1]
+                part = xq[rws] * x[:, None]
+                for t in range(q.shape[1]):
+                    out[b][:, t] += np.bincount(ids, part[:, t], v)
+        for b, y in out.items():
+            used = np.flatnonzero(y.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((b * v + used).astype(np.int64)), lists(y[used])], names=["i", "y"])
 
     pdf = (
-        rows.select("ids", "cnts").mapInArrow(run, "i int, y array<double>")
+        rows.select("ids", "cnts", "dw").mapInArrow(run, "i bigint, y array<double>")
         .groupBy("i").agg(*[F.sum(F.col("y")[t]).alias(f"y{t}") for t in range(r)]).toPandas()
     )
     bc.unpersist()
-    y = np.zeros((v, r))
+    y = np.zeros((n_models * v, r))
     y[pdf["i"].to_numpy()] = pdf[[f"y{t}" for t in range(r)]].to_numpy()
-    return y
+    return {b: y[b * v:(b + 1) * v, :q.shape[1]] for b, q in qs.items()}
 
 
-def truncated_svd(rows: DataFrame, n_cols: int, rank: int, seed: int = 0, sweeps: int = 8,
-                  tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Leading singular values and right vectors by subspace iteration.
+def truncated_svds(rows: DataFrame, n_cols: int, ranks: dict[int, tuple[int, int]], n_models: int, sweeps: int = 8,
+                   tol: float = 1e-5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Leading singular values and right vectors of each model, by subspace iteration.
 
-    Each sweep is one pass over the rows; only a thin matrix (columns x rank) is on
-    the driver.
+    ``ranks`` maps a model to its rank and seed. Each sweep is one pass over the rows for all
+    models that have not converged; only thin matrices (columns x rank) are on the driver.
     """
-    extra = min(n_cols, rank + 8)
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_cols, extra)))
-    last = None
+    qs = {b: np.linalg.qr(noise(min(n_cols, rank + 8), 0, n_cols, seed) - 0.5)[0] for b, (rank, seed) in ranks.items()}
+    last: dict[int, np.ndarray] = {}
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for _ in range(sweeps):
-        y = gram_times(rows, q)
-        values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-        order = np.argsort(-values)
-        s = np.sqrt(np.maximum(values[order][:rank], 0.0))
-        right = (q @ vectors[:, order])[:, :rank]
-        if last is not None and np.all(np.abs(s - last) <= tol * np.maximum(s, 1e-12)):
+        if not qs:
             break
-        last = s
-        q, _ = np.linalg.qr(y)
-    keep = s > 1e-9 * max(float(s[0]) if s.size else 0.0, 1e-300)
-    return s[keep], right[:, keep]
+        for b, y in gram_times(rows, qs, n_models).items():
+            q, rank = qs[b], ranks[b][0]
+            values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+            order = np.argsort(-values)
+            s = np.sqrt(np.maximum(values[order][:rank], 0.0))
+            found[b] = s, (q @ vectors[:, order])[:, :rank]
+            if b in last and np.all(np.abs(s - last[b]) <= tol * np.maximum(s, 1e-12)):
+                del qs[b]
+                continue
+            last[b] = s
+            qs[b] = np.linalg.qr(y)[0]
+    out = {}
+    for b, (s, right) in found.items():
+        keep = s > 1e-9 * max(float(s[0]) if s.size else 0.0, 1e-300)
+        out[b] = s[keep], right[:, keep]
+    return out
+
+
+def truncated_svd(rows: DataFrame, n_cols: int, rank: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The singular values and right vectors of one unweighted table ``(ids, cnts)``."""
+    return truncated_svds(rows.withColumn("dw", F.array(F.lit(1.0))), n_cols, {0: (rank, seed)}, 1)[0]

@@ -42,6 +42,8 @@ def drift(docs: DataFrame, sliced: DataFrame, n_terms: int, num_topics: int, gra
           chunked: bool = False) -> DataFrame:
     """Refit each slice on the shared vocabulary and graphs, align it to the first slice.
 
+    All slices are fitted in the same passes, each by the weight of its documents.
+
     ``drift`` is one minus the mean matched cosine. Slices with fewer documents than
     topics are skipped.
     """
@@ -49,17 +51,14 @@ def drift(docs: DataFrame, sliced: DataFrame, n_terms: int, num_topics: int, gra
         raise ValueError("drift needs one row per document; switch chunking off")
     labelled = settle(docs.join(sliced.select("doc_id", "slice"), "doc_id"))
     sizes = {r["slice"]: r["n"] for r in labelled.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, out = None, []
-    for s in sorted(sizes):
-        if sizes[s] < num_topics:
-            continue
-        res = nmf.fit(labelled.where(F.col("slice") == s), n_terms, num_topics, graphs=graphs,
-                      max_iter=max_iter, tol=tol, seed=seed, init=init)
-        stability = 1.0
-        if first is None:
-            first = res.phi
-        else:
-            stability = float(nmf.match_topics(first, res.phi, num_topics)[1].mean())
+    kept = [s for s in sorted(sizes) if sizes[s] >= num_topics]
+    fits = nmf.fit_many(labelled, n_terms, [
+        nmf.Job(num_topics, graphs=graphs, seed=seed, weight=(F.col("slice") == s).cast("double"), max_iter=max_iter, tol=tol, init=init)
+        for s in kept])
+    out = []
+    for s, res in zip(kept, fits):
+        same = res is fits[0]
+        stability = 1.0 if same else float(nmf.match_topics(fits[0].phi, res.phi, num_topics)[1].mean())
         out.append((int(s), int(sizes[s]), res.n_iter, float(res.objective), stability, 1.0 - stability))
     return docs.sparkSession.createDataFrame(
         out, "slice int, n bigint, n_iter int, objective double, stability_vs_first double, drift double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import TopicConfig
 from ..functions.wordlists import STOP_WORDS
-from ..operators import cooc, corpus, deps, graphs, metrics, nmf, reports, vectors
+from ..operators import blocked, cooc, corpus, deps, graphs, metrics, nmf, reports, vectors
 from ..operators import vocab as V
-from ..session import hold, settle
+from ..session import DRIVER_CELLS, hold, settle
 
 
 @dataclass
@@ -73,17 +73,20 @@ class Fitted:
 
     def transform(self, docs: DataFrame, lists: DataFrame) -> DataFrame:
         """``(doc_id, w)`` for new documents over the frozen vocabulary."""
-        rows = encode_rows(docs, lists, self.parsed.vocab, self.config.max_features)
-        return nmf.fold_in(rows, self.result.matrix(), seed=self.config.seed,
-                           divergence=self.config.divergence)
+        return self._fold_in(encode_rows(docs, lists, self.parsed.vocab, self.config.max_features))
+
+    def _fold_in(self, rows: DataFrame) -> DataFrame:
+        how = {"seed": self.config.seed, "divergence": self.config.divergence}
+        if in_memory(self.parsed, self.config):
+            return nmf.fold_in(rows, self.result.matrix(), **how)
+        return blocked.fold_in(rows, self.result.phi, self.parsed.n_terms, self.config.num_topics, **how)
 
     def heldout_perplexity(self, docs: DataFrame, lists: DataFrame) -> float:
-        rows = hold(encode_rows(docs, lists, self.parsed.vocab, self.config.max_features))
-        h = self.result.matrix()
-        theta = nmf.fold_in(rows, h, seed=self.config.seed, divergence=self.config.divergence)
-        value = nmf.perplexity(rows, theta, h)
-        rows.unpersist()
-        return value
+        rows = settle(encode_rows(docs, lists, self.parsed.vocab, self.config.max_features))
+        theta = self._fold_in(rows)
+        if in_memory(self.parsed, self.config):
+            return nmf.perplexity(rows, theta, self.result.matrix())
+        return blocked.perplexity(rows, theta, self.result.phi, self.parsed.n_terms, self.config.num_topics)
 
 
 def summary(words: DataFrame, parsed: Parsed, phi: DataFrame, top_k: int = 10) -> DataFrame:
@@ -166,14 +169,40 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
     return settle(vectors.fill_missing(parsed.vocab, found, cfg.vector_dim))
 
 
-def factorise(parsed: Parsed, cfg: TopicConfig, syntax: DataFrame, semantic: DataFrame | None,
-              init: str = "svd") -> nmf.NMFFit:
+def in_memory(parsed: Parsed, cfg: TopicConfig) -> bool:
+    """Whether the counted terms let topics x terms, and the graphs, be sent to every task."""
+    return parsed.n_terms * max(cfg.num_topics, cfg.graph_top_k) <= DRIVER_CELLS
+
+
+def _job(cfg: TopicConfig, n_terms: int, syntax: DataFrame, semantic: DataFrame | None, init: str, arrays: dict) -> nmf.Job:
     gs = []
     for edges, lam in ((syntax, cfg.lambda_syntax), (semantic, cfg.lambda_embed)):
         if edges is not None and lam > 0:
-            gs.append((graphs.edge_arrays(edges, parsed.n_terms, cfg.graph_top_k), lam))
-    return nmf.fit(parsed.docs, parsed.n_terms, cfg.num_topics, divergence=cfg.divergence, graphs=gs,
-                   max_iter=cfg.max_iter, tol=cfg.tol, seed=cfg.seed, init=init)
+            if id(edges) not in arrays:
+                arrays[id(edges)] = graphs.edge_arrays(edges, n_terms, cfg.graph_top_k)
+            gs.append((arrays[id(edges)], lam))
+    return nmf.Job(cfg.num_topics, cfg.divergence, gs, cfg.seed, None, cfg.max_iter, cfg.tol, init)
+
+
+def factorise(parsed: Parsed, cfg: TopicConfig, syntax: DataFrame, semantic: DataFrame | None,
+              init: str = "svd") -> nmf.NMFFit:
+    if in_memory(parsed, cfg):
+        return nmf.fit_many(parsed.docs, parsed.n_terms, [_job(cfg, parsed.n_terms, syntax, semantic, init, {})])[0]
+    edges = [(e, lam) for e, lam in ((syntax, cfg.lambda_syntax), (semantic, cfg.lambda_embed)) if e is not None]
+    return blocked.fit(parsed.docs, parsed.n_terms, cfg.num_topics, divergence=cfg.divergence, edges=edges,
+                       max_iter=cfg.max_iter, tol=cfg.tol, seed=cfg.seed, init=init)
+
+
+def syntax_graph(parsed: Parsed, cfg: TopicConfig, control: str = "none") -> DataFrame:
+    """The syntax graph of a parse, or a control graph with the same degrees or shape."""
+    syntax = settle(graphs.syntax_graph(parsed.pairs, cfg.graph_top_k))
+    if control == "swap":
+        return settle(graphs.rewire(syntax, cfg.seed))
+    if control == "permute":
+        return settle(graphs.permuted_graph(syntax, parsed.vocab, cfg.seed, parsed.n_terms))
+    if control != "none":
+        raise ValueError(f"control must be none, swap or permute, got {control!r}")
+    return syntax
 
 
 def fit(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
@@ -186,13 +215,34 @@ def fit(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
     for them needs the parse of the segments.
     """
     parsed = parse(doc_ids, tokens, cfg, lists) if parsed is None else parsed
-    vecs = word_vectors(parsed, cfg) if cfg.lambda_embed > 0 else None
-    syntax = settle(graphs.syntax_graph(parsed.pairs, cfg.graph_top_k))
-    if control == "swap":
-        syntax = settle(graphs.rewire(syntax, cfg.seed))
-    elif control == "permute":
-        syntax = settle(graphs.permuted_graph(syntax, parsed.vocab, cfg.seed, parsed.n_terms))
-    elif control != "none":
-        raise ValueError(f"control must be none, swap or permute, got {control!r}")
-    semantic = None if vecs is None else settle(graphs.knn_graph(vecs, cfg.graph_top_k))
-    return Fitted(cfg, parsed, vecs, syntax, semantic, factorise(parsed, cfg, syntax, semantic, init))
+    return fit_all([(parsed, cfg, control)], init)[0]
+
+
+def fit_all(models: Sequence[tuple[Parsed, TopicConfig, str]], init: str = "svd") -> list[Fitted]:
+    """Several models of one corpus, ``(parse, config, control)`` each, in shared passes.
+
+    The parses must have the same counts and vocabulary; relations may differ. Graphs and
+    vectors that several models ask for alike are made once.
+    """
+    syntaxes: dict[tuple, DataFrame] = {}
+    semantics: dict[tuple, tuple[DataFrame | None, DataFrame | None]] = {}
+    prepared, arrays = [], {}
+    for parsed, cfg, control in models:
+        how = (id(parsed.pairs), cfg.graph_top_k, control, cfg.seed if control != "none" else None)
+        if how not in syntaxes:
+            syntaxes[how] = syntax_graph(parsed, cfg, control)
+        what = (cfg.vector_backend, cfg.vector_dim, cfg.vector_window, cfg.vector_epochs, cfg.seed, cfg.graph_top_k, cfg.lambda_embed > 0)
+        if what not in semantics:
+            vecs = word_vectors(parsed, cfg) if cfg.lambda_embed > 0 else None
+            semantics[what] = vecs, None if vecs is None else settle(graphs.knn_graph(vecs, cfg.graph_top_k))
+        prepared.append((parsed, cfg, syntaxes[how], *semantics[what]))
+    first = prepared[0][0]
+    results: dict[int, nmf.NMFFit] = {}
+    together = [i for i, (p, c, *_) in enumerate(prepared) if in_memory(p, c)]
+    jobs = [_job(c, first.n_terms, syn, sem, init, arrays) for _, c, syn, _, sem in (prepared[i] for i in together)]
+    results |= dict(zip(together, nmf.fit_many(first.docs, first.n_terms, jobs)))
+    out = []
+    for i, (parsed, cfg, syntax, vecs, semantic) in enumerate(prepared):
+        result = results[i] if i in results else factorise(parsed, cfg, syntax, semantic, init)
+        out.append(Fitted(cfg, parsed, vecs, syntax, semantic, result))
+    return out

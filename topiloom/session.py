@@ -82,6 +82,15 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once nothing reads them any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a reused intermediate; lost blocks are recomputed from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
