@@ -74,6 +74,18 @@ def test_odd_cases(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in plain(rows) if r[3]}
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "b same words here now", 2), (1, "b same words here now", 1), (1, "a other text", 3), (2, None, 1), (2, None, 2), (None, "x", 1), (None, "x", 1), (3, "alone", 5)]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert rows_of(kept) == sorted([(1, "a other text", 3), (2, None, 1), (None, "x", 1), (None, "x", 1), (3, "alone", 5)], key=repr)
+
+
+def test_common_counts_like_sets():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 12000, n).astype(np.uint64)) for n in (0, 1, 40, 9000, 9000, 300)]
+    assert (minhash._common(sets, sets[::-1]) == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]).all()
+
+
 def test_pairs_within_the_threshold_share_a_key():
     rng = np.random.default_rng(3)
     import pyarrow as pa

@@ -9,22 +9,27 @@ symbols have, by the pigeonhole principle, a chunk that differs in at most one;
 chunk is indexed under its four variants that leave one symbol out, and every pair within
 the threshold meets under a common key.
 
-Equal sets are one class and go through the join once. A key may be shared by very many
-classes, so its pairs are not listed at first. Each class is compared with the leaders of
-the keys it shares most with, in ``ROUNDS`` rounds: the leader of a key is its smallest
-class, and later the first or last class of another component found so far. Confirmed links
-give components. Then the keys that still hold classes of different components are joined
-with themselves in blocks of ``BLOCK`` classes, and each pair of different components within
-the threshold is taken once, at the first key it shares. Thus every pair that meets under a
-key is either compared, or already in one component, and the components are the same as
-with all pairs. Every link is confirmed on the full sets, recomputed from the texts; pairs
-to confirm are grouped so that a text is sent once for up to 64 partners.
+Equal sets, by 128 bits of a digest, are one class and go through the join once. A key may be
+shared by very many classes, so its pairs are never listed. Each class is compared with the
+leaders of the keys it shares most with, in ``ROUNDS`` rounds: the leader of a key is its
+smallest class, and later the first or last class of another component found so far. Confirmed
+links give components. Keys whose classes are all of one component are done.
+
+In the other keys, classes meet in blocks of ``BLOCK``. A block compares the signatures of
+classes of different components, and puts out which classes have a partner within the threshold
+and a spanning forest of the near components; never the pairs. Components that are near, directly
+or over others, are a family. The classes with a partner are dealt, with their texts, to blocks
+of their family. Each two blocks meet in one task, which counts the common shingles of all pairs
+by a product of incidence matrices, confirms the pairs within the threshold on full sets, and
+puts out a spanning forest of the links. So every pair that meets under a key is either compared
+or already in one component, the components are those of all pairs, and no table has a row for
+each pair.
 
 Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than five
 words is one shingle. Texts without words (or null) have an empty set and are linked with
 nothing; so are rows without an id, whose component is null and which are kept. Rows that
-repeat an id are one document: they share their component, and all of them are kept or
-none. Columns of the input that are not needed are not read.
+repeat an id are one document: they share their component, and all of them are marked kept or
+none; ``keep_first`` keeps one of them. Columns of the input that are not needed are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_BLANK, Hasher, column, mix, per_row, slices, tidied, words
@@ -44,7 +49,7 @@ from .tables import by_group, components, modest_batches, release, settle, small
 SHINGLE, SIMILAR = 5, 75
 SYMBOLS, CHUNK, THRESHOLD = 64, 4, 31
 LEADERS, ROUNDS, ENOUGH = 2, 3, 0.02
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 _FUNCTIONS = np.random.default_rng(20240601).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _BLOCK = 4096
 
@@ -89,21 +94,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = column(batch, "doc_id")
         for s in slices(column(batch, "text")):
             sets = shingle_sets(s.data, s.offsets)
-            # a class of equal sets goes by 64 bits of a digest of the whole set
-            node = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True) if len(x) else None for x in sets]
+            # a class of equal sets goes by a digest of the whole set
+            name = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": ids.slice(s.lo, len(s)),
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
-                "node": pa.array(node, pa.int64()),
+                "digest": pa.array(name, pa.binary()),
                 "sig": pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
                 "packed": pa.array([pack(s.text(i)) if len(x) else None for i, x in enumerate(sets)], pa.binary()),
             })
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, packed text) of every row; node names the class."""
+    """(doc_id, n_shingles, digest, sig, packed text) of every row; the digest names the class."""
     return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: tidied(_signatures(it)), "doc_id long, n_shingles long, node long, sig binary, packed binary")
+        lambda it: tidied(_signatures(it)), "doc_id long, n_shingles long, digest binary, sig binary, packed binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,41 +126,125 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64), "variant": variant, "node": ids})
 
 
-def _near(group: pa.Table, similar: int) -> pa.RecordBatch | None:
-    """Pairs of a key's block, or of two of its blocks, that may be links.
+class _Forest:
+    """Unions of components, and whether one joined two of them."""
 
-    A pair within the threshold agrees in three or four symbols of some chunk. It is taken
-    only at the first such chunk, and there at the variant that leaves out the symbol in
-    which it differs (the first variant if it differs in none), so once in all.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     side = group.column("side").to_numpy()
     a = np.flatnonzero(side == 0)
     alone = group.column("x")[0] == group.column("y")[0]
-    b = a if alone else np.flatnonzero(side == 1)
-    if not len(a) or not len(b):
-        return None
+    return a, a if alone else np.flatnonzero(side == 1), alone
+
+
+def _within(group: pa.Table, a: np.ndarray, b: np.ndarray, alone: bool, similar: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different components whose sizes allow a link, with where their signatures differ."""
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(node), SYMBOLS // CHUNK, CHUNK)
-    variant = int(group.column("variant")[0].as_py())
-    chunk, left_out = divmod(variant, CHUNK)
-    found = []
     for at in np.array_split(a, -(-len(a) // 64)):
-        may = (comp[at][:, None] != comp[b]) & (node[at][:, None] != node[b])
+        may = comp[at][:, None] != comp[b]
         if alone:
             may &= node[at][:, None] < node[b]
         small, large = np.minimum(n[at][:, None], n[b]), np.maximum(n[at][:, None], n[b])
         i, j = np.nonzero(may & (100 * small >= similar * large))
         differ = sig[at[i]] != sig[b[j]]
+        near = differ.sum((1, 2)) <= THRESHOLD
+        yield at[i[near]], b[j[near]], differ[near]
+
+
+def _near(group: pa.Table, similar: int) -> pa.RecordBatch | None:
+    """Near components of a key's block, or of two of its blocks, and the classes that make them so.
+
+    A pair within the threshold agrees in three or four symbols of some chunk. It is taken
+    only at the first such chunk, and there at the variant that leaves out the symbol in
+    which it differs (the first variant if it differs in none), so once in all. A row with
+    ``b`` joins two components; a row without it names a class with a partner.
+    """
+    a, b, alone = _sides(group)
+    if not len(a) or not len(b):
+        return None
+    node, comp = (group.column(c).to_numpy() for c in ("node", "component"))
+    chunk, left_out = divmod(int(group.column("variant")[0].as_py()), CHUNK)
+    met, forest, edges = np.zeros(len(node), bool), _Forest(), []
+    for i, j, differ in _within(group, a, b, alone, similar):
         per_chunk = differ.sum(2)
         first = (per_chunk <= 1).argmax(1)
-        here = (per_chunk.sum(1) <= THRESHOLD) & (first == chunk) & (differ[:, chunk].argmax(1) == left_out) & (per_chunk[:, chunk] <= 1)
-        if here.any():
-            x, y = node[at[i[here]]], node[b[j[here]]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
-    if not found:
+        here = (first == chunk) & (differ[:, chunk].argmax(1) == left_out) & (per_chunk[:, chunk] <= 1)
+        i, j = i[here], j[here]
+        met[i] = met[j] = True
+        for x, y in np.unique(np.stack([comp[i], comp[j]], axis=1), axis=0).tolist():
+            if forest.join(x, y):
+                edges.append((x, y))
+    if not edges:
+        return None
+    nodes = node[met].tolist()
+    return pa.RecordBatch.from_pydict({
+        "a": pa.array([x for x, _ in edges] + nodes, pa.int64()), "b": pa.array([y for _, y in edges] + [None] * len(nodes), pa.int64())})
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    one, two = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
+    both = np.intersect1d(one, two)
+    rows = []
+    for sets, flat in ((left, one), (right, two)):
+        at = np.searchsorted(both, flat)
+        known = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        rows.append((at[known][order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known][order]))
+    for lo in range(0, len(both), _BLOCK):
+        part = []
+        for (at, row), sets in zip(rows, (left, right)):
+            i, j = np.searchsorted(at, [lo, lo + _BLOCK])
+            m = np.zeros((len(sets), min(_BLOCK, len(both) - lo)), np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
+def _links(group: pa.Table, similar: int) -> pa.RecordBatch | None:
+    """A spanning forest of the links between the components of a family's block, or of two of them."""
+    a, b, alone = _sides(group)
+    if not len(a) or not len(b):
+        return None
+    pairs = [(i, j) for i, j, _ in _within(group, a, b, alone, similar) if len(i)]
+    if not pairs:
         return None
-    x, y = (np.concatenate(z) for z in zip(*found))
-    return pa.RecordBatch.from_pydict({"a": x, "b": y})
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    node, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    packed, unpack = group.column("packed"), zstandard.ZstdDecompressor()
+
+    def sets(at: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k in at.tolist():
+            raw = np.frombuffer(unpack.decompress(packed[k].as_py()), np.uint8)
+            out.append(shingle_sets(raw, np.array([0, len(raw)]))[0])
+        return out
+
+    u, w = np.unique(i), np.unique(j)
+    both = _common(sets(u), sets(w))[np.searchsorted(u, i), np.searchsorted(w, j)]
+    good = 100 * both >= similar * (n[i] + n[j] - both)
+    if not good.any():
+        return None
+    ends, where = np.unique(np.stack([comp[i[good]], comp[j[good]]], axis=1), axis=0, return_index=True)
+    forest = _Forest()
+    kept = [k for (x, y), k in zip(ends.tolist(), where.tolist()) if forest.join(x, y)]
+    return pa.RecordBatch.from_pydict({"a": node[i[good][kept]], "b": node[j[good][kept]]})
 
 
 def _confirm(group: pa.Table, similar: int) -> pa.RecordBatch | None:
@@ -175,35 +264,32 @@ def _confirm(group: pa.Table, similar: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())}) if good else None
 
 
+def with_texts(member: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``member`` with the packed text of its class, which one row of the class gives."""
+    needed = staged(member.select("node").distinct().join(nodes.select("node", "digest", "doc_id"), "node"), size, "needed")
+    texts = rows.select("doc_id", "digest", "packed").join(small(needed, 64), ["digest", "doc_id"]).dropDuplicates(["node"]).select("node", "packed")
+    return member.join(texts, "node")
+
+
 def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
-    ``pairs`` has the group ``g`` of each pair, of up to 64 times 64. A group gets the texts
-    of its classes first and then its pairs.
+    The partners of an ``a`` are cut into groups of 64; a group gets the texts of its classes
+    first and then its pairs.
     """
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64))
+    pairs = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", part).alias("g"))
     member = pairs.select("g", F.col("a").alias("node")).unionByName(pairs.select("g", F.col("b").alias("node"))).distinct()
-    needed = staged(member.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), 2 * pairs.count(), "needed")
-    texts = rows.select("doc_id", "node", "packed").join(small(needed, 64), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "packed")
-    texts = member.join(texts, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    texts = with_texts(member, rows, nodes, 2 * pairs.count()).select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
     both = texts.unionByName(pairs.select("g", "a", "b", F.lit(None).cast("binary").alias("packed")))
     return by_group(both, ["g"], lambda group: _confirm(group, similar), "a long, b long", ["b"])
 
 
-def grouped(pairs: DataFrame, family: DataFrame | None = None) -> DataFrame:
-    """Groups for ``confirmed``: classes of a family, 64 at a time, on either side.
-
-    Without families every ``a`` is one of its own, and its partners are cut into 64s.
-    """
-    if family is None:
-        size = pairs.groupBy("a").agg(F.count("*").alias("n"))
-        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64))
-        return pairs.join(size, "a").select("a", "b", F.xxhash64("a", part).alias("g"))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = ends.join(family, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
-    size = ends.groupBy("family").agg(F.count("*").alias("n"))
-    block = staged(ends.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 64))).alias("block")), 2 * pairs.count(), "blocks")
-    pairs = pairs.join(block.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
-    return pairs.select("a", "b", F.xxhash64("x", "y").alias("g"))
+def in_blocks(df: DataFrame, of: Column) -> DataFrame:
+    """Rows with ``x``, ``y`` and ``side``: dealt to ``of`` blocks, each two of which meet once."""
+    dealt = df.withColumn("i", F.pmod(F.xxhash64("node"), of).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), of.cast("int") - 1)))
+    return dealt.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j")).withColumn("side", (F.col("i") > F.col("j")).cast("int")).drop("i", "j")
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -215,17 +301,20 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     if similar < SIMILAR:
         raise ValueError("the signature threshold holds from 75 on")
     rows = settle(signatures(docs), "signatures")
-    named = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    nodes = settle(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "nodes")
+    named = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # an id with several texts is one document
-    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-    links = settle(named.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct(), "links")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("doc_id", "a")
+    also = named.select("doc_id", F.col("digest").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+    ends = [nodes.select(F.col("digest").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab"]
+    links = settle(also.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "links")
     n = nodes.count()
 
     keys = nodes.select("node", "sig").mapInArrow(lambda it: tidied(_keys(it)), "key long, variant int, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
     shared = settle(keys.join(leaders, "key"), "shared")
-    tried = comp = family = None
+    tried = comp = None
     for turn in range(ROUNDS):
         met = shared.select("key", "node", "a")
         if turn:
@@ -236,11 +325,10 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         if tried is not None:
             votes = votes.join(tried, ["a", "b"], "left_anti")
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-        chosen = staged(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b", "k"), LEADERS * n, "tried")
-        family = chosen.where("k = 1").select(F.col("b").alias("node"), F.col("a").alias("family")) if family is None else family
-        new = staged(confirmed(grouped(chosen.select("a", "b")), rows, nodes, similar), LEADERS * n, "links")
+        chosen = staged(votes.withColumn("k", best).where(F.col("k") <= LEADERS).select("a", "b"), LEADERS * n, "tried")
+        new = staged(confirmed(chosen, rows, nodes, similar), LEADERS * n, "links")
         links = links.unionByName(new)
-        tried = chosen.select("a", "b") if tried is None else tried.unionByName(chosen.select("a", "b"))
+        tried = chosen if tried is None else tried.unionByName(chosen)
         comp = components(links)
         if new.count() < ENOUGH * chosen.count():
             break
@@ -248,28 +336,41 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     # what else meets under a key in different components
     at = shared.select("key", "variant", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    part = at.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("of")), "key").join(nodes.select("node", "n_shingles", "sig"), "node")
-    part = part.withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    part = part.select("key", "variant", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "component", "n_shingles", "sig")
-    near = by_group(part, ["key", "x", "y"], lambda group: _near(group, similar), "a long, b long")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = settle(near.distinct().join(done, ["a", "b"], "left_anti"), "near")
-    late = staged(confirmed(grouped(near, family), rows, nodes, similar), near.count(), "links")
+    part = at.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("of")), "key").join(nodes.select("node", "n_shingles", "sig"), "node")
+    near = settle(by_group(in_blocks(part, F.col("of")), ["key", "x", "y"], lambda group: _near(group, similar), "a long, b long"), "near")
+    family = components(near.where("b IS NOT NULL"))
+    member = near.where("b IS NULL").select(F.col("a").alias("node")).distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = member.join(family.select(F.col("node").alias("component"), F.col("component").alias("family")), "component").join(nodes.select("node", "n_shingles", "sig"), "node")
+    member = staged(member, near.count(), "members")
+    sizes = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("of"))
+    part = in_blocks(with_texts(member, rows, nodes, n).join(sizes, "family"), F.col("of"))
+    late = staged(by_group(part, ["family", "x", "y"], lambda group: _links(group, similar), "a long, b long"), near.count(), "links")
     final = comp if late.isEmpty() else components(links.unionByName(late))
     release(shared, near)
 
-    group = staged(nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), n, "groups")
+    group = staged(nodes.select("node", "digest", "doc_id").join(final, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component")), n, "groups")
     smallest = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = group.join(smallest, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
+    answer = group.join(smallest, "component").select("digest", "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest").join(answer, "digest", "left")
     alone = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", alone.cast("long").alias("component_id"), F.coalesce(alone == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """``docs`` without near duplicates: one document of each component stays."""
+    """``docs`` without near duplicates: one row of each component stays.
+
+    Of rows that repeat the id that stays, the smallest by text and then the other columns is
+    kept. Rows without an id, a text or a word are linked with nothing and stay, a repeated id
+    among them once.
+    """
     gone = near_duplicates(docs, similar).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = settle(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "again")
+    again = small(again, 16)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
 
 
 def op6_minhash(spark, sf_dir):
