@@ -152,10 +152,11 @@ def test_contextual_beta_matches_per_word_loop(spark):
             want[k, w] = v @ t / np.linalg.norm(v) / np.linalg.norm(t)
     want = np.exp(want / 0.1 - (want / 0.1).max(axis=1, keepdims=True))
     want /= want.sum(axis=1, keepdims=True)
-    c = spark.createDataFrame([(w, i, [float(x) for x in v]) for w, m in ctx.items() for i, v in enumerate(m)],
-                              "term_id int, doc_id bigint, vec array<double>")
+    rows = [(w, 100 * w + i, [float(x) for x in v]) for w, m in ctx.items() for i, v in enumerate(m)]
+    pairs = spark.createDataFrame([r[:2] for r in rows], "term_id int, doc_id bigint")
+    e = spark.createDataFrame([r[1:] for r in rows], "doc_id bigint, vec array<double>")
     s = spark.createDataFrame([(w, [float(x) for x in stat[w]]) for w in range(7)], "term_id int, vec array<double>")
-    got = {(r["topic"], r["term_id"]): r["weight"] for r in context.contextual_beta(topics, c, s, 8).collect()}
+    got = {(r["topic"], r["term_id"]): r["weight"] for r in context.contextual_beta(topics, pairs, e, s, 8).collect()}
     assert len(got) == 21 and all(got[(k, w)] == pytest.approx(want[k, w], abs=1e-9) for k in range(3) for w in range(7))
 
 

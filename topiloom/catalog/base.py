@@ -21,7 +21,6 @@ SQL: dict[str, str] = {}
 ENG = STOP_WORDS["eng"]
 MIN_DF = 5
 MAX_FEATURES = 15_000
-REPORT_TERMS = 500       # vocabulary size of the graph, metric and report queries
 TOPICS = 4
 LANGS = ("en", "fr", "de", "es")
 DIM = 64
@@ -90,24 +89,16 @@ class Data:
         return settle(V.build_vocab(self.counts, MIN_DF, MAX_FEATURES))
 
     @cached_property
-    def bow(self) -> DataFrame:
-        return V.bow(self.counts, self.vocab, MAX_FEATURES)
-
-    @cached_property
-    def rvocab(self) -> DataFrame:
-        return settle(V.build_vocab(self.counts, MIN_DF, REPORT_TERMS))
+    def n_terms(self) -> int:
+        return self.vocab.count()
 
     @cached_property
-    def n_rterms(self) -> int:
-        return self.rvocab.count()
-
-    @cached_property
-    def rbow(self) -> DataFrame:
-        return settle(V.bow(self.counts, self.rvocab, REPORT_TERMS))
+    def bow(self) -> DataFrame:
+        return settle(V.bow(self.counts, self.vocab, MAX_FEATURES))
 
     @cached_property
-    def rrows(self) -> DataFrame:
-        return settle(V.doc_rows(self.rbow))
+    def rows(self) -> DataFrame:
+        return settle(V.doc_rows(self.bow))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -128,7 +119,7 @@ class Data:
 
     @cached_property
     def vpairs(self) -> DataFrame:
-        return settle(deps.map_vocab(self.pairs, self.rvocab, REPORT_TERMS))
+        return settle(deps.map_vocab(self.pairs, self.vocab, MAX_FEATURES))
 
     @cached_property
     def syntax(self) -> DataFrame:
@@ -152,7 +143,7 @@ class Data:
 
     @cached_property
     def beta(self) -> DataFrame:
-        return settle(V.pseudo_beta(self.rbow, self.theta))
+        return settle(V.pseudo_beta(self.bow, self.theta))
 
     @cached_property
     def phi(self) -> DataFrame:
@@ -171,7 +162,7 @@ class Data:
         """The stored vectors, one per vocabulary word by id."""
         emb = self.table("embeddings").select(
             F.col("vec_id").cast("int").alias("term_id"), F.col("embedding").cast("array<double>").alias("vec"))
-        return settle(self.rvocab.select("term_id", "term").join(emb, "term_id"))
+        return settle(self.vocab.select("term_id", "term").join(emb, "term_id"))
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -180,7 +171,7 @@ class Data:
 
     @cached_property
     def topic_vectors(self) -> DataFrame:
-        return settle(vectors.topic_vectors(self.phi, self.word_vectors, DIM, REPORT_TERMS, True))
+        return settle(vectors.topic_vectors(self.phi, self.word_vectors, DIM, MAX_FEATURES, True))
 
     @cached_property
     def topic_list(self) -> list[tuple[int, list[float]]]:
@@ -258,8 +249,6 @@ CTES = {
     "counts": "counts AS (SELECT doc_id, term, count(*) AS cnt FROM tok GROUP BY 1, 2)",
     "vocab": vocab_sql("vocab", MAX_FEATURES),
     "bow": "bow AS (SELECT doc_id, term_id, term, cnt FROM counts JOIN vocab USING (term))",
-    "rvocab": vocab_sql("rvocab", REPORT_TERMS),
-    "rbow": "rbow AS (SELECT doc_id, term_id, term, cnt FROM counts JOIN rvocab USING (term))",
     "sents": f"""sents AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent_id FROM (
   SELECT doc_id, list_filter(string_split(regexp_replace({ws('text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)),
   lambda z: z <> '') AS ss FROM documents))""",
@@ -276,7 +265,7 @@ CTES = {
   AND dep IN ('compound','amod','nsubj','obj','nmod') GROUP BY 1, 2, 3)""",
     "pairs": "pairs AS (SELECT head, dependent, CAST(sum(cnt) AS BIGINT) AS cnt FROM triples GROUP BY 1, 2)",
     "vpairs": """vpairs AS (SELECT a.term_id AS src, b.term_id AS dst, CAST(cnt AS DOUBLE) AS weight FROM pairs
-  JOIN rvocab a ON head = a.term JOIN rvocab b ON dependent = b.term)""",
+  JOIN vocab a ON head = a.term JOIN vocab b ON dependent = b.term)""",
     "sym": """sym AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM vpairs WHERE src <> dst
   UNION ALL SELECT dst, src, weight FROM vpairs WHERE src <> dst) GROUP BY 1, 2)""",
     "syntax": """topk AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r
@@ -287,7 +276,7 @@ theta AS (""" + " UNION ALL ".join(
         f"SELECT doc_id, {k} AS topic, r{k} / (r0 + r1 + r2 + r3) AS weight FROM thw" for k in range(TOPICS)) + ")",
     "dom": """dom AS (SELECT doc_id, topic, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
   ORDER BY weight DESC, topic) AS r FROM theta) WHERE r = 1)""",
-    "beta": """beta AS (SELECT topic, term_id, term, sum(cnt * weight) AS weight FROM rbow JOIN theta USING (doc_id)
+    "beta": """beta AS (SELECT topic, term_id, term, sum(cnt * weight) AS weight FROM bow JOIN theta USING (doc_id)
   GROUP BY 1, 2, 3)""",
     "phi": "phi AS (SELECT topic, term_id, term, round(weight / sum(weight) OVER (PARTITION BY topic), 12) AS weight FROM beta)",
     "words": """words AS (SELECT topic, CAST(rank AS INTEGER) AS rank, term, term_id, weight FROM (SELECT *, row_number() OVER (
@@ -301,7 +290,7 @@ mwes AS (SELECT topic, CAST(rank AS INTEGER) AS rank, phrase, relation, score, c
     SELECT *, row_number() OVER (PARTITION BY topic, phrase ORDER BY score DESC, relation) AS r FROM mscore)
   WHERE r = 1) WHERE rank <= 15)""",
     "wv": """wv AS (SELECT term_id, term, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec
-  FROM rvocab JOIN embeddings ON vec_id = term_id)""",
+  FROM vocab JOIN embeddings ON vec_id = term_id)""",
     "wvx": "wvx AS (SELECT term_id, term, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM wv)",
     "demb": """demb AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label
   FROM embeddings)""",
@@ -315,10 +304,10 @@ tv AS (SELECT topic, list(x / n ORDER BY i) AS vec FROM tvx JOIN (SELECT topic,
 }
 NEEDS = {
     "tok": ["lists"], "counts": ["tok"], "vocab": ["counts"], "bow": ["counts", "vocab"],
-    "rvocab": ["counts"], "rbow": ["counts", "rvocab"], "stok": ["sents"], "res": ["stok"],
-    "triples": ["res"], "pairs": ["triples"], "vpairs": ["pairs", "rvocab"], "sym": ["vpairs"],
-    "syntax": ["sym"], "dom": ["theta"], "beta": ["rbow", "theta"], "phi": ["beta"], "words": ["phi"],
-    "mwes": ["triples", "words"], "wv": ["rvocab"], "wvx": ["wv"], "tv": ["phi", "wvx"],
+    "stok": ["sents"], "res": ["stok"],
+    "triples": ["res"], "pairs": ["triples"], "vpairs": ["pairs", "vocab"], "sym": ["vpairs"],
+    "syntax": ["sym"], "dom": ["theta"], "beta": ["bow", "theta"], "phi": ["beta"], "words": ["phi"],
+    "mwes": ["triples", "words"], "wv": ["vocab"], "wvx": ["wv"], "tv": ["phi", "wvx"],
 }
 
 

@@ -9,7 +9,7 @@ from ..functions.wordlists import CONNECTOR_WORDS
 from ..operators import cooc, corpus, deps, graphs, vectors
 from ..operators import vocab as V
 from ..session import cut_lineage
-from .base import (DIM, ENG, MAX_FEATURES, REPORT_TERMS, STOPS, TOPICS, query, sql, u01, wordlist)
+from .base import (DIM, ENG, MAX_FEATURES, STOPS, TOPICS, query, sql, u01, wordlist)
 from .texts import BIGRAMS, ascii_lists
 
 # -- vocabulary and weights --------------------------------------------------------
@@ -62,18 +62,18 @@ def voc_tfidf(d):
     return V.tfidf(d.bow, d.n_docs, MAX_FEATURES)
 
 
-@query("voc_bow_doc_mask", sql("rbow", "SELECT doc_id, doc_id IN (SELECT doc_id FROM rbow) AS kept FROM documents"))
+@query("voc_bow_doc_mask", sql("bow", "SELECT doc_id, doc_id IN (SELECT doc_id FROM bow) AS kept FROM documents"))
 def voc_bow_doc_mask(d):
-    return V.document_mask(d.documents, d.rbow)
+    return V.document_mask(d.documents, d.bow)
 
 
-CTFIDF = """cls AS (SELECT topic, term, CAST(sum(cnt) AS BIGINT) AS n FROM rbow JOIN dom USING (doc_id) GROUP BY 1, 2),
+CTFIDF = """cls AS (SELECT topic, term, CAST(sum(cnt) AS BIGINT) AS n FROM bow JOIN dom USING (doc_id) GROUP BY 1, 2),
 ctf AS (SELECT topic, term, n / greatest(sum(n) OVER (PARTITION BY topic), 1)::DOUBLE * ln(1 + 4 / (count(*) OVER (PARTITION BY term))::DOUBLE) AS weight FROM cls)"""
 
 
-@query("voc_ctfidf", sql("rbow dom", "SELECT topic, term, weight FROM ctf", "weight", extra=CTFIDF))
+@query("voc_ctfidf", sql("bow dom", "SELECT topic, term, weight FROM ctf", "weight", extra=CTFIDF))
 def voc_ctfidf(d):
-    return V.ctfidf(d.rbow, d.dominant, TOPICS)
+    return V.ctfidf(d.bow, d.dominant, TOPICS)
 
 
 @query("voc_pseudo_beta", sql("beta", "SELECT topic, term_id, term, weight FROM beta", "weight"))
@@ -102,21 +102,21 @@ def _edges(mode: str, name: str) -> str:
     rels = {"filtered": "('compound','amod','nsubj','obj','nmod')",
             "full_dep": "('compound','amod','nsubj','obj','nmod','advmod')"}[mode]
     return f"""{name} AS (SELECT s.term_id AS src, t.term_id AS dst, dep AS relation, head_lemma AS head, lemma AS dependent, count(*) AS mult
-  FROM res JOIN rvocab s ON lemma = s.term JOIN rvocab t ON head_lemma = t.term
+  FROM res JOIN vocab s ON lemma = s.term JOIN vocab t ON head_lemma = t.term
   WHERE NOT is_stop AND is_alpha AND length(lemma) >= 3 AND NOT head_stop AND head_alpha AND head_lemma <> lemma AND dep IN {rels}
   GROUP BY 1, 2, 3, 4, 5)"""
 
 
 def _directed(d, mode="filtered"):
-    return deps.directed_edges(d.resolved, d.rvocab, REPORT_TERMS, mode)
+    return deps.directed_edges(d.resolved, d.vocab, MAX_FEATURES, mode)
 
 
-@query("dep_pairs_neural", sql("res rvocab", "SELECT * FROM de", extra=_edges("filtered", "de")))
+@query("dep_pairs_neural", sql("res vocab", "SELECT * FROM de", extra=_edges("filtered", "de")))
 def dep_pairs_neural(d):
     return _directed(d)
 
 
-@query("dep_relation_sets", sql("res rvocab", """SELECT 'filtered' AS mode, count(*) AS n, CAST(sum(mult) AS BIGINT) AS n_edges FROM de
+@query("dep_relation_sets", sql("res vocab", """SELECT 'filtered' AS mode, count(*) AS n, CAST(sum(mult) AS BIGINT) AS n_edges FROM de
 UNION ALL SELECT 'full_dep', count(*), CAST(sum(mult) AS BIGINT) FROM fe UNION ALL SELECT 'no_syntax', 0, 0 UNION ALL SELECT 'none', 0, 0""",
                                 extra=_edges("filtered", "de") + ",\n" + _edges("full_dep", "fe")))
 def dep_relation_sets(d):
@@ -128,7 +128,7 @@ def dep_relation_sets(d):
     return out
 
 
-@query("dep_relation_dist", sql("res rvocab", "SELECT relation, CAST(sum(mult) AS BIGINT) AS cnt FROM fe GROUP BY 1",
+@query("dep_relation_dist", sql("res vocab", "SELECT relation, CAST(sum(mult) AS BIGINT) AS cnt FROM fe GROUP BY 1",
                                 extra=_edges("full_dep", "fe")))
 def dep_relation_dist(d):
     return deps.relation_counts(_directed(d, "full_dep")).orderBy(F.desc("cnt"))
@@ -139,10 +139,10 @@ def dep_map_vocab(d):
     return d.vpairs
 
 
-@query("dep_doc_word", sql("stok rvocab", """SELECT term_id, doc_id, count(*) AS n FROM stok JOIN rvocab ON lemma = term
+@query("dep_doc_word", sql("stok vocab", """SELECT term_id, doc_id, count(*) AS n FROM stok JOIN vocab ON lemma = term
 WHERE NOT is_stop AND is_alpha AND length(lemma) >= 3 GROUP BY 1, 2"""))
 def dep_doc_word(d):
-    edges = deps.doc_word_edges(d.tokens, d.rvocab, REPORT_TERMS)
+    edges = deps.doc_word_edges(d.tokens, d.vocab, MAX_FEATURES)
     return deps.reverse_edges(edges).groupBy("term_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,10 +153,10 @@ def gr_syntax(d):
     return d.syntax
 
 
-@query("gr_degree", sql("syntax rvocab", """SELECT v.term_id, coalesce(sum(weight), 0.0) AS degree FROM rvocab v LEFT JOIN syntax
+@query("gr_degree", sql("syntax vocab", """SELECT v.term_id, coalesce(sum(weight), 0.0) AS degree FROM vocab v LEFT JOIN syntax
 ON src = v.term_id GROUP BY 1""", "degree"))
 def gr_degree(d):
-    return graphs.degree(d.syntax, d.rvocab, REPORT_TERMS)
+    return graphs.degree(d.syntax, d.vocab, MAX_FEATURES)
 
 
 KNN = """knn AS (SELECT src, dst, greatest(s, 0.0) AS weight FROM (SELECT a.term_id AS src, b.term_id AS dst,
@@ -170,15 +170,15 @@ def gr_knn(d):
     return graphs.knn_graph(d.word_vectors, 15)
 
 
-@query("gr_pmi_sparsify", sql("res rvocab rbow", """SELECT src, dst, mult, ppmi FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(ppmi, 9) DESC, dst) AS r FROM (
+@query("gr_pmi_sparsify", sql("res vocab bow", """SELECT src, dst, mult, ppmi FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(ppmi, 9) DESC, dst) AS r FROM (
   SELECT src, dst, mult, ln(co * (SELECT count(*) FROM documents)::DOUBLE / (ds.df * dd.df)) AS ppmi FROM (
     SELECT e.src, e.dst, mult, count(*) AS co FROM (SELECT src, dst, CAST(sum(mult) AS BIGINT) AS mult FROM de GROUP BY 1, 2) e
-    JOIN rbow a ON a.term_id = e.src JOIN rbow b ON b.term_id = e.dst AND a.doc_id = b.doc_id GROUP BY 1, 2, 3)
-  JOIN (SELECT term_id, count(*) AS df FROM rbow GROUP BY 1) ds ON ds.term_id = src
-  JOIN (SELECT term_id, count(*) AS df FROM rbow GROUP BY 1) dd ON dd.term_id = dst) WHERE ppmi > 0) WHERE r <= 15""",
+    JOIN bow a ON a.term_id = e.src JOIN bow b ON b.term_id = e.dst AND a.doc_id = b.doc_id GROUP BY 1, 2, 3)
+  JOIN (SELECT term_id, count(*) AS df FROM bow GROUP BY 1) ds ON ds.term_id = src
+  JOIN (SELECT term_id, count(*) AS df FROM bow GROUP BY 1) dd ON dd.term_id = dst) WHERE ppmi > 0) WHERE r <= 15""",
                               "ppmi", extra=_edges("filtered", "de")))
 def gr_pmi_sparsify(d):
-    scored = graphs.pmi_sparsify(_directed(d), d.rrows, d.n_docs, 0, REPORT_TERMS)
+    scored = graphs.pmi_sparsify(_directed(d), d.rows, d.n_docs, 0, MAX_FEATURES)
     return graphs.top_k_edges(scored.withColumn("r9", F.round("ppmi", 9)), 15, by="r9").drop("r9")
 
 
@@ -189,13 +189,13 @@ def gr_control_swap(d):
     return control.distinct().groupBy(F.col("src").alias("term_id")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query("gr_control_permute", sql("syntax rvocab", """SELECT a.n AS src, b.n AS dst, weight FROM syntax JOIN perm a ON src = a.term_id
-JOIN perm b ON dst = b.term_id""", "weight", extra=f"""perm AS (SELECT term_id, CAST(row_number() OVER (ORDER BY {u01(1, 'term_id')}, term_id) - 1 AS INTEGER) AS n FROM rvocab)"""))
+@query("gr_control_permute", sql("syntax vocab", """SELECT a.n AS src, b.n AS dst, weight FROM syntax JOIN perm a ON src = a.term_id
+JOIN perm b ON dst = b.term_id""", "weight", extra=f"""perm AS (SELECT term_id, CAST(row_number() OVER (ORDER BY {u01(1, 'term_id')}, term_id) - 1 AS INTEGER) AS n FROM vocab)"""))
 def gr_control_permute(d):
-    return graphs.permuted_graph(d.syntax, d.rvocab, 1, REPORT_TERMS)
+    return graphs.permuted_graph(d.syntax, d.vocab, 1, MAX_FEATURES)
 
 
-@query("gr_control_directed", sql("res rvocab", """SELECT n.term_id, coalesce(o.n_out, 0) AS n_out, coalesce(i.n_in, 0) AS n_in FROM
+@query("gr_control_directed", sql("res vocab", """SELECT n.term_id, coalesce(o.n_out, 0) AS n_out, coalesce(i.n_in, 0) AS n_in FROM
   (SELECT src AS term_id FROM de UNION SELECT dst FROM de) n LEFT JOIN (SELECT src, count(*) AS n_out FROM me GROUP BY 1) o ON n.term_id = o.src
   LEFT JOIN (SELECT dst, count(*) AS n_in FROM me GROUP BY 1) i ON n.term_id = i.dst""",
                                   extra=_edges("filtered", "de") + ",\nme AS (SELECT src, dst FROM de GROUP BY 1, 2)"))
@@ -208,16 +208,16 @@ def gr_control_directed(d):
                                                F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
-@query("gr_stats", sql("res rvocab syntax", f"""SELECT (SELECT count(*) FROM rvocab) AS n_nodes, (SELECT count(*) // 2 FROM syntax) AS n_edges,
-  n_dw, n_ww, 2 * n_dw + n_ww AS effective_edges FROM (SELECT count(*) AS n_dw FROM stok JOIN rvocab ON lemma = term
+@query("gr_stats", sql("res vocab syntax", f"""SELECT (SELECT count(*) FROM vocab) AS n_nodes, (SELECT count(*) // 2 FROM syntax) AS n_edges,
+  n_dw, n_ww, 2 * n_dw + n_ww AS effective_edges FROM (SELECT count(*) AS n_dw FROM stok JOIN vocab ON lemma = term
   WHERE NOT is_stop AND is_alpha AND length(lemma) >= 3), (SELECT CAST(sum(mult) AS BIGINT) AS n_ww FROM de)""", extra=_edges("filtered", "de")))
 def gr_stats(d):
-    return graphs.graph_stats(d.rvocab, d.syntax, deps.doc_word_edges(d.tokens, d.rvocab, REPORT_TERMS), _directed(d))
+    return graphs.graph_stats(d.vocab, d.syntax, deps.doc_word_edges(d.tokens, d.vocab, MAX_FEATURES), _directed(d))
 
 
 # -- co-occurrence -----------------------------------------------------------------
 
-SEQ = """seq AS (SELECT doc_id, term_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM tok JOIN rvocab USING (term))"""
+SEQ = """seq AS (SELECT doc_id, term_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM tok JOIN vocab USING (term))"""
 
 
 def _window_sql(name: str, w: int) -> str:
@@ -227,10 +227,10 @@ def _window_sql(name: str, w: int) -> str:
 
 
 def sequences(d):
-    return cooc.id_lists(d.lists, d.rvocab, REPORT_TERMS)
+    return cooc.id_lists(d.lists, d.vocab, MAX_FEATURES)
 
 
-@query("co_window", sql("tok rvocab", "SELECT src, dst, cnt FROM cw", extra=SEQ + ",\n" + _window_sql("cw", 10)))
+@query("co_window", sql("tok vocab", "SELECT src, dst, cnt FROM cw", extra=SEQ + ",\n" + _window_sql("cw", 10)))
 def co_window(d):
     return cooc.window(sequences(d), 10)
 
@@ -240,16 +240,16 @@ pw AS (SELECT src, dst, value FROM (SELECT cw.src, cw.dst, ln(cnt * (SELECT sum(
   JOIN wc a ON a.src = cw.src JOIN wc b ON b.src = cw.dst) WHERE value > 0)"""
 
 
-@query("co_window_ppmi", sql("tok rvocab", "SELECT src, dst, value FROM pw WHERE value > 1e-9", "value",
+@query("co_window_ppmi", sql("tok vocab", "SELECT src, dst, value FROM pw WHERE value > 1e-9", "value",
                              extra=SEQ + ",\n" + _window_sql("cw", 5) + ",\n" + PPMI_W))
 def co_window_ppmi(d):
-    return vectors.ppmi_cells(cooc.window(sequences(d), 5), REPORT_TERMS).where("value > 1e-9")
+    return vectors.ppmi_cells(cooc.window(sequences(d), 5), MAX_FEATURES).where("value > 1e-9")
 
 
-@query("co_documents", sql("rbow", """SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM rbow a JOIN rbow b
+@query("co_documents", sql("bow", """SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM bow a JOIN bow b
 ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1, 2"""))
 def co_documents(d):
-    return cooc.documents(d.rrows)
+    return cooc.documents(d.rows)
 
 
 @query("co_bigrams", sql("", "SELECT w1, w2, cnt FROM abi", extra=BIGRAMS))
@@ -288,45 +288,45 @@ def co_phrases(d):
         F.count(F.lit(1)).alias("n"))
 
 
-DCOOC = """dc AS (SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM rbow a JOIN rbow b
+DCOOC = """dc AS (SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM bow a JOIN bow b
   ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1, 2)"""
 
 
-@query("co_npmi_matrix", sql("rbow", """SELECT dc.src, dc.dst, ln(cnt * (SELECT sum(c) FROM m) / (a.c * b.c)) / -ln(cnt / (SELECT sum(c) FROM m)) AS npmi
+@query("co_npmi_matrix", sql("bow", """SELECT dc.src, dc.dst, ln(cnt * (SELECT sum(c) FROM m) / (a.c * b.c)) / -ln(cnt / (SELECT sum(c) FROM m)) AS npmi
 FROM dc JOIN m a ON a.src = dc.src JOIN m b ON b.src = dc.dst""", "npmi",
                              extra=DCOOC + ",\nm AS (SELECT src, sum(cnt)::DOUBLE AS c FROM dc GROUP BY 1)"))
 def co_npmi_matrix(d):
-    return cooc.npmi_cells(cooc.documents(d.rrows), REPORT_TERMS)
+    return cooc.npmi_cells(cooc.documents(d.rows), MAX_FEATURES)
 
 
-PPMI_D = """pd AS (SELECT dc.src, dc.dst, ln(cnt / n / ((a.df / n) * (b.df / n) + 1e-10) + 1e-10) AS ppmi FROM dc JOIN rvocab a ON a.term_id = dc.src
-  JOIN rvocab b ON b.term_id = dc.dst, (SELECT count(*)::DOUBLE AS n FROM documents) WHERE dc.src < dc.dst)"""
+PPMI_D = """pd AS (SELECT dc.src, dc.dst, ln(cnt / n / ((a.df / n) * (b.df / n) + 1e-10) + 1e-10) AS ppmi FROM dc JOIN vocab a ON a.term_id = dc.src
+  JOIN vocab b ON b.term_id = dc.dst, (SELECT count(*)::DOUBLE AS n FROM documents) WHERE dc.src < dc.dst)"""
 
 
-@query("co_ppmi_doc", sql("rbow rvocab", "SELECT src, dst, ppmi FROM pd WHERE ppmi > 1e-7", "ppmi", extra=DCOOC + ",\n" + PPMI_D))
+@query("co_ppmi_doc", sql("bow vocab", "SELECT src, dst, ppmi FROM pd WHERE ppmi > 1e-7", "ppmi", extra=DCOOC + ",\n" + PPMI_D))
 def co_ppmi_doc(d):
-    return cooc.ppmi_documents(d.rrows, d.rvocab, d.n_docs, REPORT_TERMS).where("ppmi > 1e-7")
+    return cooc.ppmi_documents(d.rows, d.vocab, d.n_docs, MAX_FEATURES).where("ppmi > 1e-7")
 
 
 # -- vectors -----------------------------------------------------------------------
 
 @query("vec_ppmi_svd")
 def vec_ppmi_svd(d):
-    cells = vectors.ppmi_cells(cooc.window(sequences(d), 5), REPORT_TERMS)
-    return vectors.svd_vectors(cells, d.n_rterms, 20).select(
+    cells = vectors.ppmi_cells(cooc.window(sequences(d), 5), MAX_FEATURES)
+    return vectors.svd_vectors(cells, d.n_terms, 20).select(
         "term_id", F.size("vec").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("sq_norm"))
 
 
 @query("vec_skipgram")
 def vec_skipgram(d):
-    known = cooc.id_lists(d.lists, d.rvocab, REPORT_TERMS)
-    names = d.rvocab.select("term").orderBy("term_id")
+    known = cooc.id_lists(d.lists, d.vocab, MAX_FEATURES)
+    names = d.vocab.select("term").orderBy("term_id")
     terms = [r["term"] for r in names.collect()]
     back = F.array(*[F.lit(t) for t in terms])
     lists = known.select("doc_id", F.transform("seq", lambda i: F.element_at(back, i + 1)).alias("tokens"))
-    inside = d.triples.join(d.rvocab.select(F.col("term").alias("head")), "head", "left_semi").join(
-        d.rvocab.select(F.col("term").alias("dependent")), "dependent", "left_semi")
-    out = vectors.skipgram_vectors(lists, inside, d.rvocab, dim=20, epochs=1)
+    inside = d.triples.join(d.vocab.select(F.col("term").alias("head")), "head", "left_semi").join(
+        d.vocab.select(F.col("term").alias("dependent")), "dependent", "left_semi")
+    out = vectors.skipgram_vectors(lists, inside, d.vocab, dim=20, epochs=1)
     return out.select("term_id", "term", F.size("vec").alias("dim"), "missing")
 
 
@@ -342,11 +342,11 @@ def _long(df, key, n=DIM):
     return df.select(*([key] if isinstance(key, str) else key), F.posexplode("vec").alias("i", "x"))
 
 
-@query("vec_document", sql("rbow wvx", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, coalesce(x, 0.0) AS x FROM (SELECT doc_id, i FROM documents, (SELECT unnest(range(1, 65)) AS i))
-LEFT JOIN (SELECT doc_id, i, sum(cnt * x) / max(t) AS x FROM rbow JOIN (SELECT doc_id, sum(cnt) AS t FROM rbow GROUP BY 1) USING (doc_id)
+@query("vec_document", sql("bow wvx", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, coalesce(x, 0.0) AS x FROM (SELECT doc_id, i FROM documents, (SELECT unnest(range(1, 65)) AS i))
+LEFT JOIN (SELECT doc_id, i, sum(cnt * x) / max(t) AS x FROM bow JOIN (SELECT doc_id, sum(cnt) AS t FROM bow GROUP BY 1) USING (doc_id)
   JOIN wvx USING (term_id) GROUP BY 1, 2) USING (doc_id, i)""", "x"))
 def vec_document(d):
-    return _long(vectors.document_vectors(d.documents, d.rbow, d.word_vectors, DIM, REPORT_TERMS), "doc_id")
+    return _long(vectors.document_vectors(d.documents, d.bow, d.word_vectors, DIM, MAX_FEATURES), "doc_id")
 
 
 @query("vec_topic", sql("tv", "SELECT topic, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS i, unnest(vec) AS x FROM tv", "x"))
@@ -362,7 +362,7 @@ def vec_topic_words(d):
 @query("vec_phrase", sql("triples wvx", """SELECT head || ' ' || dependent AS phrase, relation, CAST(a.i - 1 AS INTEGER) AS i, (a.x + b.x) / 2 AS x
 FROM triples JOIN wvx a ON head = a.term JOIN wvx b ON dependent = b.term AND a.i = b.i WHERE cnt >= 5""", "x"))
 def vec_phrase(d):
-    return _long(vectors.phrase_vectors(d.triples, d.word_vectors, REPORT_TERMS), ["phrase", "relation"])
+    return _long(vectors.phrase_vectors(d.triples, d.word_vectors, MAX_FEATURES), ["phrase", "relation"])
 
 
 @query("vec_project2d")

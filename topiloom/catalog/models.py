@@ -13,7 +13,7 @@ from ..operators import vocab as V
 from ..plans import fit as fits
 from ..plans import grid
 from ..session import settle, stage_path
-from .base import (DIM, ENG, MAX_FEATURES, MIN_DF, REPORT_TERMS, STOPS, TOPICS, query, sql, u01, wordlist)
+from .base import (DIM, ENG, MAX_FEATURES, MIN_DF, STOPS, TOPICS, query, sql, u01, wordlist)
 from .graphs import CTFIDF, joined_lists
 from .texts import BIGRAMS, CTX
 from .graphs import JOINED, PHRASES
@@ -24,7 +24,7 @@ K = TOPICS
 
 def _fit(d, k=K, **kw):
     args = {"max_iter": ITER, "tol": 1e-4, "init": "svd"} | kw
-    return nmf.fit(d.rrows, d.n_rterms, k, **args)
+    return nmf.fit(d.rows, d.n_terms, k, **args)
 
 
 def fitted(d):
@@ -37,28 +37,28 @@ def fitted(d):
 def syntax_arrays(d):
     from ..operators import graphs
 
-    return graphs.edge_arrays(d.syntax, d.n_rterms, 15)
+    return graphs.edge_arrays(d.syntax, d.n_terms, 15)
 
 
 # An arithmetic start gives both engines the same factors for one update step.
 def start_w(d):
     w = F.array(*[((F.col("doc_id") * 7919 + k * 104729) % 10007 + 1) / F.lit(10007.0) for k in range(K)])
-    return d.rrows.select("doc_id", w.alias("w"))
+    return d.rows.select("doc_id", w.alias("w"))
 
 
 def start_h(d):
     h = F.array(*[((F.col("term_id") * 7907 + k * 103) % 1009 + 1) / F.lit(1009.0) for k in range(K)])
-    return d.rvocab.select("term_id", h.alias("h"))
+    return d.vocab.select("term_id", h.alias("h"))
 
 
-START = f"""w0 AS (SELECT doc_id, k, ((doc_id * 7919 + k * 104729) % 10007 + 1) / 10007.0::DOUBLE AS w FROM (SELECT DISTINCT doc_id FROM rbow), (SELECT unnest(range({K})) AS k)),
-h0 AS (SELECT term_id, k, ((term_id * 7907 + k * 103) % 1009 + 1) / 1009.0::DOUBLE AS h FROM rvocab, (SELECT unnest(range({K})) AS k)),
-wh0 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM rbow JOIN w0 USING (doc_id) JOIN h0 USING (term_id, k) GROUP BY 1, 2, 3),
+START = f"""w0 AS (SELECT doc_id, k, ((doc_id * 7919 + k * 104729) % 10007 + 1) / 10007.0::DOUBLE AS w FROM (SELECT DISTINCT doc_id FROM bow), (SELECT unnest(range({K})) AS k)),
+h0 AS (SELECT term_id, k, ((term_id * 7907 + k * 103) % 1009 + 1) / 1009.0::DOUBLE AS h FROM vocab, (SELECT unnest(range({K})) AS k)),
+wh0 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM bow JOIN w0 USING (doc_id) JOIN h0 USING (term_id, k) GROUP BY 1, 2, 3),
 num0 AS (SELECT term_id, k, sum(cnt / wh * w) AS num FROM wh0 JOIN w0 USING (doc_id) GROUP BY 1, 2),
 den0 AS (SELECT k, sum(w) AS den FROM w0 GROUP BY 1)"""
 GRAPH = """ha AS (SELECT e.src AS term_id, k, sum(weight * h) AS ha, sum(weight) AS deg FROM syntax e JOIN h0 ON e.dst = h0.term_id GROUP BY 1, 2)"""
 H1 = """h1 AS (SELECT term_id, k, h * num / (den + 1e-10) AS h FROM h0 JOIN num0 USING (term_id, k) JOIN den0 USING (k)),
-wh1 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM rbow JOIN w0 USING (doc_id) JOIN h1 USING (term_id, k) GROUP BY 1, 2, 3),
+wh1 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM bow JOIN w0 USING (doc_id) JOIN h1 USING (term_id, k) GROUP BY 1, 2, 3),
 w1 AS (SELECT doc_id, k, w * n / (s + 1e-10) AS w FROM w0 JOIN (SELECT doc_id, k, sum(cnt / wh * h) AS n FROM wh1 JOIN h1 USING (term_id) GROUP BY 1, 2) USING (doc_id, k)
   JOIN (SELECT k, sum(h) AS s FROM h1 GROUP BY 1) USING (k))"""
 
@@ -69,42 +69,42 @@ def _wide(df, key, col, name="value"):
 
 @query("nmf_init")
 def nmf_init(d):
-    start, ht = nmf.init_factors(d.rrows.withColumn("dw", F.lit(1.0)), K, d.n_rterms)
+    start, ht = nmf.init_factors(d.rows.withColumn("dw", F.lit(1.0)), K, d.n_terms)
     if not (np.isfinite(ht).all() and (ht >= 0).all()):
         raise RuntimeError("initial topics must be finite and non-negative")
     return start.select("doc_id", F.posexplode("w").alias("topic", "weight"))
 
 
-@query("nmf_kl", sql("rbow rvocab", "SELECT doc_id AS id, 'w' AS factor, CAST(k AS INTEGER) AS k, w AS value FROM w1 UNION ALL SELECT term_id, 'h', CAST(k AS INTEGER), h FROM h1",
+@query("nmf_kl", sql("bow vocab", "SELECT doc_id AS id, 'w' AS factor, CAST(k AS INTEGER) AS k, w AS value FROM w1 UNION ALL SELECT term_id, 'h', CAST(k AS INTEGER), h FROM h1",
                      "value", extra=START + ",\n" + H1))
 def nmf_kl(d):
     w, h = start_w(d), start_h(d)
-    h1 = nmf.kl_h_step(d.rbow, w, h, K, h_rows=REPORT_TERMS)
-    w1 = nmf.kl_w_step(d.rbow, w, h1, K, h_rows=REPORT_TERMS)
+    h1 = nmf.kl_h_step(d.bow, w, h, K, h_rows=MAX_FEATURES)
+    w1 = nmf.kl_w_step(d.bow, w, h1, K, h_rows=MAX_FEATURES)
     return _wide(w1, "doc_id", "w").select(F.col("doc_id").alias("id"), F.lit("w").alias("factor"), "k", "value").unionByName(
         _wide(h1, "term_id", "h").select(F.col("term_id").cast("bigint").alias("id"), F.lit("h").alias("factor"), "k", "value"))
 
 
-@query("nmf_frobenius", sql("rbow rvocab", "SELECT term_id, CAST(k AS INTEGER) AS k, h * coalesce(num, 0) / (den + 1e-10) AS value FROM h0 LEFT JOIN fn USING (term_id, k) JOIN fd USING (term_id, k)",
+@query("nmf_frobenius", sql("bow vocab", "SELECT term_id, CAST(k AS INTEGER) AS k, h * coalesce(num, 0) / (den + 1e-10) AS value FROM h0 LEFT JOIN fn USING (term_id, k) JOIN fd USING (term_id, k)",
                             "value", extra=START + """,
-fn AS (SELECT term_id, k, sum(cnt * w) AS num FROM rbow JOIN w0 USING (doc_id) GROUP BY 1, 2),
+fn AS (SELECT term_id, k, sum(cnt * w) AS num FROM bow JOIN w0 USING (doc_id) GROUP BY 1, 2),
 gram AS (SELECT a.k AS k, b.k AS j, sum(a.w * b.w) AS g FROM w0 a JOIN w0 b USING (doc_id) GROUP BY 1, 2),
 fd AS (SELECT term_id, gram.k AS k, sum(g * h) AS den FROM gram JOIN h0 ON gram.j = h0.k GROUP BY 1, 2)"""))
 def nmf_frobenius(d):
-    return _wide(nmf.frobenius_h_step(d.rbow, start_w(d), start_h(d), K, REPORT_TERMS), "term_id", "h")
+    return _wide(nmf.frobenius_h_step(d.bow, start_w(d), start_h(d), K, MAX_FEATURES), "term_id", "h")
 
 
-@query("nmf_graph_term", sql("rbow rvocab syntax", """SELECT term_id, CAST(k AS INTEGER) AS k, h * (num + 0.1 * coalesce(ha, 0)) / (den + 0.1 * h * coalesce(deg, 0) + 1e-10) AS value
+@query("nmf_graph_term", sql("bow vocab syntax", """SELECT term_id, CAST(k AS INTEGER) AS k, h * (num + 0.1 * coalesce(ha, 0)) / (den + 0.1 * h * coalesce(deg, 0) + 1e-10) AS value
 FROM h0 JOIN num0 USING (term_id, k) JOIN den0 USING (k) LEFT JOIN ha USING (term_id, k)""", "value", extra=START + ",\n" + GRAPH))
 def nmf_graph_term(d):
-    return _wide(nmf.kl_h_step(d.rbow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], REPORT_TERMS), "term_id", "h")
+    return _wide(nmf.kl_h_step(d.bow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], MAX_FEATURES), "term_id", "h")
 
 
-@query("nmf_objective", sql("rbow rvocab syntax", """SELECT round((SELECT sum(cnt * (ln(cnt::DOUBLE) - ln(wh)) - cnt) FROM wh0) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w0 GROUP BY 1) a
+@query("nmf_objective", sql("bow vocab syntax", """SELECT round((SELECT sum(cnt * (ln(cnt::DOUBLE) - ln(wh)) - cnt) FROM wh0) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w0 GROUP BY 1) a
   JOIN (SELECT k, sum(h) AS s FROM h0 GROUP BY 1) b USING (k)) + 0.1 * (SELECT sum(weight * (a.h * a.h - a.h * b.h)) FROM syntax JOIN h0 a ON src = a.term_id
   JOIN h0 b ON dst = b.term_id AND a.k = b.k), 2) AS objective""", "objective", extra=START))
 def nmf_objective(d):
-    value = nmf.objective_kl(d.rbow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], REPORT_TERMS)
+    value = nmf.objective_kl(d.bow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], MAX_FEATURES)
     return d.spark.createDataFrame([(round(value, 2),)], "objective double")
 
 
@@ -113,8 +113,8 @@ def nmf_stop(d):
     return fitted(d).history_table()
 
 
-@query("nmf_rescale", sql("rbow", f"""SELECT 'phi' AS factor, CAST(k AS BIGINT) AS id, 1.0::DOUBLE AS total FROM (SELECT unnest(range({K})) AS k)
-UNION ALL SELECT 'theta', doc_id, 1.0::DOUBLE FROM (SELECT DISTINCT doc_id FROM rbow)""", "total"))
+@query("nmf_rescale", sql("bow", f"""SELECT 'phi' AS factor, CAST(k AS BIGINT) AS id, 1.0::DOUBLE AS total FROM (SELECT unnest(range({K})) AS k)
+UNION ALL SELECT 'theta', doc_id, 1.0::DOUBLE FROM (SELECT DISTINCT doc_id FROM bow)""", "total"))
 def nmf_rescale(d):
     f = fitted(d)
     h = f.phi_long().groupBy("topic").agg(F.sum("weight").alias("total")).select(
@@ -125,13 +125,13 @@ def nmf_rescale(d):
 
 @query("nmf_fit")
 def nmf_fit(d):
-    cfg = TopicConfig(num_topics=K, max_features=REPORT_TERMS, max_iter=ITER, vector_backend="ppmi_svd", vector_dim=20)
+    cfg = TopicConfig(num_topics=K, max_features=MAX_FEATURES, max_iter=ITER, vector_backend="ppmi_svd", vector_dim=20)
     model = fits.fit(d.documents.select("doc_id"), d.tokens, cfg)
     return model.topic_info()
 
 
 def _parsed(d):
-    return fits.Parsed(d.documents.select("doc_id"), d.rvocab, d.n_rterms, d.n_docs, d.rbow, d.rrows, d.lists,
+    return fits.Parsed(d.documents.select("doc_id"), d.vocab, d.n_terms, d.n_docs, d.bow, d.rows, d.lists,
                        d.triples, d.vpairs)
 
 
@@ -140,7 +140,7 @@ def nmf_ablation(d):
     rows = []
     for name, lam in (("graph", 0.1), ("plain", 0.0)):
         res = _fit(d, graphs=[(syntax_arrays(d), lam)])
-        phi = res.phi_long(d.rvocab)
+        phi = res.phi_long(d.vocab)
         row = fits.summary(settle(reports.top_words(phi, 10)), _parsed(d), phi).first()
         rows.append((name, *[row[m] for m in grid.METRICS]))
     return d.spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in grid.METRICS))
@@ -148,7 +148,7 @@ def nmf_ablation(d):
 
 def _bench_rows(d):
     bench = d.table("benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return fits.encode_rows(bench, corpus.word_lists(bench, T.kept_words("text", ENG)), d.rvocab, REPORT_TERMS)
+    return fits.encode_rows(bench, corpus.word_lists(bench, T.kept_words("text", ENG)), d.vocab, MAX_FEATURES)
 
 
 @query("nmf_fold_in")
@@ -166,10 +166,10 @@ def nmf_perplexity(d):
 
 @query("nmf_bootstrap")
 def nmf_bootstrap(d):
-    return nmf.bootstrap(d.rrows, fitted(d), n_resamples=3, max_iter=5)
+    return nmf.bootstrap(d.rows, fitted(d), n_resamples=3, max_iter=5)
 
 
-@query("nmf_match", sql("phi rvocab", f"SELECT CAST(k AS INTEGER) AS topic, CAST({K - 1} - k AS INTEGER) AS matched, 1.0::DOUBLE AS similarity FROM (SELECT unnest(range({K})) AS k)", "similarity"))
+@query("nmf_match", sql("phi vocab", f"SELECT CAST(k AS INTEGER) AS topic, CAST({K - 1} - k AS INTEGER) AS matched, 1.0::DOUBLE AS similarity FROM (SELECT unnest(range({K})) AS k)", "similarity"))
 def nmf_match(d):
     """Aligning the topics with themselves in reverse order must find the reversal."""
     a = context.wide_rows(d.phi, "term_id", K, "h")
@@ -184,7 +184,7 @@ def nmf_search_k(d):
     parsed = _parsed(d)
 
     def score(k):
-        phi = _fit(d, k).phi_long(d.rvocab)
+        phi = _fit(d, k).phi_long(d.vocab)
         row = fits.summary(settle(reports.top_words(phi, 10)), parsed, phi).first()
         return row["npmi"], row["diversity"]
 
@@ -195,7 +195,7 @@ def nmf_search_k(d):
 
 @query("lda_fit")
 def lda_fit(d):
-    words, _ = classify.lda(d.rrows, d.rvocab, d.n_rterms, K)
+    words, _ = classify.lda(d.rows, d.vocab, d.n_terms, K)
     return words
 
 
@@ -206,9 +206,9 @@ def kmeans_init(d):
 
 # -- contextual operators ----------------------------------------------------------
 
-@query("ctx_collect", sql("rbow demb", "SELECT term_id, doc_id FROM ctx", extra=CTX))
+@query("ctx_collect", sql("bow demb", "SELECT term_id, doc_id FROM ctx", extra=CTX))
 def ctx_collect(d):
-    return context.collect_contexts(d.rbow, d.embeddings).select("term_id", "doc_id")
+    return context.collect_contexts(d.bow, d.embeddings).select("term_id", "doc_id")
 
 
 TVX = "tl AS (SELECT topic, unnest(vec) AS t, generate_subscripts(vec, 1) AS i FROM tv)"
@@ -223,10 +223,10 @@ sbeta AS (SELECT topic, term_id, e / sum(e) OVER (PARTITION BY topic) AS weight
 STATIC = "sims AS (SELECT topic, term_id, list_cosine_similarity(wv.vec, tv.vec) AS sim FROM wv, tv)"
 
 
-@query("ctx_beta", sql("rbow demb tv wv", "SELECT topic, term_id, weight FROM sbeta", "weight", extra=",\n".join([CTX, CTXB, BETA])))
+@query("ctx_beta", sql("bow demb tv wv", "SELECT topic, term_id, weight FROM sbeta", "weight", extra=",\n".join([CTX, CTXB, BETA])))
 def ctx_beta(d):
-    ctx = context.collect_contexts(d.rbow, d.embeddings)
-    return context.contextual_beta(d.topic_list, ctx, d.word_vectors, DIM)
+    pairs = context.context_pairs(d.bow, d.embeddings)
+    return context.contextual_beta(d.topic_list, pairs, d.embeddings, d.word_vectors, DIM)
 
 
 @query("beta_static", sql("tv wv", "SELECT topic, term_id, weight FROM sbeta", "weight", extra=STATIC + ",\n" + BETA))
@@ -234,10 +234,10 @@ def beta_static(d):
     return context.static_beta(d.topic_list, d.word_vectors)
 
 
-@query("theta_words", sql("rbow theta phi", """SELECT doc_id, term_id, sum(t.weight * p.weight) AS p FROM rbow JOIN theta t USING (doc_id)
+@query("theta_words", sql("bow theta phi", """SELECT doc_id, term_id, sum(t.weight * p.weight) AS p FROM bow JOIN theta t USING (doc_id)
 JOIN phi p USING (topic, term_id) GROUP BY 1, 2""", "p"))
 def theta_words(d):
-    return context.expected_at(d.rbow, d.theta, d.phi, TOPICS, REPORT_TERMS)
+    return context.expected_at(d.bow, d.theta, d.phi, TOPICS, MAX_FEATURES)
 
 
 @query("emb_refine", sql("demb dom tv", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (
@@ -318,7 +318,7 @@ def time_prevalence(d):
 
 @query("time_drift")
 def time_drift(d):
-    return temporal.drift(d.rrows, temporal.slices(d.times, 3), d.n_rterms, K, max_iter=ITER)
+    return temporal.drift(d.rows, temporal.slices(d.times, 3), d.n_terms, K, max_iter=ITER)
 
 
 # -- grids -------------------------------------------------------------------------
@@ -330,7 +330,7 @@ def grid_expand(d):
 
 
 def _cfg(**kw):
-    return TopicConfig(num_topics=K, max_features=REPORT_TERMS, max_iter=ITER, lambda_embed=0.0, vector_backend="none", **kw)
+    return TopicConfig(num_topics=K, max_features=MAX_FEATURES, max_iter=ITER, lambda_embed=0.0, vector_backend="none", **kw)
 
 
 @query("grid_fit")
@@ -357,10 +357,10 @@ def rep_top_words(d):
     return reports.top_words(d.phi, 10, HIDE)
 
 
-@query("rep_top_ctfidf", sql("rbow dom", """SELECT topic, CAST(rank AS INTEGER) AS rank, term, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY topic
+@query("rep_top_ctfidf", sql("bow dom", """SELECT topic, CAST(rank AS INTEGER) AS rank, term, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY topic
   ORDER BY w DESC, term) AS rank FROM (SELECT topic, term, round(weight, 12) AS w FROM ctf)) WHERE rank <= 10""", "weight", extra=CTFIDF))
 def rep_top_ctfidf(d):
-    scores = V.ctfidf(d.rbow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))
+    scores = V.ctfidf(d.bow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))
     return reports.ranked(scores, 10).select("topic", "rank", "term", "weight")
 
 
@@ -371,7 +371,7 @@ UNION ALL SELECT 'phrase', topic, CAST(rank AS INTEGER), phrase, relation, sim F
 pv AS (SELECT head || ' ' || dependent AS phrase, relation, list((a.x + b.x) / 2 ORDER BY a.i) AS vec FROM triples JOIN wvx a ON head = a.term
   JOIN wvx b ON dependent = b.term AND a.i = b.i WHERE cnt >= 5 GROUP BY 1, 2)"""))
 def rep_top_cosine(d):
-    phrases = vectors.phrase_vectors(d.triples, d.word_vectors, REPORT_TERMS)
+    phrases = vectors.phrase_vectors(d.triples, d.word_vectors, MAX_FEATURES)
     a = reports.cosine_ranked(d.topic_list, d.word_vectors.select("term", "vec"), "term", 5)
     b = reports.cosine_ranked(d.topic_list, phrases, "phrase", 5, keep=["relation"])
     return a.select(F.lit("word").alias("kind"), "topic", "rank", F.col("term").alias("item"), F.lit("").alias("relation"), "sim").unionByName(
@@ -448,8 +448,8 @@ def rep_topic_points(d):
     return reports.topic_points(vectors.pca_reducer(d.embeddings), d.dominant)
 
 
-@query("rep_all_words", sql("words rbow dom", """SELECT 'beta' AS model, topic, rank, term FROM words UNION ALL SELECT 'ctfidf', topic, CAST(rank AS INTEGER), term FROM (
+@query("rep_all_words", sql("words bow dom", """SELECT 'beta' AS model, topic, rank, term FROM words UNION ALL SELECT 'ctfidf', topic, CAST(rank AS INTEGER), term FROM (
   SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) AS rank FROM ctf) WHERE rank <= 10""", extra=CTFIDF))
 def rep_all_words(d):
-    scores = V.ctfidf(d.rbow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))
+    scores = V.ctfidf(d.bow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))
     return reports.all_words({"beta": d.words, "ctfidf": reports.ranked(scores, 10)})

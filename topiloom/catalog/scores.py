@@ -11,14 +11,14 @@ from ..operators import classify, context, cooc, corpus, metrics, reports, stats
 from ..operators import vocab as V
 from ..plans import fit as fits
 from ..session import settle, spread
-from .base import DIM, LANGS, MAX_FEATURES, REPORT_TERMS, TOPICS, query, sql, u01
+from .base import DIM, LANGS, MAX_FEATURES, TOPICS, query, sql, u01
 from .graphs import DCOOC, PPMI_D, SEQ, TFIDF, _window_sql, sequences
 from .models import BETA, STATIC, _parsed
 from .texts import BIGRAMS, MAIN, _main, ascii_lists
 
 N = "(SELECT count(*)::DOUBLE FROM documents)"
-PAIRS = """kw AS (SELECT topic, rank, w.term_id, df FROM words w JOIN rvocab v ON w.term_id = v.term_id),
-tb AS (SELECT doc_id, term_id FROM rbow WHERE term_id IN (SELECT term_id FROM kw)),
+PAIRS = """kw AS (SELECT topic, rank, w.term_id, df FROM words w JOIN vocab v ON w.term_id = v.term_id),
+tb AS (SELECT doc_id, term_id FROM bow WHERE term_id IN (SELECT term_id FROM kw)),
 tco AS (SELECT a.term_id AS i, b.term_id AS j, count(*) AS co FROM tb a JOIN tb b ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1, 2),
 prs AS (SELECT a.topic, a.rank AS r1, b.rank AS r2, a.df AS d1, b.df AS d2, coalesce(co, 0) AS co FROM kw a JOIN kw b ON a.topic = b.topic AND a.rank < b.rank
   LEFT JOIN tco ON i = a.term_id AND j = b.term_id)"""
@@ -26,7 +26,7 @@ prs AS (SELECT a.topic, a.rank AS r1, b.rank AS r2, a.df AS d1, b.df AS d2, coal
 
 def _pairs(d):
     if "_pairs" not in d.__dict__:
-        d._pairs = settle(metrics.scored_pairs(d.words, d.rrows, d.rvocab, 10, REPORT_TERMS))
+        d._pairs = settle(metrics.scored_pairs(d.words, d.rows, d.vocab, 10, MAX_FEATURES))
     return d._pairs
 
 
@@ -42,21 +42,21 @@ cw2 AS (SELECT topic, src, CASE WHEN sum(v * v) = 0 OR max(tn) = 0 THEN 0 ELSE s
 cv AS (SELECT avg(m) AS c_v FROM (SELECT topic, avg(c) AS m FROM cw2 GROUP BY 1))"""
 
 
-@query("m_cv", sql("tok rvocab words", "SELECT c_v FROM cv", "c_v", extra=SEQ + ",\n" + _window_sql("cw", 10) + ",\n" + CVCELLS.format(c="cw")))
+@query("m_cv", sql("tok vocab words", "SELECT c_v FROM cv", "c_v", extra=SEQ + ",\n" + _window_sql("cw", 10) + ",\n" + CVCELLS.format(c="cw")))
 def m_cv(d):
-    return metrics.c_v_window(d.words, sequences(d), d.rvocab, 10, 10, 10, REPORT_TERMS)
+    return metrics.c_v_window(d.words, sequences(d), d.vocab, 10, 10, 10, MAX_FEATURES)
 
 
 NPMI = f"""(SELECT avg(m) FROM (SELECT avg(CASE WHEN co = 0 THEN -1 WHEN co = {N} THEN 0 ELSE ln(co / {N} / ((d1 / {N}) * (d2 / {N}))) / -ln(co / {N}) END) AS m FROM prs GROUP BY topic))"""
 NPMI_EPS = f"""(SELECT avg(m) FROM (SELECT avg(ln((co / {N} + 1e-10) / ((d1 / {N} + 1e-10) * (d2 / {N} + 1e-10))) / -ln(co / {N} + 1e-10)) AS m FROM prs GROUP BY topic))"""
 
 
-@query("m_npmi", sql("words rbow rvocab", f"SELECT {NPMI} AS npmi", "npmi", extra=PAIRS))
+@query("m_npmi", sql("words bow vocab", f"SELECT {NPMI} AS npmi", "npmi", extra=PAIRS))
 def m_npmi(d):
     return metrics.npmi(_pairs(d), d.n_docs)
 
 
-@query("m_npmi_eps", sql("words rbow rvocab", f"SELECT {NPMI_EPS} AS npmi_eps", "npmi_eps", extra=PAIRS))
+@query("m_npmi_eps", sql("words bow vocab", f"SELECT {NPMI_EPS} AS npmi_eps", "npmi_eps", extra=PAIRS))
 def m_npmi_eps(d):
     return metrics.npmi_smoothed(_pairs(d), d.n_docs)
 
@@ -88,7 +88,7 @@ UMASS = "um AS (SELECT topic, avg(ln((co + 1.0) / (d1 + 1.0))) AS umass FROM prs
 EXCL = """ex AS (SELECT topic, avg(weight / m) AS exclusivity FROM phi JOIN words USING (topic, term_id) JOIN (SELECT term_id, sum(weight) AS m FROM phi GROUP BY 1) USING (term_id) GROUP BY 1)""".replace("weight / m", "phi.weight / m")
 
 
-@query("m_umass", sql("words rbow rvocab", "SELECT topic, umass FROM um", "umass", extra=PAIRS + ",\n" + UMASS))
+@query("m_umass", sql("words bow vocab", "SELECT topic, umass FROM um", "umass", extra=PAIRS + ",\n" + UMASS))
 def m_umass(d):
     return metrics.umass(_pairs(d))
 
@@ -114,7 +114,7 @@ def m_redundancy(d):
     return metrics.redundancy(d.words)
 
 
-@query("m_summary", sql("words rbow rvocab phi", f"SELECT c_v, {NPMI} AS npmi, {DIV} AS diversity, (SELECT avg(exclusivity) FROM ex) AS exclusivity, {RED} AS redundancy FROM cv",
+@query("m_summary", sql("words bow vocab phi", f"SELECT c_v, {NPMI} AS npmi, {DIV} AS diversity, (SELECT avg(exclusivity) FROM ex) AS exclusivity, {RED} AS redundancy FROM cv",
                         "c_v npmi diversity exclusivity redundancy", extra=",\n".join([PAIRS, EXCL, DCOOC, CVCELLS.format(c="dc")])))
 def m_summary(d):
     return fits.summary(d.words, _parsed(d), d.phi, 10)
@@ -160,17 +160,17 @@ def _cd(d):
         metrics.exclusivity_per_topic(d.phi, d.words, 10 * TOPICS), "topic"))
 
 
-@query("m_cd", sql("words rbow rvocab phi", f"SELECT {CD} AS cd_score", "cd_score", extra=",\n".join([PAIRS, UMASS, EXCL])))
+@query("m_cd", sql("words bow vocab phi", f"SELECT {CD} AS cd_score", "cd_score", extra=",\n".join([PAIRS, UMASS, EXCL])))
 def m_cd(d):
     return _cd(d)
 
 
 JS = """(SELECT sum(0.5 * a * log2(a / m) + 0.5 * b * log2(b / m)) / 6 FROM (SELECT greatest(coalesce(p.weight, 0), 1e-12) AS a, greatest(coalesce(q.weight, 0), 1e-12) AS b,
-  greatest((coalesce(p.weight, 0) + coalesce(q.weight, 0)) * 0.5, 1e-12) AS m FROM (SELECT i, j, term_id FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), rvocab WHERE i < j) g
+  greatest((coalesce(p.weight, 0) + coalesce(q.weight, 0)) * 0.5, 1e-12) AS m FROM (SELECT i, j, term_id FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), vocab WHERE i < j) g
   LEFT JOIN phi p ON p.topic = i AND p.term_id = g.term_id LEFT JOIN phi q ON q.topic = j AND q.term_id = g.term_id))"""
 
 
-@query("m_js", sql("phi rvocab", f"SELECT {JS} AS js_divergence", "js_divergence"))
+@query("m_js", sql("phi vocab", f"SELECT {JS} AS js_divergence", "js_divergence"))
 def m_js(d):
     return metrics.js_divergence(d.phi, TOPICS)
 
@@ -203,23 +203,23 @@ def m_intra_emb(d):
     return metrics.intra_topic(d.dominant, d.embeddings, DIM)
 
 
-@query("m_intra_tfidf", sql("rbow dom", """SELECT avg(v) AS intra_tfidf FROM (SELECT topic, (coalesce(q, 0) - n) / (n * (n - 1)) AS v FROM (SELECT topic, count(*)::DOUBLE AS n FROM dom GROUP BY 1)
+@query("m_intra_tfidf", sql("bow dom", """SELECT avg(v) AS intra_tfidf FROM (SELECT topic, (coalesce(q, 0) - n) / (n * (n - 1)) AS v FROM (SELECT topic, count(*)::DOUBLE AS n FROM dom GROUP BY 1)
 LEFT JOIN (SELECT topic, sum(s * s) AS q FROM (SELECT topic, term_id, sum(tfidf.weight) AS s FROM tfidf JOIN dom USING (doc_id) GROUP BY 1, 2) GROUP BY 1) USING (topic) WHERE n >= 2)""",
-                                 "intra_tfidf", extra=TFIDF.format(bow="rbow")))
+                                 "intra_tfidf", extra=TFIDF.format(bow="bow")))
 def m_intra_tfidf(d):
-    return metrics.intra_tfidf(V.tfidf(d.rbow, d.n_docs, REPORT_TERMS), d.dominant)
+    return metrics.intra_tfidf(V.tfidf(d.bow, d.n_docs, MAX_FEATURES), d.dominant)
 
 
-PPL = """(SELECT exp(-sum(cnt * ln(greatest(p, 1e-12))) / sum(cnt)) FROM (SELECT doc_id, term_id, any_value(cnt) AS cnt, sum(t.weight * p.weight) AS p FROM rbow JOIN theta t USING (doc_id)
+PPL = """(SELECT exp(-sum(cnt * ln(greatest(p, 1e-12))) / sum(cnt)) FROM (SELECT doc_id, term_id, any_value(cnt) AS cnt, sum(t.weight * p.weight) AS p FROM bow JOIN theta t USING (doc_id)
   JOIN phi p USING (topic, term_id) GROUP BY 1, 2))"""
 
 
 def _perplexity(d):
-    cells = context.expected_at(d.rbow, d.theta, d.phi, TOPICS, REPORT_TERMS)
-    return metrics.perplexity_at(cells.join(d.rbow.select("doc_id", "term_id", "cnt"), ["doc_id", "term_id"]))
+    cells = context.expected_at(d.bow, d.theta, d.phi, TOPICS, MAX_FEATURES)
+    return metrics.perplexity_at(cells.join(d.bow.select("doc_id", "term_id", "cnt"), ["doc_id", "term_id"]))
 
 
-@query("m_perplexity", sql("rbow theta phi", f"SELECT {PPL} AS perplexity", "perplexity"))
+@query("m_perplexity", sql("bow theta phi", f"SELECT {PPL} AS perplexity", "perplexity"))
 def m_perplexity(d):
     return _perplexity(d)
 
@@ -227,7 +227,7 @@ def m_perplexity(d):
 @query("m_mwe_compact_words", sql("mwes wv", """SELECT avg(list_cosine_similarity(a.vec, b.vec)) AS mwe_compactness FROM mwes JOIN wv a ON a.term = split_part(phrase, ' ', 1)
 JOIN wv b ON b.term = split_part(phrase, ' ', 2) WHERE rank <= 10""", "mwe_compactness"))
 def m_mwe_compact_words(d):
-    return metrics.mwe_word_compactness(d.mwes, d.word_vectors, 10, REPORT_TERMS)
+    return metrics.mwe_word_compactness(d.mwes, d.word_vectors, 10, MAX_FEATURES)
 
 
 PV = """pv AS (SELECT topic, phrase, list((a.x + b.x) / 2 ORDER BY a.i) AS vec FROM mwes JOIN wvx a ON a.term = split_part(phrase, ' ', 1)
@@ -269,12 +269,12 @@ def m_mwe_compl(d):
 
 
 # The lexicon is an input table; here it is derived from the vocabulary by arithmetic.
-LEX = """lex AS (SELECT term AS token, ((term_id * 37) % 9 - 4)::DOUBLE AS valence FROM rvocab),
-lex2 AS (SELECT term AS token, ((term_id * 11) % 7 - 3)::DOUBLE AS valence FROM rvocab)"""
+LEX = """lex AS (SELECT term AS token, ((term_id * 37) % 9 - 4)::DOUBLE AS valence FROM vocab),
+lex2 AS (SELECT term AS token, ((term_id * 11) % 7 - 3)::DOUBLE AS valence FROM vocab)"""
 
 
 def lexicon(d, a=37, m=9, s=4):
-    return d.rvocab.select(F.col("term").alias("token"), ((F.col("term_id") * a) % m - s).cast("double").alias("valence"))
+    return d.vocab.select(F.col("term").alias("token"), ((F.col("term_id") * a) % m - s).cast("double").alias("valence"))
 
 
 def _scored(src: str, lex: str, out: str, cols: str) -> str:
@@ -285,7 +285,7 @@ def _scored(src: str, lex: str, out: str, cols: str) -> str:
 STR = "strs AS (SELECT 'T' || topic AS corpus, 'mwe' AS kind, rank, phrase AS text FROM mwes UNION ALL SELECT 'T' || topic, 'uni', rank, term FROM words)"
 
 
-@query("m_valence", sql("mwes words rvocab", """SELECT a AS mwe_valence, b AS unigram_valence, a - b AS valence_gap FROM (SELECT avg(abs(score)) FILTER (WHERE kind = 'mwe') AS a,
+@query("m_valence", sql("mwes words vocab", """SELECT a AS mwe_valence, b AS unigram_valence, a - b AS valence_gap FROM (SELECT avg(abs(score)) FILTER (WHERE kind = 'mwe') AS a,
 avg(abs(score)) FILTER (WHERE kind = 'uni') AS b FROM sc)""", "mwe_valence unigram_valence valence_gap", extra=",\n".join([LEX, STR, _scored("strs", "lex", "sc", "corpus, kind, rank")])))
 def m_valence(d):
     return metrics.valence(d.mwes, d.words, lexicon(d))
@@ -296,7 +296,7 @@ def _strings(d):
         d.words.select(F.concat(F.lit("T"), "topic").alias("corpus"), F.lit("uni").alias("kind"), F.col("term").alias("text")))
 
 
-SIGNED = sql("mwes words rvocab", """SELECT corpus, scorer, mwe, uni, mwe - uni AS gap, CAST(row_number() OVER (PARTITION BY scorer ORDER BY mwe - uni DESC, corpus) AS INTEGER) AS rank FROM (
+SIGNED = sql("mwes words vocab", """SELECT corpus, scorer, mwe, uni, mwe - uni AS gap, CAST(row_number() OVER (PARTITION BY scorer ORDER BY mwe - uni DESC, corpus) AS INTEGER) AS rank FROM (
   SELECT corpus, scorer, avg(score) FILTER (WHERE kind = 'mwe') AS mwe, avg(score) FILTER (WHERE kind = 'uni') AS uni FROM (SELECT *, 'one' AS scorer FROM sc UNION ALL SELECT *, 'two' FROM sc2) GROUP BY 1, 2)""",
              "mwe uni gap", extra=",\n".join([LEX, STR, _scored("strs", "lex", "sc", "corpus, kind, rank"), _scored("strs", "lex2", "sc2", "corpus, kind, rank")]))
 
@@ -317,7 +317,7 @@ def udf_scorer(d):
     return _signed(d)
 
 
-@query("m_valence_pmi", sql("mwes rvocab", """SELECT b AS pmi_mean, a AS mwe_mean, a - b AS delta FROM (SELECT avg(score) FILTER (WHERE kind = 'm') AS a, avg(score) FILTER (WHERE kind = 'b') AS b FROM sc)""",
+@query("m_valence_pmi", sql("mwes vocab", """SELECT b AS pmi_mean, a AS mwe_mean, a - b AS delta FROM (SELECT avg(score) FILTER (WHERE kind = 'm') AS a, avg(score) FILTER (WHERE kind = 'b') AS b FROM sc)""",
                             "pmi_mean mwe_mean delta", extra=",\n".join([BIGRAMS, LEX, "vs AS (SELECT 'm' AS kind, topic * 100 + rank AS i, phrase AS text FROM mwes UNION ALL SELECT 'b', rank, w1 || ' ' || w2 FROM atop)",
                                                                          _scored("vs", "lex", "sc", "kind, i")])))
 def m_valence_pmi(d):
@@ -358,7 +358,7 @@ _ALL = {"perplexity": PPL, "npmi": NPMI_EPS, "c_v": CVW, "c_npmi": CNPMI, "we_co
         "mwe_content_ratio": "(SELECT avg(v) FROM (SELECT avg(CASE WHEN len(list_filter(string_split(phrase, ' '), lambda z: length(z) > 3)) > 0 THEN 1.0 ELSE 0.0 END) AS v FROM mwes GROUP BY topic))"}
 
 
-@query("m_evaluate_all", sql("tok words rbow rvocab phi theta dom demb mwes wv wvx tv", "SELECT " + ", ".join(
+@query("m_evaluate_all", sql("tok words bow vocab phi theta dom demb mwes wv wvx tv", "SELECT " + ", ".join(
     f"{_ALL.get(c, 'NULL::DOUBLE')} AS {c}" for c in COLUMNS), " ".join(_ALL),
     extra=",\n".join([PAIRS, UMASS, EXCL, WIN, INTRA, PV, LEX, STR, _scored("strs", "lex", "sc", "corpus, kind, rank"), NMI])))
 def m_evaluate_all(d):
@@ -384,17 +384,17 @@ def m_topic_entropy(d):
     return metrics.topic_entropy(d.phi)
 
 
-@query("m_soft_ppmi", sql("phi rbow rvocab", """SELECT sum(2 * greatest(ppmi, 0) * a.weight * b.weight) / 4 AS soft_ppmi FROM pd JOIN phi a ON a.term_id = src
+@query("m_soft_ppmi", sql("phi bow vocab", """SELECT sum(2 * greatest(ppmi, 0) * a.weight * b.weight) / 4 AS soft_ppmi FROM pd JOIN phi a ON a.term_id = src
 JOIN phi b ON b.term_id = dst AND a.topic = b.topic""", "soft_ppmi", extra=DCOOC + ",\n" + PPMI_D))
 def m_soft_ppmi(d):
-    return metrics.soft_ppmi(d.phi, cooc.ppmi_documents(d.rrows, d.rvocab, d.n_docs, REPORT_TERMS), REPORT_TERMS, TOPICS)
+    return metrics.soft_ppmi(d.phi, cooc.ppmi_documents(d.rows, d.vocab, d.n_docs, MAX_FEATURES), MAX_FEATURES, TOPICS)
 
 
 @query("m_soft_we", sql("tv wv wvx", """SELECT avg(c) AS soft_we FROM (SELECT topic, list_cosine_similarity(list(m ORDER BY i), any_value(vec)) AS c FROM (
   SELECT topic, i, sum(weight * x / n) AS m FROM sbeta JOIN wvx USING (term_id) JOIN (SELECT term_id, sqrt(sum(x * x)) AS n FROM wvx GROUP BY 1) USING (term_id) GROUP BY 1, 2)
 JOIN tv USING (topic) GROUP BY 1)""", "soft_we", extra=STATIC + ",\n" + BETA))
 def m_soft_we(d):
-    return metrics.soft_we(d.topic_vectors, context.static_beta(d.topic_list, d.word_vectors), d.word_vectors, DIM, REPORT_TERMS)
+    return metrics.soft_we(d.topic_vectors, context.static_beta(d.topic_list, d.word_vectors), d.word_vectors, DIM, MAX_FEATURES)
 
 
 @query("m_nmi", sql("dom demb", "SELECT nmi FROM nmi", "nmi", extra=NMI))

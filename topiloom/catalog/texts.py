@@ -11,7 +11,7 @@ from ..operators import vocab as V
 from ..operators.context import collect_contexts
 from ..session import stage_path
 from ..sources import conllu, readers, store
-from .base import (CTES, DIM, ENG, MAX_FEATURES, REPORT_TERMS, SP, STOPS, TOPICS, query, sql, stripped,
+from .base import (CTES, DIM, ENG, MAX_FEATURES, SP, STOPS, TOPICS, query, sql, stripped,
                    u01, wordlist, ws)
 
 CLEAN = f"clean AS (SELECT doc_id, {ws('text')} AS t, lang, source, n_chars FROM documents)"
@@ -240,20 +240,20 @@ def snk_parse_store(d):
 
 
 CTX = f"""ctx AS (SELECT term_id, doc_id, vec FROM (SELECT term_id, b.doc_id, vec, row_number() OVER (PARTITION BY term_id
-  ORDER BY {u01(42, 'term_id', 'b.doc_id')}, b.doc_id) AS r FROM rbow b JOIN demb e ON b.doc_id = e.doc_id) WHERE r <= 50)"""
+  ORDER BY {u01(42, 'term_id', 'b.doc_id')}, b.doc_id) AS r FROM bow b JOIN demb e ON b.doc_id = e.doc_id) WHERE r <= 50)"""
 
 
-@query("snk_ctx_store", sql("rbow demb", "SELECT term_id, count(*) AS n FROM ctx GROUP BY 1", extra=CTX))
+@query("snk_ctx_store", sql("bow demb", "SELECT term_id, count(*) AS n FROM ctx GROUP BY 1", extra=CTX))
 def snk_ctx_store(d):
     path = stage_path(d.spark, "ctx")
-    store.save_tables(path, "contexts", {"contexts": collect_contexts(d.rbow, d.embeddings)}, {"cap": 50})
+    store.save_tables(path, "contexts", {"contexts": collect_contexts(d.bow, d.embeddings)}, {"cap": 50})
     tables, _ = store.load_tables(d.spark, path, "contexts")
     return tables["contexts"].groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _saved(d, docs=None):
     path = stage_path(d.spark, "model")
-    store.save_model(path, d.theta, d.phi, d.rvocab, {"num_topics": TOPICS, "later": 1}, docs)
+    store.save_model(path, d.theta, d.phi, d.vocab, {"num_topics": TOPICS, "later": 1}, docs)
     return store.load_model(d.spark, path, ("num_topics",))
 
 
@@ -263,9 +263,9 @@ def snk_model_save(d):
     return reports.top_words(tables["phi"], 10).select("topic", "rank", "term")
 
 
-@query("snk_model_load", sql("phi theta rvocab", """SELECT 'config:num_topics' AS name, 4 AS n
+@query("snk_model_load", sql("phi theta vocab", """SELECT 'config:num_topics' AS name, 4 AS n
 UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'phi', count(*) FROM phi
-UNION ALL SELECT 'theta', count(*) FROM theta UNION ALL SELECT 'vocab', count(*) FROM rvocab"""))
+UNION ALL SELECT 'theta', count(*) FROM theta UNION ALL SELECT 'vocab', count(*) FROM vocab"""))
 def snk_model_load(d):
     tables, config = _saved(d, d.documents.select("doc_id", "text"))
     rows = [(f"config:{k}", int(v)) for k, v in config.items()]

@@ -13,25 +13,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
-from ..session import bounded
-from .sparse import dense
+from ..session import bounded, settle
+from .sparse import dense, lists
 
+STATE_CELLS = 8_000_000   # numbers of the states that a task holds
+_CONTEXTS = 50_000        # contexts merged at once
 
-def collect_contexts(bow_df: DataFrame, embeddings: DataFrame, cap: int = 50, seed: int = 42) -> DataFrame:
-    """``(term_id, doc_id, vec)``: up to ``cap`` document vectors per word.
 
-    A document counts once per word; the kept ones are the first in a seeded order.
-    The rank is limited on the map side, so a frequent word sends ``cap`` rows per
-    task and the vectors are joined only to the rows that stay.
+def context_pairs(bow_df: DataFrame, embeddings: DataFrame, cap: int | None = 50, seed: int = 42) -> DataFrame:
+    """``(term_id, doc_id)``: up to ``cap`` documents with a vector for each word, or all of them.
+
+    A document counts once per word; the kept ones are the first in a seeded order. The rank is
+    limited on the map side, so a frequent word sends ``cap`` rows per task.
     """
+    met = bow_df.select("term_id", "doc_id").join(embeddings.select("doc_id"), "doc_id", "left_semi")
+    if cap is None:
+        return met.select("term_id", "doc_id")
     w = Window.partitionBy("term_id").orderBy(seeded.uniform(seed, "term_id", "doc_id"), "doc_id")
-    keys = embeddings.select("doc_id")
-    kept = (
-        bow_df.select("term_id", "doc_id").join(keys, "doc_id", "left_semi")
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    )
-    return kept.join(embeddings.select("doc_id", vec.doubles("vec").alias("vec")), "doc_id").select(
-        "term_id", "doc_id", "vec")
+    return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select("term_id", "doc_id")
+
+
+def collect_contexts(bow_df: DataFrame, embeddings: DataFrame, cap: int | None = 50, seed: int = 42) -> DataFrame:
+    """``(term_id, doc_id, vec)``: the contexts with their vectors."""
+    return context_pairs(bow_df, embeddings, cap, seed).join(
+        embeddings.select("doc_id", vec.doubles("vec").alias("vec")), "doc_id").select("term_id", "doc_id", "vec")
 
 
 def coverage(contexts: DataFrame, n_terms: int) -> DataFrame:
@@ -64,30 +69,90 @@ def static_beta(topics: list[tuple[int, list[float]]], vectors: DataFrame,
     return _softmax(sims, temperature)
 
 
-def contextual_similarity(topics: list[tuple[int, list[float]]], contexts: DataFrame,
+def attention_states(pairs: DataFrame, embeddings: DataFrame, topics: list[tuple[int, list[float]]], dim: int) -> DataFrame:
+    """``(term_id, topic, m, s, v)``: softmax-weighted sums of the contexts of each word.
+
+    ``pairs`` are ``(term_id, doc_id)``. A document's vector is read once for all its words. The
+    state of a word and a topic is the largest logit so far, the sum of exp(logit - largest)
+    and the vectors summed with those weights; a new largest logit rescales both sums. States
+    of different tasks merge in the same way, so neither a second reading of the contexts nor
+    a cap on them is needed. A task sends its states on when they reach ``STATE_CELLS``.
+    """
+    order = [int(t) for t, _ in topics]
+    tv = np.array([v for _, v in topics], dtype=float)
+    k = len(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, m = np.zeros(0, np.int64), np.zeros((0, k))
+        s, v = np.zeros((0, k)), np.zeros((0, k, dim))
+
+        def sent():
+            n = len(terms)
+            flat = np.concatenate([m[:, :, None], s[:, :, None], v], axis=2).reshape(n * k, dim + 2)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(terms, k).astype(np.int32)), pa.array(np.tile(order, n).astype(np.int32)),
+                 pa.array(flat[:, 0]), pa.array(flat[:, 1]), lists(flat[:, 2:])], names=["term_id", "topic", "m", "s", "v"])
+
+        for rb in batches:
+            off = rb.column(0).offsets.to_numpy()
+            ids = rb.column(0).values.to_numpy()[off[0]:off[-1]].astype(np.int64)
+            rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            x = dense(rb.column(1), dim)
+            z = x @ tv.T
+            for lo in range(0, len(ids), _CONTEXTS):
+                new, row = ids[lo:lo + _CONTEXTS], rows[lo:lo + _CONTEXTS]
+                sort = np.argsort(new, kind="stable")
+                new, row = new[sort], row[sort]
+                fresh, first = np.unique(new, return_index=True)
+                both = np.union1d(terms, fresh)
+                old, at = np.searchsorted(both, terms), np.searchsorted(both, fresh)
+                top = np.full((len(both), k), -np.inf)
+                top[old] = m
+                top[at] = np.maximum(top[at], np.maximum.reduceat(z[row], first))
+                keep = np.zeros((len(both), k)), np.zeros((len(both), k, dim))
+                down = np.exp(m - top[old])
+                keep[0][old], keep[1][old] = s * down, v * down[:, :, None]
+                a = np.exp(z[row] - top[np.searchsorted(both, new)])
+                keep[0][at] += np.add.reduceat(a, first)
+                for t in range(k):
+                    keep[1][at, t] += np.add.reduceat(x[row] * a[:, t:t + 1], first)
+                terms, m, s, v = both, top, *keep
+                if len(terms) * k * dim > STATE_CELLS:
+                    yield sent()
+                    terms, m, s, v = terms[:0], m[:0], s[:0], v[:0]
+        if len(terms):
+            yield sent()
+
+    docs = pairs.groupBy("doc_id").agg(F.collect_set("term_id").alias("ids")).join(
+        embeddings.select("doc_id", vec.doubles("vec").alias("vec")), "doc_id")
+    parts = settle(docs.select(F.col("ids").cast("array<int>").alias("ids"), "vec").mapInArrow(
+        run, "term_id int, topic int, m double, s double, v array<double>"), "attention")
+    top = parts.groupBy("term_id", "topic").agg(F.max("m").alias("top"))
+    down = F.exp(F.col("m") - F.col("top"))
+    return parts.join(top, ["term_id", "topic"]).groupBy("term_id", "topic").agg(
+        F.max("m").alias("m"), F.sum(F.col("s") * down).alias("s"), vec.sum_arrays("v", dim, down).alias("v"))
+
+
+def contextual_similarity(topics: list[tuple[int, list[float]]], pairs: DataFrame, embeddings: DataFrame,
                           vectors: DataFrame, dim: int) -> DataFrame:
     """``(topic, term_id, sim)``: cosine of topic and attention-pooled contexts.
 
-    A word has at most ``cap`` contexts, so the attention softmax of a word is a
-    bounded group. Words without a context use their static vector.
+    Words without a context use their static vector.
     """
-    logits = _per_topic(contexts.select("term_id", "vec"), topics).select(
-        "topic", "tv", "term_id", "vec", vec.dot("vec", "tv").alias("z"))
-    peak = F.max("z").over(Window.partitionBy("term_id", "topic"))
-    a = logits.withColumn("a", F.exp(F.col("z") - peak))
-    pooled = a.groupBy("term_id", "topic").agg(
-        vec.sum_arrays("vec", dim, F.col("a")).alias("pv"), F.first("tv").alias("tv"))
-    with_ctx = pooled.select("topic", "term_id", vec.cosine("pv", "tv", 1e-8).alias("sim"))
-    bare = vectors.join(contexts.select("term_id").distinct(), "term_id", "left_anti")
+    table = F.array(*[F.struct(F.lit(int(t)).alias("topic"), vec.lit_array([float(x) for x in v]).alias("tv")) for t, v in topics])
+    states = attention_states(pairs, embeddings, topics, dim)
+    own = F.element_at(F.filter(table, lambda t: t["topic"] == F.col("topic")), 1)["tv"]
+    with_ctx = settle(states.select("topic", "term_id", vec.cosine("v", own, 1e-8).alias("sim")), "similarity")
+    bare = vectors.join(with_ctx.select("term_id").distinct(), "term_id", "left_anti")
     without = _per_topic(bare.select("term_id", vec.doubles("vec").alias("vec")), topics).select(
         "topic", "term_id", vec.cosine("vec", "tv", 1e-8).alias("sim"))
     return with_ctx.unionByName(without)
 
 
-def contextual_beta(topics, contexts: DataFrame, vectors: DataFrame, dim: int,
+def contextual_beta(topics, pairs: DataFrame, embeddings: DataFrame, vectors: DataFrame, dim: int,
                     temperature: float = 0.1) -> DataFrame:
     """``(topic, term_id, weight)``: softmax over words of the contextual similarity."""
-    return _softmax(contextual_similarity(topics, contexts, vectors, dim), temperature)
+    return _softmax(contextual_similarity(topics, pairs, embeddings, vectors, dim), temperature)
 
 
 def expected_at(cells: DataFrame, theta: DataFrame, phi: DataFrame, num_topics: int,

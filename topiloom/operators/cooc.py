@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..session import bounded, settle
 
 _CELLS = 2_000_000     # pair cells built at once for one document
 _HELD = 4_000_000      # counted pairs held by a task before they are sent on
+_HEADS = 50_000        # terms whose edges are looked up at once
+EDGE_ROWS = 2_000_000  # edges sent to every task at once
+SEND_BYTES = 64 << 20  # phrases sent to every task, by measured bytes
 
 
 def pair_counts(docs: DataFrame, left: Sequence[int] | None = None) -> DataFrame:
@@ -78,6 +82,57 @@ def pair_counts(docs: DataFrame, left: Sequence[int] | None = None) -> DataFrame
     )
 
 
+def edge_counts(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(src, dst, cnt)``: documents that hold both ends, for the given edges only.
+
+    The edges go to the tasks as sorted neighbour lists, at most ``EDGE_ROWS`` at a time; with
+    more of them the documents are read once for each share. A document looks up the neighbours
+    of its own terms among its terms, so its work is the degree of its terms and not the square
+    of their number, and what is shuffled is one count for each edge and task.
+    """
+    wanted = settle(edges.select("src", "dst").distinct(), "edges")
+    shares = max(1, -(-wanted.count() // EDGE_ROWS))
+    spark, out = docs.sparkSession, None
+    for share in range(shares):
+        own = wanted.where(F.pmod(F.xxhash64("src", "dst"), F.lit(shares)) == share).orderBy("src", "dst").toArrow()
+        src, dst = (own.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
+        part = _count_edges(docs, spark.sparkContext.broadcast((src, dst)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _count_edges(docs: DataFrame, edges) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst = edges.value
+        counts = np.zeros(len(src), np.int64)
+        for rb in batches:
+            lists = rb.column(0)
+            off = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy()[off[0]:off[-1]].astype(np.int64)
+            rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            for lo in range(0, len(ids), _HEADS):
+                head, row = ids[lo:lo + _HEADS], rows[lo:lo + _HEADS]
+                first, last = np.searchsorted(src, head, "left"), np.searchsorted(src, head, "right")
+                n = last - first
+                edge = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = np.repeat(row, n)
+                # a document's terms are sorted, so the pairs (row, term) are as well
+                a, z = np.searchsorted(rows, [row[0], row[-1] + 1]) if len(row) else (0, 0)
+                known = (rows[a:z] << 32) | ids[a:z]
+                code = (row << 32) | dst[edge]
+                at = np.searchsorted(known, code)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == code[hit]
+                counts += np.bincount(edge[hit], minlength=len(src))
+        on = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(src[on].astype(np.int32)), pa.array(dst[on].astype(np.int32)), pa.array(counts[on])],
+                                         names=["src", "dst", "cnt"])
+
+    # ids are sorted once here, whatever made the rows
+    return docs.select(F.sort_array(F.array_distinct("ids")).alias("ids")).mapInArrow(run, "src int, dst int, cnt bigint").groupBy(
+        "src", "dst").agg(F.sum("cnt").alias("cnt"))
+
+
 def mirrored(half: DataFrame) -> DataFrame:
     """Both directions of a table that holds each unordered pair once."""
     both = F.explode(F.array(
@@ -120,6 +175,54 @@ def window(seqs: DataFrame, width: int) -> DataFrame:
     return mirrored(half)
 
 
+def window_cells(seqs: DataFrame, width: int, wanted: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a few terms in the table of :func:`window`, and all its row sums.
+
+    One pass compares the sequence with itself at each distance. It counts the cells of
+    ``wanted`` terms only; of the others it keeps one sum a term, so no table of all pairs is
+    made. Returns ``(src, dst, cnt)`` and ``(term_id, c)``.
+    """
+    few = np.array(sorted(wanted), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, sums = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def added(held, codes, n):
+            keys, at = np.unique(np.concatenate([held[0], codes]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([held[1], n])).astype(np.int64)
+
+        for rb in batches:
+            lists = rb.column(0)
+            off = lists.offsets.to_numpy()
+            seq = lists.values.to_numpy()[off[0]:off[-1]].astype(np.int64)
+            rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            around = np.zeros(len(seq), np.int64)
+            codes = []
+            for apart in range(1, min(width, len(seq) - 1) + 1):
+                a, b = seq[:-apart], seq[apart:]
+                on = (rows[:-apart] == rows[apart:]) & (a != b)
+                around[:-apart] += on
+                around[apart:] += on
+                for x, y in ((a, b), (b, a)):
+                    mine = on & np.isin(x, few)
+                    codes.append((x[mine] << 32) | y[mine])
+            ids, at = np.unique(seq, return_inverse=True)
+            sums = added(sums, ids, np.bincount(at, around).astype(np.int64))
+            codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            cells = added(cells, *np.unique(codes, return_counts=True))
+            if len(cells[0]) > _HELD:
+                yield batch(cells[0] >> 32, cells[0] & 0xFFFFFFFF, cells[1])
+                cells = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield batch(cells[0] >> 32, cells[0] & 0xFFFFFFFF, cells[1])
+        yield batch(sums[0], np.full(len(sums[0]), -1), sums[1])
+
+    def batch(src, dst, n):
+        return pa.RecordBatch.from_arrays([pa.array(src.astype(np.int32)), pa.array(dst.astype(np.int32)), pa.array(n)], names=["src", "dst", "cnt"])
+
+    found = settle(seqs.select("seq").mapInArrow(run, "src int, dst int, cnt bigint").groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")), "window")
+    return found.where("dst >= 0"), found.where("dst < 0").select(F.col("src").alias("term_id"), F.col("cnt").cast("double").alias("c"))
+
+
 def marginals(docs: DataFrame) -> DataFrame:
     """``(term_id, c)``: row sums of document co-occurrence without building the pairs.
 
@@ -182,10 +285,21 @@ def unigrams(lists: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
+def word_and_pair_counts(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(w, cnt)`` and ``(w1, w2, cnt)`` of adjacent tokens, from one pass over the texts."""
+    t = F.col("tokens")
+    pairs = F.zip_with(
+        F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    words = F.transform(t, lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2")))
+    both = settle(lists.where(F.size("tokens") > 0).select(F.explode(F.concat(words, pairs)).alias("b"))
+                  .groupBy("b.w1", "b.w2").agg(F.count(F.lit(1)).alias("cnt")), "counts")
+    return both.where("w2 IS NULL").select(F.col("w1").alias("w"), "cnt"), both.where("w2 IS NOT NULL")
+
+
 def pmi_bigrams(lists: DataFrame, n: int = 200, min_count: int = 10) -> DataFrame:
     """``(w1, w2, cnt, pmi)``: the ``n`` best bigrams by PMI among those seen often."""
-    # Both count tables are read several times; the texts are tokenised once each.
-    bi, uni = settle(bigrams(lists)), settle(unigrams(lists))
+    uni, bi = word_and_pair_counts(lists)
     n_bi = bi.agg(F.sum("cnt")).first()[0] or 0
     n_uni = uni.agg(F.sum("cnt")).first()[0] or 0
     frequent = bi.where(F.col("cnt") >= min_count)
@@ -209,9 +323,9 @@ def phrase_scores(lists: DataFrame, min_count: int = 5, threshold: float = 10.0,
     words; a phrase neither starts nor ends with a connector word.
     """
     stop = sorted(connectors)
-    uni = settle(unigrams(lists))
+    uni, bi = word_and_pair_counts(lists)
     v = uni.count()
-    pairs = bigrams(lists).where(
+    pairs = bi.where(
         (F.col("cnt") >= min_count) & ~F.col("w1").isin(stop) & ~F.col("w2").isin(stop))
     left = uni.select(F.col("w").alias("w1"), F.col("cnt").alias("n1"))
     right = uni.select(F.col("w").alias("w2"), F.col("cnt").alias("n2"))
@@ -226,9 +340,66 @@ def phrase_scores(lists: DataFrame, min_count: int = 5, threshold: float = 10.0,
 def join_phrases(lists: DataFrame, phrases: DataFrame) -> DataFrame:
     """Token lists with each detected pair joined by ``_``, left to right.
 
-    A pair is marked by an equi-join on the two words. In a run of adjacent marked
-    pairs the greedy reading joins every second one, counted from the run's start.
+    In a run of adjacent marked pairs the greedy reading joins every second one, counted from
+    the run's start. The pairs are marked inside the row: Spark hashes each two neighbours, the
+    tasks look the hashes up in the sorted hashes of the phrases and confirm the words, so no
+    row of tokens moves. Phrases of more than ``SEND_BYTES``, which are measured first, are
+    marked by a join instead.
     """
+    found = settle(phrases.select("w1", "w2").distinct(), "phrases")
+    size = found.agg(F.sum(F.octet_length("w1") + F.octet_length("w2") + 24)).first()[0] or 0
+    if size > SEND_BYTES:
+        return _join_phrases_wide(lists, found)
+    table = found.select(F.xxhash64("w1", "w2").alias("h"), "w1", "w2").orderBy("h", "w1", "w2").toArrow().combine_chunks()
+    known = lists.sparkSession.sparkContext.broadcast(table)
+    t = F.col("tokens")
+    hashes = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+                        lambda a, b: F.xxhash64(a, b))
+    return lists.where(F.size("tokens") > 0).select("doc_id", "tokens", hashes.alias("h")).mapInArrow(
+        lambda batches: _marked(batches, known.value), "doc_id bigint, tokens array<string>")
+
+
+def _marked(batches: Iterator[pa.RecordBatch], phrases: pa.Table) -> Iterator[pa.RecordBatch]:
+    hashes = phrases.column("h").to_numpy()
+    firsts, seconds = (phrases.column(c).combine_chunks() for c in ("w1", "w2"))
+    alike = int(np.unique(hashes, return_counts=True)[1].max()) if len(hashes) else 0
+    for rb in batches:
+        lists = rb.column(1)
+        off = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(off[0], off[-1] - off[0])
+        off = off - off[0]
+        last = np.zeros(len(words), bool)
+        last[off[1:] - 1] = True                  # every list here has a token
+        lefts = np.flatnonzero(~last)
+        pairs = rb.column(2).flatten().to_numpy()
+        hit = np.zeros(len(words), bool)
+        at = np.searchsorted(hashes, pairs)
+        for _ in range(alike):                    # phrases may share a hash
+            here = np.flatnonzero(at < len(hashes))
+            here = here[hashes[at[here]] == pairs[here]]
+            if not len(here):
+                break
+            left = lefts[here]
+            same = pc.and_(pc.equal(words.take(pa.array(left)), firsts.take(pa.array(at[here]))),
+                           pc.equal(words.take(pa.array(left + 1)), seconds.take(pa.array(at[here]))))
+            hit[left[same.to_numpy(zero_copy_only=False)]] = True
+            at = at + 1
+        place = np.arange(len(words))
+        before = np.where(hit, -1, place)
+        before[off[:-1]] = np.maximum(before[off[:-1]], off[:-1] - 1)   # a list starts after no pair
+        starts = hit & ((place - np.maximum.accumulate(before)) % 2 == 1)
+        eaten = np.zeros(len(words), bool)
+        eaten[1:] = starts[:-1]
+        joined = pc.binary_join_element_wise(words.filter(pa.array(starts)), words.filter(pa.array(eaten)), "_")
+        kept = pc.replace_with_mask(words, pa.array(starts), joined).filter(pa.array(~eaten))
+        sizes = np.add.reduceat((~eaten).astype(np.int64), off[:-1]) if len(words) else np.zeros(0, np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.ListArray.from_arrays(offsets, kept, type=pa.list_(pa.field("element", pa.string())))],
+                                         names=["doc_id", "tokens"])
+
+
+def _join_phrases_wide(lists: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The same with an equi-join on the two words, for more phrases than tasks can hold."""
     marked = (
         lists.select("doc_id", F.posexplode("tokens").alias("pos", "w1"),
                      F.col("tokens").alias("t"))

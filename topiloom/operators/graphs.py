@@ -97,17 +97,17 @@ def pmi_sparsify(edges: DataFrame, docs: DataFrame, n_docs: int, top_k: int = 15
     """Edges whose document-level PMI is positive, the best ``top_k`` per source.
 
     Duplicate edges are collapsed first and stay as the multiplicity ``mult``.
-    ``top_k=0`` keeps all of them.
+    ``top_k=0`` keeps all of them. Only the cells of the edges are counted.
     """
     merged = edges.groupBy("src", "dst").agg(F.sum("mult").alias("mult"))
     df = docs.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    co = cooc.pair_counts(docs).select(
+    merged = merged.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
+    co = cooc.edge_counts(docs, merged.where(F.col("lo") < F.col("hi")).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))).select(
         F.col("src").alias("lo"), F.col("dst").alias("hi"), "cnt")
     ns = bounded(df.select(F.col("t").alias("src"), F.col("df").alias("ns")), bound)
     nd = bounded(df.select(F.col("t").alias("dst"), F.col("df").alias("nd")), bound)
     scored = (
-        merged.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
-        .join(co, ["lo", "hi"]).join(ns, "src").join(nd, "dst")
+        merged.join(co, ["lo", "hi"]).join(ns, "src").join(nd, "dst")
         .withColumn("ppmi", F.log(F.col("cnt") * F.lit(float(n_docs)) / (F.col("ns") * F.col("nd"))))
         .where(F.col("ppmi") > 0)
         .select("src", "dst", "mult", "ppmi")

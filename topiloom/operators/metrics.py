@@ -175,13 +175,13 @@ def c_v_documents(topic_words: DataFrame, docs: DataFrame, vocab: DataFrame, top
 
 def c_v_window(topic_words: DataFrame, seqs: DataFrame, vocab: DataFrame, top_k: int = 10,
                width: int = 10, n_context: int = 10, bound: int | None = None) -> DataFrame:
-    """C_V with sliding-window co-occurrence over ``seqs(doc_id, seq)``."""
+    """C_V with sliding-window co-occurrence over ``seqs(doc_id, seq)``; only the rows of
+    scored words and the row sums are counted."""
     rows = settle(known_words(topic_words, vocab, top_k, bound))
-    co = settle(cooc.window(seqs, width))
-    marg = co.groupBy(F.col("src").alias("term_id")).agg(F.sum("cnt").cast("double").alias("c"))
+    wanted = [r["term_id"] for r in collect_bounded(rows.select("term_id").distinct())]
+    cells, marg = cooc.window_cells(seqs, width, wanted)
     total = float(marg.agg(F.sum("c")).first()[0] or 0)
-    wanted = rows.select(F.col("term_id").alias("src")).distinct()
-    return c_v(rows, marg, co.join(wanted, "src", "left_semi"), total, n_context, bound)
+    return c_v(rows, marg, cells, total, n_context, bound)
 
 
 def window_coherence(topic_words: DataFrame, lists: DataFrame, width: int) -> dict[str, float | None]:

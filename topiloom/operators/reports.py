@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec
 from ..functions.wordlists import MWE_RELATIONS
-from ..session import bounded, collect_bounded
+from ..session import bounded, settle
 from .context import _per_topic
 
+AUTOMATON_CHARS = 2_000_000
+
 
 def ranked(rows: DataFrame, top_k: int, tie: str = "term", by: str = "weight",
            key: Sequence[str] = ("topic",)) -> DataFrame:
@@ -150,13 +154,37 @@ def generic_mwes(scores: DataFrame, stop: Iterable[str], top_k: int = 10) -> Dat
 def phrase_features(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(doc_id, phrase)``: the lower-cased phrases each document contains.
 
-    The phrase list is a short report, so it travels as a literal and every text is
-    read once, without a join.
+    The phrases become one automaton that reads each text once, however many they are. It is
+    sent to the tasks while the phrases have at most ``AUTOMATON_CHARS`` characters together;
+    with more of them the documents are read once for each share of that size.
     """
-    listed = sorted({r["phrase"].lower().strip() for r in collect_bounded(phrases.select("phrase"), 10_000)} - {""})
-    low = F.lower("text")
-    found = F.filter(F.array(*[F.lit(p) for p in listed]), lambda p: F.contains(F.col("_l"), p))
-    return docs.select("doc_id", low.alias("_l")).select("doc_id", F.explode(found).alias("phrase"))
+    listed = settle(phrases.select(F.lower(F.regexp_replace("phrase", r"^\s+|\s+$", "")).alias("phrase")).where("phrase <> ''").distinct(), "phrases")
+    chars = listed.agg(F.sum(F.length("phrase"))).first()[0] or 0
+    shares = max(1, -(-chars // AUTOMATON_CHARS))
+    texts = docs.select("doc_id", F.lower("text").alias("low")).where("low IS NOT NULL")
+    out = None
+    for share in range(shares):
+        own = [r["phrase"] for r in listed.where(F.pmod(F.xxhash64("phrase"), F.lit(shares)) == share).collect()]
+        found = texts.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(own)), "doc_id bigint, phrase string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matcher(phrases):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for p in phrases.value:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for rb in batches:
+            ids, hits = [], []
+            for doc_id, low in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                found = {p for _, p in automaton.iter(low)} if phrases.value else ()
+                ids += [doc_id] * len(found)
+                hits += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.string())], names=["doc_id", "phrase"])
+
+    return run
 
 
 def topic_points(points: DataFrame, dominant: DataFrame) -> DataFrame:
