@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import text as T
+from ..functions.seeded import POISSON1_CDF
 from ..functions.wordlists import STOP_WORDS
 from ..operators import corpus, deps, graphs, reports, temporal, vectors
 from ..operators import vocab as V
@@ -228,6 +229,16 @@ def u01(*parts) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {keys})), 1, 12) AS BIGINT) / 281474976710656.0)"
 
 
+def replicates_sql(rows: str, key: str, n: int, seed: int = 0) -> str:
+    """``rows`` once for each replicate ``b``, with its Poisson(1) count ``w``."""
+    low = 1 << 32
+    mixed = f"(SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST({key} AS VARCHAR))), 1, 8) AS BIGINT) + b * {0x9E3779B9}) % {low} AS x FROM {rows}, (SELECT unnest(range({n})) AS b))"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        mixed = f"(SELECT * REPLACE (CAST(CAST(xor(x, x >> {shift}) AS HUGEINT) * {factor} % {low} AS BIGINT) AS x) FROM {mixed})"
+    count = " + ".join(f"CAST(xor(x, x >> 16) / {low}.0::DOUBLE >= {edge}::DOUBLE AS INTEGER)" for edge in POISSON1_CDF)
+    return f"(SELECT *, {count} AS w FROM {mixed})"
+
+
 def wordlist(x: str, low: int = 2) -> str:
     return (f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda z: "
             f"regexp_full_match(z, '[\\p{{L}}\\p{{No}}\\p{{Nl}}]{{2,}}') AND length(z) >= {low})")

@@ -313,20 +313,15 @@ def co_ppmi_doc(d):
 @query("vec_ppmi_svd")
 def vec_ppmi_svd(d):
     cells = vectors.ppmi_cells(cooc.window(sequences(d), 5), MAX_FEATURES)
-    return vectors.svd_vectors(cells, d.n_terms, 20).select(
+    return vectors.svd_vectors(cells, d.n_terms).select(
         "term_id", F.size("vec").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("sq_norm"))
 
 
 @query("vec_skipgram")
 def vec_skipgram(d):
-    known = cooc.id_lists(d.lists, d.vocab, MAX_FEATURES)
-    names = d.vocab.select("term").orderBy("term_id")
-    terms = [r["term"] for r in names.collect()]
-    back = F.array(*[F.lit(t) for t in terms])
-    lists = known.select("doc_id", F.transform("seq", lambda i: F.element_at(back, i + 1)).alias("tokens"))
     inside = d.triples.join(d.vocab.select(F.col("term").alias("head")), "head", "left_semi").join(
         d.vocab.select(F.col("term").alias("dependent")), "dependent", "left_semi")
-    out = vectors.skipgram_vectors(lists, inside, d.vocab, dim=20, epochs=1)
+    out = vectors.skipgram_vectors(cooc.known_lists(d.lists, d.vocab, MAX_FEATURES), inside, d.vocab)
     return out.select("term_id", "term", F.size("vec").alias("dim"), "missing")
 
 

@@ -13,12 +13,13 @@ from ..operators import vocab as V
 from ..plans import fit as fits
 from ..plans import grid
 from ..session import settle, stage_path
-from .base import (DIM, ENG, MAX_FEATURES, MIN_DF, STOPS, TOPICS, query, sql, u01, wordlist)
+from ..streaming import foldin
+from .base import (DIM, ENG, MAX_FEATURES, MIN_DF, STOPS, TOPICS, query, replicates_sql, sql, u01)
 from .graphs import CTFIDF, joined_lists
 from .texts import BIGRAMS, CTX
 from .graphs import JOINED, PHRASES
 
-ITER = 60
+ITER = TopicConfig().max_iter
 K = TOPICS
 
 
@@ -125,7 +126,7 @@ def nmf_rescale(d):
 
 @query("nmf_fit")
 def nmf_fit(d):
-    cfg = TopicConfig(num_topics=K, max_features=MAX_FEATURES, max_iter=ITER, vector_backend="ppmi_svd", vector_dim=20)
+    cfg = TopicConfig(num_topics=K, max_features=MAX_FEATURES, max_iter=ITER, vector_backend="ppmi_svd")
     model = fits.fit(d.documents.select("doc_id"), d.tokens, cfg)
     return model.topic_info()
 
@@ -137,9 +138,9 @@ def _parsed(d):
 
 @query("nmf_ablation")
 def nmf_ablation(d):
-    rows = []
-    for name, lam in (("graph", 0.1), ("plain", 0.0)):
-        res = _fit(d, graphs=[(syntax_arrays(d), lam)])
+    rows, names = [], ("graph", "plain")
+    found = nmf.fit_many(d.rows, d.n_terms, [nmf.Job(K, graphs=[(syntax_arrays(d), lam)], max_iter=ITER) for lam in (0.1, 0.0)])
+    for name, res in zip(names, found):
         phi = res.phi_long(d.vocab)
         row = fits.summary(settle(reports.top_words(phi, 10)), _parsed(d), phi).first()
         rows.append((name, *[row[m] for m in grid.METRICS]))
@@ -157,6 +158,13 @@ def nmf_fold_in(d):
         "doc_id", F.posexplode("w").alias("topic", "weight"))
 
 
+@query("nmf_fold_in_stream")
+def nmf_fold_in_stream(d):
+    """The documents, read as a stream and scored against the fit, batch by batch."""
+    scored = foldin.fold_in_stream(d.spark, f"{d.sf_dir}/documents.parquet", d.vocab, fitted(d).matrix(), ENG)
+    return scored.select("doc_id", F.posexplode("w").alias("topic", "weight"))
+
+
 @query("nmf_perplexity")
 def nmf_perplexity(d):
     rows, h = settle(_bench_rows(d)), fitted(d).matrix()
@@ -166,7 +174,7 @@ def nmf_perplexity(d):
 
 @query("nmf_bootstrap")
 def nmf_bootstrap(d):
-    return nmf.bootstrap(d.rows, fitted(d), n_resamples=3, max_iter=5)
+    return nmf.bootstrap(d.rows, fitted(d), max_iter=ITER)
 
 
 @query("nmf_match", sql("phi vocab", f"SELECT CAST(k AS INTEGER) AS topic, CAST({K - 1} - k AS INTEGER) AS matched, 1.0::DOUBLE AS similarity FROM (SELECT unnest(range({K})) AS k)", "similarity"))
@@ -181,14 +189,18 @@ def nmf_match(d):
 
 @query("nmf_search_k")
 def nmf_search_k(d):
-    parsed = _parsed(d)
+    parsed, fits_of = _parsed(d), {}
+
+    def prepare(ks):
+        jobs = [nmf.Job(k, max_iter=ITER) for k in ks]
+        fits_of.update(zip(ks, nmf.fit_many(d.rows, d.n_terms, jobs)))
 
     def score(k):
-        phi = _fit(d, k).phi_long(d.vocab)
+        phi = fits_of[k].phi_long(d.vocab)
         row = fits.summary(settle(reports.top_words(phi, 10)), parsed, phi).first()
         return row["npmi"], row["diversity"]
 
-    best, out = grid.search_k(score, (2, 4), finetune=True)
+    best, out = grid.search_k(score, (2, 4, 6, 8), finetune=True, prepare=prepare)
     return d.spark.createDataFrame([(k, r["npmi"], r["div"], r["score"], k == best, r["error"]) for k, r in sorted(out.items())],
                                    "k int, npmi double, diversity double, score double, best boolean, error string")
 
@@ -285,7 +297,7 @@ def cov_encode(d):
 def cov_effect_boot(d):
     z = covariates.encode_number(d.documents, "n_chars").join(
         d.documents.select("doc_id", (F.col("lang") == "en").cast("double").alias("english")), "doc_id")
-    return covariates.effect_bootstrap(d.theta_rows, z, ["z", "english"], K, n_bootstrap=50)
+    return covariates.effect_bootstrap(d.theta_rows, z, ["z", "english"], K)
 
 
 @query("cov_effect_ols", sql("theta", """SELECT topic, regr_slope(weight, z) AS coef, regr_r2(weight, z) AS r2,
@@ -304,16 +316,13 @@ def time_slices(d):
     return temporal.slices(d.times, 5).select("doc_id", "slice")
 
 
-@query("time_prevalence", sql("times theta", f"""SELECT slice, topic, n, mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
+@query("time_prevalence", sql("times theta", """SELECT slice, topic + 1 AS topic, n, mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
   SELECT slice, topic, sum(w * weight) / sum(w) AS m FROM bt GROUP BY slice, topic, b) JOIN (
-  SELECT slice, topic, count(*) AS n, avg(weight) AS mean FROM sl JOIN theta USING (doc_id) GROUP BY 1, 2) USING (slice, topic) GROUP BY 1, 2, 3, 4""".replace("SELECT slice, topic, n, mean,", "SELECT slice, topic + 1 AS topic, n, mean,", 1),
+  SELECT slice, topic, count(*) AS n, avg(weight) AS mean FROM sl JOIN theta USING (doc_id) GROUP BY 1, 2) USING (slice, topic) GROUP BY 1, 2, 3, 4""",
                               "mean ci_low ci_high", extra=SLICES + f""",
-bu AS (SELECT doc_id, b, {u01(0, 'doc_id', 'b')} AS u FROM times, (SELECT unnest(range(50)) AS b)),
-bt AS (SELECT slice, topic, b, weight, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-  0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336],
-  lambda z: u >= z)) AS w FROM bu JOIN sl USING (doc_id) JOIN theta USING (doc_id))"""))
+bt AS (SELECT slice, topic, b, weight, w FROM {replicates_sql('times', 'doc_id', 200)} JOIN sl USING (doc_id) JOIN theta USING (doc_id))"""))
 def time_prevalence(d):
-    return temporal.prevalence(d.theta, temporal.slices(d.times, 5), n_resamples=50)
+    return temporal.prevalence(d.theta, temporal.slices(d.times, 5))
 
 
 @query("time_drift")

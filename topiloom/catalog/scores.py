@@ -11,7 +11,7 @@ from ..operators import classify, context, cooc, corpus, metrics, reports, stats
 from ..operators import vocab as V
 from ..plans import fit as fits
 from ..session import settle, spread
-from .base import DIM, LANGS, MAX_FEATURES, TOPICS, query, sql, u01
+from .base import DIM, LANGS, MAX_FEATURES, TOPICS, query, replicates_sql, sql
 from .graphs import DCOOC, PPMI_D, SEQ, TFIDF, _window_sql, sequences
 from .models import BETA, STATIC, _parsed
 from .texts import BIGRAMS, MAIN, _main, ascii_lists
@@ -426,7 +426,7 @@ def m_f1_holdout(d):
 
 @query("m_cv_classify")
 def m_cv_classify(d):
-    r = classify.cross_validate(_features(d), 3)
+    r = classify.cross_validate(_features(d))
     return d.spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} double" for k in r))
 
 
@@ -439,20 +439,17 @@ def m_downstream(d):
     both = theta.join(found, "doc_id", "left").select("doc_id", "label", "vec", flags.alias("m"))
     emb = theta.select("doc_id", "label").join(d.embeddings.select("doc_id", "vec"), "doc_id")
     return classify.downstream({"theta": theta, "mwe": both.select("doc_id", "label", F.col("m").alias("vec")),
-                                "theta+mwe": both.select("doc_id", "label", F.concat("vec", "m").alias("vec")), "embedding": emb}, k=2)
+                                "theta+mwe": both.select("doc_id", "label", F.concat("vec", "m").alias("vec")), "embedding": emb}, seeds=(0, 1, 2))
 
 
 # -- statistics over run records ---------------------------------------------------
 
-CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336]"
-
-
 @query("st_bootstrap", sql("", """SELECT l_returnflag, n, estimate, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (SELECT l_returnflag, sum(w * l_discount) / sum(w) AS m FROM bs GROUP BY l_returnflag, b)
-JOIN (SELECT l_returnflag, count(*) AS n, avg(l_discount) AS estimate FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1, 2, 3""", "estimate ci_low ci_high", extra=f"""
-bs AS (SELECT l_returnflag, l_discount, b, len(list_filter({CDF}, lambda z: u >= z)) AS w FROM (SELECT *, {u01(0, 'l_orderkey * 10 + l_linenumber', 'b')} AS u FROM lineitem, (SELECT unnest(range(20)) AS b)))"""))
+JOIN (SELECT l_returnflag, count(*) AS n, avg(l_discount) AS estimate FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1, 2, 3""", "estimate ci_low ci_high",
+                             extra=f"bs AS {replicates_sql('lineitem', 'l_orderkey * 10 + l_linenumber', 200)}"))
 def st_bootstrap(d):
     rows = spread(d.table("lineitem")).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return stats.bootstrap_poisson(rows, "l_discount", "id", ["l_returnflag"], 20)
+    return stats.bootstrap_poisson(rows, "l_discount", "id", ["l_returnflag"])
 
 
 PAIRED = "pr AS (SELECT a.corpus, a.seed, a.k, a.npmi AS a, b.npmi AS b FROM runs a JOIN runs b ON a.corpus = b.corpus AND a.seed = b.seed AND a.k = b.k WHERE a.model = 'A' AND b.model = 'R')"
@@ -465,7 +462,7 @@ def _paired(d):
 
 @query("st_paired_ci")
 def st_paired_ci(d):
-    return stats.bootstrap_draws(_paired(d).withColumn("d", F.col("a") - F.col("b")), "d", KEY, 2000)
+    return stats.bootstrap_draws(_paired(d).withColumn("d", F.col("a") - F.col("b")), "d", KEY)
 
 
 @query("st_excludes_zero", sql("runs", "SELECT corpus, k, min(a - b) > 0 OR max(a - b) < 0 AS excludes FROM pr GROUP BY 1, 2", extra=PAIRED))
@@ -517,24 +514,24 @@ AGG = "SELECT {g}, 'npmi' AS metric, count(*) AS n, avg(npmi) AS mean, coalesce(
 
 @query("st_aggregate", sql("runs", AGG.format(g="corpus, model"), "mean sd"))
 def st_aggregate(d):
-    return stats.summarise(d.runs, "npmi", n_resamples=500).drop("ci_low", "ci_high")
+    return stats.summarise(d.runs, "npmi").drop("ci_low", "ci_high")
 
 
 @query("st_compare_group", sql("runs", AGG.format(g="model, k"), "mean sd"))
 def st_compare_group(d):
-    return stats.summarise(d.runs, "npmi", group=("model", "k"), n_resamples=500).drop("ci_low", "ci_high")
+    return stats.summarise(d.runs, "npmi", group=("model", "k")).drop("ci_low", "ci_high")
 
 
 @query("udf_group", sql("runs", AGG.format(g="corpus, seed"), "mean sd"))
 def udf_group(d):
-    return stats.summarise(d.runs, "npmi", group=("corpus", "seed"), n_resamples=200).drop("ci_low", "ci_high")
+    return stats.summarise(d.runs, "npmi", group=("corpus", "seed")).drop("ci_low", "ci_high")
 
 
 @query("st_compare_paired", _recursive(sql("runs", """SELECT corpus, k, 'npmi' AS metric, n, 'R' AS baseline, 'A' AS treatment, mb AS mean_baseline, mt AS mean_treatment, mt - mb AS diff, cliffs_delta, p_value AS p_raw, p_holm
 FROM wx JOIN ho USING (corpus, k, p_value) JOIN cl USING (corpus, k) JOIN (SELECT corpus, k, avg(a) AS mt, avg(b) AS mb FROM pr GROUP BY 1, 2) USING (corpus, k)""",
     "mean_baseline mean_treatment diff cliffs_delta p_raw p_holm", extra=",\n".join([PAIRED, CLIFF, WILC, HOLM]))))
 def st_compare_paired(d):
-    return stats.compare(d.runs, "npmi", "A", "R", 500).drop("ci_low", "ci_high", "note")
+    return stats.compare(d.runs, "npmi", "A", "R").drop("ci_low", "ci_high", "note")
 
 
 @query("st_mean_std", sql("runs", """SELECT corpus, model, k, round(avg(npmi), 4) AS npmi_mean, round(stddev_samp(npmi), 4) AS npmi_std, round(avg(c_v), 4) AS c_v_mean, round(stddev_samp(c_v), 4) AS c_v_std
@@ -571,7 +568,7 @@ def udf_parser(d):
 
 @query("udf_statistic", sql("runs", "SELECT corpus, model, count(*) AS n, median(npmi) AS estimate FROM runs GROUP BY 1, 2", "estimate"))
 def udf_statistic(d):
-    return stats.bootstrap_draws(d.runs, "npmi", ["corpus", "model"], 100, statistic=np.median).drop("ci_low", "ci_high")
+    return stats.bootstrap_draws(d.runs, "npmi", ["corpus", "model"], statistic=np.median).drop("ci_low", "ci_high")
 
 
 @query("udf_reducer", sql("wv tv", "SELECT 'word' AS kind, term AS label, vec[1] AS x, vec[2] AS y FROM wv UNION ALL SELECT 'topic', CAST(topic AS VARCHAR), vec[1], vec[2] FROM tv", "x y"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPAN = float(16 ** 12)
+_LOW = np.uint64(0xFFFFFFFF)
 
 # Cumulative Poisson(1) probabilities.
 POISSON1_CDF = [
@@ -37,6 +39,25 @@ def poisson1(u: Column) -> Column:
     return count
 
 
+def base32(seed, *keys) -> Column:
+    """32 bits of the MD5 of seed and key, the start of a row's replicate draws."""
+    cols = [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
+
+
+def replicate_counts(base: np.ndarray, n: int) -> np.ndarray:
+    """Poisson(1) counts of ``n`` replicates for rows with :func:`base32` values, rows x n.
+
+    A replicate's draw mixes the base plus its number times a constant, modulo 2**32, so one
+    digest a row serves all replicates.
+    """
+    x = (base.astype(np.uint64)[:, None] + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B9)) & _LOW
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & _LOW
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & _LOW
+    x = x ^ (x >> np.uint64(16))
+    return np.searchsorted(np.array(POISSON1_CDF), x / 2.0 ** 32, "right").astype(np.float64)
+
+
 def normal(seed, *keys) -> Column:
     """Standard normal draw (Box-Muller) keyed like :func:`uniform`."""
     u1 = uniform(f"{seed}a", *keys)

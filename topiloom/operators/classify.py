@@ -6,13 +6,16 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import seeded
-from ..session import hold
+from ..functions.rank import running
+from ..session import hold, stage_path
 
 
 def folds(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -52,13 +55,8 @@ def macro_f1(pred: DataFrame) -> float:
 def auc(scored: DataFrame) -> float:
     """Area under the ROC curve of ``scored(y, s)`` by average ranks of equal scores."""
     g = scored.groupBy("s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    buckets = g.withColumn("_b", F.floor(F.col("s") * 256))
-    off = buckets.groupBy("_b").agg(F.sum("n").alias("bn")).withColumn("off", F.coalesce(F.sum("bn").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "off")
-    w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("off") + F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0
-    r = buckets.join(off, "_b").withColumn("r", rank).agg(
-        F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    ranked = running(g, ["s"], F.col("n"), "below").withColumn("r", F.col("below") + (F.col("n") + 1) / 2.0)
+    r = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).first()
     p, q = float(r["p"] or 0), float((r["n"] or 0) - (r["p"] or 0))
     return (float(r["s"]) - p * (p + 1) / 2.0) / (p * q) if p and q else float("nan")
 
@@ -146,13 +144,24 @@ def downstream(feature_sets: dict[str, DataFrame], k: int = 5, seeds=(42,)) -> D
         out, "features string, f1_macro double, f1_macro_std double, auc double, auc_std double")
 
 
+def sparse_vectors(docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, features)`` from ``(doc_id, ids, cnts)`` with sorted ids, as sparse vectors.
+
+    A vector is stored as a struct of its kind, size, places and values. That struct is written
+    and read back under the vector type, so no row passes through Python.
+    """
+    spark = docs.sparkSession
+    path = stage_path(spark, "vectors")
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
+                     F.col("ids").cast("array<int>").alias("indices"), F.col("cnts").cast("array<double>").alias("values"))
+    docs.select("doc_id", parts.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([StructField("doc_id", LongType()), StructField("features", VectorUDT())])).parquet(path)
+
+
 def lda(docs: DataFrame, vocab: DataFrame, n_terms: int, k: int, seed: int = 42, max_iter: int = 5,
         top_k: int = 10) -> tuple[DataFrame, DataFrame]:
     """LDA baseline on ``docs(doc_id, ids, cnts)``: topic words and document mixtures."""
-    repeated = F.flatten(F.zip_with("ids", "cnts", lambda i, n: F.array_repeat(i.cast("string"), n.cast("int"))))
-    words = docs.where(F.size("ids") > 0).select("doc_id", repeated.alias("words"))
-    numbers = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_terms)], "words", "features")
-    rows = hold(numbers.transform(words).select("doc_id", "features"))
+    rows = sparse_vectors(docs.where(F.size("ids") > 0), n_terms)
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features").fit(rows)
     words = (
         model.describeTopics(top_k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wordlists import CONNECTOR_WORDS
 from ..session import bounded, settle
+from .lookup import Words, flat_lists, word_hashes
 
 _CELLS = 2_000_000     # pair cells built at once for one document
 _HELD = 4_000_000      # counted pairs held by a task before they are sent on
@@ -159,6 +160,16 @@ def id_lists(lists: DataFrame, vocab: DataFrame, bound: int | None) -> DataFrame
     )
 
 
+def known_lists(lists: DataFrame, vocab: DataFrame, bound: int | None) -> DataFrame:
+    """Token lists without the words outside the vocabulary."""
+    return (
+        lists.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+        .join(bounded(vocab.select("term"), bound), "term", "left_semi")
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("s"))
+        .select("doc_id", F.col("s.term").alias("tokens"))
+    )
+
+
 def window(seqs: DataFrame, width: int) -> DataFrame:
     """Symmetric counts of different terms at distance 1..``width``.
 
@@ -426,32 +437,34 @@ def window_counts(lists: DataFrame, terms: Sequence[str], width: int) -> tuple[n
     term's own frequency) and the number of windows. A text shorter than the window
     is one window. Each task sums one small matrix.
     """
-    vocab = {t: i for i, t in enumerate(terms)}
-    size = len(vocab)
+    listed = sorted(set(terms))
+    size = len(listed)
+    spark = lists.sparkSession
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(listed)], "term string, term_id int")
+    known = spark.sparkContext.broadcast(Words(table))
+    place_of = {t: i for i, t in enumerate(listed)}
+    order = np.array([place_of[t] for t in terms], dtype=int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((size, size))
         windows = 0
         for rb in batches:
-            for tokens in rb.column(0).to_pylist():
-                n = len(tokens)
-                if n == 0:
-                    continue
-                count = max(1, n - width + 1)
-                windows += count
-                hits: dict[int, list[int]] = {}
-                for p, t in enumerate(tokens):
-                    i = vocab.get(t)
-                    if i is not None:
-                        hits.setdefault(i, []).append(p)
-                if not hits:
-                    continue
-                rows = np.array(sorted(hits))
+            words, doc = flat_lists(rb.column(0))
+            ids = known.value.ids(words, flat_lists(rb.column(1))[0].to_numpy())
+            sizes = np.bincount(doc, minlength=rb.num_rows)
+            counts = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+            windows += int(counts.sum())
+            at = np.flatnonzero(ids >= 0)
+            place = at - (np.cumsum(sizes) - sizes)[doc[at]]
+            edges = np.searchsorted(doc[at], np.arange(rb.num_rows + 1))
+            for r in np.flatnonzero(np.diff(edges)):
+                lo, hi = edges[r], edges[r + 1]
+                count = int(counts[r])
+                rows, row = np.unique(ids[at[lo:hi]], return_inverse=True)
+                pos = place[lo:hi]
                 delta = np.zeros((rows.size, count + 1), dtype=np.int32)
-                for r, i in enumerate(rows):
-                    pos = np.array(hits[i])
-                    np.add.at(delta[r], np.minimum(np.maximum(pos - width + 1, 0), count), 1)
-                    np.add.at(delta[r], np.minimum(pos, count - 1) + 1, -1)
+                np.add.at(delta, (row, np.minimum(np.maximum(pos - width + 1, 0), count)), 1)
+                np.add.at(delta, (row, np.minimum(pos, count - 1) + 1), -1)
                 seen = (np.cumsum(delta[:, :-1], axis=1) > 0).astype(np.float64)
                 acc[np.ix_(rows, rows)] += seen @ seen.T
         i, j = np.nonzero(acc)
@@ -461,7 +474,7 @@ def window_counts(lists: DataFrame, terms: Sequence[str], width: int) -> tuple[n
              pa.array(np.append(acc[i, j], float(windows)))], names=["i", "j", "n"])
 
     cells = (
-        lists.select("tokens").mapInArrow(run, "i int, j int, n double")
+        lists.where(F.size("tokens") > 0).select("tokens", word_hashes("tokens")).mapInArrow(run, "i int, j int, n double")
         .groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     )
     out = np.zeros((size, size))
@@ -471,4 +484,4 @@ def window_counts(lists: DataFrame, terms: Sequence[str], width: int) -> tuple[n
             windows = int(r["n"])
         else:
             out[r["i"], r["j"]] = r["n"]
-    return out, windows
+    return out[np.ix_(order, order)], windows

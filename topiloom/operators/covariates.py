@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seeded
 from ..session import collect_bounded
+from . import stats
 
 
 def encode_text(docs: DataFrame, col: str) -> DataFrame:
@@ -43,21 +43,20 @@ def effect_bootstrap(theta: DataFrame, covariates: DataFrame, names: Sequence[st
                      n_bootstrap: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """``(topic, term, coef, ci_low, ci_high, p, n_bootstrap)`` of OLS on intercept + covariates.
 
-    ``theta(doc_id, w)`` and ``covariates(doc_id, names...)``. One pass adds up X'X and
-    X'theta for the data and for every replicate, each document weighted by a Poisson(1)
-    count of its id; only those small matrices are shuffled and solved on the driver.
+    ``theta(doc_id, w)`` and ``covariates(doc_id, names...)``; documents without a covariate are
+    left out. One pass adds up X'X and X'theta for the data and for every replicate, each
+    document weighted by a Poisson(1) count of its id; only those small matrices are shuffled
+    and solved on the driver.
     """
     names = list(names)
     terms = ["intercept"] + names
     p, k = len(terms), num_topics
     x = [F.lit(1.0)] + [F.col(n).cast("double") for n in names]
-    rows = theta.join(covariates, "doc_id").withColumn(
-        "_b", F.explode(F.sequence(F.lit(-1), F.lit(n_bootstrap - 1))))
-    w = F.when(F.col("_b") < 0, 1).otherwise(seeded.poisson1(F.col("_u")))
-    sums = rows.withColumn("_u", seeded.uniform(seed, "doc_id", "_b")).withColumn("_w", w).where("_w > 0").groupBy("_b").agg(
-        *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)],
-        *[F.sum(F.col("_w") * x[i] * F.col("w")[t]).alias(f"y{i}_{t}") for i in range(p) for t in range(k)],
-    ).collect()
+    cells = {f"g{i}_{j}": x[i] * x[j] for i in range(p) for j in range(i, p)}
+    cells |= {f"y{i}_{t}": x[i] * F.col("w")[t] for i in range(p) for t in range(k)}
+    rows = theta.join(covariates.dropna(subset=names), "doc_id").select("doc_id", *[c.alias(n) for n, c in cells.items()])
+    # one row for each replicate
+    sums = stats.replicate_sums(rows, "doc_id", [], list(cells), n_bootstrap, seed).collect()
     draws, point = [], None
     for r in sums:
         g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])

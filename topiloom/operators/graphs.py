@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded
+from ..functions.rank import numbered
 from ..session import DRIVER_CELLS, bounded, cut_lineage
 from . import cooc
 
@@ -183,11 +184,8 @@ def _close(state: DataFrame, cols: list[str], directed: bool) -> DataFrame:
 
 def permutation(vocab: DataFrame, seed: int = 0) -> DataFrame:
     """``(term_id, new_id)``: the vocabulary in a seeded random order."""
-    ids = vocab.select("term_id")
-    shuffled = ids.withColumn(
-        "new_id", (F.row_number().over(
-            Window.orderBy(seeded.uniform(seed, "term_id"), "term_id")) - 1).cast("int"))
-    return shuffled
+    drawn = vocab.select("term_id", seeded.uniform(seed, "term_id").alias("_u"))
+    return numbered(drawn, ["_u", "term_id"], "new_id").select("term_id", F.col("new_id").cast("int").alias("new_id"))
 
 
 def permuted_graph(edges: DataFrame, vocab: DataFrame, seed: int = 0,

@@ -7,14 +7,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded
+from ..functions.rank import running
+from ..session import settle
 
 # Groups up to this size use numpy's own resampling draws; larger ones use Poisson
 # weights, which need no group in one place.
 SMALL_GROUP = 10_000
+_DRAWN = 4_096           # rows whose draws are made at once
+_HELD_SUMS = 4_000_000   # sums that a task holds before it sends them on
 
 
 def finite(c) -> Column:
@@ -26,15 +31,23 @@ def bootstrap_draws(rows: DataFrame, value: str, group: Sequence[str], n_resampl
                     level: float = 0.95, statistic: Callable = np.mean, seed: int = 0) -> DataFrame:
     """Percentile interval of any statistic with numpy's seeded draws.
 
-    For run records, where a group is a handful of fits. A group above
-    ``SMALL_GROUP`` rows is refused; :func:`bootstrap_poisson` handles those.
+    For run records, where a group is a handful of fits. The mean of a group above
+    ``SMALL_GROUP`` rows gets the weights of :func:`bootstrap_poisson` instead, keyed by value and
+    number, since numpy's draws need the whole group in one place; any other statistic of such a
+    group is an error.
     """
     group = list(group)
     clean = rows.where(finite(value)).select(*group, F.col(value).cast("double").alias("_v"))
     n = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    big = n.where(F.col("n") > SMALL_GROUP).limit(1).count()
-    if big:
-        raise ValueError("group too large for numpy draws; use bootstrap_poisson")
+    large = n.where(F.col("n") > SMALL_GROUP).select(*[F.col(g).alias(f"_g_{g}") for g in group])
+    more = None
+    if not large.isEmpty():
+        if statistic is not np.mean:
+            raise ValueError("only the mean can be resampled for a group that does not fit one task")
+        same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+        many = clean.join(F.broadcast(large), same, "left_semi").withColumn("_id", F.monotonically_increasing_id())
+        more = bootstrap_poisson(settle(many, "large"), "_v", "_id", group, n_resamples, level, seed)
+        clean = clean.join(F.broadcast(large), same, "left_anti")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clean.select(*group).schema)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,31 +63,77 @@ def bootstrap_draws(rows: DataFrame, value: str, group: Sequence[str], n_resampl
     out = clean.groupBy(*group).applyInPandas(
         one, f"{fields}, n bigint, estimate double, ci_low double, ci_high double")
     missing = [F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in ("ci_low", "ci_high")]
-    return out.select(*group, "n", "estimate", *missing)
+    out = out.select(*group, "n", "estimate", *missing)
+    return out if more is None else out.unionByName(more)
+
+
+def replicate_sums(rows: DataFrame, key: str, group: Sequence[str], values: Sequence[str], n_resamples: int, seed: int = 0) -> DataFrame:
+    """``(group, _b, _w, values...)``: weight and weighted sums of each group and replicate.
+
+    ``_b`` is -1 for the data themselves and 0.. for replicates, in which a row counts as often
+    as a Poisson(1) draw of its key says. A batch's draws are a matrix of rows by replicates,
+    and its product with the values is added to the running sums of each group: no row is
+    repeated, and a task sends on one row for each of its groups and replicates.
+    """
+    group, values = list(group), list(values)
+    made = rows.select(*group, seeded.base32(seed, key).alias("_base"), *[F.col(v).cast("double").alias(v) for v in values])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in made.select(*group).schema)
+    n_values = len(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds = None
+
+        def sent():
+            names = list(held)
+            sums = np.concatenate([held[k] for k in names])
+            columns = [pa.array([k[i] for k in names for _ in range(n_resamples + 1)], kinds[i]) for i in range(len(group))]
+            number = np.tile(np.arange(-1, n_resamples, dtype=np.int32), len(names))
+            return pa.RecordBatch.from_arrays([*columns, pa.array(number), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(n_values + 1)]],
+                                              names=[*group, "_b", "_w", *values])
+
+        for rb in batches:
+            kinds = [rb.schema.field(i).type for i in range(len(group))]
+            for lo in range(0, rb.num_rows, _DRAWN):
+                part = rb.slice(lo, _DRAWN)
+                n = part.num_rows
+                x = np.column_stack([np.ones(n), *[part.column(len(group) + 1 + i).to_numpy(zero_copy_only=False) for i in range(n_values)]])
+                w = seeded.replicate_counts(part.column(len(group)).to_numpy(), n_resamples)
+                w = np.concatenate([np.ones((n, 1)), w], axis=1)
+                keys = list(zip(*[part.column(i).to_pylist() for i in range(len(group))])) if group else [()] * n
+                codes: dict[tuple, int] = {}
+                at = np.array([codes.setdefault(k, len(codes)) for k in keys])
+                for k, c in codes.items():
+                    on = at == c
+                    own = w[on].T @ x[on]
+                    held[k] = held[k] + own if k in held else own
+                if len(held) * n_resamples > _HELD_SUMS:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    sums = made.mapInArrow(run, f"{fields}_b int, _w double, " + ", ".join(f"`{v}` double" for v in values))
+    return sums.groupBy(*group, "_b").agg(F.sum("_w").alias("_w"), *[F.sum(v).alias(v) for v in values])
 
 
 def bootstrap_poisson(rows: DataFrame, value: str, key: str, group: Sequence[str],
                       n_resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean with Poisson(1) weights drawn from ``key``.
 
-    Every replicate is a pair of running sums, so a group of any size is combined on
-    the map side and only ``n_resamples`` numbers per group are shuffled.
+    A group of any size costs ``n_resamples`` pairs of running sums a task.
     """
     group = list(group)
     if not group:
         raise ValueError("name at least one grouping column")
     clean = rows.where(finite(value)).select(*group, F.col(key).alias("_k"), F.col(value).alias("_v"))
-    reps = clean.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    drawn = reps.withColumn("_u", seeded.uniform(seed, "_k", "_b"))
-    means = (
-        drawn.withColumn("_w", seeded.poisson1(F.col("_u"))).groupBy(*group, "_b")
-        .agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
-    )
+    sums = settle(replicate_sums(clean, "_k", group, ["_v"], n_resamples, seed), "replicates")
     a = (1.0 - level) / 2.0
-    ends = means.groupBy(*group).agg(F.percentile("m", F.lit(a)).alias("ci_low"),
-                                     F.percentile("m", F.lit(1.0 - a)).alias("ci_high"))
-    point = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("estimate"))
-    return point.join(ends, group)
+    mean = F.when(F.col("_b") >= 0, F.col("_v") / F.nullif(F.col("_w"), F.lit(0.0)))
+    return sums.withColumn("_m", mean).groupBy(*group).agg(
+        F.max(F.when(F.col("_b") < 0, F.col("_w"))).cast("bigint").alias("n"),
+        F.max(F.when(F.col("_b") < 0, F.col("_v") / F.col("_w"))).alias("estimate"),
+        F.percentile("_m", F.lit(a)).alias("ci_low"), F.percentile("_m", F.lit(1.0 - a)).alias("ci_high"))
 
 
 def excludes_zero(low="ci_low", high="ci_high") -> Column:
@@ -103,8 +162,8 @@ def cliffs_delta(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
                              F.struct(F.col("b").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y"))))
     vals = pairs.select(*group, side.alias("s")).groupBy(*group, F.col("s.v").alias("v")).agg(
         F.sum("s.x").alias("x"), F.sum("s.y").alias("y"))
-    w = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    below = vals.withColumn("lo", F.coalesce(F.sum("y").over(w), F.lit(0)))
+    vals = settle(vals, "values")
+    below = running(vals, ["v"], F.col("y"), "lo", group=group)
     tot = vals.groupBy(*group).agg(F.sum("y").alias("m"))
     delta = F.sum(F.col("x") * (F.col("lo") - (F.col("m") - F.col("lo") - F.col("y"))))
     return below.join(tot, group).groupBy(*group).agg(
@@ -147,8 +206,8 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], alpha: float = 0.05) -> Dat
         F.max(F.abs("d")).alias("peak"))
     tied = diff.where(F.col("d") != 0).groupBy(*group, F.abs("d").alias("m")).agg(
         F.count(F.lit(1)).alias("t"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("pos"))
-    w = Window.partitionBy(*group).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2.0
+    tied = running(tied, ["m"], F.col("t"), "before", group=group)
+    rank = F.col("before") + (F.col("t") + 1) / 2.0
     sums = tied.withColumn("r", rank).groupBy(*group).agg(
         F.sum(F.col("r") * F.col("pos")).alias("up"),
         F.sum(F.col("r") * (F.col("t") - F.col("pos"))).alias("down"),
@@ -174,14 +233,21 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], alpha: float = 0.05) -> Dat
 
 def holm(rows: DataFrame, p: str = "p_raw", out: str = "p_holm", family: Sequence[str] = (),
          tie: Sequence[str] = ()) -> DataFrame:
-    """Holm step-down adjustment inside each family: running maximum, at most 1."""
-    fam = list(family) or [F.lit(0)]
-    order = [F.col(p)] + [F.col(t) for t in tie]
-    w = Window.partitionBy(*fam).orderBy(*order)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*fam))
-    step = rows.withColumn("_s", (m - F.row_number().over(w) + 1) * F.col(p))
-    run = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return step.withColumn(out, F.least(run, F.lit(1.0))).drop("_s")
+    """Holm step-down adjustment inside each family: running maximum, at most 1.
+
+    Ranks and maxima run over range partitions, so a family may be of any size.
+    """
+    fam, order = list(family), [p, *tie]
+    held = settle(running(rows, order, F.lit(1), "_before", group=fam), "family")
+    if fam:
+        sizes = held.groupBy(*fam).agg(F.count(F.lit(1)).alias("_m"))
+        sizes = sizes.select(*[F.col(g).alias(f"_of_{g}") for g in fam], "_m")
+        same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in fam]
+        step = held.join(sizes, same).drop(*[f"_of_{g}" for g in fam])
+    else:
+        step = held.withColumn("_m", F.lit(held.count()))
+    done = running(step, order, (F.col("_m") - F.col("_before")) * F.col(p), "_run", "max", fam, inclusive=True)
+    return done.withColumn(out, F.least("_run", F.lit(1.0))).select(*rows.columns, out)
 
 
 def summarise(rows: DataFrame, metric: str, group: Sequence[str] = ("corpus", "model"),

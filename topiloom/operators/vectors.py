@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..session import bounded, hold
+from ..session import bounded, hold, settle
 from .sparse import lists, row_sums, sparse, truncated_svd
 
 
@@ -56,18 +56,20 @@ def svd_vectors(cells: DataFrame, n_terms: int, dim: int = 100) -> DataFrame:
 
 def skipgram_vectors(token_lists: DataFrame, triples: DataFrame, vocab: DataFrame, dim: int = 100,
                      window: int = 5, epochs: int = 10, seed: int = 42,
-                     partitions: int = 1) -> DataFrame:
+                     words_per_task: int = 100_000) -> DataFrame:
     """Skip-gram vectors of lemma lists plus each dependency pair as a short sentence.
 
-    A vocabulary word without a vector gets zeros.
+    Each epoch trains on as many parts as the words fill, and the vectors of the parts are
+    averaged before the next. A vocabulary word without a vector gets zeros.
     """
     pair_sents = (
         triples.where(F.col("head") != F.col("dependent")).select("head", "dependent").distinct()
         .select(F.array("head", "dependent").alias("tokens"))
     )
+    sentences = settle(token_lists.select("tokens").unionByName(pair_sents), "sentences")
+    n_words = sentences.agg(F.sum(F.size("tokens"))).first()[0] or 0
     model = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=1, seed=seed,
-                     numPartitions=partitions, inputCol="tokens", outputCol="v").fit(
-        token_lists.select("tokens").unionByName(pair_sents))
+                     numPartitions=max(1, -(-n_words // words_per_task)), inputCol="tokens", outputCol="v").fit(sentences)
     found = model.getVectors().select(
         F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
     return fill_missing(vocab, found, dim)

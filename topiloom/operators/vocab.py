@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rank import numbered
 from ..session import bounded
 
-PREFIX = 3
-
 
 def token_counts(lists: DataFrame) -> DataFrame:
     """``(doc_id, term, cnt)`` from token lists; one combined shuffle."""
@@ -21,26 +20,12 @@ def token_counts(lists: DataFrame) -> DataFrame:
 def number_terms(terms: DataFrame, bound: int | None) -> DataFrame:
     """Ids 0.. in lexicographic order of ``term``.
 
-    A bounded vocabulary is numbered in one sort. An unbounded one is numbered
-    inside each prefix and shifted by the number of terms in smaller prefixes, so
-    no task ever sorts all terms.
+    A bounded vocabulary is numbered in one sort, an unbounded one over range partitions.
     """
     if bound is not None:
         rank = F.row_number().over(Window.orderBy("term")) - 1
         return terms.withColumn("term_id", rank.cast("int"))
-    keyed = terms.withColumn("_p", F.substring("term", 1, PREFIX))
-    offsets = (
-        keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.sum("_n").over(
-            Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_p", F.coalesce("_off", F.lit(0)).alias("_off"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("term")) - 1
-    return (
-        keyed.withColumn("_r", rank).join(offsets, "_p")
-        .withColumn("term_id", (F.col("_off") + F.col("_r")).cast("int"))
-        .drop("_p", "_r", "_off")
-    )
+    return numbered(terms, ["term"], "term_id").withColumn("term_id", F.col("term_id").cast("int"))
 
 
 def build_vocab(counts: DataFrame, min_df: int = 5, max_features: int | None = 15_000) -> DataFrame:

@@ -158,10 +158,7 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
         cells = vectors.ppmi_cells(settle(cooc.window(seqs, cfg.vector_window)), parsed.n_terms)
         found = vectors.svd_vectors(cells, parsed.n_terms, cfg.vector_dim)
     else:
-        known = parsed.lists.select("doc_id", F.posexplode("tokens").alias("pos", "term")).join(
-            parsed.vocab.select("term"), "term", "left_semi").groupBy("doc_id").agg(
-            F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("s")).select(
-            F.col("s.term").alias("tokens"))
+        known = cooc.known_lists(parsed.lists, parsed.vocab, cfg.max_features)
         found = vectors.skipgram_vectors(
             known, parsed.triples, parsed.vocab, cfg.vector_dim, cfg.vector_window, cfg.vector_epochs,
             cfg.seed)
