@@ -245,7 +245,7 @@ def wordlist(x: str, low: int = 2) -> str:
 
 
 def vocab_sql(name: str, limit: int, counts: str = "counts") -> str:
-    return f"""{name} AS (SELECT term, df, tf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id
+    return f"""{name} AS MATERIALIZED (SELECT term, df, tf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id
   FROM (SELECT * FROM (SELECT term, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS tf FROM {counts} GROUP BY 1)
         WHERE df >= {MIN_DF} ORDER BY tf DESC, term LIMIT {limit}))"""
 
@@ -259,7 +259,7 @@ CTES = {
     "tok": """tok AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM lists)""",
     "counts": "counts AS (SELECT doc_id, term, count(*) AS cnt FROM tok GROUP BY 1, 2)",
     "vocab": vocab_sql("vocab", MAX_FEATURES),
-    "bow": "bow AS (SELECT doc_id, term_id, term, cnt FROM counts JOIN vocab USING (term))",
+    "bow": "bow AS MATERIALIZED (SELECT doc_id, term_id, term, cnt FROM counts JOIN vocab USING (term))",
     "sents": f"""sents AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent_id FROM (
   SELECT doc_id, list_filter(string_split(regexp_replace({ws('text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)),
   lambda z: z <> '') AS ss FROM documents))""",
@@ -271,7 +271,7 @@ CTES = {
     SELECT doc_id, sent_id, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM sents)))""",
     "res": """res AS (SELECT t.*, h.lemma AS head_lemma, h.is_stop AS head_stop, h.is_alpha AS head_alpha
   FROM stok t LEFT JOIN stok h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head_id = h.tok_id)""",
-    "triples": """triples AS (SELECT head_lemma AS head, dep AS relation, lemma AS dependent, count(*) AS cnt FROM res
+    "triples": """triples AS MATERIALIZED (SELECT head_lemma AS head, dep AS relation, lemma AS dependent, count(*) AS cnt FROM res
   WHERE NOT is_stop AND is_alpha AND length(lemma) >= 3 AND length(head_lemma) >= 3 AND head_lemma <> lemma
   AND dep IN ('compound','amod','nsubj','obj','nmod') GROUP BY 1, 2, 3)""",
     "pairs": "pairs AS (SELECT head, dependent, CAST(sum(cnt) AS BIGINT) AS cnt FROM triples GROUP BY 1, 2)",
@@ -289,7 +289,7 @@ theta AS (""" + " UNION ALL ".join(
   ORDER BY weight DESC, topic) AS r FROM theta) WHERE r = 1)""",
     "beta": """beta AS (SELECT topic, term_id, term, sum(cnt * weight) AS weight FROM bow JOIN theta USING (doc_id)
   GROUP BY 1, 2, 3)""",
-    "phi": "phi AS (SELECT topic, term_id, term, round(weight / sum(weight) OVER (PARTITION BY topic), 12) AS weight FROM beta)",
+    "phi": "phi AS MATERIALIZED (SELECT topic, term_id, term, round(weight / sum(weight) OVER (PARTITION BY topic), 12) AS weight FROM beta)",
     "words": """words AS (SELECT topic, CAST(rank AS INTEGER) AS rank, term, term_id, weight FROM (SELECT *, row_number() OVER (
   PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM phi) WHERE rank <= 10)""",
     "mwes": """mscore AS (SELECT w.topic, head || ' ' || dependent AS phrase, relation, cnt, CAST(count(*) AS INTEGER) AS in_topic,
@@ -300,7 +300,7 @@ mwes AS (SELECT topic, CAST(rank AS INTEGER) AS rank, phrase, relation, score, c
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, phrase) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY topic, phrase ORDER BY score DESC, relation) AS r FROM mscore)
   WHERE r = 1) WHERE rank <= 15)""",
-    "wv": """wv AS (SELECT term_id, term, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec
+    "wv": """wv AS MATERIALIZED (SELECT term_id, term, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec
   FROM vocab JOIN embeddings ON vec_id = term_id)""",
     "wvx": "wvx AS (SELECT term_id, term, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM wv)",
     "demb": """demb AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label

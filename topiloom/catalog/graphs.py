@@ -159,9 +159,8 @@ def gr_degree(d):
     return graphs.degree(d.syntax, d.vocab, MAX_FEATURES)
 
 
-KNN = """knn AS (SELECT src, dst, greatest(s, 0.0) AS weight FROM (SELECT a.term_id AS src, b.term_id AS dst,
-  list_cosine_similarity(a.vec, b.vec) AS s, row_number() OVER (PARTITION BY a.term_id ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.term_id) AS r
-  FROM wv a JOIN wv b ON a.term_id <> b.term_id) WHERE r <= 15)"""
+KNN = """sims AS MATERIALIZED (SELECT a.term_id AS src, b.term_id AS dst, list_cosine_similarity(a.vec, b.vec) AS s FROM wv a JOIN wv b ON a.term_id <> b.term_id),
+knn AS MATERIALIZED (SELECT src, dst, greatest(s, 0.0) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM sims) WHERE r <= 15)"""
 
 
 @query("gr_knn", sql("wv", """SELECT a.src, a.dst, least(a.weight, b.weight) AS weight FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src

@@ -52,20 +52,77 @@ def start_h(d):
     return d.vocab.select("term_id", h.alias("h"))
 
 
-START = f"""w0 AS (SELECT doc_id, k, ((doc_id * 7919 + k * 104729) % 10007 + 1) / 10007.0::DOUBLE AS w FROM (SELECT DISTINCT doc_id FROM bow), (SELECT unnest(range({K})) AS k)),
-h0 AS (SELECT term_id, k, ((term_id * 7907 + k * 103) % 1009 + 1) / 1009.0::DOUBLE AS h FROM vocab, (SELECT unnest(range({K})) AS k)),
-wh0 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM bow JOIN w0 USING (doc_id) JOIN h0 USING (term_id, k) GROUP BY 1, 2, 3),
-num0 AS (SELECT term_id, k, sum(cnt / wh * w) AS num FROM wh0 JOIN w0 USING (doc_id) GROUP BY 1, 2),
-den0 AS (SELECT k, sum(w) AS den FROM w0 GROUP BY 1)"""
-GRAPH = """ha AS (SELECT e.src AS term_id, k, sum(weight * h) AS ha, sum(weight) AS deg FROM syntax e JOIN h0 ON e.dst = h0.term_id GROUP BY 1, 2)"""
-H1 = """h1 AS (SELECT term_id, k, h * num / (den + 1e-10) AS h FROM h0 JOIN num0 USING (term_id, k) JOIN den0 USING (k)),
-wh1 AS (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM bow JOIN w0 USING (doc_id) JOIN h1 USING (term_id, k) GROUP BY 1, 2, 3),
-w1 AS (SELECT doc_id, k, w * n / (s + 1e-10) AS w FROM w0 JOIN (SELECT doc_id, k, sum(cnt / wh * h) AS n FROM wh1 JOIN h1 USING (term_id) GROUP BY 1, 2) USING (doc_id, k)
-  JOIN (SELECT k, sum(h) AS s FROM h1 GROUP BY 1) USING (k))"""
-
-
-def _wide(df, key, col, name="value"):
-    return df.select(key, F.posexplode(col).alias("k", name))
+START = f"""w0 AS MATERIALIZED (SELECT doc_id, k, ((doc_id * 7919 + k * 104729) % 10007 + 1) / 10007.0::DOUBLE AS w FROM (SELECT DISTINCT doc_id FROM bow), (SELECT unnest(range({K})) AS k)),
+h0 AS MATERIALIZED (SELECT term_id, k, ((term_id * 7907 + k * 103) % 1009 + 1) / 1009.0::DOUBLE AS h FROM vocab, (SELECT unnest(range({K})) AS k))"""
+STEPS = 3
+
+
+def _fitted_cells(name: str, w: str, h: str) -> str:
+    return (f"{name} AS MATERIALIZED (SELECT doc_id, term_id, cnt, greatest(sum(w * h), 1e-10) AS wh FROM bow JOIN {w} USING (doc_id) "
+            f"JOIN {h} USING (term_id, k) GROUP BY 1, 2, 3)")
+
+
+def kl_steps(n: int, lam: float = 0.0) -> str:
+    """The updates of H and then W, written out ``n`` times, with an optional graph term."""
+    out = [START]
+    for i in range(n):
+        w, h, h1 = f"w{i}", f"h{i}", f"h{i + 1}"
+        out += [_fitted_cells(f"wh{i}", w, h),
+                f"num{i} AS (SELECT term_id, k, sum(cnt / wh * w) AS num FROM wh{i} JOIN {w} USING (doc_id) GROUP BY 1, 2)",
+                f"den{i} AS (SELECT k, sum(w) AS den FROM {w} GROUP BY 1)"]
+        top, bottom, pulled = "coalesce(num, 0)", "den", ""
+        if lam:
+            out.append(f"ha{i} AS (SELECT src AS term_id, k, sum(weight * h) AS ha, sum(weight) AS deg FROM syntax JOIN {h} ON dst = {h}.term_id GROUP BY 1, 2)")
+            top, bottom = f"({top} + {lam} * coalesce(ha, 0))", f"(den + {lam} * h * coalesce(deg, 0))"
+            pulled = f" LEFT JOIN ha{i} USING (term_id, k)"
+        out += [f"{h1} AS MATERIALIZED (SELECT term_id, k, h * {top} / ({bottom} + 1e-10) AS h FROM {h} LEFT JOIN num{i} USING (term_id, k) JOIN den{i} USING (k){pulled})",
+                _fitted_cells(f"vh{i}", w, h1),
+                f"""w{i + 1} AS MATERIALIZED (SELECT doc_id, k, w * n / (s + 1e-10) AS w FROM {w} JOIN (SELECT doc_id, k, sum(cnt / wh * h) AS n FROM vh{i} JOIN {h1} USING (term_id) GROUP BY 1, 2) USING (doc_id, k)
+  JOIN (SELECT k, sum(h) AS s FROM {h1} GROUP BY 1) USING (k))"""]
+    return ",\n".join(out)
+
+
+def frobenius_steps(n: int) -> str:
+    out = [START]
+    for i in range(n):
+        w, h, h1 = f"w{i}", f"h{i}", f"h{i + 1}"
+        out += [f"fn{i} AS (SELECT term_id, k, sum(cnt * w) AS num FROM bow JOIN {w} USING (doc_id) GROUP BY 1, 2)",
+                f"gw{i} AS (SELECT a.k AS k, b.k AS j, sum(a.w * b.w) AS g FROM {w} a JOIN {w} b USING (doc_id) GROUP BY 1, 2)",
+                f"fd{i} AS (SELECT term_id, gw{i}.k AS k, sum(g * h) AS den FROM gw{i} JOIN {h} ON j = {h}.k GROUP BY 1, 2)",
+                f"{h1} AS MATERIALIZED (SELECT term_id, k, h * coalesce(num, 0) / (den + 1e-10) AS h FROM {h} LEFT JOIN fn{i} USING (term_id, k) JOIN fd{i} USING (term_id, k))",
+                f"gh{i} AS (SELECT a.k AS k, b.k AS j, sum(a.h * b.h) AS g FROM {h1} a JOIN {h1} b USING (term_id) GROUP BY 1, 2)",
+                f"wd{i} AS (SELECT doc_id, gh{i}.k AS k, sum(g * w) AS den FROM gh{i} JOIN {w} ON j = {w}.k GROUP BY 1, 2)",
+                f"wn{i} AS (SELECT doc_id, k, sum(cnt * h) AS num FROM bow JOIN {h1} USING (term_id) GROUP BY 1, 2)",
+                f"w{i + 1} AS MATERIALIZED (SELECT doc_id, k, w * num / (den + 1e-10) AS w FROM {w} JOIN wn{i} USING (doc_id, k) JOIN wd{i} USING (doc_id, k))"]
+    return ",\n".join(out)
+
+
+SCALED = """hs AS (SELECT k, sum(h) AS s FROM h{n} GROUP BY 1),
+phi_n AS (SELECT term_id, k, h / s AS value FROM h{n} JOIN hs USING (k)),
+theta_n AS (SELECT doc_id, k, w * s / sum(w * s) OVER (PARTITION BY doc_id) AS value FROM w{n} JOIN hs USING (k))""".format(n=STEPS)
+BOTH = "SELECT doc_id AS id, 'w' AS factor, CAST(k AS INTEGER) AS k, value FROM theta_n UNION ALL SELECT term_id, 'h', CAST(k AS INTEGER), value FROM phi_n"
+PENALTY = "0.1 * (SELECT sum(weight * (a.h * a.h - a.h * b.h)) FROM syntax JOIN h{i} a ON src = a.term_id JOIN h{i} b ON dst = b.term_id AND a.k = b.k)"
+
+
+def objective_sql(i: int, penalty: bool) -> str:
+    """The objective at the factors after ``i`` updates."""
+    value = (f"(SELECT sum(cnt * (ln(cnt::DOUBLE) - ln(wh)) - cnt) FROM ob{i}) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w{i} GROUP BY 1) a "
+             f"JOIN (SELECT k, sum(h) AS s FROM h{i} GROUP BY 1) b USING (k))")
+    return value + (" + " + PENALTY.format(i=i) if penalty else "")
+
+
+def started(d, **how):
+    """The solver itself, from given factors, for a few updates."""
+    h0 = np.zeros((K, d.n_terms))
+    for r in start_h(d).collect():          # K numbers for each term of a bounded vocabulary
+        h0[:, r["term_id"]] = r["h"]
+    return nmf.fit(d.rows, d.n_terms, K, max_iter=STEPS, tol=0.0, start=(start_w(d), h0), **how)
+
+
+def _factors(fit):
+    w = fit.theta.select(F.col("doc_id").alias("id"), F.lit("w").alias("factor"), F.posexplode("w").alias("k", "value"))
+    h = fit.phi.select(F.col("term_id").cast("bigint").alias("id"), F.lit("h").alias("factor"), F.posexplode("h").alias("k", "value"))
+    return w.unionByName(h)
 
 
 @query("nmf_init")
@@ -76,52 +133,41 @@ def nmf_init(d):
     return start.select("doc_id", F.posexplode("w").alias("topic", "weight"))
 
 
-@query("nmf_kl", sql("bow vocab", "SELECT doc_id AS id, 'w' AS factor, CAST(k AS INTEGER) AS k, w AS value FROM w1 UNION ALL SELECT term_id, 'h', CAST(k AS INTEGER), h FROM h1",
-                     "value", extra=START + ",\n" + H1))
+@query("nmf_kl", sql("bow vocab", BOTH, "value", extra=kl_steps(STEPS) + ",\n" + SCALED))
 def nmf_kl(d):
-    w, h = start_w(d), start_h(d)
-    h1 = nmf.kl_h_step(d.bow, w, h, K, h_rows=MAX_FEATURES)
-    w1 = nmf.kl_w_step(d.bow, w, h1, K, h_rows=MAX_FEATURES)
-    return _wide(w1, "doc_id", "w").select(F.col("doc_id").alias("id"), F.lit("w").alias("factor"), "k", "value").unionByName(
-        _wide(h1, "term_id", "h").select(F.col("term_id").cast("bigint").alias("id"), F.lit("h").alias("factor"), "k", "value"))
-
-
-@query("nmf_frobenius", sql("bow vocab", "SELECT term_id, CAST(k AS INTEGER) AS k, h * coalesce(num, 0) / (den + 1e-10) AS value FROM h0 LEFT JOIN fn USING (term_id, k) JOIN fd USING (term_id, k)",
-                            "value", extra=START + """,
-fn AS (SELECT term_id, k, sum(cnt * w) AS num FROM bow JOIN w0 USING (doc_id) GROUP BY 1, 2),
-gram AS (SELECT a.k AS k, b.k AS j, sum(a.w * b.w) AS g FROM w0 a JOIN w0 b USING (doc_id) GROUP BY 1, 2),
-fd AS (SELECT term_id, gram.k AS k, sum(g * h) AS den FROM gram JOIN h0 ON gram.j = h0.k GROUP BY 1, 2)"""))
+    return _factors(started(d))
+
+
+@query("nmf_frobenius", sql("bow vocab", BOTH, "value", extra=frobenius_steps(STEPS) + ",\n" + SCALED))
 def nmf_frobenius(d):
-    return _wide(nmf.frobenius_h_step(d.bow, start_w(d), start_h(d), K, MAX_FEATURES), "term_id", "h")
+    return _factors(started(d, divergence="frobenius"))
 
 
-@query("nmf_graph_term", sql("bow vocab syntax", """SELECT term_id, CAST(k AS INTEGER) AS k, h * (num + 0.1 * coalesce(ha, 0)) / (den + 0.1 * h * coalesce(deg, 0) + 1e-10) AS value
-FROM h0 JOIN num0 USING (term_id, k) JOIN den0 USING (k) LEFT JOIN ha USING (term_id, k)""", "value", extra=START + ",\n" + GRAPH))
+@query("nmf_graph_term", sql("bow vocab syntax", BOTH, "value", extra=kl_steps(STEPS, 0.1) + ",\n" + SCALED))
 def nmf_graph_term(d):
-    return _wide(nmf.kl_h_step(d.bow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], MAX_FEATURES), "term_id", "h")
+    return _factors(started(d, graphs=[(syntax_arrays(d), 0.1)]))
 
 
-@query("nmf_objective", sql("bow vocab syntax", """SELECT round((SELECT sum(cnt * (ln(cnt::DOUBLE) - ln(wh)) - cnt) FROM wh0) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w0 GROUP BY 1) a
-  JOIN (SELECT k, sum(h) AS s FROM h0 GROUP BY 1) b USING (k)) + 0.1 * (SELECT sum(weight * (a.h * a.h - a.h * b.h)) FROM syntax JOIN h0 a ON src = a.term_id
-  JOIN h0 b ON dst = b.term_id AND a.k = b.k), 2) AS objective""", "objective", extra=START))
+@query("nmf_objective", sql("bow vocab syntax", f"SELECT round({objective_sql(STEPS, True)}, 2) AS objective", "objective",
+                            extra=kl_steps(STEPS, 0.1) + ",\n" + _fitted_cells(f"ob{STEPS}", f"w{STEPS}", f"h{STEPS}")))
 def nmf_objective(d):
-    value = nmf.objective_kl(d.bow, start_w(d), start_h(d), K, [(d.syntax, 0.1)], MAX_FEATURES)
+    value = started(d, graphs=[(syntax_arrays(d), 0.1)]).objective
     return d.spark.createDataFrame([(round(value, 2),)], "objective double")
 
 
-@query("nmf_stop")
+@query("nmf_stop", sql("bow vocab", " UNION ALL ".join(f"SELECT {i} AS iter, round({objective_sql(i, False)}, 2) AS objective" for i in range(1, STEPS + 1)), "objective",
+                       extra=",\n".join([kl_steps(STEPS), *[_fitted_cells(f"ob{i}", f"w{i}", f"h{i}") for i in range(1, STEPS + 1)]])))
 def nmf_stop(d):
-    return fitted(d).history_table()
+    return started(d).history_table().withColumn("objective", F.round("objective", 2))
 
 
-@query("nmf_rescale", sql("bow", f"""SELECT 'phi' AS factor, CAST(k AS BIGINT) AS id, 1.0::DOUBLE AS total FROM (SELECT unnest(range({K})) AS k)
-UNION ALL SELECT 'theta', doc_id, 1.0::DOUBLE FROM (SELECT DISTINCT doc_id FROM bow)""", "total"))
+@query("nmf_rescale", sql("bow vocab", """SELECT 'phi' AS factor, CAST(k AS BIGINT) AS id, sum(value) AS total, max(value) AS peak FROM phi_n GROUP BY k
+UNION ALL SELECT 'theta', doc_id, sum(value), max(value) FROM theta_n GROUP BY doc_id""", "total peak", extra=kl_steps(STEPS) + ",\n" + SCALED))
 def nmf_rescale(d):
-    f = fitted(d)
-    h = f.phi_long().groupBy("topic").agg(F.sum("weight").alias("total")).select(
-        F.lit("phi").alias("factor"), F.col("topic").cast("bigint").alias("id"), "total")
-    return h.unionByName(f.theta.select(F.lit("theta").alias("factor"), F.col("doc_id").alias("id"),
-                                        vec.total("w").alias("total")))
+    rows = _factors(started(d))
+    key = F.when(F.col("factor") == "h", F.col("k").cast("bigint")).otherwise(F.col("id"))
+    return rows.groupBy(F.when(F.col("factor") == "h", "phi").otherwise("theta").alias("factor"), key.alias("id")).agg(
+        F.sum("value").alias("total"), F.max("value").alias("peak"))
 
 
 @query("nmf_fit")
@@ -147,15 +193,9 @@ def nmf_ablation(d):
     return d.spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in grid.METRICS))
 
 
-def _bench_rows(d):
-    bench = d.table("benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return fits.encode_rows(bench, corpus.word_lists(bench, T.kept_words("text", ENG)), d.vocab, MAX_FEATURES)
-
-
 @query("nmf_fold_in")
 def nmf_fold_in(d):
-    return nmf.fold_in(_bench_rows(d), fitted(d).matrix()).select(
-        "doc_id", F.posexplode("w").alias("topic", "weight"))
+    return nmf.fold_in(d.rows, fitted(d).matrix()).select("doc_id", F.posexplode("w").alias("topic", "weight"))
 
 
 @query("nmf_fold_in_stream")
@@ -167,8 +207,8 @@ def nmf_fold_in_stream(d):
 
 @query("nmf_perplexity")
 def nmf_perplexity(d):
-    rows, h = settle(_bench_rows(d)), fitted(d).matrix()
-    value = nmf.perplexity(rows, nmf.fold_in(rows, h), h)
+    h = fitted(d).matrix()
+    value = nmf.perplexity(d.rows, nmf.fold_in(d.rows, h), h)
     return d.spark.createDataFrame([(value,)], "perplexity double")
 
 
@@ -177,12 +217,18 @@ def nmf_bootstrap(d):
     return nmf.bootstrap(d.rows, fitted(d), max_iter=ITER)
 
 
-@query("nmf_match", sql("phi vocab", f"SELECT CAST(k AS INTEGER) AS topic, CAST({K - 1} - k AS INTEGER) AS matched, 1.0::DOUBLE AS similarity FROM (SELECT unnest(range({K})) AS k)", "similarity"))
+MATCH = """pk AS (SELECT topic, term_id, weight FROM phi),
+cosines AS MATERIALIZED (SELECT i, j, sum(x * y) / (sqrt(max(nx)) * sqrt(max(ny))) AS c FROM (SELECT topic AS i, term_id, weight AS x, sum(weight * weight) OVER (PARTITION BY topic) AS nx FROM pk)
+  JOIN (SELECT k AS j, term_id, h AS y, sum(h * h) OVER (PARTITION BY k) AS ny FROM h0) USING (term_id) GROUP BY 1, 2),
+best AS (SELECT [a.j, b.j, c.j, d.j] AS js, [a.c, b.c, c.c, d.c] AS cs FROM cosines a, cosines b, cosines c, cosines d
+  WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3 AND len(list_distinct([a.j, b.j, c.j, d.j])) = 4 ORDER BY a.c + b.c + c.c + d.c DESC LIMIT 1)"""
+
+
+@query("nmf_match", sql("bow vocab phi", "SELECT CAST(i AS INTEGER) AS topic, CAST(js[i + 1] AS INTEGER) AS matched, cs[i + 1] AS similarity FROM best, (SELECT unnest(range(4)) AS i)",
+                        "similarity", extra=START + ",\n" + MATCH))
 def nmf_match(d):
-    """Aligning the topics with themselves in reverse order must find the reversal."""
-    a = context.wide_rows(d.phi, "term_id", K, "h")
-    b = a.select("term_id", F.reverse("h").alias("h"))
-    cols, sims = nmf.match_topics(a, b, K)
+    """The topics of the corpus matched one to one with the starting topics."""
+    cols, sims = nmf.match_topics(context.wide_rows(d.phi, "term_id", K, "h"), start_h(d), K)
     return d.spark.createDataFrame([(t, int(cols[t]), float(sims[t])) for t in range(K)],
                                    "topic int, matched int, similarity double")
 
