@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
@@ -15,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import seeded
 from ..functions.rank import running
-from ..session import hold, stage_path
+from ..session import hold, settle, stage_path
 
 
 def folds(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -40,25 +42,44 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", w)
 
 
+def macro_f1s(pred: DataFrame, group: list[str]) -> dict[tuple, float]:
+    """Macro F1 of each group of ``pred(group, label, prediction)``, from its confusion counts."""
+    counts: dict[tuple, dict[tuple, int]] = {}
+    for r in pred.groupBy(*group, "label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(tuple(r[g] for g in group), {})[r["label"], r["prediction"]] = r["n"]
+    out = {}
+    for key, cm in counts.items():
+        scores = []
+        for c in {x for pair in cm for x in pair}:
+            wrong = sum(n for pair, n in cm.items() if (pair[0] == c) != (pair[1] == c))
+            scores.append(2 * cm.get((c, c), 0) / (2 * cm.get((c, c), 0) + wrong))
+        out[key] = sum(scores) / len(scores)
+    return out
+
+
 def macro_f1(pred: DataFrame) -> float:
-    """Macro F1 of ``pred(label, prediction)`` from the confusion counts."""
-    cm = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
-    classes = {r["label"] for r in cm} | {r["prediction"] for r in cm}
-    scores = []
-    for c in classes:
-        tp = sum(r["n"] for r in cm if r["label"] == c and r["prediction"] == c)
-        wrong = sum(r["n"] for r in cm if (r["label"] == c) != (r["prediction"] == c))
-        scores.append(2 * tp / (2 * tp + wrong) if tp + wrong else 0.0)
-    return sum(scores) / len(scores) if scores else float("nan")
+    """Macro F1 of ``pred(label, prediction)``, NaN without rows."""
+    return macro_f1s(pred, []).get((), float("nan"))
+
+
+def aucs(scored: DataFrame, group: list[str]) -> DataFrame:
+    """``(group, auc)``: area under the ROC curve of ``scored(group, y, s)`` by average ranks.
+
+    Equal scores are counted first; their ranks run over range partitions, for all groups at
+    once. A group of one class has a null area.
+    """
+    g = settle(scored.groupBy(*group, "s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")), "scores")
+    ranked = running(g, ["s"], F.col("n"), "below", group=group).withColumn("r", F.col("below") + (F.col("n") + 1) / 2.0)
+    sums = ranked.groupBy(*group).agg(F.sum(F.col("r") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").alias("n"))
+    q = F.col("n") - F.col("p")
+    area = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * q, F.lit(0.0))
+    return sums.select(*group, area.alias("auc"))
 
 
 def auc(scored: DataFrame) -> float:
-    """Area under the ROC curve of ``scored(y, s)`` by average ranks of equal scores."""
-    g = scored.groupBy("s").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    ranked = running(g, ["s"], F.col("n"), "below").withColumn("r", F.col("below") + (F.col("n") + 1) / 2.0)
-    r = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-    p, q = float(r["p"] or 0), float((r["n"] or 0) - (r["p"] or 0))
-    return (float(r["s"]) - p * (p + 1) / 2.0) / (p * q) if p and q else float("nan")
+    """The area of one set of scores, NaN if it has one class only."""
+    r = aucs(scored.withColumn("_all", F.lit(0)), ["_all"]).first()
+    return float("nan") if r is None or r["auc"] is None else float(r["auc"])
 
 
 def _fit(train: DataFrame, seed: int, scale: bool, balance: bool):
@@ -104,20 +125,25 @@ def cross_validate(rows: DataFrame, k: int = 5, seed: int = 42) -> dict[str, flo
     """
     data = hold(folds(_features(rows), k, seed))
     classes = sorted(r[0] for r in data.select("label").distinct().collect())
-    f1s, aucs = [], []
-    for f in range(k):
-        test = data.where(F.col("fold") == f)
+
+    def scored(f: int) -> DataFrame:
         stages = _fit(data.where(F.col("fold") != f), seed, scale=True, balance=True)
-        pred = hold(_predict(stages, test).select(
-            "label", "prediction", vector_to_array("probability").alias("p")))
-        f1s.append(macro_f1(pred))
-        pos = classes[1:] if len(classes) == 2 else classes
-        each = [auc(pred.select((F.col("label") == c).cast("int").alias("y"), F.col("p")[int(c)].alias("s")))
-                for c in pos]
-        aucs.append(sum(each) / len(each) if each else float("nan"))
-        pred.unpersist()
+        return _predict(stages, data.where(F.col("fold") == f)).select(
+            "fold", "label", "prediction", vector_to_array("probability").alias("p"))
+
+    with ThreadPool(k) as pool:             # the folds' jobs share the cluster
+        parts = pool.map(scored, range(k))
+    pred = settle(reduce(DataFrame.unionByName, parts), "predictions")
     data.unpersist()
-    ok = [a for a in aucs if not math.isnan(a)]
+    f1s = [v for _, v in sorted(macro_f1s(pred, ["fold"]).items())]
+    pos = classes[1:] if len(classes) == 2 else classes
+    rated = F.explode(F.array(*[F.struct(F.lit(int(c)).alias("c"), (F.col("label") == c).cast("int").alias("y"), F.coalesce(F.get("p", F.lit(int(c))), F.lit(0.0)).alias("s")) for c in pos]))
+    each: dict[int, list[float]] = {}
+    if pos:
+        for r in aucs(pred.select("fold", rated.alias("r")).select("fold", "r.c", "r.y", "r.s"), ["fold", "c"]).collect():
+            each.setdefault(r["fold"], []).append(float("nan") if r["auc"] is None else r["auc"])
+    areas = [sum(v) / len(v) for _, v in sorted(each.items())]
+    ok = [a for a in areas if not math.isnan(a)]
 
     def mean(v):
         return sum(v) / len(v) if v else float("nan")

@@ -28,6 +28,7 @@ REPLAY = 5
 DIRECT_CELLS = 5_000_000
 BATCH_CELLS = 8_000_000
 SUM_TASKS = 4            # partial sums for each core
+TASK_ENTRIES = 50_000    # counts times models that a task should have at least
 _STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw array<double>"
 
 
@@ -337,11 +338,13 @@ def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
         F.col("cnts").cast("array<double>").alias("cnts"), dw.alias("dw")).where(F.exists("dw", lambda c: c > 0))
     base = hold(spread(base))
     n_models = len(jobs)
-    totals = base.select(vec.total("cnts").alias("m"), vec.dot("cnts", "cnts").alias("q"), "dw").agg(
-        *[F.sum(F.col("dw")[b] * F.col(c)) for c in ("m", "q") for b in range(n_models)]).first()
+    totals = base.select(vec.total("cnts").alias("m"), vec.dot("cnts", "cnts").alias("q"), F.size("ids").alias("n"), "dw").agg(
+        *[F.sum(F.col("dw")[b] * F.col(c)) for c in ("m", "q") for b in range(n_models)], F.sum("n")).first()
     x_mass, x_sq = ([float(t or 0.0) for t in totals[i * n_models:(i + 1) * n_models]] for i in range(2))
     begin, hts = _first_factors(base, jobs, parts, v)
-    state = hold(cut_lineage(begin))
+    # a small corpus is not worth a task on every core
+    tasks = max(1, min(base.rdd.getNumPartitions(), int(totals[-1] or 0) * n_models // TASK_ENTRIES))
+    state = hold(cut_lineage(begin.coalesce(tasks)))
     base.unpersist()
     scales = np.ones(width)
     scaled = [b for b, j in enumerate(jobs) if j.divergence == "kl" and j.start is None]
