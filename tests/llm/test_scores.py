@@ -132,3 +132,19 @@ def test_language_odd_cases_and_code_switching(spark):
     none = li.fit(docs.where("false"))
     assert {r["lang_pred"] for r in li.predict(odd_docs(spark), none).collect()} == {"und"}
     assert li.predict(empty_docs(spark), model).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any cap, and a rare one beside a frequent one."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lexicon = {f"x{i:02d}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for i in range(66)}
+    rows = []
+    for i, (lang, words) in enumerate(lexicon.items()):
+        for _ in range(60 if i == 0 else 4):
+            rows.append((len(rows), " ".join(rng.choice(words, 15)), lang))
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(lexicon)
+    probe = [(k, " ".join(rng.choice(w, 12)), lang) for k, (lang, w) in enumerate(lexicon.items())]
+    got = li.predict(spark.createDataFrame(probe, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 65

@@ -7,11 +7,13 @@ chain can change language inside a code-switched text. Forward-backward gives ea
 language probabilities; a text's language is the one with the largest sum, and its score
 that sum's share.
 
-The fit is piecewise. Word potentials are a multinomial regression on the words of at most
-``FIT_DOCS`` documents of each of the ``MOST_LANGS`` most frequent languages (the first by
-a hash of the id, whole texts; of these the ``FIT_WORDS`` most frequent word and language
-pairs). Transitions then come from the expected counts of forward-backward on the same
-documents, in two rounds.
+The fit is piecewise. Word potentials are a multinomial regression on all words of about
+``FIT_DOCS`` documents of each language (those with the smallest hashes of the id, whole texts).
+Words are counted by language in a staged table; a step sends the weights to at most
+``FIT_TASKS`` tasks, each adds up the gradient of its words, and the driver adds their sums, so it
+holds a few tables of 2**``TABLE_BITS`` rows by the number of languages and never the words.
+Every language and every word of the sample takes part. Transitions then come from the expected
+counts of forward-backward on the same documents, in two rounds.
 
 Learned are only texts and non-null ``lang`` values of documents of the fit's side. A text
 that is null or has no letter is ``und`` with score 0; so is every text if there is nothing
@@ -26,13 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import ALNUM, LOWER, SLICE_BYTES, Hasher, Slice, column, mix, per_row, slices, tidied, words
 from .tables import crc_bucket, keep_rest, modest_batches, settle
 
-FIT_DOCS, MOST_LANGS, FIT_WORDS = 1_500, 64, 100_000
+FIT_DOCS, FIT_TASKS, SEND_TABLES = 1_500, 16, 128 << 20
+WORDS_AT_ONCE = 20_000
 TABLE_BITS, STEPS, RATE, DECAY = 18, 40, 0.15, 1e-4
 STRIDE = 512
 _ASCII_LETTER = np.zeros(256, bool)
@@ -78,29 +81,52 @@ class Model:
         return x[back]
 
 
-def fit_table(words_: list[bytes], lang: np.ndarray, weight: np.ndarray, n_langs: int) -> np.ndarray:
-    """Multinomial regression of the language on a word's features (Adam, full batches)."""
-    flat = np.frombuffer(b"".join(words_), np.uint8)
-    ends = np.cumsum([len(w) for w in words_])
-    number, edge = word_features(flat, np.r_[0, ends[:-1]], ends)
-    count = np.diff(np.r_[edge, len(number)])
-    owner = np.repeat(np.arange(len(words_)), count)
+def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, total: float) -> Iterator[pa.RecordBatch]:
+    """The gradient over the words of a task, as bytes."""
+    size, n_langs = w.shape
+    out = np.zeros((n_langs, size))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, WORDS_AT_ONCE):
+            part = batch.slice(lo, WORDS_AT_ONCE)
+            words_ = column(part, "word").to_pylist()
+            lang = column(part, "lang").to_numpy()
+            weight = np.sqrt(column(part, "n").to_numpy()) / total
+            ends = np.cumsum([len(x) for x in words_])
+            number, edge = word_features(np.frombuffer(b"".join(words_), np.uint8), np.r_[0, ends[:-1]], ends)
+            owner = np.repeat(np.arange(len(words_)), np.diff(np.r_[edge, len(number)]))
+            x = np.add.reduceat(w[number], edge, axis=0).astype(np.float64)
+            x = np.exp(x - x.max(1, keepdims=True))
+            x /= x.sum(1, keepdims=True)
+            x[np.arange(len(words_)), lang] -= 1
+            x *= weight[:, None]
+            for k in range(n_langs):
+                out[k] += np.bincount(number, x[owner, k], size)
+    yield pa.RecordBatch.from_pydict({"g": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit_table(counted: DataFrame, n_langs: int) -> np.ndarray:
+    """Multinomial regression of the language on a word's features (Adam, full batches).
+
+    ``counted`` has rows (word, lang, n), lang a number. A step is one pass over it.
+    """
     size = 1 << TABLE_BITS
     w, m, v = (np.zeros((size, n_langs), np.float32) for _ in range(3))
-    weight = np.sqrt(weight)
-    weight = weight / weight.sum()
-    target = np.zeros((len(words_), n_langs), np.float32)
-    target[np.arange(len(words_)), lang] = 1
+    n_words, total = counted.agg(F.count("*"), F.sum(F.sqrt("n"))).first()
+    if not n_words:
+        return w
+    tasks = max(1, min(FIT_TASKS, SEND_TABLES // w.nbytes, -(-n_words // WORDS_AT_ONCE)))
+    parts, sc = counted.select("word", "lang", F.col("n").cast("double").alias("n")).coalesce(tasks), counted.sparkSession.sparkContext
     for t in range(1, STEPS + 1):
-        x = np.add.reduceat(w[number], edge, axis=0)
-        x = np.exp(x - x.max(1, keepdims=True))
-        x /= x.sum(1, keepdims=True)
-        g = (x - target) * weight[:, None]
-        for k in range(n_langs):
-            d = np.bincount(number, g[owner, k], size) + DECAY * w[:, k] / len(words_)
-            m[:, k] = 0.9 * m[:, k] + 0.1 * d
-            v[:, k] = 0.99 * v[:, k] + 0.01 * d * d
-            w[:, k] -= RATE * (m[:, k] / (1 - 0.9**t)) / (np.sqrt(v[:, k] / (1 - 0.99**t)) + 1e-9)
+        sent = sc.broadcast(w)
+        grad = parts.mapInArrow(lambda it, b=sent: tidied(_gradient(it, b.value, total)), "g binary")
+        g = np.zeros((n_langs, size), np.float32)
+        for r in grad.collect():            # at most FIT_TASKS tables
+            g += np.frombuffer(r["g"], np.float32).reshape(n_langs, size)
+        sent.destroy()
+        d = g.T + DECAY * w / n_words
+        m = 0.9 * m + 0.1 * d
+        v = 0.99 * v + 0.01 * d * d
+        w = (w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
     return w
 
 
@@ -180,7 +206,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             seen.update((langs[s.lo + r], raw[a:b]) for a, b, r in zip(*(x.tolist() for x in words(data, s.offsets, ALNUM))))
     if seen:
-        yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": pa.array([k[1] for k in seen], pa.binary()), "n": list(seen.values())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.int32()), "word": pa.array([k[1] for k in seen], pa.binary()), "n": list(seen.values())})
 
 
 def _transitions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -195,22 +221,19 @@ def _transitions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
 def fit(docs: DataFrame) -> Model:
     """A model from (doc_id, text, lang) rows; rows without a language teach nothing."""
     known = modest_batches(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    langs = sorted(totals)
+    totals = settle(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    langs = sorted(r["lang"] for r in totals.select("lang").collect())
     if not langs:
         return Model([])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    ids = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("_k", rank).where(F.col("_k") <= FIT_DOCS).drop("_k").distinct()
-    # at most FIT_DOCS ids for each of MOST_LANGS languages
-    sample = settle(known.join(F.broadcast(ids), ["doc_id", "lang"]), "sample")
-    top = sample.select("lang", "text").mapInArrow(lambda it: tidied(_count_words(it)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).toPandas()
-    k, at = len(langs), {x: i for i, x in enumerate(langs)}
+    numbers = known.sparkSession.createDataFrame(list(enumerate(langs)), "_lang int, lang string")
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    of = F.broadcast(totals.join(numbers, "lang"))      # one row for each language
+    sample = settle(known.join(of, "lang").where(share * F.col("_n") < FIT_DOCS).select("lang", F.col("_lang"), "text"), "sample")
+    counted = sample.select(F.col("_lang").alias("lang"), "text").mapInArrow(lambda it: tidied(_count_words(it)), "lang int, word binary, n long")
+    counted = settle(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    k = len(langs)
     model = Model(langs)
-    if len(top):
-        model.table = fit_table([bytes(w) for w in top["word"]], top["lang"].map(at).to_numpy(), top["n"].to_numpy(float), k)
-    else:
-        model.table = np.zeros((1 << TABLE_BITS, k), np.float32)
+    model.table = fit_table(counted, k)
     model.start = np.log(np.full(k, 1 / k))
     model.step = np.log(np.full((k, k), 0.02 / max(k - 1, 1)) * (1 - np.eye(k)) + 0.98 * np.eye(k))
     sc = docs.sparkSession.sparkContext
