@@ -149,3 +149,10 @@ def test_bpe_query_like_the_library(spark):
         ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_wide_path_tells_null_texts_apart(spark):
+    rows = [(7, None), (None, "7")] + [(i, "7\nown " + str(i)) for i in range(20, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fast, wide = (rows_of(line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1, send_bytes=b).select("doc_id", "text", "n_dropped")) for b in (1 << 20, 0))
+    assert fast == wide and (7, None, 0) in fast and (None, "", 1) in fast

@@ -147,3 +147,13 @@ def test_html_query_like_a_plain_reading(spark):
         m = re.search(r"(?s)<article>(.*?)(?:</article>|$)", pages[r["page_id"]])
         want = " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)>", " ", m[1]))).split())
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_row_keys_tell_null_ids_apart(spark):
+    from pyspark.sql import functions as F
+
+    from topiloom.llm.tables import row_key
+
+    rows = [(None, "5|text"), (5, "text"), (None, None), (None, ""), (None, "-"), (5, None), (51, "2"), (5, "12"), (512, ""), (512, None)]
+    keys = spark.createDataFrame(rows, "doc_id long, text string").select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()
+    assert len({r["k"] for r in keys}) == len(rows)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import column, tidied
-from .tables import SEND_BYTES, digest, keep_rest, modest_batches, settle
+from .tables import SEND_BYTES, digest, keep_rest, modest_batches, row_key, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 18
@@ -245,7 +245,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
 
         return docs.mapInArrow(lambda it: tidied(_rewrite(it, drop, min_chars)), schema)
 
-    docs = docs.withColumn("_row", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")))
+    docs = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
     key = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.encode(F.translate(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"))
     lines = docs.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.posexplode(key).alias("_line", "key"))
     hit = lines.join(common, "key")

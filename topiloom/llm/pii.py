@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settle, small
+from .tables import row_key, settle, small
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, LEAST_JOINT, THRESHOLD = 80, 2, 0.9
@@ -113,7 +113,7 @@ def staged(docs: DataFrame) -> DataFrame:
     any_ = " OR ".join(f"size({k}) > 0" for k in KINDS)
     return found_.select(
         "doc_id",
-        F.expr(f"IF({any_}, md5(concat_ws('|', cast(doc_id AS string), t)), concat('-', coalesce(cast(doc_id AS string), '')))").alias("row"),
+        F.when(F.expr(any_), row_key(F.col("doc_id"), F.col("t"))).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("row"),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.expr(f"array_join(concat({', '.join(map(_written, KINDS))}), ',')").alias("base"),
         F.expr(f"concat({', '.join(f'transform({k}, x -> struct(x.s AS s, x.e AS e))' for k in KINDS)})").alias("taken"),
@@ -167,7 +167,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = docs.columns
     docs = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     # as in ``staged``: only rows with base spans have marks, under the digest of id and text
-    docs = docs.withColumn("row_", F.expr("md5(concat_ws('|', cast(doc_id AS string), _t))"))
+    docs = docs.withColumn("row_", row_key(F.col("doc_id"), F.col("_t")))
     joined = docs.join(held.withColumnRenamed("row", "row_"), "row_", "left")
     piece = """concat(acc.o, array(substring(_t, acc.p + 1, m.s - acc.p), CASE m.k WHEN 'remove' THEN '' WHEN 'generalise' THEN concat(substring(_t, m.s + 1, 3), '*') ELSE m.k END))"""
     text = f"""IF(coalesce(size(_marks), 0) <= 0, text, aggregate(_marks, struct(0 AS p, cast(array() AS array<string>) AS o),

@@ -28,6 +28,12 @@ def digest(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A digest of an id and a text that tells null from empty and where the id ends."""
+    part = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (doc_id.cast("string"), text)]
+    return F.md5(F.concat(*part))
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a staged table for broadcast if its counted rows prove it small."""
     rows = df.count()
