@@ -113,21 +113,21 @@ def test_style_tree_drops_what_a_host_repeats(spark):
 
 def dropped(pages):
     """Texts of pages of one host without the contents that all of them have."""
-    keys = [{c for _, _, c in ht.Page(p).nodes()} for p in pages]
+    keys = [{c for _, _, c, _ in ht.Page(p).nodes()} for p in pages]
     noise = frozenset(set.intersection(*keys))
     return [text(p, noise) for p in pages]
 
 
 def test_nodes_below_long_and_deep_paths():
     long = "".join(f"<div class='wrapper-number-{'x' * 90}-{c}'>" for c in "abcdefgh")
-    paths = [p for _, p, _ in ht.Page(long + "<div class='box'>again</div><div class='story'>one</div>").nodes()]
+    paths = [p for _, p, _, _ in ht.Page(long + "<div class='box'>again</div><div class='story'>one</div>").nodes()]
     assert len(set(paths)) == len(paths) == 10
     assert dropped([f"{long}<div class='box'>read more</div><div class='story'><p>tale {i}</p></div>" for i in range(3)]) == [f"tale {i}" for i in range(3)]
     deep = lambda i: f"<div class='out'>{'<div>' * 200}read <b>mo</b>re&nbsp; here{'</div>' * 200}</div><div class='story'>tale {i}</div>"
-    keys = [{c for e, _, c in ht.Page(deep(i)).nodes() if e == 1} for i in range(2)]
+    keys = [{c for e, _, c, _ in ht.Page(deep(i)).nodes() if e == 1} for i in range(2)]
     assert keys[0] and keys[0] == keys[1] and text(deep(0), frozenset(keys[0])) == "tale 0"
     # the same words in other places of the mark-up, and other words in the same place
-    a, b, c = ([k for e, _, k in ht.Page(f"<div>{x}</div> tail").nodes() if e == 1] for x in ("one <b>t</b>wo", " one  two<br>", "one t wo"))
+    a, b, c = ([k for e, _, k, _ in ht.Page(f"<div>{x}</div> tail").nodes() if e == 1] for x in ("one <b>t</b>wo", " one  two<br>", "one t wo"))
     assert a == b != c
 
 
@@ -157,3 +157,23 @@ def test_row_keys_tell_null_ids_apart(spark):
     rows = [(None, "5|text"), (5, "text"), (None, None), (None, ""), (None, "-"), (5, None), (51, "2"), (5, "12"), (512, ""), (512, None)]
     keys = spark.createDataFrame(rows, "doc_id long, text string").select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()
     assert len({r["k"] for r in keys}) == len(rows)
+
+
+def test_near_copies_of_a_story_keep_it(spark):
+    """A story on many pages of a host stays; what is repeated beside it goes."""
+    def page(i, story):
+        return (i, f"http://h.org/{i}", f"<body><div class='box'>Read more of our offers today</div><div class='story'><p>{story}</p></div><div class='mark'>Token {i}</div></body>")
+
+    story = "The river rose in the night and the bridge was closed until the water fell again. " * 3
+    rows = [page(i, story) for i in range(6)] + [page(i, f"Story number {i} tells of {i * 7} other things that nobody has told before, at some length. " * 3) for i in range(6, 15)]
+    got = {r["page_id"]: r["text"] for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(15):
+        assert f"Token {i}" in got[i] and "offers" not in got[i]
+        assert ("The river rose" in got[i]) == (i < 6) and (f"Story number {i}" in got[i]) == (i >= 6)
+
+
+def test_class_names_that_tell_no_role():
+    for name in ("related-work", "search-page", "alert-letter"):
+        assert ht.Page(f"<div class='{name}'>What it says</div>").text() == "What it says"
+    for name in ("cookie-bar", "ad", "sidebar-left", "social share", "site-footer"):
+        assert ht.Page(f"<p>Body</p><div class='{name}'>Other</div>").text() == "Body"

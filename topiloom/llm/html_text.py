@@ -9,7 +9,8 @@ repeats, are removed from each page.
 
 What the mark-up does settle goes first: navigation, headers, footers, asides, forms,
 scripts, styles, hidden parts, and elements whose class or id names such a role, are never
-main text. If a page has an ``article`` or ``main`` element with text, the text is that of
+main text. Words that may also name a subject, such as ``related`` or ``search``, settle it
+only where the name has no other words than those of roles and layout. If a page has an ``article`` or ``main`` element with text, the text is that of
 these elements, and inside them only labelled containers can be found unimportant, never
 plain paragraphs; else it is that of the whole body.
 
@@ -37,6 +38,8 @@ from .tables import keep_rest, modest_batches, settle
 #: A node is judged when it stands in so many different pages of its host; importance below
 #: LOW makes it noise, as does a content that so large a share of the host's pages repeats.
 LEAST_PAGES, LOW, REPEATED = 5, 0.35, 0.3
+#: What is on average at least this share of its pages' text is what the pages are about.
+BESIDE = 0.5
 
 # Elements of HTML by what they are.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
@@ -55,6 +58,17 @@ NOISE_WORDS = {
     "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "replies", "respond", "widget",
     "widgets", "pagination", "pager", "search", "searchbox", "form", "copyright", "disclaimer", "skip", "hidden",
 }
+# Those of them that tell a role only alone or beside words of layout.
+SUBJECT_WORDS = {
+    "related", "recommended", "recommendations", "search", "notice", "notices", "notification", "alert", "form", "skip", "respond",
+    "replies", "copyright", "disclaimer", "sponsor", "sponsored", "promotion", "subscription", "share", "sharing", "social", "overlay",
+}
+# Words of class and id names that tell a place and no role.
+LAYOUT_WORDS = {
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "container", "global", "icon", "icons", "inner", "item",
+    "items", "js", "left", "link", "links", "list", "local", "outer", "panel", "primary", "right", "row", "secondary", "section", "site",
+    "slot", "sticky", "top", "unit", "wrap", "wrapper", "zone",
+}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "note"}
 HEADER_WORDS = {"header", "head"}
 MAIN_WORDS = {"article", "articlebody", "maincontent", "postcontent", "entrycontent"}
@@ -145,7 +159,7 @@ class Page:
                 attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         _, _, above_noise, above_main = self.elements[parent]
-        names = {w.lower() for w in _WORD.findall(named)} if named else set()
+        names = telling_words(named) if named else set()
         joined = {re.sub(r"[^a-z]", "", x.lower()) for x in named.split()}
         main = tag in MAIN or attrs.get("role") in MAIN or bool(joined & MAIN_WORDS) or attrs.get("itemprop") == "articleBody"
         noise = tag in NEVER or bool(names & NOISE_WORDS) or attrs.get("role") in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
@@ -159,8 +173,8 @@ class Page:
     def has_main(self) -> bool:
         return any(t and not t.isspace() and self.elements[e][3] and not self.elements[e][2] for e, t in self.pieces)
 
-    def nodes(self) -> Iterator[tuple[int, str, str]]:
-        """(element, key of its path, key of path and content) of the containers that the mark-up does not settle.
+    def nodes(self) -> Iterator[tuple[int, str, str, float]]:
+        """(element, key of its path, key of path and content, share of the page's text) of the containers that the mark-up does not settle.
 
         A path is a running hash, so it has one size at any depth. The pieces below an element
         stand side by side, so its content is a stretch of the page's text, which is made once.
@@ -172,7 +186,7 @@ class Page:
         for parent, sig, _, _ in self.elements[1:]:
             paths.append(key(paths[parent], sig))
         first, last = [-1] * len(self.elements), [-1] * len(self.elements)
-        parts, size, blank = [], 0, True
+        parts, size, blank, whole = [], 0, True, 0
         for e, t in self.pieces:
             t = " " if t is None else html.unescape(t)
             text = " ".join(t.split())
@@ -184,6 +198,7 @@ class Page:
                 continue
             blank = text[-1] == " "
             parts.append(text)
+            whole += 0 if self.elements[e][2] else len(text)
             if text != " ":
                 if first[e] < 0:
                     first[e] = size
@@ -200,7 +215,7 @@ class Page:
                 at = first[e], last[e]
                 if at not in held:
                     held[at] = key(text[at[0]:at[1]].strip())
-                yield e, paths[e], key(paths[e], held[at])
+                yield e, paths[e], key(paths[e], held[at]), min(1.0, (at[1] - at[0]) / max(whole, 1))
 
     def _unsettled(self, i: int) -> bool:
         _, sig, _, main = self.elements[i]
@@ -214,7 +229,7 @@ class Page:
         only_main = self.has_main()
         drop = [False] * len(self.elements)
         if noise:
-            bad = {e for e, path, content in self.nodes() if path in noise or content in noise}
+            bad = {e for e, path, content, _ in self.nodes() if path in noise or content in noise}
             for i in range(1, len(self.elements)):
                 drop[i] = drop[self.elements[i][0]] or i in bad
         blocks, now = [], []
@@ -229,6 +244,19 @@ class Page:
         return " ".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
 
 
+def telling_words(named: str) -> set[str]:
+    """Words of class and id names, without those that may as well name an article's subject.
+
+    ``post-comments`` and ``search-box`` tell a role; ``related-work`` may be anything, so the
+    tree has to judge it.
+    """
+    out: set[str] = set()
+    for name in named.split():
+        found = {w.lower() for w in _WORD.findall(name)}
+        out |= found if found <= NOISE_WORDS | HEADER_WORDS | LAYOUT_WORDS else found - SUBJECT_WORDS
+    return out
+
+
 def key(path: str, content: str | None = None) -> str:
     """What stands for a node, or for one content of it, in a host's noise."""
     raw = path if content is None else f"{path}\n{content}"
@@ -241,37 +269,45 @@ def host(url):
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, path, content) of every node that the mark-up leaves open."""
+    """(host, page, path, content, share) of every node that the mark-up leaves open."""
     for batch in batches:
-        hosts, pages, paths, contents = [], [], [], []
+        hosts, pages, paths, contents, shares = [], [], [], [], []
         for h, source in zip(column(batch, "host").to_pylist(), column(batch, "html").to_pylist()):
             nodes = list(Page(source or "").nodes())
             if nodes:
                 page = int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for _, path, content in nodes:
+                for _, path, content, share in nodes:
+                    shares.append(share)
                     hosts.append(h)
                     pages.append(page)
                     paths.append(path)
                     contents.append(content)
         if hosts:
-            yield pa.RecordBatch.from_pydict({"host": hosts, "page": pages, "path": paths, "content": contents})
+            yield pa.RecordBatch.from_pydict({"host": hosts, "page": pages, "path": paths, "content": contents, "share": shares})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, noise): keys of unimportant nodes and of repeated contents, per host.
 
+    What makes up half or more of the text of its pages, as a story that is
+    on the host in many copies does, is no noise however often it is repeated.
+
     Every step is a sum over (host, node, content), so a crowded host costs no task more than
     its different contents. A host's list is short: each entry stands in ``REPEATED`` or more
     of its pages, or is a path of the host's templates.
     """
-    nodes = pages.select(host(F.col("url")).alias("host"), "html").where("html IS NOT NULL").mapInArrow(lambda it: tidied(_tree(it)), "host string, page long, path string, content string")
-    per_content = nodes.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("n"))
+    nodes = pages.select(host(F.col("url")).alias("host"), "html").where("html IS NOT NULL").mapInArrow(
+        lambda it: tidied(_tree(it)), "host string, page long, path string, content string, share double")
+    nodes = settle(nodes, "nodes")
+    per_content = nodes.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
     per_content = settle(per_content, "contents")
-    seen = settle(nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    per_path = per_content.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    seen = nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    per_path = per_content.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("share").alias("share"))
     importance = F.log("total") - F.col("nlogn") / F.col("total")
-    low = per_path.where(F.col("total") >= LEAST_PAGES).where(importance / F.log("total") < LOW).select("host", F.col("path").alias("key"))
-    often = per_content.join(seen, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= REPEATED * F.col("pages"))).select("host", F.col("content").alias("key"))
+    beside = F.col("share") < BESIDE * F.col("total")
+    low = per_path.where((F.col("total") >= LEAST_PAGES) & beside).where(importance / F.log("total") < LOW).select("host", F.col("path").alias("key"))
+    often = per_content.where((F.col("n") >= LEAST_PAGES) & (F.col("share") < BESIDE * F.col("n"))).join(seen, "host")
+    often = often.where(F.col("n") >= REPEATED * F.col("pages")).select("host", F.col("content").alias("key"))
     return low.unionByName(often).groupBy("host").agg(F.collect_set("key").alias("noise"))
 
 
