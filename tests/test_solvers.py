@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topiloom.config import TopicConfig
 from topiloom.functions import seeded
-from topiloom.operators import blocked, nmf, sparse, temporal
+from topiloom.operators import blocked, corpus, nmf, sparse, temporal
 from topiloom.plans import fit as fits
 from topiloom.plans import grid
 
@@ -144,3 +144,24 @@ def test_slices_are_weights(spark, docs):
     out = temporal.drift(docs, cut, 25, 3, max_iter=4, tol=0).orderBy("slice").collect()
     part = docs.join(cut.where("slice = 1").select("doc_id"), "doc_id")
     assert out[1]["objective"] == pytest.approx(nmf.fit(part, 25, 3, max_iter=4, tol=0).objective)
+
+
+def test_stored_parse_serves_the_same_corpus_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma w{i % 3}") for i in range(12)], "doc_id bigint, text string")
+    lists = docs.select("doc_id", F.split("text", " ").alias("tokens"))
+    cfg = TopicConfig(num_topics=2, min_df=2, max_iter=3, lambda_syntax=0.0, lambda_embed=0.0, vector_backend="none")
+    path = str(tmp_path / "parse")
+    first, why = fits.stored_parse(docs, None, cfg, path, lists)
+    assert why and first.n_docs == 12
+    again, why = fits.stored_parse(docs, None, cfg, path, lists.where("false"))
+    assert not why and {r["term"] for r in again.vocab.collect()} == {r["term"] for r in first.vocab.collect()}
+    one, two = (fits.fit(None, None, cfg, parsed=p) for p in (first, again))
+    assert_same(one.result, two.result)
+    other = docs.withColumn("text", F.concat("text", F.lit("!")))
+    assert any("corpus_hash" in x for x in fits.stored_parse(other, None, cfg, path, lists)[1])
+
+
+def test_terms_are_the_words_of_lemmas(spark):
+    lists = spark.createDataFrame([(1, ["l'acqua", "Fiume", "e-mail", "x2y"]), (2, [])], "doc_id bigint, tokens array<string>")
+    got = {r["doc_id"]: r["tokens"] for r in corpus.term_lists(lists).collect()}
+    assert got == {1: ["acqua", "fiume", "mail"], 2: []}

@@ -257,6 +257,15 @@ def lda_fit(d):
     return words
 
 
+@query("lda_bigrams")
+def lda_bigrams(d):
+    """The baseline on word lists in which collocations are joined."""
+    counts = settle(V.token_counts(joined_lists(d)))
+    vocab = settle(V.build_vocab(counts, MIN_DF, MAX_FEATURES))
+    words, _ = classify.lda(V.doc_rows(V.bow(counts, vocab, MAX_FEATURES)), vocab, vocab.count(), K)
+    return words
+
+
 @query("kmeans_init")
 def kmeans_init(d):
     return context.kmeans_centres(d.word_vectors, K, max_iter=50).select("topic", F.posexplode("vec").alias("i", "x"))

@@ -88,6 +88,15 @@ def lemma_lists(tokens: DataFrame) -> DataFrame:
     )
 
 
+def term_lists(lists: DataFrame) -> DataFrame:
+    """The terms that the vocabulary counts: the words of each document's lemmas.
+
+    A lemma that is no single word, such as ``l'acqua`` or ``e-mail``, gives the words of two
+    letters or more that it holds.
+    """
+    return lists.select("doc_id", T.words(F.array_join("tokens", " ")).alias("tokens"))
+
+
 def lemma_documents(tokens: DataFrame) -> DataFrame:
     """Lemma string per document; learns no vocabulary."""
     return lemma_lists(tokens).select("doc_id", F.array_join("tokens", " ").alias("lemmas"))

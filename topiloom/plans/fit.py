@@ -13,7 +13,8 @@ from ..config import TopicConfig
 from ..functions.wordlists import STOP_WORDS
 from ..operators import blocked, cooc, corpus, deps, graphs, metrics, nmf, reports, vectors
 from ..operators import vocab as V
-from ..session import DRIVER_CELLS, hold, settle
+from ..session import DRIVER_CELLS, settle
+from ..sources import store
 
 
 @dataclass
@@ -127,7 +128,7 @@ def parse(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
           lists: DataFrame | None = None) -> Parsed:
     """Vocabulary, counts and dependency tables from token rows, or counts from word lists."""
     if lists is None:
-        lists = corpus.lemma_lists(tokens)
+        lists = settle(corpus.term_lists(corpus.lemma_lists(tokens)), "lists")
     counts = V.token_counts(lists)
     vocab = settle(V.build_vocab(counts, cfg.min_df, cfg.max_features))
     n_terms = vocab.count()
@@ -142,6 +143,31 @@ def parse(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
     return parsed if tokens is None else with_relations(parsed, tokens, cfg)
 
 
+def parse_settings(cfg: TopicConfig) -> dict:
+    """The settings that a parse depends on."""
+    return {"min_df": cfg.min_df, "max_features": cfg.max_features, "relations": cfg.relations,
+            "apply_chunking": cfg.apply_chunking, "max_chunk_chars": cfg.max_chunk_chars}
+
+
+def stored_parse(docs: DataFrame, tokens: DataFrame | None, cfg: TopicConfig, path: str,
+                 lists: DataFrame | None = None) -> tuple[Parsed, list[str]]:
+    """The parse kept at ``path``, or a new one that is kept there, and why it is new.
+
+    A stored parse serves only the same texts ``docs(doc_id, text)`` under the same settings;
+    both are part of its signature. Anything else is parsed again and replaces it.
+    """
+    spark = docs.sparkSession
+    sig = store.signature(docs, parse_settings(cfg))
+    tables, why = store.load_parse(spark, path, sig)
+    if tables is None:
+        p = parse(docs.select("doc_id"), tokens, cfg, lists)
+        store.save_parse(path, {"doc_ids": p.doc_ids, "vocab": p.vocab, "bow": p.bow, "docs": p.docs, "lists": p.lists,
+                                "triples": p.triples, "pairs": p.pairs}, sig)
+        tables, _ = store.load_parse(spark, path, sig)
+    return Parsed(tables["doc_ids"], tables["vocab"], tables["vocab"].count(), tables["doc_ids"].count(), tables["bow"],
+                  tables["docs"], tables["lists"], tables["triples"], tables["pairs"]), why
+
+
 def with_relations(parsed: Parsed, tokens: DataFrame, cfg: TopicConfig) -> Parsed:
     """The same parse with the dependency tables of other relations."""
     triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
@@ -207,7 +233,8 @@ def fit(doc_ids: DataFrame, tokens: DataFrame | None, cfg: TopicConfig,
         parsed: Parsed | None = None) -> Fitted:
     """Parse, vectors, graphs, factorise. ``control`` swaps in an empty-content syntax graph.
 
-    ``parsed`` is an earlier parse of the same corpus under the same counting settings.
+    ``parsed`` is an earlier parse of the same corpus under the same counting settings, as
+    :func:`stored_parse` keeps it.
     Segments are cut before parsing (see ``flagship.fit_documents``), so a config that asks
     for them needs the parse of the segments.
     """
