@@ -93,6 +93,25 @@ def test_pair_counts_match_brute_force(spark, monkeypatch):
                     if a != b and (min(a, b), max(a, b)) in want}
 
 
+def test_cells_of_npmi_and_ppmi(spark):
+    rng = np.random.default_rng(12)
+    sets = [sorted(set(rng.integers(0, 12, size=rng.integers(2, 8)).tolist())) for _ in range(30)]
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "doc_id long, ids array<int>")
+    co = np.zeros((12, 12))
+    for s in sets:
+        co[np.ix_(s, s)] += 1
+    df = co.diagonal().copy()
+    np.fill_diagonal(co, 0)
+    total, row = co.sum(), co.sum(axis=1)
+    cells = {(r["src"], r["dst"]): r["npmi"] for r in cooc.npmi_cells(cooc.documents(docs), None).collect()}
+    assert set(cells) == set(zip(*map(list, np.nonzero(co))))
+    assert all(v == pytest.approx(np.log(co[k] * total / (row[k[0]] * row[k[1]])) / -np.log(co[k] / total)) for k, v in cells.items())
+    table = spark.createDataFrame([(i, int(n)) for i, n in enumerate(df)], "term_id int, df long")
+    got = {(r["src"], r["dst"]): r["ppmi"] for r in cooc.ppmi_documents(docs, table, 30, None).collect()}
+    want = {(i, j): np.log(co[i, j] / 30 / (df[i] / 30 * df[j] / 30 + 1e-10) + 1e-10) for i in range(12) for j in range(i + 1, 12) if co[i, j]}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v > 0}
+
+
 def test_window_skips_same_word(spark):
     seqs = spark.createDataFrame([(0, [0, 1, 0, 2])], "doc_id bigint, seq array<int>")
     got = {(r["src"], r["dst"]): r["cnt"] for r in cooc.window(seqs, 2).collect()}

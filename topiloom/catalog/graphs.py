@@ -229,9 +229,9 @@ def sequences(d):
     return cooc.id_lists(d.lists, d.vocab, MAX_FEATURES)
 
 
-@query("co_window", sql("tok vocab", "SELECT src, dst, cnt FROM cw", extra=SEQ + ",\n" + _window_sql("cw", 10)))
+@query("co_window", sql("tok vocab", "SELECT src, dst, cnt FROM cw WHERE src < dst", extra=SEQ + ",\n" + _window_sql("cw", 10)))
 def co_window(d):
-    return cooc.window(sequences(d), 10)
+    return cooc.window(sequences(d), 10).where("src < dst")
 
 
 PPMI_W = """wc AS (SELECT src, sum(cnt)::DOUBLE AS c FROM cw GROUP BY 1),
@@ -239,16 +239,19 @@ pw AS (SELECT src, dst, value FROM (SELECT cw.src, cw.dst, ln(cnt * (SELECT sum(
   JOIN wc a ON a.src = cw.src JOIN wc b ON b.src = cw.dst) WHERE value > 0)"""
 
 
-@query("co_window_ppmi", sql("tok vocab", "SELECT src, dst, value FROM pw WHERE value > 1e-9", "value",
+@query("co_window_ppmi", sql("tok vocab", "SELECT src, dst, value FROM pw WHERE value > 1e-9 AND src < dst", "value",
                              extra=SEQ + ",\n" + _window_sql("cw", 5) + ",\n" + PPMI_W))
 def co_window_ppmi(d):
-    return vectors.ppmi_cells(cooc.window(sequences(d), 5), MAX_FEATURES).where("value > 1e-9")
+    return vectors.ppmi_cells(cooc.window(sequences(d), 5), MAX_FEATURES).where("value > 1e-9 AND src < dst")
 
 
-@query("co_documents", sql("bow", """SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM bow a JOIN bow b
-ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1, 2"""))
+# The cells of a whole vocabulary are tens of millions of rows, so the queries over them make
+# every cell and report each term's row of the matrix.
+@query("co_documents", sql("bow", """SELECT a.term_id AS src, count(DISTINCT b.term_id) AS n_cells, count(*) AS total, CAST(sum(b.term_id) AS BIGINT) AS weighted
+FROM bow a JOIN bow b ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1"""))
 def co_documents(d):
-    return cooc.documents(d.rows)
+    return cooc.documents(d.rows).groupBy("src").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("cnt").alias("total"), F.sum(F.col("cnt") * F.col("dst")).alias("weighted"))
 
 
 @query("co_bigrams", sql("", "SELECT w1, w2, cnt FROM abi", extra=BIGRAMS))
@@ -287,24 +290,32 @@ def co_phrases(d):
         F.count(F.lit(1)).alias("n"))
 
 
-DCOOC = """dc AS (SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM bow a JOIN bow b
+DCOOC = """dc AS MATERIALIZED (SELECT a.term_id AS src, b.term_id AS dst, count(*) AS cnt FROM bow a JOIN bow b
   ON a.doc_id = b.doc_id AND a.term_id <> b.term_id GROUP BY 1, 2)"""
 
 
-@query("co_npmi_matrix", sql("bow", """SELECT dc.src, dc.dst, ln(cnt * (SELECT sum(c) FROM m) / (a.c * b.c)) / -ln(cnt / (SELECT sum(c) FROM m)) AS npmi
-FROM dc JOIN m a ON a.src = dc.src JOIN m b ON b.src = dc.dst""", "npmi",
+ROW_SUMS = "count(*) AS n_cells, sum({v}) AS total, min({v}) AS low, max({v}) AS high"
+
+
+def _row_sums(cells, value):
+    return cells.groupBy("src").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+@query("co_npmi_matrix", sql("bow", f"""SELECT src, {ROW_SUMS.format(v='npmi')} FROM (
+  SELECT dc.src, dc.dst, ln(cnt * (SELECT sum(c) FROM m) / (a.c * b.c)) / -ln(cnt / (SELECT sum(c) FROM m)) AS npmi
+  FROM dc JOIN m a ON a.src = dc.src JOIN m b ON b.src = dc.dst) GROUP BY 1""", "total low high",
                              extra=DCOOC + ",\nm AS (SELECT src, sum(cnt)::DOUBLE AS c FROM dc GROUP BY 1)"))
 def co_npmi_matrix(d):
-    return cooc.npmi_cells(cooc.documents(d.rows), MAX_FEATURES)
+    return _row_sums(cooc.npmi_cells(cooc.documents(d.rows), MAX_FEATURES), "npmi")
 
 
 PPMI_D = """pd AS (SELECT dc.src, dc.dst, ln(cnt / n / ((a.df / n) * (b.df / n) + 1e-10) + 1e-10) AS ppmi FROM dc JOIN vocab a ON a.term_id = dc.src
   JOIN vocab b ON b.term_id = dc.dst, (SELECT count(*)::DOUBLE AS n FROM documents) WHERE dc.src < dc.dst)"""
 
 
-@query("co_ppmi_doc", sql("bow vocab", "SELECT src, dst, ppmi FROM pd WHERE ppmi > 1e-7", "ppmi", extra=DCOOC + ",\n" + PPMI_D))
+@query("co_ppmi_doc", sql("bow vocab", f"SELECT src, {ROW_SUMS.format(v='ppmi')} FROM pd WHERE ppmi > 1e-7 GROUP BY 1", "total low high", extra=DCOOC + ",\n" + PPMI_D))
 def co_ppmi_doc(d):
-    return cooc.ppmi_documents(d.rows, d.vocab, d.n_docs, MAX_FEATURES).where("ppmi > 1e-7")
+    return _row_sums(cooc.ppmi_documents(d.rows, d.vocab, d.n_docs, MAX_FEATURES).where("ppmi > 1e-7"), "ppmi")
 
 
 # -- vectors -----------------------------------------------------------------------
