@@ -3,6 +3,7 @@ import pytest
 
 from topiloom.llm import language_id as li
 from topiloom.llm import toxicity as tx
+from topiloom.llm.flat import hash_one
 
 from .support import BASE, ODD, empty_docs, odd_docs
 
@@ -18,6 +19,10 @@ def test_disguises_are_decoded(model):
     for shown, meant in {"you m0r0n": "you moron", "p@thetic": "pathetic", "l o s e r": "loser", "d.i.s.g.u.s.t.i.n.g": "disgusting",
                          "cloooown": "clown", "tra5h": "trash", "$cum": "scum", "W O R T H L E S S": "worthless"}.items():
         assert tx.restore(shown, model).strip() == meant
+    for shown, meant in {"dumba$$": "dumbas", "you stuupid": "you stupid", "l  o  s  e  r": "loser", "l - o - s - e - r": "loser",
+                         "d é b i l e s": "débiles", "débiiile": "débile", "débéébile": "débébile", "m0r0n!": "moron"}.items():
+        got = tx.restore(shown, model).strip()
+        assert got.replace(" ", "") == meant.replace(" ", "")
     for plain in ("the price is 100", "an ordinary line, with 3 parts", "mail me at 12:30, please"):
         assert tx.restore(plain, model).split()[:2] == plain.split()[:2]
 
@@ -38,6 +43,61 @@ def test_viterbi_is_the_best_of_all_readings():
         assert d(raw) == best[1]
 
 
+def flat_words(text):
+    data = tx.LOWER[np.frombuffer(text.encode(), np.uint8)]
+    return data, *tx.words(data, np.array([0, len(data)]), tx.ALNUM)
+
+
+def readings(of, text, lm):
+    flat, edge, rows = of(*flat_words(text), lm)
+    assert len(edge) == len(rows) + 1
+    return [flat[a:b].tobytes().decode() for a, b in zip(edge, edge[1:])]
+
+
+def test_pairs_of_letters_read_as_in_the_lattice():
+    rng = np.random.default_rng(5)
+    lm = rng.random((tx.CLASSES,) * 3).astype(np.float32) * 2
+    d = tx.Decoder(lm)
+    for _ in range(300):
+        letters = rng.choice(list("abcd"), rng.integers(1, 7))
+        text = " ".join("".join(c * int(n) for c, n in zip(letters, rng.integers(1, 3, len(letters)))) for _ in range(2))
+        want = [w for w in text.split() if "ccc" not in w and not any(c * 3 in w for c in "abcd")]
+        want = [r for w in want if (r := d(w.encode()).decode()) != w]
+        got = [r for r in readings(tx.thinned, " ".join(w for w in text.split() if not any(c * 3 in w for c in "abcd")), lm)]
+        assert got == want
+
+
+def test_split_words_join_where_the_lattice_says(model):
+    for shown, meant in {"you stu pid man": "stupid", "stu.pid": "stupid", "you idi-ot": "idiot", "tra.sh": "trash", "st.up.id": "stupid", "s tupid": "stupid"}.items():
+        assert meant in readings(tx.joined, shown, model.lm)
+    assert readings(tx.joined, "stu\npid", model.lm) == readings(tx.joined, "", model.lm) == readings(tx.joined, "a", model.lm) == []
+    rng = np.random.default_rng(6)
+    lm = rng.random((tx.CLASSES,) * 3).astype(np.float32) * 4
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abcde"), rng.integers(1, 4))) for _ in range(2))
+
+        def cost(text):
+            z = [0, 0, *(int(tx._CLASS[ord(c)]) for c in text), 0]
+            return sum(float(lm[z[i], z[i + 1], z[i + 2]]) for i in range(len(z) - 2))
+
+        assert readings(tx.joined, f"{a}.{b}", lm) == ([a + b] if cost(a + b) + tx.SPLIT_DOT < cost(f"{a} {b}") else [])
+
+
+def test_disguised_words_score_like_plain_ones():
+    """A lexicon of one word, and every form it may take."""
+    rng = np.random.default_rng(7)
+    lm = np.full((tx.CLASSES,) * 3, 6.0, np.float32)
+    word = [0, 0, *(int(tx._CLASS[ord(c)]) for c in "moronic"), 0]
+    for x, y, z in zip(word, word[1:], word[2:]):
+        lm[x, y, z] = 0.1
+    m = tx.Model(lm, np.array([hash_one("moronic")], np.uint64), np.array([0.9]), 0.0)
+    forms = ["moronic", "MORONIC", "m0r0nic", "moroni(", "mooronic", "morrronic", "m o r o n i c", "m  o  r  o  n  i  c", "mor onic", "mor.onic", "mo-ro-nic", "m.o.r.o.n.i.c"]
+    texts = [f"{'zq ' * int(rng.integers(0, 4))}{f} xv" for f in forms] + ["mor\nonic", "maronic", "", "mor xv onic"]
+    batch = tx.pa.RecordBatch.from_pydict({"text": texts})
+    got = next(tx._score(iter([batch]), m)).column(1).to_pylist()
+    assert got[:len(forms)] == [pytest.approx(0.9)] * len(forms) and got[len(forms):] == [0.0] * 4
+
+
 def test_language_model_counts_every_text(spark):
     docs = spark.createDataFrame([(1, "abc abc"), (2, "ABC"), (3, None)], "doc_id long, text string")
     lm = np.exp(-tx.language_model(docs))

@@ -11,12 +11,16 @@ Three passes over the texts, each one Arrow pass without a shuffle of text.
    documents, so that copies of one document count once. Features with overwhelming
    evidence are taken; further ones are picked one by one, the one that explains most
    toxic documents not yet explained.
-3. Scoring. Stretches that look disguised (digits or symbols inside words, letters
-   repeated three times, single letters in a row) become lattices: each character may
-   stand for itself, for the letters it imitates, or for nothing, at a cost, and Viterbi
-   decoding under the language model restores the likeliest reading. The features of the
-   text and of its restored stretches are looked up; a document scores one minus the
-   product of what their precisions leave.
+3. Scoring. Stretches that look disguised (digits or symbols beside letters, characters
+   repeated three times, single characters in a row with up to ``GAP`` separators between them)
+   become lattices: each character may stand for itself, for the letters it imitates, or
+   for nothing, at a cost, and Viterbi decoding under the language model restores the
+   likeliest reading. Where all that is open is one of two equal letters, or the separator
+   of two neighbours, trigrams leave a single choice, which is weighed for all such places
+   of a slice at once: letters are dropped, and two or three words that read better in one
+   become a word (looked up as a whole only). The features of the text, of its restored stretches and
+   of its joined words are looked up; a document scores one minus the product of what
+   their precisions leave.
 
 Null and empty texts have no features and score the share of toxic documents that no
 feature explains. Without labelled rows of both kinds every document scores 0. Several
@@ -25,6 +29,7 @@ labels of one document count as toxic if one is. Labels of other documents are i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +55,14 @@ IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t
 #: Costs in nats: an imitation, a character left out between letters (and more for one that
 #: imitates letters), a digit or symbol kept as it is, a repeated letter dropped or kept.
 IMITATE, SKIP, SKIP_SIGN, KEEP, REPEAT_DROP, REPEAT_KEEP = 1.0, 0.7, 12.0, 6.0, 0.2, 0.7
+#: Costs of a sign kept that often ends a word, and of the separators of a split word left
+#: out if they hold a blank and if not.
+KEEP_END, SPLIT, SPLIT_DOT = 1.0, 3.0, 0.1
+#: Most separators between spelled or split words, and most bytes of a part of a split word.
+GAP, PART = 3, 16
+#: Bytes decoded at a time; longer stretches are decoded in consecutive pieces.
+PIECE = 4096
+_ENDS_WORD = frozenset(b"!|+(<*#%")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -57,6 +70,8 @@ _MARKED = np.zeros(256, bool)
 _MARKED[1] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in IMITATES]] = True
+_AGAIN = re.compile(rb"([\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3})\1+")
+_APART = re.compile(b"[^a-z0-9\x80-\xff%s]{2,}" % re.escape("".join(IMITATES)).encode())
 #: Byte classes of the language model: 0 for no letter, a-z, the 64 bytes that continue a
 #: character beyond ASCII, and eight groups of the bytes that begin one.
 CLASSES = 99
@@ -101,7 +116,8 @@ class Decoder:
     """Viterbi decoding of disguised stretches."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.seen = lm, {}
+        # nested lists, since single cells of an array are slow to read
+        self.lm, self.kind, self.seen = lm.tolist(), _CLASS.tolist(), {}
 
     def options(self, raw: bytes, i: int, spelled: bool) -> list[tuple[int, float]]:
         """What the byte at ``i`` may stand for, as (byte or -1 for nothing, cost)."""
@@ -113,34 +129,48 @@ class Decoder:
         out = [(ord(c), IMITATE) for c in IMITATES.get(chr(b), "")]
         if 0 < i < len(raw) - 1:
             out.append((-1, SKIP + (SKIP_SIGN if out and not (spelled and not chr(b).isalnum()) else 0.0)))
-        out.append((32, KEEP if out else 0.0))
+        ends = i == len(raw) - 1 and b in _ENDS_WORD
+        out.append((32, (KEEP_END if ends else KEEP) if out else 0.0))
         return out
 
     def __call__(self, raw: bytes, spelled: bool = False) -> bytes:
         """The likeliest reading of a stretch; bytes that stay no letters become spaces.
 
         ``spelled`` says that the stretch is spelled out, so what stands between letters is
-        likely to be nothing.
+        likely to be nothing. Repeated characters beyond ASCII count once.
         """
+        raw = _AGAIN.sub(rb"\1", raw)
+        if spelled:
+            raw = _APART.sub(b" ", raw)
+        if len(raw) > PIECE:
+            return b"".join(self(raw[i:i + PIECE], spelled) for i in range(0, len(raw), PIECE))
         key = (raw, spelled)
         if key in self.seen:
             return self.seen[key]
-        lm = self.lm
+        lm, kind = self.lm, self.kind
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for i in range(len(raw)):
-            options = self.options(raw, i, spelled)
+        for i, own in enumerate(raw):
             nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
+            if _LETTER[own] and not (i and raw[i - 1] == own):
+                z = kind[own]
+                for (x, y), (cost, path) in paths.items():
+                    c = cost + lm[x][y][z]
+                    if (y, z) not in nxt or c < nxt[y, z][0]:
+                        nxt[y, z] = c, (path, own)
+                paths = nxt
+                continue
+            options = self.options(raw, i, spelled)
             for (x, y), (cost, path) in paths.items():
                 for b, extra in options:
                     if b < 0:
                         state, c, p = (x, y), cost + extra, path
                     else:
-                        z = int(_CLASS[b])
-                        state, c, p = (y, z), cost + extra + float(lm[x, y, z]), (path, b)
+                        z = kind[b]
+                        state, c, p = (y, z), cost + extra + lm[x][y][z], (path, b)
                     if state not in nxt or c < nxt[state][0]:
                         nxt[state] = c, p
             paths = nxt
-        _, path = min(((c + float(lm[x, y, 0]), p) for (x, y), (c, p) in paths.items()), key=lambda v: v[0])
+        _, path = min(((c + lm[x][y][0], p) for (x, y), (c, p) in paths.items()), key=lambda v: v[0])
         out = bytearray()
         while path:
             path, b = path
@@ -152,45 +182,112 @@ class Decoder:
         return self.seen[key]
 
 
-def disguised(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, bool]]:
-    """(row, start, end, spelled) of stretches that look disguised; ``starts`` to ``rows`` are the words."""
-    if not len(data):
-        return []
+def disguised(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, doubles: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, start, end and whether spelled, of stretches that look disguised; ``starts`` to ``rows`` are the words.
+
+    Letters that stand twice count with ``doubles``; otherwise they are left to ``thinned``.
+    """
+    if not len(starts):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
     letter, sign = _LETTER[data], _SIGN[data]
     before, after = np.r_[False, letter[:-1]], np.r_[letter[1:], False]
     digit = (data >= 48) & (data <= 57)
-    odd = (digit & (before | after)) | (sign & ~digit & after)
-    odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & (data[2:] < 128)
-    out = []
-    hit = np.flatnonzero(odd)
-    if len(hit):
-        part = letter | sign
-        part[np.isin(data, np.frombuffer(b".-_'~^", np.uint8)) & (before | np.r_[False, digit[:-1]]) & (after | np.r_[digit[1:], False])] = True
-        s, e, r = words(part.view(np.uint8), offsets, _MARKED)
-        k = np.unique(np.searchsorted(s, hit, "right") - 1)
-        k = k[k >= 0]
-        letters = np.r_[0, np.cumsum(letter)]
-        k = k[letters[e[k]] - letters[s[k]] >= 2]
-        out += [(int(r[i]), int(s[i]), int(e[i]), False) for i in k]
-    if len(starts) > 2:
-        single = ends - starts == 1
-        chain = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (rows[1:] == rows[:-1])
-        edge = np.flatnonzero(np.diff(np.r_[False, chain, False].astype(np.int8)))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if hi - lo >= 2:
-                out.append((int(rows[lo]), int(starts[lo]), int(ends[hi]), True))
-    return out
+    odd = (digit | sign) & (before | after)
+    same = np.r_[False, letter[1:] & (data[1:] == data[:-1]) & (data[1:] < 128)]
+    odd |= same if doubles else same & np.r_[False, same[:-1]]
+    for width, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[(at >= width) & (at + width <= len(data))]
+        odd[at[(data[at[:, None] + np.arange(width)] == data[at[:, None] + np.arange(-width, 0)]).all(1)]] = True
+    letters = np.r_[0, np.cumsum(letter)]
+    part = letter | sign
+    part[np.isin(data, np.frombuffer(b".-_'~^", np.uint8)) & (before | np.r_[False, digit[:-1]]) & (after | np.r_[digit[1:], False])] = True
+    s, e, r = words(part.view(np.uint8), offsets, _MARKED)
+    k = np.unique(np.searchsorted(s, np.flatnonzero(odd), "right") - 1)
+    k = k[k >= 0]
+    k = k[letters[e[k]] - letters[s[k]] >= 2]
+    # single characters in a row: as many words as lead bytes
+    lead = np.r_[0, np.cumsum((data < 128) | (data >= 192))]
+    chain = beside(data, starts, ends, rows)
+    single = lead[ends] - lead[starts] == 1
+    edge = np.diff(np.r_[False, chain & single[1:] & single[:-1], False].astype(np.int8))
+    lo, hi = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    long = (hi - lo >= 2) & (letters[ends[hi]] - letters[starts[lo]] >= 2)
+    lo, hi = lo[long], hi[long]
+    return (np.r_[r[k], rows[lo]], np.r_[s[k], starts[lo]], np.r_[e[k], ends[hi]], np.r_[np.zeros(len(k), bool), np.ones(len(lo), bool)])
+
+
+def beside(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which words have the next one in the same line, at most ``GAP`` bytes away."""
+    line = np.r_[0, np.cumsum((data == 10) | (data == 13))]
+    return (rows[1:] == rows[:-1]) & (starts[1:] - ends[:-1] <= GAP) & (line[starts[1:]] == line[ends[:-1]])
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, lm: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes, edges and row of two or three words that read better in one.
+
+    Trigrams see two characters on either side of a separator, so of the two readings of a
+    separator only three costs differ for each, and the cheaper one is the Viterbi reading.
+    """
+    none = np.zeros(0, np.int64)
+    if len(starts) < 2:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), none
+    size = ends - starts
+    letters = np.r_[0, np.cumsum(_LETTER[data])]
+    plain = (letters[ends] - letters[starts] == size) & (size <= PART)
+    j = np.flatnonzero(beside(data, starts, ends, rows) & plain[1:] & plain[:-1])
+    c = _CLASS[data]
+    x, y = c[ends[j] - 1], c[starts[j + 1]]
+    w = np.where(size[j] > 1, c[np.maximum(ends[j] - 2, 0)], 0)
+    z = np.where(size[j + 1] > 1, c[np.minimum(starts[j + 1] + 1, len(c) - 1)], 0)
+    blank = np.r_[0, np.cumsum((data == 32) | (data == 9))]
+    skip = np.where(blank[starts[j + 1]] > blank[ends[j]], SPLIT, SPLIT_DOT)
+    j = j[skip + lm[w, x, y] + lm[x, y, z] < lm[w, x, 0] + lm[x, 0, y] + lm[0, y, z]]
+    three = j[:-1][np.diff(j) == 1]
+    first, last = np.r_[j, three], np.r_[j + 1, three + 2]
+    parts = np.c_[first, np.minimum(first + 1, last), last].ravel()
+    taken = size[parts] * np.r_[np.tile([1, 1, 0], len(j)), np.ones(3 * len(three), np.int64)]
+    return data[inside(starts[parts], taken)], np.r_[0, np.cumsum(taken)[2::3]], rows[first]
+
+
+def inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def thinned(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, lm: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes, edges and row of words that read better with one of two equal letters dropped.
+
+    The costs that depend on a pair are those of its own letters and of the one after it,
+    whatever becomes of other pairs, so this is the Viterbi reading of the word.
+    """
+    head, tail = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    head[starts], tail[ends] = True, True
+    same = np.zeros(len(data) + 1, bool)
+    same[1:-1] = (data[1:] == data[:-1]) & _LETTER[data[1:]] & (data[1:] < 128) & ~head[1:-1]
+    at = np.flatnonzero(same & ~np.r_[False, same[:-1]] & ~np.r_[same[1:], False])
+    c = _CLASS[data]
+    x = np.where(head[at - 1], 0, c[np.maximum(at - 2, 0)])
+    y = np.where(tail[at + 1], 0, c[np.minimum(at + 1, len(c) - 1)]) if len(at) else x
+    z = c[at]
+    at = at[REPEAT_DROP + lm[x, z, y] < REPEAT_KEEP + lm[x, z, z] + lm[z, z, y]]
+    k, n = np.unique(np.searchsorted(starts, at, "right") - 1, return_counts=True)
+    kept = np.ones(len(data), bool)
+    kept[at] = False
+    i = inside(starts[k], ends[k] - starts[k])
+    return data[i[kept[i]]], np.r_[0, np.cumsum(ends[k] - starts[k] - n)], rows[k]
 
 
 # ---- features -------------------------------------------------------------------------
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = PREFIXES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(which words, hashes) for whole words and for each length of word beginnings."""
     if not len(starts):
         return
     h = Hasher(data)
     yield np.arange(len(starts)), h(starts, ends)
-    for n in PREFIXES:
+    for n in prefixes:
         long = np.flatnonzero(ends - starts > n)
         yield long, mix(h(starts[long], starts[long] + n) + np.uint64(n))
 
@@ -288,30 +385,62 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 # ---- scoring --------------------------------------------------------------------------
 
-def _known(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _known(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = PREFIXES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(which words, which features) of the words that the lexicon knows."""
     if not len(model.keys):
         return
-    for which, h in features(data, starts, ends):
+    for which, h in features(data, starts, ends, prefixes):
         at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
         same = model.keys[at] == h
         yield which[same], at[same]
 
 
 def restore(text: str, model: Model) -> str:
-    """A lower-cased text with its disguised stretches decoded."""
+    """A lower-cased text with its disguised stretches decoded; split words stay apart."""
     raw = np.frombuffer(text.encode(), np.uint8)
     data, offsets = LOWER[raw], np.array([0, len(raw)])
     decoder, out, done = Decoder(model.lm), [], 0
-    for _, lo, hi, spelled in sorted(disguised(data, offsets, *words(data, offsets, ALNUM)), key=lambda x: (x[1], -x[2], not x[3])):
+    found = zip(*(x.tolist() for x in disguised(data, offsets, *words(data, offsets, ALNUM), doubles=True)))
+    for _, lo, hi, spelled in sorted(found, key=lambda x: (x[1], -x[2], not x[3])):
         if lo >= done:
             out += [data[done:lo].tobytes(), decoder(data[lo:hi].tobytes(), spelled)]
             done = hi
     return b"".join([*out, data[done:].tobytes()]).decode("utf-8", "replace")
 
 
+class Restored:
+    """Features of the restored stretches of a slice; each different stretch is decoded once in a task."""
+
+    def __init__(self, model: Model):
+        self.model, self.decoder = model, Decoder(model.lm)
+        self.seen: dict[int, tuple[int, ...]] = {}
+
+    def __call__(self, data: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, spelled: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, feature) of stretches, repeats included."""
+        if not len(row) or not len(self.model.keys):
+            return
+        code, first, which = np.unique(mix(Hasher(data)(lo, hi) + spelled.astype(np.uint64)), return_index=True, return_inverse=True)
+        code = code.tolist()
+        new = [i for i, c in enumerate(code) if c not in self.seen]
+        texts = [self.decoder(data[lo[i]:hi[i]].tobytes(), bool(spelled[i])) for i in first[new].tolist()]
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+            new, texts = range(len(code)), [self.decoder(data[lo[i]:hi[i]].tobytes(), bool(spelled[i])) for i in first.tolist()]
+        found: list[set[int]] = [set() for _ in texts]
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        a, b, k = words(flat, np.cumsum([0, *map(len, texts)]), ALNUM)
+        for at, f in _known(self.model, flat, a, b):
+            for j, i in zip(k[at].tolist(), f.tolist()):
+                found[j].add(i)
+        self.seen.update((code[i], tuple(x)) for i, x in zip(new, found))
+        hits = [self.seen[c] for c in code]
+        for j in np.flatnonzero(np.array([bool(x) for x in hits])[which]).tolist():
+            for i in hits[which[j]]:
+                yield int(row[j]), i
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    decoder = Decoder(model.lm)
+    restored = Restored(model)
     for batch in batches:
         scores: list[float] = []
         for s in slices(column(batch, "text")):
@@ -321,15 +450,13 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             for which, f in _known(model, data, starts, ends):
                 for r, i in zip(rows[which].tolist(), f.tolist()):
                     hits.setdefault(r, []).append(i)
-            stretches = disguised(data, s.offsets, starts, ends, rows)
-            if stretches:
-                texts = [decoder(data[lo:hi].tobytes(), spelled) for _, lo, hi, spelled in stretches]
-                flat = np.frombuffer(b"".join(texts), np.uint8)
-                edge = np.cumsum([0, *map(len, texts)])
-                a, b, k = words(flat, edge, ALNUM)
-                for which, f in _known(model, flat, a, b):
-                    for j, i in zip(k[which].tolist(), f.tolist()):
-                        hits.setdefault(stretches[j][0], []).append(i)
+            for r, i in restored(data, *disguised(data, s.offsets, starts, ends, rows)):
+                hits.setdefault(r, []).append(i)
+            for reading, prefixes in ((thinned, PREFIXES), (joined, ())):
+                flat, edge, own = reading(data, starts, ends, rows, model.lm)
+                for which, f in _known(model, flat, edge[:-1], edge[1:], prefixes):
+                    for r, i in zip(own[which].tolist(), f.tolist()):
+                        hits.setdefault(r, []).append(i)
             scores += [model.score(hits.get(r, [])) for r in range(len(s))]
         rest = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "score"}
         yield pa.RecordBatch.from_pydict(rest | {"score": pa.array(scores, pa.float64())})
