@@ -93,6 +93,31 @@ def test_pair_counts_match_brute_force(spark, monkeypatch):
                     if a != b and (min(a, b), max(a, b)) in want}
 
 
+def test_pair_table_counts_by_blocks_and_shares(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 5, sorted(set(rng.integers(0, 30, size=rng.integers(1, 20)).tolist()))) for i in range(40)] + [(None, [3, 4]), (7, [])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    want = {(i, j): sum(i in ids and j in ids for _, ids in rows) for i in range(30) for j in range(i + 1, 30)}
+    want = {k: n for k, n in want.items() if n}
+
+    def found(df):
+        got = [(r["src"], r["dst"], r["cnt"]) for r in df.collect()]
+        assert len(got) == len(want)
+        return {(a, b): n for a, b, n in got}
+
+    assert found(cooc.pair_table(docs)) == want                  # one block
+    monkeypatch.setattr(cooc, "_TILE", 100)                      # ten blocks of three terms
+    monkeypatch.setattr(cooc, "_CELLS", 7)
+    assert found(cooc.pair_table(docs)) == want
+    plan = cooc.documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan                        # ids move, cells do not
+    monkeypatch.setattr(cooc, "_SHARE", 50)
+    assert found(cooc.pair_table(docs)) == want
+    monkeypatch.setattr(cooc, "_TERMS", 10)
+    assert found(cooc.pair_table(docs)) == want
+    assert cooc.pair_table(docs.where("doc_id = 7")).count() == 0
+
+
 def test_cells_of_npmi_and_ppmi(spark):
     rng = np.random.default_rng(12)
     sets = [sorted(set(rng.integers(0, 12, size=rng.integers(2, 8)).tolist())) for _ in range(30)]
