@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topiloom.functions import seeded
-from topiloom.operators import classify, covariates, metrics, reports, stats
+from topiloom.operators import classify, context, covariates, metrics, reports, stats
 from topiloom.operators import vocab as V
 
 A = [0.351, 0.362, 0.349, 0.371, 0.355, 0.360]
@@ -162,3 +162,19 @@ def test_classifier_separates(spark):
     assert classify.auc(spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1)], "y int, s double")) == pytest.approx(0.875)
     f = classify.folds(df, 5).groupBy("fold", "label").count().collect()
     assert len(f) == 10
+
+
+def test_draws_are_made_once_a_sample(spark):
+    post = spark.createDataFrame([(i, [0.1 * i, 1.0, -0.5], [-1.0, 0.5, -2.0]) for i in range(6)], "doc_id bigint, mu array<double>, logvar array<double>")
+    draws = context.posterior_draws(post, 4, 3)
+    assert draws._jdf.queryExecution().analyzed().toString().count("md5(") <= 6      # two a topic
+    z = post.select("doc_id", *[F.array(*[F.col("mu")[k] + F.exp(F.col("logvar")[k] * 0.5) * seeded.normal(0, F.col("doc_id"), F.lit(s), F.lit(k)) for k in range(3)]).alias(f"z{s}") for s in range(1, 5)])
+    want = {}
+    for r in z.collect():
+        p = np.array([np.exp(np.array(r[f"z{s}"]) - max(r[f"z{s}"])) for s in range(1, 5)])
+        p /= p.sum(axis=1, keepdims=True)
+        want |= {(r["doc_id"], k): (p[:, k].mean(), p[:, k].std(ddof=1)) for k in range(3)}
+    got = {(r["doc_id"], r["topic"]): (r["mean"], r["sd"]) for r in draws.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    counts = context.regime_counts(context.uncertainty_regimes(draws, 3)).collect()
+    assert sum(r["n"] for r in counts) == 6 and sum(r["share"] for r in counts) == pytest.approx(1.0)

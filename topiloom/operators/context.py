@@ -243,11 +243,10 @@ def posterior_draws(posterior: DataFrame, n_samples: int, num_topics: int, seed:
     def draw(acc, s):
         z = [F.col("mu")[k] + F.exp(F.col("logvar")[k] * 0.5)
              * seeded.normal(seed, F.col("doc_id"), s, F.lit(k)) for k in ks]
-        zs = F.array(*z)
-        e = F.transform(zs, lambda x: F.exp(x - F.array_max(zs)))
-        t = vec.total(e)
-        p = F.transform(e, lambda x: x / t)
-        return F.zip_with(acc, F.concat(p, F.transform(p, lambda x: x * x)), lambda a, b: a + b)
+        e = vec.let(F.array(*z), lambda zs: vec.let(F.array_max(zs), lambda m: F.transform(zs, lambda x: F.exp(x - m))))
+        p = vec.let(e, lambda es: vec.let(vec.total(es), lambda t: F.transform(es, lambda x: x / t)))
+        squares = vec.let(p, lambda ps: F.concat(ps, F.transform(ps, lambda x: x * x)))
+        return F.zip_with(acc, squares, lambda a, b: a + b)
 
     sums = F.aggregate(F.sequence(F.lit(1), F.lit(n_samples)), zero, draw)
     n = float(n_samples)
@@ -284,6 +283,5 @@ def uncertainty_regimes(draws: DataFrame, num_topics: int, high: float = 0.08,
 
 def regime_counts(regimes: DataFrame) -> DataFrame:
     """Documents and share per regime."""
-    n = regimes.count()
-    return regimes.groupBy("regime").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share", F.col("n") / F.lit(float(max(n, 1))))
+    counts = regimes.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()).cast("double"))   # four rows
