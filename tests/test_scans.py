@@ -152,3 +152,15 @@ def test_contexts_without_a_cap(spark):
     bow = spark.createDataFrame([(t, d) for t in range(3) for d in range(30)], "term_id int, doc_id bigint")
     e = spark.createDataFrame([(d, [1.0]) for d in range(25)], "doc_id bigint, vec array<double>")
     assert context.context_pairs(bow, e, None).count() == 75 and context.context_pairs(bow, e, 10).count() == 30
+
+
+def test_edges_of_high_degree_are_read_from_the_pair_table(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = [sorted(set(rng.integers(0, 14, size=rng.integers(1, 8)).tolist())) for _ in range(50)]
+    docs = spark.createDataFrame([(i, s + s[:1]) for i, s in enumerate(sets)], "doc_id bigint, ids array<int>")
+    edges = [(a, b) for a in range(14) for b in range(14)]
+    want = {(a, b): n for a, b in edges if (n := sum(a in s and b in s for s in sets))}
+    looked = []
+    monkeypatch.setattr(cooc, "_count_edges", lambda *a: looked.append(1))
+    got = cooc.edge_counts(docs, spark.createDataFrame(edges, "src int, dst int"))
+    assert not looked and {(r["src"], r["dst"]): r["cnt"] for r in got.collect()} == want
