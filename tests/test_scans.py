@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topiloom.operators import context, cooc, graphs, metrics, reports
+from topiloom.operators import vocab as V
 
 
 def joined(tokens, pairs):
@@ -164,3 +165,15 @@ def test_edges_of_high_degree_are_read_from_the_pair_table(spark, monkeypatch):
     monkeypatch.setattr(cooc, "_count_edges", lambda *a: looked.append(1))
     got = cooc.edge_counts(docs, spark.createDataFrame(edges, "src int, dst int"))
     assert not looked and {(r["src"], r["dst"]): r["cnt"] for r in got.collect()} == want
+
+
+def test_words_are_counted_inside_the_row(spark):
+    rows = [(1, ["b", "a", "b"]), (2, ["a"]), (3, []), (4, None), (5, ["a", None, None]), (None, ["c"])]
+    lists = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    want = {(1, "a", 1), (1, "b", 2), (2, "a", 1), (5, "a", 1), (5, None, 2), (None, "c", 1)}
+    counts = V.token_counts(lists)
+    assert sorted(map(str, (tuple(r) for r in counts.collect()))) == sorted(map(str, want))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    twice = lists.union(spark.createDataFrame([(1, ["a"]), (None, ["c", "d"])], lists.schema))
+    want = want - {(1, "a", 1), (None, "c", 1)} | {(1, "a", 2), (None, "c", 2), (None, "d", 1)}
+    assert sorted(map(str, (tuple(r) for r in V.token_counts(twice).collect()))) == sorted(map(str, want))
