@@ -260,7 +260,7 @@ def lda_fit(d):
 @query("lda_bigrams")
 def lda_bigrams(d):
     """The baseline on word lists in which collocations are joined."""
-    counts = settle(V.token_counts(joined_lists(d)))
+    counts = settle(V.token_counts(settle(joined_lists(d))))
     vocab = settle(V.build_vocab(counts, MIN_DF, MAX_FEATURES))
     words, _ = classify.lda(V.doc_rows(V.bow(counts, vocab, MAX_FEATURES)), vocab, vocab.count(), K)
     return words
@@ -495,7 +495,7 @@ gc AS (SELECT doc_id, term, count(*) AS cnt FROM jt WHERE NOT eaten GROUP BY 1,
 gv AS (SELECT term FROM gc GROUP BY 1 HAVING count(*) >= 5),
 gcls AS (SELECT topic, term, CAST(sum(cnt) AS BIGINT) AS n FROM gc JOIN gv USING (term) JOIN dom USING (doc_id) GROUP BY 1, 2)"""))
 def rep_generic_mwe(d):
-    counts = settle(V.token_counts(joined_lists(d)))
+    counts = settle(V.token_counts(settle(joined_lists(d))))
     vocab = V.build_vocab(counts, MIN_DF, MAX_FEATURES)
     bow = V.bow(counts, vocab, MAX_FEATURES)
     scores = V.ctfidf(bow, d.dominant, TOPICS).withColumn("weight", F.round("weight", 12))
