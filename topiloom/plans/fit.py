@@ -171,8 +171,7 @@ def stored_parse(docs: DataFrame, tokens: DataFrame | None, cfg: TopicConfig, pa
 def with_relations(parsed: Parsed, tokens: DataFrame, cfg: TopicConfig) -> Parsed:
     """The same parse with the dependency tables of other relations."""
     triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
-    pairs = deps.map_vocab(triples.groupBy("head", "dependent").agg(F.sum("cnt").alias("cnt")),
-                           parsed.vocab, cfg.max_features)
+    pairs = deps.vocab_pairs(triples, parsed.vocab, cfg.max_features)
     return replace(parsed, triples=triples, pairs=pairs)
 
 
