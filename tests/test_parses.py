@@ -78,3 +78,19 @@ def test_pseudo_beta_moves_ids_only(spark):
     assert {tuple(r) for r in out.collect()} == {(0, 0, "a", 0.5), (0, 1, "b", 0.25), (1, 0, "a", 4.5), (1, 1, "b", 0.75)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan
+
+
+def test_steps_by_topic_equal_the_plain_form():
+    """Rows without entries included; both losses."""
+    from topiloom.operators import nmf, sparse
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([4, 0, 7, 1, 0])
+    ids, x = rng.integers(0, 6, sizes.sum()), rng.integers(1, 4, sizes.sum()).astype(float)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    w, ht = rng.random((len(sizes), 3)), rng.random((6, 3))
+    for kind in ("kl", "frobenius"):
+        _, hsum, hht = nmf._known(ht)
+        got = nmf._step_w(w, sparse.at_entries(ht, ids), hsum, hht, x, sizes, kind)
+        assert np.allclose(got, nmf._update_w(w, ht, hsum, hht, ids, x, rows, kind), rtol=1e-12)
+    assert sparse.stretch_sums(x, sizes).tolist() == np.bincount(rows, x, len(sizes)).tolist()

@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
 from ..session import DRIVER_CELLS, bounded, cut_lineage, hold, spread
-from .sparse import DOUBLES, INTS, dense, lists, noise, row_sums, same, sparse, truncated_svds
+from .sparse import DOUBLES, INTS, SUM_TASKS, at_entries, blocks, dense, lists, noise, row_sums, same, sparse, stretch_sums, truncated_svds
 
 EPS = 1e-10
 REPLAY = 5
 DIRECT_CELLS = 5_000_000
 BATCH_CELLS = 8_000_000
-SUM_TASKS = 4            # partial sums for each core
 TASK_ENTRIES = 50_000    # counts times models that a task should have at least
 _STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw array<double>"
 
@@ -116,22 +115,45 @@ def _update_w(w, ht, hsum, hht, ids, x, rows, divergence):
     return w * row_sums(h * x[:, None], rows, n) / (w @ hht + EPS)
 
 
+def _fitted_at(w: np.ndarray, hk: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """W H at the entries, topic by topic; entries stand row after row."""
+    out = np.repeat(w[:, 0], sizes) * hk[0]
+    for t in range(1, len(hk)):
+        out += np.repeat(w[:, t], sizes) * hk[t]
+    return out
+
+
+def _step_w(w: np.ndarray, hk: list[np.ndarray], hsum: np.ndarray, hht: np.ndarray, x: np.ndarray, sizes: np.ndarray, divergence: str) -> np.ndarray:
+    """:func:`_update_w` for entries that stand row after row, H given at the entries."""
+    if divergence == "kl":
+        part = x / np.maximum(_fitted_at(w, hk, sizes), EPS)
+    else:
+        part = x
+    num = np.stack([stretch_sums(h * part, sizes) for h in hk], axis=1)
+    return w * num / (hsum[None, :] + EPS if divergence == "kl" else w @ hht + EPS)
+
+
 def _members(rb: pa.RecordBatch, n_models: int):
-    """For each model, its documents of the batch and their entries, renumbered."""
+    """For each model, its documents of the batch, their entries and their sizes."""
     ids, x, rows, sizes = sparse(rb, 1, 2)
     dw = dense(rb.column(4), n_models)
     for b in range(n_models):
         on = dw[:, b] > 0
         if on.all():
-            yield np.arange(len(sizes)), ids, x, rows, dw[:, b]
+            yield np.arange(len(sizes)), ids, x, sizes, dw[:, b]
         else:
-            entry = on[rows]
-            yield np.flatnonzero(on), ids[entry], x[entry], (np.cumsum(on) - 1)[rows[entry]], dw[on, b]
+            entry = np.flatnonzero(on[rows])
+            yield np.flatnonzero(on), ids[entry], x[entry], sizes[on], dw[on, b]
+
+
+def _known(ht: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """H^T with what a step of W needs of it."""
+    return ht, ht.sum(axis=0), ht.T @ ht
 
 
-def _replayed(w, ids, x, rows, updates, divergence):
-    for ht in updates:
-        w = _update_w(w, ht, ht.sum(axis=0), ht.T @ ht, ids, x, rows, divergence)
+def _replayed(w, ids, x, sizes, updates, divergence):
+    for ht, hsum, hht in updates:
+        w = _step_w(w, at_entries(ht, ids), hsum, hht, x, sizes, divergence)
     return w
 
 
@@ -141,11 +163,12 @@ def _advance(state: DataFrame, updates: list[list[np.ndarray]], parts: list[_Par
     width = parts[-1].at + parts[-1].k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        past = [[_known(ht) for ht in hs] for hs in bc.value]
+        for rb in blocks(batches):
             w = dense(rb.column(3), width).copy()
-            for part, past, (on, ids, x, rows, _) in zip(parts, bc.value, _members(rb, len(parts))):
+            for part, hs, (on, ids, x, sizes, _) in zip(parts, past, _members(rb, len(parts))):
                 cols = slice(part.at, part.at + part.k)
-                w[on, cols] = _replayed(w[on, cols], ids, x, rows, past, part.divergence)
+                w[on, cols] = _replayed(w[on, cols], ids, x, sizes, hs, part.divergence)
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(w),
                  same(rb.column(4), DOUBLES)], names=["doc_id", "ids", "cnts", "w", "dw"])
@@ -176,30 +199,30 @@ def _sums(state: DataFrame, hs: dict[int, np.ndarray], updates: list[list[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, past = bc.value
-        held = {b: (np.zeros((v, parts[b].k)), np.zeros((kmax + 2, parts[b].k))) for b in now}
-        for rb in batches:
+        past = [[_known(ht) for ht in hs] for hs in past]
+        held = {b: (np.zeros((parts[b].k, v)), np.zeros((kmax + 2, parts[b].k))) for b in now}
+        for rb in blocks(batches):
             all_w = dense(rb.column(3), width)
-            for b, (on, ids, x, rows, dw) in enumerate(_members(rb, len(parts))):
+            for b, (on, ids, x, sizes, dw) in enumerate(_members(rb, len(parts))):
                 if b not in now or not len(on):
                     continue
                 k, kind, h = parts[b].k, parts[b].divergence, now[b]
                 num, extra = held[b]
-                w = _replayed(all_w[on, parts[b].at:parts[b].at + k], ids, x, rows, past[b], kind)
-                ww = w[rows]
-                fitted = np.einsum("ij,ij->i", ww, h[ids])
+                w = _replayed(all_w[on, parts[b].at:parts[b].at + k], ids, x, sizes, past[b], kind)
+                fitted = _fitted_at(w, at_entries(h, ids), sizes)
                 if kind == "kl":
-                    fitted = np.maximum(fitted, EPS)
-                    part = x / fitted * dw[rows]
-                    loss = float(np.sum(dw[rows] * (x * (np.log(x) - np.log(fitted)) - x)))
+                    part = x / np.maximum(fitted, EPS)
+                    loss = float(dw @ stretch_sums(x * (np.log(part) - 1.0), sizes))
                 else:
-                    part = x * dw[rows]
-                    loss = -2.0 * float(np.sum(part * fitted))
+                    part = x
+                    loss = -2.0 * float(dw @ stretch_sums(part * fitted, sizes))
                 for t in range(k):
-                    num[:, t] += np.bincount(ids, part * ww[:, t], v)
+                    num[t] += np.bincount(ids, part * np.repeat(w[:, t] * dw, sizes), v)
                 extra[:k] += w.T @ (w * dw[:, None])
                 extra[kmax] += dw @ w
                 extra[kmax + 1, 0] += loss
         for b, (num, extra) in held.items():
+            num = num.T
             used = np.flatnonzero(num.any(axis=1))
             out = np.zeros((len(used) + kmax + 2, kmax))
             out[:len(used), :num.shape[1]] = num[used]
@@ -542,12 +565,12 @@ def fold_in(docs: DataFrame, h: np.ndarray, *, n_iter: int = 100, seed: int = 42
     ht = np.ascontiguousarray(h.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hsum, hht = ht.sum(axis=0), ht.T @ ht
-        for rb in batches:
-            ids, x, rows, sizes = sparse(rb, 1, 2)
-            w = dense(rb.column(3), k)
+        _, hsum, hht = _known(ht)
+        for rb in blocks(batches):
+            ids, x, _, sizes = sparse(rb, 1, 2)
+            w, hk = dense(rb.column(3), k), at_entries(ht, ids)
             for _ in range(n_iter):
-                w = _update_w(w, ht, hsum, hht, ids, x, rows, divergence)
+                w = _step_w(w, hk, hsum, hht, x, sizes, divergence)
             s = w.sum(axis=1, keepdims=True)
             s[s == 0] = 1.0
             yield pa.RecordBatch.from_arrays([rb.column(0), lists(w / s)], names=["doc_id", "w"])

@@ -13,6 +13,17 @@ INTS = pa.list_(pa.field("element", pa.int32()))
 DOUBLES = pa.list_(pa.field("element", pa.float64()))
 
 
+SUM_TASKS = 4            # partial sums for each core
+BLOCK = 1024             # rows worked on together, so that their entries stay in the cache
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``BLOCK`` rows."""
+    for rb in batches:
+        for start in range(0, rb.num_rows, BLOCK):
+            yield rb.slice(start, BLOCK)
+
+
 def sparse(rb: pa.RecordBatch, ids: int, cnts: int):
     """Flat ids, flat counts, the row of each entry and the row lengths."""
     lists = rb.column(ids)
@@ -46,6 +57,20 @@ def row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
+def stretch_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given lengths; 0 for an empty one."""
+    out = np.zeros(len(sizes))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def at_entries(matrix: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """Each column of ``matrix`` at the entries' ids, as an array of its own."""
+    return [np.ascontiguousarray(matrix[:, t])[ids] for t in range(matrix.shape[1])]
+
+
 def noise(k: int, first: int, n: int, seed: int) -> np.ndarray:
     """Rows ``first`` to ``first + n`` of a matrix of K draws a row, however many it has."""
     bits = np.random.default_rng(seed).bit_generator
@@ -56,28 +81,30 @@ def noise(k: int, first: int, n: int, seed: int) -> np.ndarray:
 def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dict[int, np.ndarray]:
     """``X^T D (X q)`` of each model, D its weights, for rows ``(ids, cnts, dw)`` in one pass.
 
-    One small matrix for each model and task.
+    One small matrix for each model and task, and a few tasks for each core, so what is shuffled
+    does not grow with the rows.
     """
     v, r = next(iter(qs.values())).shape[0], max(q.shape[1] for q in qs.values())
     bc = rows.sparkSession.sparkContext.broadcast(qs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {b: np.zeros((v, r)) for b in bc.value}
-        for rb in batches:
-            ids, x, rws, sizes = sparse(rb, 0, 1)
+        out = {b: np.zeros((r, v)) for b in bc.value}
+        for rb in blocks(batches):
+            ids, x, _, sizes = sparse(rb, 0, 1)
             dw = dense(rb.column(2), n_models)
             for b, q in bc.value.items():
-                xq = row_sums(q[ids] * x[:, None], rws, len(sizes)) * dw[:, b:b + 1]
-                part = xq[rws] * x[:, None]
-                for t in range(q.shape[1]):
-                    out[b][:, t] += np.bincount(ids, part[:, t], v)
+                for t, qt in enumerate(at_entries(q, ids)):
+                    xq = stretch_sums(qt * x, sizes) * dw[:, b]
+                    out[b][t] += np.bincount(ids, np.repeat(xq, sizes) * x, v)
         for b, y in out.items():
+            y = y.T
             used = np.flatnonzero(y.any(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((b * v + used).astype(np.int64)), lists(y[used])], names=["i", "y"])
 
+    few = min(rows.rdd.getNumPartitions(), SUM_TASKS * rows.sparkSession.sparkContext.defaultParallelism)
     pdf = (
-        rows.select("ids", "cnts", "dw").mapInArrow(run, "i bigint, y array<double>")
+        rows.select("ids", "cnts", "dw").coalesce(few).mapInArrow(run, "i bigint, y array<double>")
         .groupBy("i").agg(*[F.sum(F.col("y")[t]).alias(f"y{t}") for t in range(r)]).toPandas()
     )
     bc.unpersist()
