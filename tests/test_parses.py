@@ -94,3 +94,20 @@ def test_steps_by_topic_equal_the_plain_form():
         got = nmf._step_w(w, sparse.at_entries(ht, ids), hsum, hht, x, sizes, kind)
         assert np.allclose(got, nmf._update_w(w, ht, hsum, hht, ids, x, rows, kind), rtol=1e-12)
     assert sparse.stretch_sums(x, sizes).tolist() == np.bincount(rows, x, len(sizes)).tolist()
+
+
+def test_skipgram_parts_follow_the_cores():
+    from topiloom.operators import vectors
+
+    assert vectors.training_parts(0, 100, 8) == 1 and vectors.training_parts(250, 100, 8) == 3
+    assert vectors.training_parts(10**9, 100_000, 12) == 48
+
+
+def test_few_rows_make_one_task(spark):
+    from topiloom.operators import classify
+
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"), F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("vec"))
+    data = classify.compact(classify._features(rows).repartition(40).persist())
+    assert data.rdd.getNumPartitions() == 1 and data.count() == 200
+    out = classify.downstream({"one": rows}, k=4, seeds=(0, 1)).collect()
+    assert [r["features"] for r in out] == ["one"] and out[0]["f1_macro"] == 1.0 and out[0]["auc"] == 1.0
