@@ -111,3 +111,27 @@ def test_few_rows_make_one_task(spark):
     assert data.rdd.getNumPartitions() == 1 and data.count() == 200
     out = classify.downstream({"one": rows}, k=4, seeds=(0, 1)).collect()
     assert [r["features"] for r in out] == ["one"] and out[0]["f1_macro"] == 1.0 and out[0]["auc"] == 1.0
+
+
+def test_modes_filter_one_count_of_triples(spark, monkeypatch):
+    """Triples of all relations, cut to a config's, are the triples of that config; heads are resolved once."""
+    from types import SimpleNamespace
+
+    from topiloom.plans import fit as fits
+    from topiloom.plans import grid
+
+    packed = parses(spark)
+    vocab = spark.createDataFrame([("word0", 0), ("word2", 1)], "term string, term_id int")
+    base = fits.Parsed(None, vocab, 2, 6, None, None, None, None, None)
+    every = deps.triples(deps.resolve_heads(packed), {"amod", "obj", "root"})
+    for relations in ({"amod"}, {"amod", "obj"}, set()):
+        cfg = SimpleNamespace(relations=frozenset(relations), max_features=10)
+        got, want = fits.with_triples(base, every, cfg), fits.with_relations(base, packed, cfg)
+        assert bag(got.triples, "head", "relation", "dependent", "cnt") == bag(want.triples, "head", "relation", "dependent", "cnt")
+        assert bag(got.pairs, "src", "dst", "weight") == bag(want.pairs, "src", "dst", "weight")
+    calls, resolve = [], deps.resolve_heads
+    monkeypatch.setattr(deps, "resolve_heads", lambda t: calls.append(1) or resolve(t))
+    monkeypatch.setattr(fits, "fit_all", lambda models, init: [])
+    from topiloom.config import TopicConfig
+    grid.graph_modes(packed.select("doc_id"), packed, TopicConfig(min_df=1)).count()
+    assert len(calls) == 1

@@ -170,7 +170,12 @@ def stored_parse(docs: DataFrame, tokens: DataFrame | None, cfg: TopicConfig, pa
 
 def with_relations(parsed: Parsed, tokens: DataFrame, cfg: TopicConfig) -> Parsed:
     """The same parse with the dependency tables of other relations."""
-    triples = settle(deps.triples(deps.resolve_heads(tokens), cfg.relations))
+    return with_triples(parsed, settle(deps.triples(deps.resolve_heads(tokens), cfg.relations)), cfg)
+
+
+def with_triples(parsed: Parsed, triples: DataFrame, cfg: TopicConfig) -> Parsed:
+    """The same parse with those of the given triples that the config asks for."""
+    triples = triples.where(F.col("relation").isin(sorted(cfg.relations) or [""]))
     pairs = deps.vocab_pairs(triples, parsed.vocab, cfg.max_features)
     return replace(parsed, triples=triples, pairs=pairs)
 
