@@ -135,3 +135,33 @@ def test_modes_filter_one_count_of_triples(spark, monkeypatch):
     from topiloom.config import TopicConfig
     grid.graph_modes(packed.select("doc_id"), packed, TopicConfig(min_df=1)).count()
     assert len(calls) == 1
+
+
+def test_triples_of_a_packed_parse(spark):
+    """Filtered and counted in the row; documents of several rows and rows without an id as before."""
+    packed = parses(spark)
+    assert packed.groupBy("doc_id").count().where("count > 1").count() > 0
+    for relations in ({"amod", "obj"}, {"amod", "obj", "root", ""}, set()):
+        got, want = deps.triples(packed, relations), deps.triples(deps.resolve_heads(packed), relations)
+        assert bag(got, "head", "relation", "dependent", "cnt") == bag(want, "head", "relation", "dependent", "cnt")
+    assert deps.triples(packed, {"amod", "obj"}).count() > 3
+    plan = deps.triples(packed.dropDuplicates(["doc_id"]), {"amod"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "head_stop" not in plan
+
+
+def test_cells_meet_their_topics_as_rows(spark):
+    from topiloom.operators import context, metrics
+
+    rows = spark.createDataFrame([(1, [0, 1], [2.0, 1.0]), (2, [0], [3.0]), (None, [1], [9.0]), (4, [1], [1.0])], "doc_id bigint, ids array<int>, cnts array<double>")
+    theta = spark.createDataFrame([(1, 0, 0.25), (1, 1, 0.75), (2, 1, 1.0), (None, 0, 1.0)], "doc_id bigint, topic int, weight double")
+    phi = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 0, 1.0)], "topic int, term_id int, weight double")
+    want = {(1, 0): 0.875, (1, 1): 0.125, (2, 0): 1.0}
+    cells = rows.select("doc_id", F.inline(F.arrays_zip("ids", "cnts")).alias("term_id", "cnt"))
+    for bound in (10, None):
+        plain = context.expected_at(cells, theta, phi, 2, bound)
+        assert plain.columns == ["doc_id", "term_id", "p"] and {(r[0], r[1]): r[2] for r in plain.collect()} == want
+        out = context.expected_at(rows, theta, phi, 2, bound)
+        assert {(r["doc_id"], r["term_id"]): (r["cnt"], r["p"]) for r in out.collect()} == {(1, 0): (2.0, 0.875), (1, 1): (1.0, 0.125), (2, 0): (3.0, 1.0)}
+        log = (2 * np.log(0.875) + np.log(0.125)) / 6
+        assert metrics.perplexity_at(out).first()[0] == pytest.approx(np.exp(-log))
+    assert "collect_list" in context.expected_at(cells, theta, phi, 2, 10)._jdf.queryExecution().optimizedPlan().toString()

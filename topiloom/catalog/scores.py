@@ -215,8 +215,7 @@ PPL = """(SELECT exp(-sum(cnt * ln(greatest(p, 1e-12))) / sum(cnt)) FROM (SELECT
 
 
 def _perplexity(d):
-    cells = context.expected_at(d.bow, d.theta, d.phi, TOPICS, MAX_FEATURES)
-    return metrics.perplexity_at(cells.join(d.bow.select("doc_id", "term_id", "cnt"), ["doc_id", "term_id"]))
+    return metrics.perplexity_at(context.expected_at(d.rows, d.theta, d.phi, TOPICS, MAX_FEATURES))
 
 
 @query("m_perplexity", sql("bow theta phi", f"SELECT {PPL} AS perplexity", "perplexity"))

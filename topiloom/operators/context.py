@@ -159,15 +159,22 @@ def expected_at(cells: DataFrame, theta: DataFrame, phi: DataFrame, num_topics:
                 bound: int | None) -> DataFrame:
     """``(doc_id, term_id, p)``: theta times beta at the wanted ``(doc_id, term_id)`` cells.
 
-    Both factors are joined as one array of K numbers per document and per term.
+    Both factors are joined as one array of K numbers per document and per term. The cells of a
+    document meet its topics as one row, so no array is shuffled for each cell. Cells may come as
+    rows ``(doc_id, ids, cnts)``; then the result also has ``cnt``.
     """
     wide = bounded(wide_rows(phi, "term_id", num_topics, "b"), bound)
     docs = wide_rows(theta, "doc_id", num_topics, "w")
+    if "ids" in cells.columns:
+        met = cells.select("doc_id", F.arrays_zip("ids", "cnts").alias("c")).join(docs, "doc_id").select(
+            "doc_id", "w", F.inline("c").alias("term_id", "cnt"))
+    else:
+        met = cells.groupBy("doc_id").agg(F.collect_list("term_id").alias("c")).join(docs, "doc_id").select(
+            "doc_id", "w", F.explode("c").alias("term_id"))
     p = F.col("w")[0] * F.col("b")[0]
     for t in range(1, num_topics):
         p = p + F.col("w")[t] * F.col("b")[t]
-    return cells.select("doc_id", "term_id").join(wide, "term_id").join(docs, "doc_id").select(
-        "doc_id", "term_id", p.alias("p"))
+    return met.join(wide, "term_id").select("doc_id", *met.columns[2:], p.alias("p"))
 
 
 def wide_rows(rows: DataFrame, key: str, num_topics: int, name: str) -> DataFrame:
