@@ -15,6 +15,9 @@ DOUBLES = pa.list_(pa.field("element", pa.float64()))
 
 SUM_TASKS = 4            # partial sums for each core
 BLOCK = 1024             # rows worked on together, so that their entries stay in the cache
+SUM_COLS = 512           # columns of a sum that move together
+FULL_ROWS = 256          # rows spread out at once when they hold many of the columns
+FULL = 16                # rows that hold one column in this many are spread out
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,6 +69,23 @@ def stretch_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def full_rows(ids: np.ndarray, x: np.ndarray, sizes: np.ndarray, v: int) -> Iterator[np.ndarray]:
+    """The rows as dense matrices of ``FULL_ROWS`` rows; repeated ids are added up."""
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(sizes), FULL_ROWS):
+        own = sizes[lo:lo + FULL_ROWS]
+        a, z = ends[lo] - sizes[lo], ends[lo + len(own) - 1]
+        yield np.bincount(np.repeat(np.arange(len(own)) * v, own) + ids[a:z], x[a:z], len(own) * v).reshape(len(own), v)
+
+
+def times(ids: np.ndarray, x: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rows times ``matrix`` (columns x K), spread out or entry by entry, a few rows at a time."""
+    v = len(matrix)
+    if len(ids) * FULL > len(sizes) * v:
+        return np.concatenate([full @ matrix for full in full_rows(ids, x, sizes, v)])
+    return np.stack([stretch_sums(m * x, sizes) for m in at_entries(matrix, ids)], axis=1)
+
+
 def at_entries(matrix: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """Each column of ``matrix`` at the entries' ids, as an array of its own."""
     return [np.ascontiguousarray(matrix[:, t])[ids] for t in range(matrix.shape[1])]
@@ -82,7 +102,7 @@ def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dic
     """``X^T D (X q)`` of each model, D its weights, for rows ``(ids, cnts, dw)`` in one pass.
 
     One small matrix for each model and task, and a few tasks for each core, so what is shuffled
-    does not grow with the rows.
+    does not grow with the rows. The matrices move and are added up in pieces of ``SUM_COLS`` columns.
     """
     v, r = next(iter(qs.values())).shape[0], max(q.shape[1] for q in qs.values())
     bc = rows.sparkSession.sparkContext.broadcast(qs)
@@ -92,24 +112,39 @@ def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dic
         for rb in blocks(batches):
             ids, x, _, sizes = sparse(rb, 0, 1)
             dw = dense(rb.column(2), n_models)
+            if len(ids) * FULL > len(sizes) * v:
+                done = 0
+                for full in full_rows(ids, x, sizes, v):
+                    for b, q in bc.value.items():
+                        out[b][:q.shape[1]] += ((full @ q) * dw[done:done + len(full), b:b + 1]).T @ full
+                    done += len(full)
+                continue
             for b, q in bc.value.items():
                 for t, qt in enumerate(at_entries(q, ids)):
                     xq = stretch_sums(qt * x, sizes) * dw[:, b]
                     out[b][t] += np.bincount(ids, np.repeat(xq, sizes) * x, v)
         for b, y in out.items():
-            y = y.T
-            used = np.flatnonzero(y.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((b * v + used).astype(np.int64)), lists(y[used])], names=["i", "y"])
+            for at in range(0, v, SUM_COLS):
+                if (piece := y[:, at:at + SUM_COLS]).any():
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([b * v + at], pa.int64()), "y": pa.array([piece.tobytes()], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for rb in batches:
+            for i, y in zip(rb.column(0).to_pylist(), rb.column(1)):
+                y = np.frombuffer(y.as_buffer())
+                sums[i] = sums[i] + y if i in sums else y.copy()
+        for i, y in sums.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "y": pa.array([y.tobytes()], pa.binary())})
 
     few = min(rows.rdd.getNumPartitions(), SUM_TASKS * rows.sparkSession.sparkContext.defaultParallelism)
-    pdf = (
-        rows.select("ids", "cnts", "dw").coalesce(few).mapInArrow(run, "i bigint, y array<double>")
-        .groupBy("i").agg(*[F.sum(F.col("y")[t]).alias(f"y{t}") for t in range(r)]).toPandas()
-    )
+    parts = rows.select("ids", "cnts", "dw").coalesce(few).mapInArrow(run, "i bigint, y binary")
+    found = parts.repartition("i").mapInArrow(added, "i bigint, y binary").toArrow()
     bc.unpersist()
     y = np.zeros((n_models * v, r))
-    y[pdf["i"].to_numpy()] = pdf[[f"y{t}" for t in range(r)]].to_numpy()
+    for i, piece in zip(found.column("i").to_pylist(), found.column("y")):
+        piece = np.frombuffer(piece.as_buffer()).reshape(r, -1)
+        y[i:i + piece.shape[1]] = piece.T
     return {b: y[b * v:(b + 1) * v, :q.shape[1]] for b, q in qs.items()}
 
 

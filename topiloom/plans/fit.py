@@ -185,7 +185,7 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
         return None
     if cfg.vector_backend == "ppmi_svd":
         seqs = cooc.id_lists(parsed.lists, parsed.vocab, cfg.max_features)
-        cells = vectors.ppmi_cells(settle(cooc.window(seqs, cfg.vector_window)), parsed.n_terms)
+        cells = vectors.ppmi_cells(cooc.window(seqs, cfg.vector_window), parsed.n_terms)
         found = vectors.svd_vectors(cells, parsed.n_terms, cfg.vector_dim)
     else:
         known = cooc.known_lists(parsed.lists, parsed.vocab, cfg.max_features)
