@@ -208,3 +208,15 @@ def test_every_language_is_learned(spark):
     probe = [(k, " ".join(rng.choice(w, 12)), lang) for k, (lang, w) in enumerate(lexicon.items())]
     got = li.predict(spark.createDataFrame(probe, "doc_id long, text string, lang string"), model).collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 65
+
+
+def test_language_gradient_returns_touched_features_only():
+    import pyarrow as pa
+
+    size = 1 << li.TABLE_BITS
+    w = np.random.default_rng(1).normal(size=(size, 3)).astype(np.float32)
+    batch = pa.RecordBatch.from_pydict({"word": pa.array([b"house", b"maison", b"a"], pa.binary()), "lang": pa.array([0, 2, 1], pa.int32()), "n": pa.array([4.0, 1.0, 2.0])})
+    (row,) = (r for b in li._gradient(iter([batch]), w, 3.0) for r in b.to_pylist())
+    at = np.frombuffer(row["at"], np.int32)
+    g = np.frombuffer(row["g"], np.float32).reshape(3, len(at))
+    assert 0 < len(at) < 40 and (np.diff(at) > 0).all() and np.abs(g).sum() > 0 and np.allclose(g.sum(0), 0, atol=1e-6)

@@ -10,8 +10,9 @@ that sum's share.
 The fit is piecewise. Word potentials are a multinomial regression on all words of about
 ``FIT_DOCS`` documents of each language (those with the smallest hashes of the id, whole texts).
 Words are counted by language in a staged table; a step sends the weights to at most
-``FIT_TASKS`` tasks, each adds up the gradient of its words, and the driver adds their sums, so it
-holds a few tables of 2**``TABLE_BITS`` rows by the number of languages and never the words.
+``FIT_TASKS`` tasks, each adds up the gradient of its words and returns the rows that its words touch,
+and the driver adds their sums, so it holds a few tables of 2**``TABLE_BITS`` rows by the number of
+languages and never the words.
 Every language and every word of the sample takes part. Transitions then come from the expected
 counts of forward-backward on the same documents, in two rounds.
 
@@ -82,9 +83,9 @@ class Model:
 
 
 def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, total: float) -> Iterator[pa.RecordBatch]:
-    """The gradient over the words of a task, as bytes."""
+    """The gradient over the words of a task, as bytes: the features its words have, and their rows."""
     size, n_langs = w.shape
-    out = np.zeros((n_langs, size))
+    out, met = np.zeros((n_langs, size)), np.zeros(size, bool)
     for batch in batches:
         for lo in range(0, batch.num_rows, WORDS_AT_ONCE):
             part = batch.slice(lo, WORDS_AT_ONCE)
@@ -93,6 +94,7 @@ def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, total: float) ->
             weight = np.sqrt(column(part, "n").to_numpy()) / total
             ends = np.cumsum([len(x) for x in words_])
             number, edge = word_features(np.frombuffer(b"".join(words_), np.uint8), np.r_[0, ends[:-1]], ends)
+            met[number] = True
             owner = np.repeat(np.arange(len(words_)), np.diff(np.r_[edge, len(number)]))
             x = np.add.reduceat(w[number], edge, axis=0).astype(np.float64)
             x = np.exp(x - x.max(1, keepdims=True))
@@ -101,7 +103,8 @@ def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, total: float) ->
             x *= weight[:, None]
             for k in range(n_langs):
                 out[k] += np.bincount(number, x[owner, k], size)
-    yield pa.RecordBatch.from_pydict({"g": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+    at = np.flatnonzero(met).astype(np.int32)
+    yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary()), "g": pa.array([out[:, at].astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit_table(counted: DataFrame, n_langs: int) -> np.ndarray:
@@ -118,10 +121,12 @@ def fit_table(counted: DataFrame, n_langs: int) -> np.ndarray:
     parts, sc = counted.select("word", "lang", F.col("n").cast("double").alias("n")).coalesce(tasks), counted.sparkSession.sparkContext
     for t in range(1, STEPS + 1):
         sent = sc.broadcast(w)
-        grad = parts.mapInArrow(lambda it, b=sent: tidied(_gradient(it, b.value, total)), "g binary")
+        grad = parts.mapInArrow(lambda it, b=sent: tidied(_gradient(it, b.value, total)), "at binary, g binary")
         g = np.zeros((n_langs, size), np.float32)
-        for r in grad.collect():            # at most FIT_TASKS tables
-            g += np.frombuffer(r["g"], np.float32).reshape(n_langs, size)
+        for part in grad.toArrow().to_batches():      # at most FIT_TASKS rows, in the order of the tasks
+            for at, rows in zip(*part.columns):
+                at = np.frombuffer(at.as_buffer(), np.int32)
+                g[:, at] += np.frombuffer(rows.as_buffer(), np.float32).reshape(n_langs, len(at))
         sent.destroy()
         d = g.T + DECAY * w / n_words
         m = 0.9 * m + 0.1 * d
