@@ -80,6 +80,33 @@ def test_pseudo_beta_moves_ids_only(spark):
     assert "collect_list" in plan
 
 
+def test_pseudo_beta_packs_cells_without_grouping_them(spark):
+    """Cells of a document in one stretch, scattered, or in more rows than a batch holds; ids that repeat or are null."""
+    rows = [(d, t, f"w{t:03d}", (d * 7 + t) % 5 + 1) for d in range(6) for t in range(300) if (d + t) % 3]
+    rows += [(2, 1, "w001", 4), (None, 2, "w002", 9), (None, 2, "w002", 1), (50, 3, "w003", 8), (4, 5, "w005", None)]
+    theta = [(d, k, (d + 1) / (k + 2)) for d in range(6) for k in range(3)] + [(1, 0, 0.5), (None, 1, 1.0), (60, 1, 1.0)]
+    want = {}
+    for d, t, word, n in rows:
+        for e, k, w in theta:
+            if d is not None and d == e and n is not None:
+                want[k, t, word] = want.get((k, t, word), 0.0) + n * w
+    shape = "doc_id bigint, term_id int, term string, cnt bigint"
+    topics = spark.createDataFrame(theta, "doc_id bigint, topic int, weight double")
+    key = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for bow in (spark.createDataFrame(rows, shape).coalesce(1), spark.createDataFrame(rows[::7] + [r for i, r in enumerate(rows) if i % 7], shape).repartition(3, "term_id")):
+            out = V.pseudo_beta(bow, topics)
+            got = {tuple(r)[:3]: r["weight"] for r in out.collect()}
+            assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+            cells = V.packed(bow).collect()
+            assert sum(len(r["ids"]) for r in cells) == len(rows) and len(cells) < len(rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_list") == 1 and "MapInArrow" in plan   # the topics of a document, not its cells
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", key)
+
+
 def test_steps_by_topic_equal_the_plain_form():
     """Rows without entries included; both losses."""
     from topiloom.operators import nmf, sparse
