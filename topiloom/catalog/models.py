@@ -268,7 +268,11 @@ def lda_bigrams(d):
 
 @query("kmeans_init")
 def kmeans_init(d):
-    return context.kmeans_centres(d.word_vectors, K, max_iter=50).select("topic", F.posexplode("vec").alias("i", "x"))
+    """The centres, and how near the words are to the best of them on average."""
+    centres = settle(context.kmeans_centres(d.word_vectors, K), "centres")
+    topics = [(r["topic"], r["vec"]) for r in centres.orderBy("topic").collect()]
+    near = context.mean_best_similarity(d.word_vectors, topics).first()[0]
+    return centres.select("topic", F.posexplode("vec").alias("i", "x"), F.lit(near).cast("double").alias("mean_best_similarity"))
 
 
 # -- contextual operators ----------------------------------------------------------

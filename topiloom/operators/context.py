@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -221,10 +222,17 @@ def refine(embeddings: DataFrame, dominant: DataFrame, topics: DataFrame, num_to
     )
 
 
-def kmeans_centres(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 300) -> DataFrame:
-    """``(topic, vec)``: unit-length k-means centres of the word vectors."""
+def kmeans_centres(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 300, n_init: int = 5) -> DataFrame:
+    """``(topic, vec)``: unit-length k-means centres of the word vectors.
+
+    The fit is repeated from ``n_init`` seeded starts, side by side; the one with the smallest
+    sum of squared distances is kept, the first on ties.
+    """
     feats = vectors.select(array_to_vector(vec.doubles("vec")).alias("features")).persist()
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
+    feats.count()                       # read once, before the starts
+    with ThreadPool(n_init) as pool:
+        models = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=max_iter).fit(feats), range(seed, seed + n_init))
+    model = min(models, key=lambda m: m.summary.trainingCost)
     feats.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "topic int, vec array<double>").select(
