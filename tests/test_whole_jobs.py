@@ -44,3 +44,47 @@ def test_kmeans_query_gives_the_mean_best_similarity(spark):
     assert len(out) == models.K * 6 and np.allclose(np.linalg.norm(c, axis=1), 1.0)
     want = (x / np.linalg.norm(x, axis=1, keepdims=True) @ c.T).max(axis=1).mean()
     assert want > 0.9 and all(r["mean_best_similarity"] == pytest.approx(want) for r in out)
+
+
+def test_tfidf_baseline_has_words_and_pairs(spark):
+    """Beside a plain count: sublinear, smoothed, unit length; documents without a label stay out, empty ones stay in."""
+    from math import log
+
+    from topiloom.operators import classify
+
+    texts = {1: "The cat sat, the cat ran", 2: "the cat sat", 3: "the dog sat. a cat", 4: None, 5: "zz", 6: "the cat the cat", 7: "the cat sat"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "doc_id bigint, label int")
+    out = {r["doc_id"]: r for r in classify.tfidf_features(labelled, docs).collect()}
+
+    def terms(text):
+        w = [x for x in (text or "").lower().replace(",", "").replace(".", "").split() if len(x) > 1]
+        return w + [" ".join(p) for p in zip(w, w[1:])]
+
+    every = {i: terms(t) for i, t in texts.items() if i < 7}
+    df = {t: sum(t in x for x in every.values()) for x in every.values() for t in x}
+    known = sorted(t for t in df if df[t] >= 3)
+    assert known == ["cat", "sat", "the", "the cat"] and out.keys() == every.keys()
+    for i, x in every.items():
+        raw = np.array([(1 + log(x.count(t))) * (log(7 / (1 + df[t])) + 1) if t in x else 0.0 for t in known])
+        want = raw / (np.linalg.norm(raw) or 1.0)
+        assert np.allclose(out[i]["features"].toArray(), want) and out[i]["label"] == i % 2
+    assert classify.tfidf_features(labelled, docs, min_df=9) is None
+
+
+def test_downstream_query_scores_the_baseline(spark, monkeypatch):
+    from topiloom.catalog import scores
+    from topiloom.operators import classify
+
+    n = 40
+    docs = spark.createDataFrame([(i, f"common {'good fine' if i % 2 else 'bad poor'} words", "en") for i in range(n)], "doc_id bigint, text string, lang string")
+    table = {"labels": spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id bigint, quality int")}
+    rng = np.random.default_rng(0)
+    emb = spark.createDataFrame([(i, [float(a) for a in rng.random(3)]) for i in range(n)], "doc_id bigint, vec array<double>")
+    theta = docs.select("doc_id", F.array(F.rand(1), F.rand(2)).alias("w"))
+    d = SimpleNamespace(table=table.get, documents=docs, theta_rows=theta, embeddings=emb, mwes=spark.createDataFrame([("good fine",)], "phrase string"))
+    got = {r["features"]: r for r in scores.m_downstream(d).collect()}
+    assert set(got) == {"tfidf", "theta", "mwe", "theta+mwe", "embedding"}
+    assert got["tfidf"]["f1_macro"] == 1.0 and got["tfidf"]["auc"] == 1.0
+    none = classify.downstream({"tfidf": None, "one": scores._features(d)}, k=2).collect()
+    assert none[0]["f1_macro"] is None and none[1]["f1_macro"] is not None
