@@ -88,3 +88,25 @@ def test_downstream_query_scores_the_baseline(spark, monkeypatch):
     assert got["tfidf"]["f1_macro"] == 1.0 and got["tfidf"]["auc"] == 1.0
     none = classify.downstream({"tfidf": None, "one": scores._features(d)}, k=2).collect()
     assert none[0]["f1_macro"] is None and none[1]["f1_macro"] is not None
+
+
+def test_skipgram_reads_words_outside_the_vocabulary(spark, monkeypatch):
+    """As neighbours in documents and as ends of pairs, in the query and in a fit."""
+    from topiloom.catalog import graphs as queries
+    from topiloom.operators import vectors
+    from topiloom.plans import fit as fits
+
+    lists = spark.createDataFrame([(i, ["left", f"u{i % 3}", "right"] if i % 2 else ["other", f"o{i % 3}", "last"]) for i in range(20)], "doc_id bigint, tokens array<string>")
+    triples = spark.createDataFrame([("left", "amod", "rare", 1), ("rare", "obj", "rare", 2)], "head string, relation string, dependent string, cnt bigint")
+    vocab = spark.createDataFrame([("left", 0), ("right", 1), ("other", 2), ("absent", 3)], "term string, term_id int")
+    seen, train = [], vectors.skipgram_vectors
+    monkeypatch.setattr(vectors, "skipgram_vectors", lambda a, b, c, *rest: seen.append((a, b)) or train(a, b, c, *rest))
+    d = SimpleNamespace(lists=lists, triples=triples, vocab=vocab)
+    out = {r["term"]: r for r in queries.vec_skipgram(d).collect()}
+    assert {t: r["missing"] for t, r in out.items()} == {"left": False, "right": False, "other": False, "absent": True}
+    cfg = SimpleNamespace(vector_backend="skipgram", max_features=10, vector_dim=8, vector_window=2, vector_epochs=1, seed=1)
+    assert fits.word_vectors(SimpleNamespace(lists=lists, triples=triples, vocab=vocab), cfg).count() == 4
+    for words, pairs in seen:
+        assert {w for r in words.collect() for w in r["tokens"]} == {"left", "right", "other", "last", *(f"{c}{i}" for c in "uo" for i in range(3))}
+        assert pairs.count() == 2
+    assert len(seen) == 2

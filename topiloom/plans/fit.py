@@ -188,9 +188,8 @@ def word_vectors(parsed: Parsed, cfg: TopicConfig) -> DataFrame | None:
         cells = vectors.ppmi_cells(cooc.window(seqs, cfg.vector_window), parsed.n_terms)
         found = vectors.svd_vectors(cells, parsed.n_terms, cfg.vector_dim)
     else:
-        known = cooc.known_lists(parsed.lists, parsed.vocab, cfg.max_features)
         found = vectors.skipgram_vectors(
-            known, parsed.triples, parsed.vocab, cfg.vector_dim, cfg.vector_window, cfg.vector_epochs,
+            parsed.lists, parsed.triples, parsed.vocab, cfg.vector_dim, cfg.vector_window, cfg.vector_epochs,
             cfg.seed)
         return settle(found)
     return settle(vectors.fill_missing(parsed.vocab, found, cfg.vector_dim))
