@@ -2,9 +2,9 @@
 
 State lives in Spark as one sparse row per document, ``(doc_id, ids, cnts, w)``; the
 topic-term matrix H is small (topics x bounded vocabulary) and is broadcast. Each
-iteration is one Arrow pass that only sends back, per task, the sums the next H update
-needs. W follows from the last written W and the H matrices since then, so a pass
-replays those few updates in memory and W is written only every ``REPLAY`` iterations.
+iteration is one Arrow pass that moves W and sends back, per task, the sums the next H
+update needs. A pass holds the documents with their new W, which a lost executor computes
+again from the passes before; every ``REPLAY`` iterations they are written.
 When H would be too large the same updates run as joins (:func:`fit_joined`), with no
 matrix on the driver.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeded, vec
 from ..session import DRIVER_CELLS, bounded, cut_lineage, hold, spread
-from .sparse import DOUBLES, INTS, SUM_TASKS, at_entries, blocks, dense, lists, noise, row_sums, same, sparse, stretch_sums, truncated_svds
+from .sparse import DOUBLES, INTS, SUM_TASKS, at_entries, blocks, dense, lists, noise, pieces, row_sums, same, sparse, stretch_sums, summed, truncated_svds
 
 EPS = 1e-10
 REPLAY = 5
@@ -29,6 +29,7 @@ DIRECT_CELLS = 5_000_000
 BATCH_CELLS = 8_000_000
 TASK_ENTRIES = 50_000    # counts times models that a task should have at least
 _STATE = "doc_id bigint, ids array<int>, cnts array<double>, w array<double>, dw array<double>"
+_NAMES = ["doc_id", "ids", "cnts", "w", "dw", "i", "y"]
 
 
 @dataclass
@@ -115,35 +116,38 @@ def _update_w(w, ht, hsum, hht, ids, x, rows, divergence):
     return w * row_sums(h * x[:, None], rows, n) / (w @ hht + EPS)
 
 
-def _fitted_at(w: np.ndarray, hk: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """W H at the entries, topic by topic; entries stand row after row."""
-    out = np.repeat(w[:, 0], sizes) * hk[0]
+def _fitted_at(w: np.ndarray, hk: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """W H at the entries, topic by topic."""
+    wk = np.ascontiguousarray(w.T)
+    out = wk[0][rows] * hk[0]
     for t in range(1, len(hk)):
-        out += np.repeat(w[:, t], sizes) * hk[t]
+        out += wk[t][rows] * hk[t]
     return out
 
 
-def _step_w(w: np.ndarray, hk: list[np.ndarray], hsum: np.ndarray, hht: np.ndarray, x: np.ndarray, sizes: np.ndarray, divergence: str) -> np.ndarray:
+def _step_w(w: np.ndarray, hk: list[np.ndarray], hsum: np.ndarray, hht: np.ndarray, x: np.ndarray, sizes: np.ndarray,
+            divergence: str, rows: np.ndarray | None = None) -> np.ndarray:
     """:func:`_update_w` for entries that stand row after row, H given at the entries."""
+    rows = np.repeat(np.arange(len(sizes)), sizes) if rows is None else rows
     if divergence == "kl":
-        part = x / np.maximum(_fitted_at(w, hk, sizes), EPS)
+        part = x / np.maximum(_fitted_at(w, hk, rows), EPS)
     else:
         part = x
     num = np.stack([stretch_sums(h * part, sizes) for h in hk], axis=1)
     return w * num / (hsum[None, :] + EPS if divergence == "kl" else w @ hht + EPS)
 
 
-def _members(rb: pa.RecordBatch, n_models: int):
-    """For each model, its documents of the batch, their entries and their sizes."""
+def _members(rb: pa.RecordBatch, live: Sequence[int], n_models: int):
+    """For each of the models, its documents of the batch, their entries, the place and the size of each."""
     ids, x, rows, sizes = sparse(rb, 1, 2)
-    dw = dense(rb.column(4), n_models)
-    for b in range(n_models):
+    ids, dw = ids.astype(np.intp), dense(rb.column(4), n_models)
+    for b in live:
         on = dw[:, b] > 0
         if on.all():
-            yield np.arange(len(sizes)), ids, x, sizes, dw[:, b]
+            yield b, np.arange(len(sizes)), ids, x, rows, sizes, dw[:, b]
         else:
-            entry = np.flatnonzero(on[rows])
-            yield np.flatnonzero(on), ids[entry], x[entry], sizes[on], dw[on, b]
+            entry, own = np.flatnonzero(on[rows]), np.flatnonzero(on)
+            yield b, own, ids[entry], x[entry], np.repeat(np.arange(len(own)), sizes[own]), sizes[own], dw[own, b]
 
 
 def _known(ht: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,34 +155,9 @@ def _known(ht: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ht, ht.sum(axis=0), ht.T @ ht
 
 
-def _replayed(w, ids, x, sizes, updates, divergence):
-    for ht, hsum, hht in updates:
-        w = _step_w(w, at_entries(ht, ids), hsum, hht, x, sizes, divergence)
-    return w
-
-
-def _advance(state: DataFrame, updates: list[list[np.ndarray]], parts: list[_Part]) -> DataFrame:
-    """The state with each model's H matrices applied to its W."""
-    bc = state.sparkSession.sparkContext.broadcast(updates)
-    width = parts[-1].at + parts[-1].k
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        past = [[_known(ht) for ht in hs] for hs in bc.value]
-        for rb in blocks(batches):
-            w = dense(rb.column(3), width).copy()
-            for part, hs, (on, ids, x, sizes, _) in zip(parts, past, _members(rb, len(parts))):
-                cols = slice(part.at, part.at + part.k)
-                w[on, cols] = _replayed(w[on, cols], ids, x, sizes, hs, part.divergence)
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(w),
-                 same(rb.column(4), DOUBLES)], names=["doc_id", "ids", "cnts", "w", "dw"])
-
-    return state.mapInArrow(run, _STATE)
-
-
 @dataclass
 class _Sums:
-    """R^T W or X^T W, W^T W, sum W and the loss of one model at H and its replayed W."""
+    """R^T W or X^T W, W^T W, sum W and the loss of one model at H and W."""
 
     num: np.ndarray
     gram: np.ndarray
@@ -186,70 +165,80 @@ class _Sums:
     loss: float
 
 
-def _sums(state: DataFrame, hs: dict[int, np.ndarray], updates: list[list[np.ndarray]], parts: list[_Part],
-          v: int) -> dict[int, _Sums]:
-    """The sums of the models that are still running, in one pass over the documents.
+def _pass(state: DataFrame, hs: dict[int, np.ndarray], parts: list[_Part], v: int, step: bool) -> tuple[DataFrame, dict[int, _Sums]]:
+    """One reading of the documents for the models that still run, those of ``hs``.
 
-    A task adds up all its batches, and splits are joined to a few for each core first, so
-    what is shuffled depends on the cluster and not on the number of documents.
+    ``step`` moves their W to the given H first; then the documents with that W are held and
+    returned beside the sums at both. A task adds up all its batches, and splits are joined to a few for each core first,
+    so what is shuffled depends on the cluster and not on the number of documents. The sums are
+    numbered pieces behind the documents, so W and sums come from the same reading.
     """
-    bc = state.sparkSession.sparkContext.broadcast((hs, updates))
+    bc = state.sparkSession.sparkContext.broadcast(hs)
     width, kmax = parts[-1].at + parts[-1].k, max(p.k for p in parts)
     block = v + kmax + 2                 # a model's keys: terms, then W^T W, sum W and the loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, past = bc.value
-        past = [[_known(ht) for ht in hs] for hs in past]
+        now = {b: _known(ht) for b, ht in bc.value.items()}
         held = {b: (np.zeros((parts[b].k, v)), np.zeros((kmax + 2, parts[b].k))) for b in now}
         for rb in blocks(batches):
             all_w = dense(rb.column(3), width)
-            for b, (on, ids, x, sizes, dw) in enumerate(_members(rb, len(parts))):
-                if b not in now or not len(on):
+            all_w = all_w.copy() if step else all_w
+            for b, on, ids, x, rows, sizes, dw in _members(rb, list(now), len(parts)):
+                if not len(on):
                     continue
-                k, kind, h = parts[b].k, parts[b].divergence, now[b]
+                k, kind, (h, hsum, hht) = parts[b].k, parts[b].divergence, now[b]
+                cols, hk = slice(parts[b].at, parts[b].at + k), at_entries(h, ids)
+                w = all_w[on, cols]
+                if step:
+                    w = all_w[on, cols] = _step_w(w, hk, hsum, hht, x, sizes, kind, rows)
                 num, extra = held[b]
-                w = _replayed(all_w[on, parts[b].at:parts[b].at + k], ids, x, sizes, past[b], kind)
-                fitted = _fitted_at(w, at_entries(h, ids), sizes)
+                wk = [np.ascontiguousarray(w[:, t])[rows] for t in range(k)]
+                fitted = wk[0] * hk[0]
+                for t in range(1, k):
+                    fitted += wk[t] * hk[t]
                 if kind == "kl":
                     part = x / np.maximum(fitted, EPS)
-                    loss = float(dw @ stretch_sums(x * (np.log(part) - 1.0), sizes))
+                    extra[kmax + 1, 0] += float(dw @ stretch_sums(x * (np.log(part) - 1.0), sizes))
                 else:
                     part = x
-                    loss = -2.0 * float(dw @ stretch_sums(part * fitted, sizes))
+                    extra[kmax + 1, 0] += -2.0 * float(dw @ stretch_sums(part * fitted, sizes))
+                weighted = part * dw[rows]
                 for t in range(k):
-                    num[t] += np.bincount(ids, part * np.repeat(w[:, t] * dw, sizes), v)
+                    num[t] += np.bincount(ids, weighted * wk[t], v)
                 extra[:k] += w.T @ (w * dw[:, None])
                 extra[kmax] += dw @ w
-                extra[kmax + 1, 0] += loss
+            if step:
+                n = rb.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(0), same(rb.column(1), INTS), same(rb.column(2), DOUBLES), lists(all_w), same(rb.column(4), DOUBLES),
+                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
         for b, (num, extra) in held.items():
-            num = num.T
-            used = np.flatnonzero(num.any(axis=1))
-            out = np.zeros((len(used) + kmax + 2, kmax))
-            out[:len(used), :num.shape[1]] = num[used]
-            out[len(used):, :num.shape[1]] = extra
-            key = b * block + np.concatenate([used, v + np.arange(kmax + 2)])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), lists(out)], names=["key", "s"])
+            for piece in pieces(np.concatenate([num, extra.T], axis=1), b * block):
+                n = piece.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int64()), pa.nulls(n, INTS), *[pa.nulls(n, DOUBLES)] * 3, *piece.columns], names=_NAMES)
 
     few = min(state.rdd.getNumPartitions(), SUM_TASKS * state.sparkSession.sparkContext.defaultParallelism)
-    partial = state.coalesce(few).mapInArrow(run, "key bigint, s array<double>")
-    flat = np.zeros((len(parts) * block, kmax))
-    if few * len(hs) * v * kmax <= DIRECT_CELLS:
-        # Few tasks and a small H: the partial sums are added here, without a shuffle.
-        table = partial.toArrow()
-        keys = table.column("key").to_numpy()
-        sums = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, kmax)
-        for t in range(kmax):
-            flat[:, t] = np.bincount(keys, sums[:, t], len(flat))
-    else:
-        cells = partial.groupBy("key").agg(
-            *[F.sum(F.col("s")[t]).alias(f"s{t}") for t in range(kmax)]).toPandas()
-        flat[cells["key"].to_numpy()] = cells[[f"s{t}" for t in range(kmax)]].to_numpy()
+    both = state.coalesce(few).mapInArrow(run, f"{_STATE}, i bigint, y binary")
+    both = hold(both) if step else both
+    flat = {b: np.zeros((parts[b].k, block)) for b in hs}
+    # few tasks and a small H: the partial sums are added here, without a shuffle
+    here = few * len(hs) * v * kmax <= DIRECT_CELLS
+    for i, piece in summed(both.where("i IS NOT NULL").select("i", "y"), here).items():
+        b, at = divmod(i, block)
+        piece = piece.reshape(parts[b].k, -1)
+        flat[b][:, at:at + piece.shape[1]] = piece
     bc.unpersist()
     out = {}
-    for b in hs:
-        k, own = parts[b].k, flat[b * block:(b + 1) * block, :parts[b].k]
+    for b, own in flat.items():
+        own, k = np.ascontiguousarray(own.T), parts[b].k
         out[b] = _Sums(own[:v], own[v:v + k], own[v + kmax], float(own[v + kmax + 1, 0]))
-    return out
+    return both, out
+
+
+def _documents(both: DataFrame) -> DataFrame:
+    """The documents that a pass held beside its sums."""
+    return both.where("i IS NULL").select("doc_id", "ids", "cnts", "w", "dw")
 
 
 # -- initial factors ---------------------------------------------------------------
@@ -367,7 +356,7 @@ def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
     begin, hts = _first_factors(base, jobs, parts, v)
     # a small corpus is not worth a task on every core
     tasks = max(1, min(base.rdd.getNumPartitions(), int(totals[-1] or 0) * n_models // TASK_ENTRIES))
-    state = hold(cut_lineage(begin.coalesce(tasks)))
+    state = held = hold(cut_lineage(begin.coalesce(tasks)))
     base.unpersist()
     scales = np.ones(width)
     scaled = [b for b, j in enumerate(jobs) if j.divergence == "kl" and j.start is None]
@@ -387,9 +376,9 @@ def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
         return np.stack([np.bincount(dst, val * h[src, t], v) for t in range(h.shape[1])], axis=1)
 
     live = set(range(n_models))
-    updates: list[list[np.ndarray]] = [[] for _ in jobs]
     history: list[list[float]] = [[] for _ in jobs]
-    sums = _sums(state, {b: hts[b] for b in live}, updates, parts, v)
+    _, sums = _pass(state, {b: hts[b] for b in live}, parts, v, step=False)
+    since = 0
     while live:
         for b in live:
             ht, now = hts[b], sums[b]
@@ -399,8 +388,9 @@ def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
                 top = top + lam * smooth(ht, src, dst, val)
                 bottom = bottom + lam * ht * deg[:, None]
             hts[b] = ht * top / (bottom + EPS)
-            updates[b].append(hts[b])
-        sums = _sums(state, {b: hts[b] for b in live}, updates, parts, v)
+        both, sums = _pass(state, {b: hts[b] for b in live}, parts, v, step=True)
+        held.unpersist()
+        state, held, since = _documents(both), both, since + 1
         for b in sorted(live):
             ht, now, past = hts[b], sums[b], history[b]
             if jobs[b].divergence == "kl":
@@ -414,12 +404,11 @@ def _fit_batch(docs: DataFrame, v: int, jobs: Sequence[Job]) -> list[NMFFit]:
                 live.discard(b)
             elif len(past) >= jobs[b].max_iter:
                 live.discard(b)
-        if live and max(map(len, updates)) >= REPLAY:
-            old, state = state, hold(cut_lineage(_advance(state, updates, parts)))
-            old.unpersist()
-            updates = [[] for _ in jobs]
-    final = cut_lineage(_advance(state, updates, parts).select("doc_id", "w", "dw"))
-    state.unpersist()
+        if live and since >= REPLAY:
+            state, since = cut_lineage(state), 0
+            held.unpersist()
+    final = cut_lineage(state.select("doc_id", "w", "dw"))
+    held.unpersist()
     out = []
     for b, (job, part) in enumerate(zip(jobs, parts)):
         scale = hts[b].sum(axis=0)
@@ -567,10 +556,10 @@ def fold_in(docs: DataFrame, h: np.ndarray, *, n_iter: int = 100, seed: int = 42
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, hsum, hht = _known(ht)
         for rb in blocks(batches):
-            ids, x, _, sizes = sparse(rb, 1, 2)
+            ids, x, rows, sizes = sparse(rb, 1, 2)
             w, hk = dense(rb.column(3), k), at_entries(ht, ids)
             for _ in range(n_iter):
-                w = _step_w(w, hk, hsum, hht, x, sizes, divergence)
+                w = _step_w(w, hk, hsum, hht, x, sizes, divergence, rows)
             s = w.sum(axis=1, keepdims=True)
             s[s == 0] = 1.0
             yield pa.RecordBatch.from_arrays([rb.column(0), lists(w / s)], names=["doc_id", "w"])

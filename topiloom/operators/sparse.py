@@ -98,6 +98,30 @@ def noise(k: int, first: int, n: int, seed: int) -> np.ndarray:
     return np.random.Generator(bits).random((n, k))
 
 
+def pieces(matrix: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+    """The columns of a sum as rows ``(i, y)``, ``SUM_COLS`` at a time from number ``first``; empty pieces stay out."""
+    for at in range(0, matrix.shape[1], SUM_COLS):
+        if (piece := matrix[:, at:at + SUM_COLS]).any():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([first + at], pa.int64()), "y": pa.array([piece.tobytes()], pa.binary())})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for rb in batches:
+        for i, y in zip(rb.column(0).to_pylist(), rb.column(1)):
+            y = np.frombuffer(y.as_buffer())
+            sums[i] = sums[i] + y if i in sums else y.copy()
+    for i, y in sums.items():
+        yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "y": pa.array([y.tobytes()], pa.binary())})
+
+
+def summed(parts: DataFrame, here: bool = False) -> dict[int, np.ndarray]:
+    """The :func:`pieces` of all tasks ``(i, y)``, added up by their number; ``here`` on the driver, without a shuffle."""
+    found = (parts if here else parts.repartition("i").mapInArrow(_added, "i bigint, y binary")).toArrow()
+    batches = _added(found.to_batches()) if here else found.to_batches()
+    return {i: np.frombuffer(y.as_buffer()) for rb in batches for i, y in zip(rb.column(0).to_pylist(), rb.column(1))}
+
+
 def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dict[int, np.ndarray]:
     """``X^T D (X q)`` of each model, D its weights, for rows ``(ids, cnts, dw)`` in one pass.
 
@@ -110,8 +134,8 @@ def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {b: np.zeros((r, v)) for b in bc.value}
         for rb in blocks(batches):
-            ids, x, _, sizes = sparse(rb, 0, 1)
-            dw = dense(rb.column(2), n_models)
+            ids, x, rows, sizes = sparse(rb, 0, 1)
+            ids, dw = ids.astype(np.intp), dense(rb.column(2), n_models)
             if len(ids) * FULL > len(sizes) * v:
                 done = 0
                 for full in full_rows(ids, x, sizes, v):
@@ -122,29 +146,17 @@ def gram_times(rows: DataFrame, qs: dict[int, np.ndarray], n_models: int) -> dic
             for b, q in bc.value.items():
                 for t, qt in enumerate(at_entries(q, ids)):
                     xq = stretch_sums(qt * x, sizes) * dw[:, b]
-                    out[b][t] += np.bincount(ids, np.repeat(xq, sizes) * x, v)
+                    out[b][t] += np.bincount(ids, xq[rows] * x, v)
         for b, y in out.items():
-            for at in range(0, v, SUM_COLS):
-                if (piece := y[:, at:at + SUM_COLS]).any():
-                    yield pa.RecordBatch.from_pydict({"i": pa.array([b * v + at], pa.int64()), "y": pa.array([piece.tobytes()], pa.binary())})
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for rb in batches:
-            for i, y in zip(rb.column(0).to_pylist(), rb.column(1)):
-                y = np.frombuffer(y.as_buffer())
-                sums[i] = sums[i] + y if i in sums else y.copy()
-        for i, y in sums.items():
-            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "y": pa.array([y.tobytes()], pa.binary())})
+            yield from pieces(y, b * v)
 
     few = min(rows.rdd.getNumPartitions(), SUM_TASKS * rows.sparkSession.sparkContext.defaultParallelism)
     parts = rows.select("ids", "cnts", "dw").coalesce(few).mapInArrow(run, "i bigint, y binary")
-    found = parts.repartition("i").mapInArrow(added, "i bigint, y binary").toArrow()
-    bc.unpersist()
     y = np.zeros((n_models * v, r))
-    for i, piece in zip(found.column("i").to_pylist(), found.column("y")):
-        piece = np.frombuffer(piece.as_buffer()).reshape(r, -1)
+    for i, piece in summed(parts).items():
+        piece = piece.reshape(r, -1)
         y[i:i + piece.shape[1]] = piece.T
+    bc.unpersist()
     return {b: y[b * v:(b + 1) * v, :q.shape[1]] for b, q in qs.items()}
 
 
