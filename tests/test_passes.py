@@ -64,3 +64,59 @@ def test_a_pass_steps_once_and_sums_move_in_pieces(spark, monkeypatch):
         before = calls.value
         fit = nmf.fit(docs.coalesce(1), x.shape[1], 3, max_iter=its, tol=0.0)
         assert fit.n_iter == its and 0 < calls.value - before <= 2 * its
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_rewiring_follows_plain_rounds(spark, directed):
+    """The same swaps as a loop over the pairs of each bucket; loops, parallel edges and weights included."""
+    from topiloom.functions import seeded
+    from topiloom.operators import graphs
+
+    rng = np.random.default_rng(8)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 25, (120, 2)) if a < b or directed})
+    rows = [(a, b, i) for i, (a, b) in enumerate(pairs)]
+    rows += [(rows[0][0], rows[0][1], 500)] if directed else [(b, a, i) for a, b, i in rows]
+    edges = spark.createDataFrame(rows, "src int, dst int, mult int").repartition(4)
+    n, rounds = len(pairs) + directed, 5
+    half = edges if directed else edges.where("src < dst")
+    order = graphs.Window.partitionBy("src", "dst").orderBy("mult")
+    named = half.withColumn("eid", F.xxhash64("src", "dst", F.row_number().over(order)))
+    drawn = named.select("eid", "src", "dst", "mult", *[F.floor(seeded.uniform(f"7:{r}", "eid") * (n // 2)).alias(f"b{r}") for r in range(rounds)]).collect()
+    state = {r["eid"]: (r["src"], r["dst"]) for r in drawn}
+    moved = 0
+    for r in range(rounds):
+        buckets, wants = {}, {}
+        for x in sorted(drawn, key=lambda x: x["eid"]):
+            if state[x["eid"]][0] != state[x["eid"]][1]:
+                buckets.setdefault(x[f"b{r}"], []).append(x["eid"])
+        there = {tuple(sorted(e)) for e in state.values()}
+        for ids in buckets.values():
+            for p, q in zip(ids[::2], ids[1::2]):
+                (u, v), (x, y) = state[p], state[q]
+                if not {u, v} & {x, y}:
+                    wants[p, q] = (u, y), (x, v)
+        claims = [tuple(sorted(e)) for w in wants.values() for e in w]
+        for (p, q), new in wants.items():
+            if all(claims.count(k) == 1 and k not in there for k in (tuple(sorted(e)) for e in new)):
+                state[p], state[q] = new
+                moved += 1
+    want = sorted((*state[r["eid"]], r["mult"]) for r in drawn)
+    got = sorted(tuple(r) for r in graphs.rewire(edges, seed=7, rounds=rounds, directed=directed).collect())
+    assert got == (want if directed else sorted(want + [(b, a, m) for a, b, m in want])) and moved > 20
+
+
+@pytest.mark.parametrize("bound", [10, None])
+def test_directed_edges_of_a_packed_parse(spark, bound):
+    """Filtered in the row, as the rows of the resolved parse; only what the rule reads leaves the parse."""
+    from test_parses import bag, parses
+
+    from topiloom.operators import deps
+
+    packed = parses(spark)
+    vocab = spark.createDataFrame([("word0", 0), ("word2", 1), ("word3", 2), ("head", 3), ("nil", 4)], "term string, term_id int")
+    cols = ("src", "dst", "relation", "head", "dependent", "mult")
+    for mode in deps.MODE_RELATIONS:
+        got, want = deps.directed_edges(packed, vocab, bound, mode), deps.directed_edges(deps.resolve_heads(packed), vocab, bound, mode)
+        assert got.columns == want.columns and bag(got, *cols) == bag(want, *cols)
+    plan = deps.directed_edges(packed.dropDuplicates(["doc_id"]), vocab, bound)._jdf.queryExecution().optimizedPlan().toString()
+    assert "head_stop" not in plan
