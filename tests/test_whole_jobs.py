@@ -96,7 +96,7 @@ def test_skipgram_reads_words_outside_the_vocabulary(spark, monkeypatch):
     from topiloom.operators import vectors
     from topiloom.plans import fit as fits
 
-    lists = spark.createDataFrame([(i, ["left", f"u{i % 3}", "right"] if i % 2 else ["other", f"o{i % 3}", "last"]) for i in range(20)], "doc_id bigint, tokens array<string>")
+    lists = spark.createDataFrame([(i, ["left", f"u{i % 3}", "right"] if i % 2 else ["other", f"o{i % 3}", "last"]) for i in range(20)] + [(98, None), (99, [])], "doc_id bigint, tokens array<string>")
     triples = spark.createDataFrame([("left", "amod", "rare", 1), ("rare", "obj", "rare", 2)], "head string, relation string, dependent string, cnt bigint")
     vocab = spark.createDataFrame([("left", 0), ("right", 1), ("other", 2), ("absent", 3)], "term string, term_id int")
     seen, train = [], vectors.skipgram_vectors
@@ -107,6 +107,6 @@ def test_skipgram_reads_words_outside_the_vocabulary(spark, monkeypatch):
     cfg = SimpleNamespace(vector_backend="skipgram", max_features=10, vector_dim=8, vector_window=2, vector_epochs=1, seed=1)
     assert fits.word_vectors(SimpleNamespace(lists=lists, triples=triples, vocab=vocab), cfg).count() == 4
     for words, pairs in seen:
-        assert {w for r in words.collect() for w in r["tokens"]} == {"left", "right", "other", "last", *(f"{c}{i}" for c in "uo" for i in range(3))}
+        assert {w for r in words.collect() for w in r["tokens"] or ()} == {"left", "right", "other", "last", *(f"{c}{i}" for c in "uo" for i in range(3))}
         assert pairs.count() == 2
     assert len(seen) == 2
